@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup
+from lorewright.llm import exact_dedup, simhash
 
 QUERIES = [
+    simhash.op8_simhash_near_dedup,
     exact_dedup.op9_exact_dedup,
 ]
 
