@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, simhash
+from lorewright.llm import exact_dedup, sharding, simhash
 
 QUERIES = [
+    sharding.op2_histogram_sharding,
     simhash.op8_simhash_near_dedup,
     exact_dedup.op9_exact_dedup,
 ]
