@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, mixing, sharding, simhash
+from lorewright.llm import exact_dedup, mixing, packing, sharding, simhash
 
 QUERIES = [
     sharding.op2_histogram_sharding,
+    packing.op3_length_bucket_packing,
     mixing.op4_entropy_mixing,
     simhash.op8_simhash_near_dedup,
     exact_dedup.op9_exact_dedup,
