@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, mixing, packing, sharding, simhash
+from lorewright.llm import exact_dedup, mixing, packing, sharding, simhash, toxicity
 
 QUERIES = [
     sharding.op2_histogram_sharding,
@@ -14,6 +14,7 @@ QUERIES = [
     mixing.op4_entropy_mixing,
     simhash.op8_simhash_near_dedup,
     exact_dedup.op9_exact_dedup,
+    toxicity.op10_toxicity,
 ]
 
 SQL = {"op9_exact_dedup": exact_dedup.OP9_SQL}
