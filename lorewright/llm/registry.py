@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, mixing, packing, sharding, simhash, toxicity
+from lorewright.llm import exact_dedup, media, mixing, packing, sharding, simhash, toxicity
 
 QUERIES = [
     sharding.op2_histogram_sharding,
     packing.op3_length_bucket_packing,
     mixing.op4_entropy_mixing,
+    media.op6_media_columns,
     simhash.op8_simhash_near_dedup,
     exact_dedup.op9_exact_dedup,
     toxicity.op10_toxicity,
