@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, html_text, media, mixing, packing, sharding, simhash, toxicity
+from lorewright.llm import exact_dedup, html_text, language_model, media, mixing, packing, sharding, simhash, toxicity
 
 QUERIES = [
     sharding.op2_histogram_sharding,
     packing.op3_length_bucket_packing,
     mixing.op4_entropy_mixing,
     media.op6_media_columns,
+    language_model.op5_maxent_scores,
     html_text.op7_html_main_text,
     simhash.op8_simhash_near_dedup,
     exact_dedup.op9_exact_dedup,
