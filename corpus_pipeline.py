@@ -1,25 +1,57 @@
-"""The corpus pipeline: toxicity, exact dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, mixing to target weights, packing.
+
+Every stage takes (spark, docs, sf_dir) and all rows that its predecessor kept; docs has the columns of documents.
+All stages but the last return those columns; between stages the rows are written and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorewright.llm import exact_dedup, mixing, packing, simhash, toxicity
 from lorewright.llm.common import materialize, table
-from lorewright.llm.exact_dedup import drop_exact_copies
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_copies(docs)
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for white space one row stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of near copies the row of the smallest doc_id stays."""
+    return simhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes; rows that it does not take go."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bucket, batch and position of every row."""
+    return packing.pack(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_batches),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: The stages learn weights, iterate and optimise, which SQL cannot state; tests compare each with a brute-force version.
 ORACLE_SQL = None
