@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, html_text, language_model, media, mixing, packing, sharding, simhash, toxicity
+from lorewright.llm import exact_dedup, html_text, language_model, media, mixing, packing, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = [
+    substring_dedup.op1_substring_dedup,
     sharding.op2_histogram_sharding,
     packing.op3_length_bucket_packing,
     mixing.op4_entropy_mixing,
