@@ -12,14 +12,14 @@ def evidence_score() -> Column:
 
 
 def bucket_sizes(n: Column) -> tuple[Column, Column]:
-    """How many of n entities are major and how many notable (fixed for n up to 5, then 20 % and 30 %)."""
+    """How many of n entities are major and how many supporting (fixed for n up to 5, then 20 % and 30 %)."""
 
     def share(part: float) -> Column:
         return F.greatest(F.lit(1).cast("long"), F.floor(n * F.lit(part) + F.lit(0.5)))
 
     major = F.when(n <= 0, 0).when(n <= 5, 1).otherwise(share(0.2))
-    notable = F.when(n <= 1, 0).when(n <= 4, 1).when(n == 5, 2).otherwise(share(0.3))
-    return major, notable
+    supporting = F.when(n <= 1, 0).when(n <= 4, 1).when(n == 5, 2).otherwise(share(0.3))
+    return major, supporting
 
 
 def rank_within_type(entities: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def rank_within_type(entities: DataFrame) -> DataFrame:
         ),
     )
     sizes = scored.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    major, notable = bucket_sizes(F.col("n"))
+    major, supporting = bucket_sizes(F.col("n"))
     # types are few next to entities, and a count per type needs no second sort of the entities
     sized = ranked.join(sizes.withColumnRenamed("type", "size_type"), F.col("type").eqNullSafe(F.col("size_type")))
     return sized.select(
         "entity_id", "name", "type", "pages", "mentions", "relationships", "score", "rank",
-        F.when(F.col("rank") <= major, "major").when(F.col("rank") <= major + notable, "notable").otherwise("minor").alias("prominence"),
+        F.when(F.col("rank") <= major, "major").when(F.col("rank") <= major + supporting, "supporting").otherwise("minor").alias("prominence"),
     )

@@ -47,9 +47,9 @@ sc AS (SELECT p_partkey entity_id, p_name AS name, p_type AS type, coalesce(page
 rk AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, pages DESC, mentions DESC, relationships DESC, name, entity_id) rank,
   count(*) OVER (PARTITION BY type) n FROM sc),
 bk AS (SELECT *, CASE WHEN n <= 5 THEN 1 ELSE greatest(1, CAST(floor(n * 0.2 + 0.5) AS BIGINT)) END major,
-  CASE WHEN n = 1 THEN 0 WHEN n <= 4 THEN 1 WHEN n = 5 THEN 2 ELSE greatest(1, CAST(floor(n * 0.3 + 0.5) AS BIGINT)) END notable FROM rk)
+  CASE WHEN n = 1 THEN 0 WHEN n <= 4 THEN 1 WHEN n = 5 THEN 2 ELSE greatest(1, CAST(floor(n * 0.3 + 0.5) AS BIGINT)) END supporting FROM rk)
 SELECT entity_id, name, type, pages, mentions, relationships, score, rank,
-  CASE WHEN rank <= major THEN 'major' WHEN rank <= major + notable THEN 'notable' ELSE 'minor' END prominence FROM bk
+  CASE WHEN rank <= major THEN 'major' WHEN rank <= major + supporting THEN 'supporting' ELSE 'minor' END prominence FROM bk
 """
 
 QUERIES = {"entity_ranking": (entity_ranking, ENTITY_RANKING_SQL)}

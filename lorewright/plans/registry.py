@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import ranking
+from lorewright.plans import ranking, texts
 
-MODULES = [ranking]
+MODULES = [ranking, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
