@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import ranking, texts
+from lorewright.plans import ranking, relational, texts
 
-MODULES = [ranking, texts]
+MODULES = [ranking, texts, relational]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
