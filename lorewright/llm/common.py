@@ -1,62 +1,18 @@
-"""What the operators share: the shared folder, written intermediate tables and row-exact filtering."""
+"""What the operators share: words, texts, row fingerprints and row-exact filtering."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorewright.storage import drop_scratch, materialize, scratch_path, shared_dir
+
+__all__ = ["drop_scratch", "materialize", "rows_kept", "row_print", "scratch_path", "shared_dir", "table", "text_or_empty", "word_count"]
+
 #: The white space of every contract: \x20 and \x09 to \x0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: dict[str, list[str]] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = _written.setdefault("own", [tempfile.mkdtemp(prefix="lorewright-")])[0]
-        found = f"file://{found}"
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lorewright/{name}-{uuid.uuid4().hex}"
-    _written.setdefault("paths", []).append(path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, and any executor can read it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what materialize() has written in this process."""
-    jvm = spark.sparkContext._jvm
-    for path in _written.pop("paths", []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _at_exit() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _written.get("paths"):
-        try:
-            drop_scratch(spark)
-        except Exception:  # the JVM may be gone already
-            pass
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
