@@ -1,6 +1,6 @@
 """Substring dedup: paragraphs by MinHash banding, and passages inside paragraphs by content-defined windows.
 
-A paragraph is a line.  Its 5-word shingles have a MinHash signature; paragraphs that share a band collide, their
+A paragraph is a line of LEAST_WORDS or more: shorter lines that recur are phrases and headings, not passages.  Its 5-word shingles have a MinHash signature; paragraphs that share a band collide, their
 candidate clusters are brought together once, and within these the exact Jaccard similarity of every colliding
 pair decides (pairs that are already connected are skipped).  BANDS bands of BAND_ROWS hashes miss a pair at
 similarity 0.8 with a chance below 1 %.
@@ -27,6 +27,7 @@ from lorewright.llm.words import hashed, in_chunks, mixed, words_of
 from lorewright.operators.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
+LEAST_WORDS = 20
 BANDS, BAND_ROWS = 5, 2
 WINDOW, SPAN = 32, 20
 HEAVY = 4_000
@@ -74,10 +75,10 @@ class Units:
         place = np.arange(len(h)) - np.repeat(first, size)
         content = np.add.reduceat(mixed(h + mixed(place.astype(np.uint64))), first)
         sh = shingles(h)
-        long = size >= SHINGLE
+        long = size >= LEAST_WORDS
         if long.any():
             left = np.repeat(first + size, size) - np.arange(len(h))
-            own = np.flatnonzero(left[: len(sh)] >= SHINGLE)
+            own = np.flatnonzero((left[: len(sh)] >= SHINGLE) & np.repeat(long, size)[: len(sh)])
             cut = np.searchsorted(own, first[long])
             x = sh[own]
             least = np.stack([np.minimum.reduceat(mixed(x * a + b), cut) for a, b in _ODD])
@@ -226,7 +227,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """One row per unit that occurs, exactly or nearly, more than once: doc_id, kind, start, stop, words, class_id,
     class_size, keep_id, kept.
 
-    kind is "paragraph" (a line of 5 words or more) or "passage" (SPAN words); start and stop are code points of
+    kind is "paragraph" (a line of LEAST_WORDS or more) or "passage" (SPAN words); start and stop are code points of
     the text.  A class is a component of similar units; its first unit (smallest doc_id, null last; then start)
     is kept, the others are removals.  Units of wholly identical rows count for each row, and one of their equal
     first units is marked kept in each.  Null texts are empty.  Without repeats there are no rows.

@@ -17,7 +17,7 @@ def brute_lines(rows):
         at = 0
         for line in (t or "").split("\n"):
             m = list(WORD.finditer(line))
-            if len(m) >= 5:
+            if len(m) >= S.LEAST_WORDS:
                 units.append(((i, at + m[0].start(), at + m[-1].end()), grams([x[0].lower() for x in m])))
             at += len(line) + 1
     comp = list(range(len(units)))
@@ -87,7 +87,7 @@ def test_heavy_clusters_in_blocks_lose_no_link(spark, monkeypatch):
 
 
 def test_nulls_short_and_repeated_rows(spark):
-    rows = [(1, None), (2, ""), (3, "a b"), (4, "a b"), (5, "one two three four five"), (None, "ONE two three\tfour five"), (7, "spam " * 3000), (7, "spam " * 3000), (8, "ü " * 40)]
+    rows = [(1, None), (2, ""), (3, "a b"), (4, "a b"), (5, "one two three four five " * 5), (None, "ONE two three\tfour five  " * 5), (15, "five words in a row"), (16, "five words in a row"), (7, "spam " * 3000), (7, "spam " * 3000), (8, "ü " * 40)]
     got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.kept) for r in got if r.kind == "paragraph"} == {(5, True), (None, False), (7, True)}
     assert S.repeated_units(spark.createDataFrame([], "doc_id long, text string")).count() == 0
