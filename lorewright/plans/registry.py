@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import ranking, relational, texts
+from lorewright.plans import ranking, relational, resolution, texts
 
-MODULES = [ranking, texts, relational]
+MODULES = [ranking, texts, relational, resolution]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
