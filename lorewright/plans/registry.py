@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import graph, ranking, relational, resolution, texts
+from lorewright.plans import graph, persistence, ranking, readmodels, relational, resolution, texts
 
-MODULES = [ranking, texts, relational, resolution, graph]
+MODULES = [ranking, texts, relational, resolution, graph, persistence, readmodels]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
