@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import evaluation, graph, persistence, ranking, readmodels, relational, resolution, texts, validation
+from lorewright.plans import evaluation, folded, graph, persistence, ranking, readmodels, relational, resolution, texts, validation
 
-MODULES = [ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation]
+MODULES = [ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
