@@ -32,9 +32,9 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {_TOK}, {_NEEDLE} SELECT item_id, count(*) AS mentions, count(DISTINCT doc_id) AS pages FROM nd JOIN tok USING (w) GROUP BY item_id")
 def mention_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions of an entity and pages with one: tokens are counted per page before they meet the names."""
-    counted = document_tokens(spark, sf_dir).groupBy("w", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return needles(spark, sf_dir).join(counted, "w").groupBy("item_id").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("pages"))
+    """Mentions of an entity and pages with one: tokens meet the names first (the smaller side is sent round), then count."""
+    met = document_tokens(spark, sf_dir).join(needles(spark, sf_dir), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("item_id").agg(F.sum("n").alias("mentions"), F.count(F.lit(1)).alias("pages"))
 
 
 @register(f"WITH {_TOK}, {_NEEDLE}, o AS (SELECT DISTINCT item_id, doc_id FROM nd JOIN tok USING (w)) SELECT doc_id, count(*) AS entities, min(item_id) AS first_entity FROM o GROUP BY doc_id")

@@ -171,17 +171,14 @@ def candidate_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which benchmark passages a document contains, word for word.
 
-    Passages are few and fixed; each is keyed by its first five words, and only documents that contain these five in
-    a row meet it (an equi-join), before the containment is tested.
+    A passage is keyed by its longest word; only documents that have this word meet it (an equi-join), before the
+    containment is tested.
     """
     def keyed(df: DataFrame, id_: str, name: str) -> DataFrame:
-        return df.select(id_, T.normalize_name(F.col("text")).alias(name)).withColumn("w", F.split(name, " "))
-
-    needles = keyed(table(spark, sf_dir, "benchmark"), "item_id", "q").where(F.length("q") >= 8)
-    needles = needles.select("item_id", "q", F.array_join(F.slice("w", 1, 5), " ").alias("key"), F.least(F.size("w"), F.lit(5)).alias("width"))
-    docs = keyed(table(spark, sf_dir, "documents"), "doc_id", "p")
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda k: F.array_join(F.slice("w", k, 5), " ")))).alias("key"))
-    hits = grams.join(needles.where("width = 5"), "key").select("doc_id", "item_id", "q")
-    short = docs.join(needles.where("width < 5"), F.contains(F.concat(F.lit(" "), "p", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" ")))).select("item_id", "doc_id")
-    long = hits.join(docs, "doc_id").where(F.contains(F.concat(F.lit(" "), "p", F.lit(" ")), F.concat(F.lit(" "), "q", F.lit(" ")))).select("item_id", "doc_id")
-    return long.unionByName(short).distinct()
+        return df.select(id_, T.normalize_name(F.col("text")).alias(name)).withColumn("w", F.array_distinct(F.split(name, " ")))
+
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    needles = keyed(table(spark, sf_dir, "benchmark"), "item_id", "q").where(F.length("q") >= 8).select("item_id", "q", longest.alias("key"))
+    docs = keyed(table(spark, sf_dir, "documents"), "doc_id", "p").select("doc_id", F.concat(F.lit(" "), "p", F.lit(" ")).alias("p"), "w")
+    met = docs.select("doc_id", "p", F.explode("w").alias("key")).join(needles, "key")
+    return met.where(F.contains("p", F.concat(F.lit(" "), "q", F.lit(" ")))).select("item_id", "doc_id")
