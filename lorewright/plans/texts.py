@@ -179,6 +179,7 @@ def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     needles = keyed(table(spark, sf_dir, "benchmark"), "item_id", "q").where(F.length("q") >= 8).select("item_id", "q", longest.alias("key"))
-    docs = keyed(table(spark, sf_dir, "documents"), "doc_id", "p").select("doc_id", F.concat(F.lit(" "), "p", F.lit(" ")).alias("p"), "w")
-    met = docs.select("doc_id", "p", F.explode("w").alias("key")).join(needles, "key")
-    return met.where(F.contains("p", F.concat(F.lit(" "), "q", F.lit(" ")))).select("item_id", "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_name(F.col("text")).alias("p"))
+    met = docs.select("doc_id", F.explode(F.array_distinct(F.split("p", " "))).alias("key")).join(needles, "key").select("doc_id", "item_id", "q")
+    space = F.lit(" ")
+    return docs.join(met, "doc_id").where(F.contains(F.concat(space, "p", space), F.concat(space, "q", space))).select("item_id", "doc_id")
