@@ -74,7 +74,7 @@ def relationship_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_WALK = f"{PARTS}, a AS (SELECT name AS k, type, size, id FROM pt WHERE id % 3 = 0), b AS (SELECT name AS k, type, size, id FROM pt WHERE id % 3 = 1 AND size > 15)"
+_WALK = f"{PARTS}, a AS (SELECT name AS k, type, size, id FROM pt WHERE brand <= 'Brand#17'), b AS (SELECT name AS k, type, size, id FROM pt WHERE brand > 'Brand#17' AND size > 15)"
 
 
 @register(f"""WITH {_WALK}, w AS (SELECT id, k, type, row_number() OVER (PARTITION BY k ORDER BY (CASE WHEN type IN (SELECT type FROM b b2 WHERE b2.k = a.k) THEN 4 ELSE 0 END) + (CASE WHEN type <> 'STANDARD' THEN 2 ELSE 0 END) + (CASE WHEN k IN (SELECT k FROM b) THEN 1 ELSE 0 END) DESC, id) AS r FROM a)
@@ -82,8 +82,8 @@ _WALK = f"{PARTS}, a AS (SELECT name AS k, type, size, id FROM pt WHERE id % 3 =
 def duplicate_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of duplicates of a name the one that matches its counterpart best; the first of equals."""
     p = parts(spark, sf_dir)
-    b = p.where("id % 3 = 1 AND size > 15").groupBy(F.col("name").alias("b_k")).agg(F.collect_set("type").alias("types"))
-    a = p.where("id % 3 = 0").join(b, F.col("name") == F.col("b_k"), "left")
+    b = p.where("brand > 'Brand#17' AND size > 15").groupBy(F.col("name").alias("b_k")).agg(F.collect_set("type").alias("types"))
+    a = p.where("brand <= 'Brand#17'").join(b, F.col("name") == F.col("b_k"), "left")
     score = F.when(F.expr("array_contains(types, type)"), 4).otherwise(0) + F.when(F.col("type") != "STANDARD", 2).otherwise(0) + F.when(F.col("b_k").isNotNull(), 1).otherwise(0)
     own = a.select("id", F.col("name").alias("k"), F.row_number().over(rank_of(["name"], [F.desc(score), "id"])).alias("r"))
     return own.where("r = 1").select("id", "k")
@@ -99,8 +99,8 @@ def crosswalk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
-    b = p.where("id % 3 = 1 AND size > 15")
-    a = p.where("id % 3 = 0").select("id", "name", "type", "size", F.row_number().over(rank_of(["name"], ["id"])).alias("r"))
+    b = p.where("brand > 'Brand#17' AND size > 15")
+    a = p.where("brand <= 'Brand#17'").select("id", "name", "type", "size", F.row_number().over(rank_of(["name"], ["id"])).alias("r"))
     bt = b.select("name", "type", F.lit(True).alias("bt")).distinct()
     bn = b.select("name", F.lit(True).alias("bn")).distinct()
     bs = b.select("type", "size", F.lit(True).alias("bs")).distinct()
@@ -116,7 +116,7 @@ def walked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def type_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall by type, and how many of the other side match nothing."""
     p = parts(spark, sf_dir)
-    a, b = p.where("id % 3 = 0"), p.where("id % 3 = 1 AND size > 15")
+    a, b = p.where("brand <= 'Brand#17'"), p.where("brand > 'Brand#17' AND size > 15")
     bn = b.select("name", F.lit(True).alias("hit")).distinct()
     rest = b.join(a.select("name"), "name", "left_anti").agg(F.count(F.lit(1)).alias("unmatched"))
     own = a.join(bn, "name", "left").groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hit"))

@@ -52,11 +52,11 @@ def knowledge_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(names, "w").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("mentioned"))
 
 
-@register("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(n_name) AS h FROM nation WHERE n_nationkey % 5 = 0) WHERE contains(lower('nation_' || (e.user_id % 30) || ' ' || e.event_type), h))")
+@register("SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT lower(n_name) AS h FROM nation WHERE n_regionkey = 2) WHERE contains(lower('nation_' || (e.user_id % 30) || ' ' || e.event_type), h))")
 def hidden_term_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that name no hidden entity, by plain substring without word bounds. Nations are 25 rows."""
     facts = table(spark, sf_dir, "events").select("event_id", F.lower(F.concat(F.lit("nation_"), F.col("user_id") % 30, F.lit(" "), "event_type")).alias("said"))
-    hidden = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.lower("n_name").alias("h")).distinct()
+    hidden = table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.lower("n_name").alias("h")).distinct()
     return facts.join(F.broadcast(hidden), F.contains("said", "h"), "left_anti").select("event_id")
 
 
@@ -95,13 +95,13 @@ def group_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {EDGES}, v AS (SELECT source_id AS me, target_id AS other, true AS out, type, confidence FROM ed UNION ALL SELECT target_id, source_id, false, type, confidence FROM ed)
-  SELECT me, other, out, count(DISTINCT type) AS types, max(confidence) AS confidence FROM v WHERE me < 50 GROUP BY ALL""")
+  SELECT me, other, out, count(DISTINCT type) AS types, max(confidence) AS confidence FROM v GROUP BY ALL""")
 def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges as seen from each entity, with their direction."""
     e = edges(spark, sf_dir)
     seen = e.select(F.col("source_id").alias("me"), F.col("target_id").alias("other"), F.lit(True).alias("out"), "type", "confidence")
     seen = seen.unionByName(e.select(F.col("target_id").alias("me"), F.col("source_id").alias("other"), F.lit(False).alias("out"), "type", "confidence"))
-    return seen.where("me < 50").groupBy("me", "other", "out").agg(F.countDistinct("type").alias("types"), F.max("confidence").alias("confidence"))
+    return seen.groupBy("me", "other", "out").agg(F.countDistinct("type").alias("types"), F.max("confidence").alias("confidence"))
 
 
 @register(f"""WITH {EDGES}, g AS (SELECT source_id, target_id, lower(type) AS k, list_sort(list(DISTINCT page)) AS pages FROM ed GROUP BY ALL) SELECT source_id, target_id, k, len(pages) AS pages, pages[1] AS first_page,
@@ -149,19 +149,19 @@ def places(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     grade = F.floor(F.pmod(F.col("c_custkey") * 7, F.lit(11))) / 20 + F.lit(0.5)
     rel = rows(n, F.concat(F.lit("a"), nation), nation, region, "Located in", F.lit(0.95))
     rel = rel.unionByName(rows(c, F.concat(F.lit("b"), cust), cust, home, "located-in", grade))
-    rel = rel.unionByName(rows(c.where("c_custkey % 3 = 0"), F.concat(F.lit("d"), cust), rival, cust, "contains", F.lit(0.72)))
-    rel = rel.unionByName(rows(c.where("c_custkey % 4 = 0"), F.concat(F.lit("e"), cust), cust, home, "located in", F.lit(0.81)))
-    rel = rel.unionByName(rows(c.where("c_custkey % 50 = 0"), F.concat(F.lit("f"), cust), cust, cust, "located in", F.lit(0.9)))
-    return rel.unionByName(rows(c.where("c_custkey % 60 = 0"), F.concat(F.lit("g"), cust), cust, F.concat(F.lit("x"), "c_custkey"), "located in", F.lit(0.9))), locations
+    rel = rel.unionByName(rows(c.where("c_mktsegment = 'BUILDING'"), F.concat(F.lit("d"), cust), rival, cust, "contains", F.lit(0.72)))
+    rel = rel.unionByName(rows(c.where("c_acctbal > 7000"), F.concat(F.lit("e"), cust), cust, home, "located in", F.lit(0.81)))
+    rel = rel.unionByName(rows(c.where("c_acctbal < -900"), F.concat(F.lit("f"), cust), cust, cust, "located in", F.lit(0.9)))
+    return rel.unionByName(rows(c.where("c_acctbal > 9800"), F.concat(F.lit("g"), cust), cust, F.concat(F.lit("x"), "c_custkey"), "located in", F.lit(0.9))), locations
 
 
 _PLACES = """loc AS (SELECT 'r' || r_regionkey AS id FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer),
   rel AS (SELECT 'an' || n_nationkey AS id, 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent, 0.95::DOUBLE AS confidence FROM nation
   UNION ALL SELECT 'bc' || c_custkey, 'c' || c_custkey, 'n' || c_nationkey, floor((c_custkey * 7) % 11) / 20 + 0.5::DOUBLE FROM customer
-  UNION ALL SELECT 'dc' || c_custkey, 'c' || c_custkey, 'n' || ((c_nationkey + 1) % 25), 0.72::DOUBLE FROM customer WHERE c_custkey % 3 = 0
-  UNION ALL SELECT 'ec' || c_custkey, 'c' || c_custkey, 'n' || c_nationkey, 0.81::DOUBLE FROM customer WHERE c_custkey % 4 = 0
-  UNION ALL SELECT 'fc' || c_custkey, 'c' || c_custkey, 'c' || c_custkey, 0.9::DOUBLE FROM customer WHERE c_custkey % 50 = 0
-  UNION ALL SELECT 'gc' || c_custkey, 'c' || c_custkey, 'x' || c_custkey, 0.9::DOUBLE FROM customer WHERE c_custkey % 60 = 0),
+  UNION ALL SELECT 'dc' || c_custkey, 'c' || c_custkey, 'n' || ((c_nationkey + 1) % 25), 0.72::DOUBLE FROM customer WHERE c_mktsegment = 'BUILDING'
+  UNION ALL SELECT 'ec' || c_custkey, 'c' || c_custkey, 'n' || c_nationkey, 0.81::DOUBLE FROM customer WHERE c_acctbal > 7000
+  UNION ALL SELECT 'fc' || c_custkey, 'c' || c_custkey, 'c' || c_custkey, 0.9::DOUBLE FROM customer WHERE c_acctbal < -900
+  UNION ALL SELECT 'gc' || c_custkey, 'c' || c_custkey, 'x' || c_custkey, 0.9::DOUBLE FROM customer WHERE c_acctbal > 9800),
   best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY child, parent ORDER BY confidence DESC, id) AS r FROM rel WHERE child <> parent AND parent IN (SELECT id FROM loc)) WHERE r = 1),
   rk AS (SELECT *, row_number() OVER w AS rank, max(confidence) OVER (PARTITION BY child) AS top, nth_value(confidence, 2) OVER (PARTITION BY child ORDER BY confidence DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second
     FROM best WINDOW w AS (PARTITION BY child ORDER BY confidence DESC, id)),

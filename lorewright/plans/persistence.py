@@ -25,24 +25,24 @@ def snapshot_merge(current: DataFrame, incoming: DataFrame, keys: list[str], val
     return joined.select(*[pick(k) for k in keys], *[pick(v) for v in values], state.alias("state"))
 
 
-@register("""WITH cur AS (SELECT o_orderkey AS k, o_orderstatus AS v, o_totalprice > 200000 AS anchored FROM orders WHERE o_orderkey % 3 <> 0), inc AS (SELECT o_orderkey AS k, o_orderpriority AS v FROM orders WHERE o_orderkey % 2 = 0)
+@register("""WITH cur AS (SELECT o_orderkey AS k, o_orderstatus AS v, o_totalprice > 200000 AS anchored FROM orders WHERE o_orderstatus <> 'P'), inc AS (SELECT o_orderkey AS k, o_orderpriority AS v FROM orders WHERE o_totalprice > 100000)
   SELECT coalesce(inc.k, cur.k) AS k, CASE WHEN inc.k IS NOT NULL THEN inc.v ELSE cur.v END AS v, CASE WHEN inc.k IS NOT NULL AND cur.k IS NOT NULL THEN 'updated' WHEN inc.k IS NOT NULL THEN 'inserted' WHEN anchored THEN 'kept' ELSE 'pruned' END AS state
   FROM inc FULL JOIN cur ON inc.k = cur.k""")
 def keyed_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    cur = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"), "o_totalprice")
-    inc = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
+    cur = o.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"), "o_totalprice")
+    inc = o.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
     return snapshot_merge(cur, inc, ["k"], ["v"], F.col("o_totalprice") > 200000)
 
 
-@register("""WITH inc AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS type, [c_custkey + 100000, c_custkey * 2] AS ids FROM customer WHERE c_custkey % 2 = 0), cur AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS type, c_acctbal AS made FROM customer WHERE c_custkey % 3 = 0),
+@register("""WITH inc AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS type, [c_custkey + 100000, c_custkey * 2] AS ids FROM customer WHERE c_acctbal > 3000), cur AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS type, c_acctbal AS made FROM customer WHERE c_mktsegment <> 'BUILDING'),
   m AS (SELECT inc.id AS new_id, cur.id AS old_id, 1 AS tier, made FROM inc JOIN cur ON inc.id = cur.id UNION ALL SELECT inc.id, cur.id, 2, made FROM inc JOIN cur ON inc.name = cur.name AND inc.type = cur.type
   UNION ALL SELECT inc.id, cur.id, 3, made FROM inc JOIN cur ON list_contains(inc.ids, cur.id)) SELECT new_id, arg_min(old_id, (tier, made, old_id)) AS old_id, min(tier) AS tier FROM m GROUP BY new_id""")
 def entity_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored rows for incoming entities: by id, else by name and type, else the oldest whose id is a candidate's."""
     c = table(spark, sf_dir, "customer")
-    inc = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("new_id"), "c_name", "c_mktsegment", F.array(F.col("c_custkey") + 100000, F.col("c_custkey") * 2).alias("ids"))
-    cur = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("old_id"), F.col("c_name").alias("o_name"), F.col("c_mktsegment").alias("o_type"), F.col("c_acctbal").alias("made"))
+    inc = c.where("c_acctbal > 3000").select(F.col("c_custkey").alias("new_id"), "c_name", "c_mktsegment", F.array(F.col("c_custkey") + 100000, F.col("c_custkey") * 2).alias("ids"))
+    cur = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("old_id"), F.col("c_name").alias("o_name"), F.col("c_mktsegment").alias("o_type"), F.col("c_acctbal").alias("made"))
 
     def tier(joined: DataFrame, n: int) -> DataFrame:
         return joined.select("new_id", F.struct(F.lit(n).alias("tier"), "made", "old_id").alias("m"))
@@ -53,10 +53,10 @@ def entity_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("new_id").agg(F.min("m").alias("m")).select("new_id", "m.old_id", "m.tier")
 
 
-@register("SELECT l_orderkey, l_linenumber, o_orderkey IS NULL AS unknown_endpoint FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 13 <> 0) ON l_orderkey = o_orderkey WHERE l_linenumber <= 2")
+@register("SELECT l_orderkey, l_linenumber, o_orderkey IS NULL AS unknown_endpoint FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON l_orderkey = o_orderkey")
 def unknown_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 13 <> 0").select("o_orderkey")
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", F.col("o_orderkey").isNull().alias("unknown_endpoint"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey")
+    return table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left").select("l_orderkey", "l_linenumber", F.col("o_orderkey").isNull().alias("unknown_endpoint"))
 
 
 def insist(df: DataFrame, wrong: Column, message: str) -> DataFrame:
@@ -71,11 +71,11 @@ def metrics_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("p_partkey", F.coalesce("n", F.lit(0)).alias("mentions"), F.when(F.col("p_type") == "PROMO", "not_started").alias("quest_status"))
 
 
-@register("SELECT n.p_partkey, CASE WHEN o.p_size % 5 = 0 THEN o.p_brand ELSE n.p_type END AS visibility, CASE WHEN o.p_size % 7 = 0 THEN o.p_name ELSE 'minor' END AS prominence FROM part n LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) o USING (p_partkey)")
+@register("SELECT n.p_partkey, CASE WHEN o.p_size % 5 = 0 THEN o.p_brand ELSE n.p_type END AS visibility, CASE WHEN o.p_size % 7 = 0 THEN o.p_name ELSE 'minor' END AS prominence FROM part n LEFT JOIN (SELECT * FROM part WHERE p_type <> 'PROMO') o USING (p_partkey)")
 def kept_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that were set by hand survive a replacement."""
     p = table(spark, sf_dir, "part")
-    old = p.where("p_partkey % 2 = 0").select("p_partkey", F.col("p_brand").alias("o_brand"), F.col("p_name").alias("o_name"), F.col("p_size").alias("o_size"))
+    old = p.where("p_type <> 'PROMO'").select("p_partkey", F.col("p_brand").alias("o_brand"), F.col("p_name").alias("o_name"), F.col("p_size").alias("o_size"))
     joined = p.join(old, "p_partkey", "left")
     return joined.select(
         "p_partkey", F.when(F.col("o_size") % 5 == 0, F.col("o_brand")).otherwise(F.col("p_type")).alias("visibility"),
@@ -90,15 +90,15 @@ def checkpoint_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("r", last).where("r = 1").select("user_id", "event_type", "props", "event_id")
 
 
-@register("""WITH st AS (SELECT user_id, event_type, props FROM events WHERE event_id % 2 = 0), ask AS (SELECT event_id, user_id, event_type, props FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0)
-  SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM st WHERE st.user_id = ask.user_id AND st.event_type = ask.event_type AND st.props = ask.props) THEN 'REUSE' WHEN EXISTS (SELECT 1 FROM st WHERE st.user_id = ask.user_id AND st.event_type = ask.event_type AND st.user_id < 75) THEN 'INVALIDATED' ELSE 'RUN' END AS status FROM ask""")
+@register("""WITH st AS (SELECT user_id, event_type, props, value FROM events WHERE value < 10), ask AS (SELECT event_id, user_id, event_type, props FROM events WHERE value >= 10)
+  SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM st WHERE st.user_id = ask.user_id AND st.event_type = ask.event_type AND st.props = ask.props) THEN 'REUSE' WHEN EXISTS (SELECT 1 FROM st WHERE st.user_id = ask.user_id AND st.event_type = ask.event_type AND st.value < 0.2) THEN 'INVALIDATED' ELSE 'RUN' END AS status FROM ask""")
 def checkpoint_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """REUSE on an exact key, INVALIDATED where only the operation is stored, else RUN."""
     e = table(spark, sf_dir, "events")
-    stored = e.where("event_id % 2 = 0").select("user_id", "event_type", "props")
-    exact = stored.distinct().withColumn("exact", F.lit(True))
-    some = stored.where("user_id < 75").select("user_id", "event_type", F.lit(True).alias("some")).distinct()
-    ask = e.where("event_id % 2 = 1 AND user_id % 3 = 0").join(exact, ["user_id", "event_type", "props"], "left").join(some, ["user_id", "event_type"], "left")
+    stored = e.where("value < 10").select("user_id", "event_type", "props", "value")
+    exact = stored.drop("value").distinct().withColumn("exact", F.lit(True))
+    some = stored.where("value < 0.2").select("user_id", "event_type", F.lit(True).alias("some")).distinct()
+    ask = e.where("value >= 10").join(exact, ["user_id", "event_type", "props"], "left").join(some, ["user_id", "event_type"], "left")
     return ask.select("event_id", F.when(F.col("exact"), "REUSE").when(F.col("some"), "INVALIDATED").otherwise("RUN").alias("status"))
 
 
@@ -197,8 +197,8 @@ def graph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("part_no", F.sha2(F.array_join(F.transform("hs", lambda x: x["h"]), ","), 256).alias("fingerprint"), "n")
 
 
-@register("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders UNION ALL SELECT o_orderkey, 'seen', o_orderdate FROM orders WHERE o_orderkey % 10 = 0")
+@register("SELECT o_orderkey, o_orderstatus, o_orderdate FROM orders UNION ALL SELECT o_orderkey, 'seen', o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT'")
 def append_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An append-only log with a batch appended."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    return o.unionByName(o.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("seen")))
+    return o.unionByName(o.where("o_orderpriority = '1-URGENT'").withColumn("o_orderstatus", F.lit("seen")))

@@ -45,10 +45,10 @@ def event_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", "bucket", F.row_number().over(rank_of(["bucket"], [F.asc_nulls_last("d"), "event_id"])).alias("place"))
 
 
-@register("""WITH d AS (SELECT DISTINCT l_partkey AS e, l_suppkey AS doc, l_orderkey AS page FROM lineitem WHERE l_partkey < 300), p AS (SELECT e, doc, count(*) AS pages FROM d GROUP BY ALL) SELECT e, count(*) AS documents, sum(pages) AS pages, arg_max(doc, (pages, -doc)) AS main_document FROM p GROUP BY e""")
+@register("""WITH d AS (SELECT DISTINCT l_partkey AS e, l_suppkey AS doc, l_orderkey AS page FROM lineitem), p AS (SELECT e, doc, count(*) AS pages FROM d GROUP BY ALL) SELECT e, count(*) AS documents, sum(pages) AS pages, arg_max(doc, (pages, -doc)) AS main_document FROM p GROUP BY e""")
 def source_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of an entity by document, then page; equal texts once."""
-    d = table(spark, sf_dir, "lineitem").where("l_partkey < 300").select(F.col("l_partkey").alias("e"), F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page")).distinct()
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("e"), F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page")).distinct()
     p = d.groupBy("e", "doc").agg(F.count(F.lit(1)).alias("pages"))
     return p.groupBy("e").agg(F.count(F.lit(1)).alias("documents"), F.sum("pages").alias("pages"), (-F.max(F.struct("pages", (-F.col("doc")).alias("nd"))).getField("nd")).alias("main_document"))
 
@@ -73,10 +73,10 @@ def organiser_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).groupBy("type", grp.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register(f"WITH {EDGES} SELECT source_id, target_id, count(*) AS n FROM ed WHERE source_id < 20 AND type <> 'Sold As A' GROUP BY ALL")
+@register(f"WITH {EDGES} SELECT source_id, target_id, count(*) AS n FROM ed WHERE type <> 'Sold As A' GROUP BY ALL")
 def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connections by related entity, without the kind that the page shows elsewhere."""
-    return edges(spark, sf_dir).where("source_id < 20 AND type <> 'Sold As A'").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
+    return edges(spark, sf_dir).where("type <> 'Sold As A'").groupBy("source_id", "target_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("""WITH d(p, lo, hi) AS (VALUES ('signup', 0, 10), ('view', 10, 60), ('click', 60, 90), ('purchase', 90, 100)), s AS (SELECT user_id, event_id, ts, lo + CAST(floor((hi - lo) * least(1, event_id % 8 / 4.0)) AS BIGINT) AS pct FROM events JOIN d ON p = event_type)
@@ -89,18 +89,18 @@ def monotonic_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("event_id", "pct", F.max("pct").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("shown"))
 
 
-@register("""WITH v AS (SELECT p_partkey, [p_size // 10, p_size % 10, p_partkey % 5] AS ver FROM part), l AS (SELECT p_partkey, ver, lag(ver) OVER (ORDER BY p_partkey) AS prev FROM v) SELECT p_partkey, prev IS NULL OR prev > ver AS newest_first FROM l WHERE p_partkey % 500 <> 0 AND p_partkey < 500""")
+@register("""WITH v AS (SELECT p_partkey, [p_size // 10, p_size % 10, p_partkey % 5] AS ver FROM part), l AS (SELECT v.p_partkey, ver, lag(ver) OVER (PARTITION BY p_brand ORDER BY v.p_partkey) AS prev FROM v JOIN part ON part.p_partkey = v.p_partkey) SELECT p_partkey, prev IS NULL OR prev > ver AS newest_first FROM l""")
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each version of a changelog is older than the one before it; a changelog is one short document."""
+    """Whether each version of a changelog is older than the one before it; a brand's parts stand for a changelog."""
     size = F.col("p_size")
     ver = F.struct(F.floor(size / 10).alias("a"), (size % 10).cast("long").alias("b"), (F.col("p_partkey") % 5).alias("c"))
-    own = table(spark, sf_dir, "part").where("p_partkey < 500").select("p_partkey", ver.alias("ver"))
-    prev = F.lag("ver").over(Window.orderBy("p_partkey"))
-    return own.select("p_partkey", (prev.isNull() | (prev > F.col("ver"))).alias("newest_first")).where("p_partkey % 500 <> 0")
+    own = table(spark, sf_dir, "part").select("p_partkey", "p_brand", ver.alias("ver"))
+    prev = F.lag("ver").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return own.select("p_partkey", (prev.isNull() | (prev > F.col("ver"))).alias("newest_first"))
 
 
-@register(f"WITH {PARTS} SELECT n.n_nationkey AS id, CASE WHEN n.n_regionkey % 2 = 0 THEN n.n_regionkey END AS shown_parent FROM nation n")
+@register(f"WITH {PARTS} SELECT n.n_nationkey AS id, CASE WHEN n.n_regionkey <> 3 THEN n.n_regionkey END AS shown_parent FROM nation n")
 def hierarchy_for_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children of hidden parents become roots."""
-    shown = table(spark, sf_dir, "region").where("r_regionkey % 2 = 0").select("r_regionkey")
+    shown = table(spark, sf_dir, "region").where("r_regionkey <> 3").select("r_regionkey")
     return table(spark, sf_dir, "nation").join(shown, F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_nationkey").alias("id"), F.col("r_regionkey").alias("shown_parent"))

@@ -100,12 +100,12 @@ def curation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", reason.alias("reason"))
 
 
-@register(f"""WITH {EDGES}, s AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 <> 0), p AS (SELECT id FROM pt WHERE size > 3), {PARTS}
+@register(f"""WITH {EDGES}, s AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 500), p AS (SELECT id FROM pt WHERE size > 3), {PARTS}
   SELECT ord, CASE WHEN s_suppkey IS NULL THEN 'unknown source' WHEN p.id IS NULL THEN 'unknown target' ELSE 'kept' END AS outcome
   FROM ed LEFT JOIN s ON source_id = s_suppkey LEFT JOIN (SELECT p_partkey AS id FROM part WHERE p_size > 3) p ON target_id = p.id""".replace("p AS (SELECT id FROM pt WHERE size > 3), ", ""))
 def endpoint_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both endpoints resolved by equi-joins; a miss is kept with its reason."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 7 <> 0").select("s_suppkey")
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 500").select("s_suppkey")
     p = parts(spark, sf_dir).where("size > 3").select("id")
     joined = edges(spark, sf_dir).join(s, F.col("source_id") == F.col("s_suppkey"), "left").join(p, F.col("target_id") == F.col("id"), "left")
     return joined.select("ord", F.when(F.col("s_suppkey").isNull(), "unknown source").when(F.col("id").isNull(), "unknown target").otherwise("kept").alias("outcome"))
@@ -126,14 +126,14 @@ def either_endpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {PARTS}, a AS (SELECT id, unnest([lower(name), lower(brand || ' ' || size), lower(type || ' ' || brand || ' ' || size)]) AS alias FROM pt),
-  q AS (SELECT p_partkey AS qid, lower(p_brand || ' ' || p_size) AS alias FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, lower(p_name) FROM part WHERE p_partkey % 5 = 1 UNION ALL SELECT p_partkey, 'nobody' FROM part WHERE p_partkey % 50 = 0)
+  q AS (SELECT p_partkey AS qid, lower(p_brand || ' ' || p_size) AS alias FROM part WHERE p_size > 20 UNION ALL SELECT p_partkey, lower(p_name) FROM part WHERE p_size < 10 UNION ALL SELECT p_partkey, 'nobody' FROM part WHERE p_brand = 'Brand#3')
   SELECT qid, q.alias, count(DISTINCT a.id) AS matches, CASE count(DISTINCT a.id) WHEN 0 THEN 'unknown' WHEN 1 THEN 'match' ELSE 'ambiguous' END AS outcome FROM q LEFT JOIN a ON q.alias = a.alias GROUP BY ALL""")
 def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposed names against all names and aliases: none, one or several entities."""
     p = parts(spark, sf_dir)
     aliases = p.select("id", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower(F.concat_ws(" ", "brand", "size")), F.lower(F.concat_ws(" ", "type", "brand", "size"))))).alias("alias"))
-    ask = p.where("id % 2 = 0").select(F.col("id").alias("qid"), F.lower(F.concat_ws(" ", "brand", "size")).alias("asked"))
-    ask = ask.unionByName(p.where("id % 5 = 1").select(F.col("id").alias("qid"), F.lower("name").alias("asked"))).unionByName(p.where("id % 50 = 0").select(F.col("id").alias("qid"), F.lit("nobody").alias("asked")))
+    ask = p.where("size > 20").select(F.col("id").alias("qid"), F.lower(F.concat_ws(" ", "brand", "size")).alias("asked"))
+    ask = ask.unionByName(p.where("size < 10").select(F.col("id").alias("qid"), F.lower("name").alias("asked"))).unionByName(p.where("brand = 'Brand#3'").select(F.col("id").alias("qid"), F.lit("nobody").alias("asked")))
     found = aliases.groupBy("alias").agg(F.countDistinct("id").alias("matches"))
     n = F.coalesce("matches", F.lit(0))
     return ask.join(found, F.col("asked") == F.col("alias"), "left").groupBy("qid", F.col("asked").alias("alias")).agg(F.max(n).alias("matches")).withColumn(
@@ -141,14 +141,14 @@ def alias_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(f"""WITH {PARTS}, a AS (SELECT id, 1 AS tier, lower(name) AS k FROM pt WHERE id % 2 = 0 UNION ALL SELECT id, 2, lower(type) FROM pt WHERE id % 40 = 0 UNION ALL SELECT id, 3, lower(brand) FROM pt),
+@register(f"""WITH {PARTS}, a AS (SELECT id, 1 AS tier, lower(name) AS k FROM pt WHERE size > 20 UNION ALL SELECT id, 2, lower(type) FROM pt WHERE size = 50 UNION ALL SELECT id, 3, lower(brand) FROM pt),
   q AS (SELECT id AS qid, unnest([lower(name), lower(type), lower(brand)]) AS k FROM pt), m AS (SELECT qid, tier, a.id FROM q JOIN a USING (k)),
   b AS (SELECT qid, min(tier) AS tier FROM m GROUP BY qid) SELECT b.qid, b.tier, count(DISTINCT m.id) AS matches FROM b JOIN m ON m.qid = b.qid AND m.tier = b.tier GROUP BY ALL""")
 def tiered_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact name, then alias, then looser forms; the first tier with a match decides."""
     p = parts(spark, sf_dir)
-    keys = p.where("id % 2 = 0").select("id", F.lit(1).alias("tier"), F.lower("name").alias("k"))
-    keys = keys.unionByName(p.where("id % 40 = 0").select("id", F.lit(2).alias("tier"), F.lower("type").alias("k"))).unionByName(p.select("id", F.lit(3).alias("tier"), F.lower("brand").alias("k")))
+    keys = p.where("size > 20").select("id", F.lit(1).alias("tier"), F.lower("name").alias("k"))
+    keys = keys.unionByName(p.where("size = 50").select("id", F.lit(2).alias("tier"), F.lower("type").alias("k"))).unionByName(p.select("id", F.lit(3).alias("tier"), F.lower("brand").alias("k")))
     # the matches of a key are counted once, not once for each that asks
     found = keys.groupBy("tier", "k").agg(F.collect_set("id").alias("ids"))
     asked = p.select(F.col("id").alias("qid"), F.explode(F.array(F.lower("name"), F.lower("type"), F.lower("brand"))).alias("k"))
@@ -166,10 +166,10 @@ def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy(F.col("id").alias("left_id"), "right_id").agg(F.count(F.lit(1)).alias("shared_pages")).where("shared_pages >= 2")
 
 
-@register(f"WITH {EDGES}, {PARTS} SELECT ord FROM ed WHERE target_id IN (SELECT id FROM pt WHERE visible) AND source_id IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0)")
+@register(f"WITH {EDGES}, {PARTS} SELECT ord FROM ed WHERE target_id IN (SELECT id FROM pt WHERE visible) AND source_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def visible_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = parts(spark, sf_dir).where("visible").select(F.col("id").alias("target_id"))
-    makers = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("source_id"))
+    makers = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("source_id"))
     return edges(spark, sf_dir).join(shown, "target_id", "left_semi").join(makers, "source_id", "left_semi").select("ord")
 
 
@@ -202,14 +202,14 @@ def overlapping_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return want.join(have, "k").groupBy("id").agg(F.min("o").alias("o")).select("id", F.col("o.run").alias("first_run"))
 
 
-@register("""WITH want AS (SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1), got AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 11 <> 3 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0 UNION ALL SELECT -o_orderkey FROM orders WHERE o_orderkey % 301 = 0),
+@register("""WITH want AS (SELECT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1), got AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_orderkey FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT -o_orderkey FROM orders WHERE o_totalprice < 2000),
   w AS (SELECT k, count(*) n FROM want GROUP BY k), g AS (SELECT k, count(*) m FROM got GROUP BY k)
   SELECT coalesce(w.k, g.k) AS key, CASE WHEN m IS NULL THEN 'missing' WHEN n IS NULL THEN 'unexpected' WHEN m > 1 THEN 'duplicate' ELSE 'ok' END AS state FROM w FULL JOIN g ON w.k = g.k""")
 def exact_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected keys against returned keys, each exactly once: missing, unexpected, duplicate or ok."""
     o = table(spark, sf_dir, "orders")
     want = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    got = o.where("o_orderkey % 11 <> 3").select("o_orderkey").union(o.where("o_orderkey % 97 = 0").select("o_orderkey")).union(o.where("o_orderkey % 301 = 0").select(-F.col("o_orderkey")))
+    got = o.where("o_orderstatus <> 'P'").select("o_orderkey").union(o.where("o_totalprice > 400000").select("o_orderkey")).union(o.where("o_totalprice < 2000").select(-F.col("o_orderkey")))
     got = got.groupBy(F.col("o_orderkey").alias("g")).agg(F.count(F.lit(1)).alias("m"))
     state = F.when(F.col("m").isNull(), "missing").when(F.col("n").isNull(), "unexpected").when(F.col("m") > 1, "duplicate").otherwise("ok")
     return want.join(got, F.col("k") == F.col("g"), "full_outer").select(F.coalesce("k", "g").alias("key"), state.alias("state"))
@@ -396,11 +396,11 @@ def field_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", F.row_number().over(rank_of(["user_id"], [rank, "ts", "event_id"])).alias("place"))
 
 
-@register(f"""WITH {PAGES}, o AS (SELECT l_partkey AS target, l_orderkey AS page, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_partkey <= 60)
+@register(f"""WITH {PAGES}, o AS (SELECT l_partkey AS target, l_orderkey AS page, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem)
   SELECT target, page, r FROM o ORDER BY r, target LIMIT 12""")
 def round_robin_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One excerpt of each target in turn, twelve in all."""
-    own = table(spark, sf_dir, "lineitem").where("l_partkey <= 60")
+    own = table(spark, sf_dir, "lineitem")
     r = F.row_number().over(rank_of(["l_partkey"], ["l_orderkey", "l_linenumber"]))
     return own.select(F.col("l_partkey").alias("target"), F.col("l_orderkey").alias("page"), r.alias("r")).orderBy("r", "target").limit(12)
 
@@ -414,10 +414,10 @@ def union_of_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("pass").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("keys"))
 
 
-@register("SELECT p_type, p_brand, p_size FROM part WHERE p_size < 20 UNION SELECT p_type, p_brand, p_size FROM part WHERE p_partkey % 2 = 0")
+@register("SELECT p_type, p_brand, p_size FROM part WHERE p_size < 20 UNION SELECT p_type, p_brand, p_size FROM part WHERE p_type = 'PROMO'")
 def union_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, cols = table(spark, sf_dir, "part"), ["p_type", "p_brand", "p_size"]
-    return p.where("p_size < 20").select(*cols).union(p.where("p_partkey % 2 = 0").select(*cols)).distinct()
+    return p.where("p_size < 20").select(*cols).union(p.where("p_type = 'PROMO'").select(*cols)).distinct()
 
 
 @register("""WITH a AS (SELECT DISTINCT p_type AS t, p_brand AS b FROM part WHERE p_size < 25), n AS (SELECT p_partkey AS k, p_type AS t, p_brand AS b, p_size AS s, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS r FROM part WHERE p_size >= 25)
@@ -448,9 +448,9 @@ def set_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.subtract(b).unionByName(b.subtract(a)).agg((F.count(F.lit(1)) == 0).alias("same"))
 
 
-@register("WITH s AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem WHERE l_suppkey <= 40 GROUP BY l_suppkey) SELECT k, len(list_intersect(p, (SELECT p FROM s WHERE k = 1))) AS shared FROM s")
+@register("WITH s AS (SELECT l_suppkey AS k, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY l_suppkey) SELECT k, len(list_intersect(p, (SELECT p FROM s WHERE k = 1))) AS shared FROM s")
 def page_set_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = table(spark, sf_dir, "lineitem").where("l_suppkey <= 40").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set("l_partkey").alias("p"))
+    sets = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set("l_partkey").alias("p"))
     one = sets.where("k = 1").select(F.col("p").alias("q"))
     return sets.crossJoin(F.broadcast(one)).select("k", F.size(F.array_intersect("p", "q")).alias("shared"))
 

@@ -199,14 +199,14 @@ def merged_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("component").agg(F.sort_array(F.collect_list("alias")).alias("aliases"))
 
 
-@register(f"""WITH {PARTS}, n AS (SELECT id, type, string_split(trim(regexp_replace(lower('lord ' || name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS t FROM pt WHERE id % 3 = 0
-  UNION ALL SELECT id, type, string_split(trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') FROM pt WHERE id % 3 = 1 AND size > 40)
+@register(f"""WITH {PARTS}, n AS (SELECT id, type, string_split(trim(regexp_replace(lower('lord ' || name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS t FROM pt WHERE size <= 25
+  UNION ALL SELECT id, type, string_split(trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') FROM pt WHERE size > 40)
   SELECT a.id AS titled, min(b.id) AS plain FROM n a JOIN n b ON a.type = b.type AND len(b.t) < len(a.t) AND a.t[len(a.t) - len(b.t) + 1:] = b.t AND a.t[1] = 'lord' GROUP BY a.id""".replace("{{", "{").replace("}}", "}"))
 def title_stripped_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that are another's suffix after honorifics only: every honorific-stripped suffix is a join key."""
     p = parts(spark, sf_dir)
-    titled = p.where("id % 3 = 0").select("id", "type", tokens_of(F.concat(F.lit("lord "), "name")).alias("t"))
-    plain = p.where("id % 3 = 1 AND size > 40").select("id", "type", tokens_of(F.col("name")).alias("t"))
+    titled = p.where("size <= 25").select("id", "type", tokens_of(F.concat(F.lit("lord "), "name")).alias("t"))
+    plain = p.where("size > 40").select("id", "type", tokens_of(F.col("name")).alias("t"))
     lead = F.filter(F.sequence(F.lit(1), F.size("t") - 1), lambda k: F.forall(F.slice("t", 1, k), lambda x: x.isin(*NPC_TITLES)))
     cut = titled.select(F.col("id").alias("titled"), "type", F.explode(F.transform(lead, lambda k: F.array_join(F.slice("t", k + 1, F.size("t")), " "))).alias("k"))
     return cut.join(plain.select("type", F.array_join("t", " ").alias("k"), "id"), ["type", "k"]).groupBy("titled").agg(F.min("id").alias("plain"))
