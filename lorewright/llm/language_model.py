@@ -26,7 +26,7 @@ from lorewright.llm.common import materialize, row_print, table, text_or_empty
 from lorewright.llm.words import in_chunks, mixed, words_of
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 CODES, END_CODE = 1024, 1023
 OWN_CLASS, ENDING_CLASSES = 16, 32
 CLASSES = OWN_CLASS + ENDING_CLASSES
