@@ -203,11 +203,12 @@ def _near_contents(lines: DataFrame, docs: DataFrame) -> DataFrame:
     shared = materialize(shared.select(F.col("band").alias("s_band"), "least"), "bands")
     edges = banded.join(shared, F.col("band") == F.col("s_band")).where("content <> least").select(F.col("content").alias("a"), F.col("least").alias("b")).distinct()
     clusters = connected_components(materialize(edges, "candidates"))
-    sizes = clusters.groupBy(F.col("component").alias("c_size")).agg(F.count(F.lit(1)).alias("contents"))
+    # written first, so its size is known: small it is sent round, large both sides of the join can be split
+    sizes = materialize(clusters.groupBy(F.col("component").alias("c_size")).agg(F.count(F.lit(1)).alias("contents")), "cluster-sizes")
     clusters = materialize(clusters.join(sizes, F.col("component") == F.col("c_size")).select(F.col("node").alias("c_content"), F.col("component").alias("cluster"), "contents"), "clusters")
-    first = lines.join(clusters, F.col("content") == F.col("c_content")).groupBy("content").agg(
-        F.min(F.struct("doc_id", "start", "stop", "bands")).alias("at"), F.first("cluster").alias("cluster"), F.first("contents").alias("contents")
-    )
+    # one place of each content, combined map-side: a line that a third of all documents share is a row a task
+    first = lines.groupBy("content").agg(F.min(F.struct("doc_id", "start", "stop", "bands")).alias("at"))
+    first = first.join(clusters, F.col("content") == F.col("c_content"))
     wanted = materialize(first.select("content", F.col("at.doc_id").alias("w_id"), "at.start", "at.stop", "at.bands", "cluster", "contents"), "wanted")
     places = wanted.select("content", "w_id", "start", "stop")
     n = places.count()
