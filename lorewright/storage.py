@@ -13,7 +13,7 @@ _written: dict[str, list[str]] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = _written.setdefault("own", [])
         if not own:
