@@ -284,7 +284,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = R
     Trained on the rows outside the held-out fold.  A null text is empty and has one token, the end.  Without
     training rows every token is unseen and scores by the class softmax alone.  An empty table gives no rows.
     """
-    slim = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("text"), row_print(docs).alias("print"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("text"), row_print(docs).alias("print"))
     total = slim.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     blocked = slim.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", "print"), F.lit(blocks)).alias("block"))

@@ -29,7 +29,7 @@ _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
 
 def sized_rows(docs: DataFrame) -> DataFrame:
     """doc_id, size (UTF-8 bytes + 16), text_crc32 and the sort key of every row."""
-    base = docs.select("doc_id", row_print(docs).alias("row_print"), text_or_empty().alias("t"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_print(docs).alias("row_print"), text_or_empty().alias("t"))
     high = F.shiftleft(F.shiftright(F.xxhash64("t"), 32), 32)
     low = F.shiftrightunsigned(F.xxhash64("row_print", F.lit(1)), 32)
     return base.select(

@@ -170,7 +170,7 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     radius bits.  Null and empty texts have fingerprint zero and are linked like any other.  Null doc_ids
     count only where a component has no other.  An empty table gives no rows.
     """
-    slim = docs.select("doc_id", row_print(docs).alias("row_print"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_print(docs).alias("row_print"), F.col("text").cast("string").alias("text"))
     rows = materialize(slim.mapInArrow(_fingerprints, "doc_id long, row_print long, fp long"), "prints")
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     first = materialize(first, "first")

@@ -360,7 +360,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
             values = [score(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    slim = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return slim.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
 
 

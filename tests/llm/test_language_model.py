@@ -25,6 +25,13 @@ def test_word_hashes_tell_words_apart():
     assert hashed(b"")[0].size == hashed(b" \n")[0].size == 0
 
 
+def test_long_texts_are_read_in_pieces():
+    data = ("Some Words\n and " + "x" * 50 + "  more\t" * 3).encode() * 20
+    whole = hashed(data)
+    for piece in (1, 7, 40, 300, 10**6):
+        assert all((a == b).all() for a, b in zip(whole, hashed(data, piece), strict=True))
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
