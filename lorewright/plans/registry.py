@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import cleaning, evaluation, folded, further, graph, persistence, ranking, readmodels, relational, resolution, texts, validation
+from lorewright.plans import cleaning, evaluation, folded, further, graph, participants, persistence, ranking, readmodels, relational, resolution, texts, validation
 
-MODULES = [ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded, cleaning, further]
+MODULES = [ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded, cleaning, further, participants]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
