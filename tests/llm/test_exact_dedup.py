@@ -39,3 +39,11 @@ def test_stage_keeps_whole_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r.text) for r in kept.collect()) == ["None", "a  b", "c"]
     assert exact_dedup.drop_exact_copies(docs.where(F.lit(False))).count() == 0
+
+
+def test_query_equals_its_sql(spark):
+    from tests.compare import connect, same
+
+    sf = "/root/testdata/sf0.01"
+    n, why = same(exact_dedup.op9_exact_dedup(spark, sf), connect(sf), exact_dedup.OP9_SQL)
+    assert n == 1000 and not why
