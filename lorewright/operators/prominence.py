@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorewright.operators.ranking import rank_in_groups
+
 
 def evidence_score() -> Column:
     """3 x distinct pages + mentions + 2 x distinct relationships."""
@@ -22,18 +24,17 @@ def bucket_sizes(n: Column) -> tuple[Column, Column]:
     return major, supporting
 
 
-def rank_within_type(entities: DataFrame) -> DataFrame:
-    """Rank by score, pages, mentions, relationships, name, id within each type; null types rank together."""
+def rank_within_type(entities: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Rank by score, pages, mentions, relationships, name, id within each type; null types rank together.
+
+    sizes (type, n) saves a second pass over entities where the caller has a cheaper count.
+    """
     scored = entities.withColumn("score", evidence_score())
-    ranked = scored.withColumn(
-        "rank",
-        F.row_number().over(
-            Window.partitionBy("type").orderBy(
-                F.desc("score"), F.desc("pages"), F.desc("mentions"), F.desc("relationships"), F.asc("name"), F.asc("entity_id")
-            )
-        ),
-    )
-    sizes = scored.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.desc("score"), F.desc("pages"), F.desc("mentions"), F.desc("relationships"), F.asc("name"), F.asc("entity_id")]
+    if sizes is None:
+        sizes = scored.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    ranked = rank_in_groups(scored, "type", order, most=most)
     major, supporting = bucket_sizes(F.col("n"))
     # types are few next to entities, and a count per type needs no second sort of the entities
     sized = ranked.join(sizes.withColumnRenamed("type", "size_type"), F.col("type").eqNullSafe(F.col("size_type")))

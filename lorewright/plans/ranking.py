@@ -33,7 +33,8 @@ def entity_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type")
     )
     scored = parts.join(evidence, "entity_id", "left").join(degree, "entity_id", "left").na.fill(0, ["pages", "mentions", "relationships"])
-    return rank_within_type(scored)
+    sizes = parts.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return rank_within_type(scored, sizes)
 
 
 ENTITY_RANKING_SQL = """
