@@ -11,6 +11,11 @@ GENERIC_TITLES = (
     "lady", "lord", "master", "prince", "princess", "queen", "sergeant", "sir",
 )
 
+#: The wordings of purchaser marks, page numbers and lines that are no titles.
+WATERMARK = r"(?i)\b(?:order\s*#?\s*\d+\)?\s*$|customer\s*(?:id|number|#)\s*[:#]?\s*\d+\s*$|downloaded\s+(?:by|for)|purchased\s+by|copyright|all rights reserved)"
+PAGE_NUMBER = r"(?i)^(?:[-–—•·*]\s*)?(?:page\s*)?\d{1,4}(?:\s*(?:of|/|\|)\s*\d{1,4})?(?:\s*[-–—•·*])?$"
+NO_TITLE = r"(?i)^(?:a|an|if|when|while|each|any|some|many|several)\s"
+
 
 def _gaps_to_space(x: Column, pattern: str) -> Column:
     return F.trim(F.regexp_replace(x, pattern, " "))
@@ -66,21 +71,20 @@ def fact_key(field: Column, content: Column) -> Column:
 
 def is_watermark(line: Column) -> Column:
     """Purchaser marks: short lines without ! or ? that name an order, a customer, a download or a copyright."""
-    marks = r"(?i)\b(?:order\s*#?\s*\d+\)?\s*$|customer\s*(?:id|number|#)\s*[:#]?\s*\d+\s*$|downloaded\s+(?:by|for)|purchased\s+by|copyright|all rights reserved)"
-    return (F.length(line) <= 180) & ~line.rlike("[!?]") & line.rlike(marks)
+    return (F.length(line) <= 180) & ~line.rlike("[!?]") & line.rlike(WATERMARK)
 
 
 def is_title_like(line: Column) -> Column:
     """8 to 100 characters, at most ten words, no digits or sentence signs, no leading article or condition word."""
     return (
         F.length(line).between(8, 100) & (F.size(F.split(line, r"\s+")) <= 10) & ~line.rlike(r"[.!?;:,()#]") & ~line.rlike(r"\d")
-        & line.rlike(r"\p{L}") & ~line.rlike(r"(?i)^(?:a|an|if|when|while|each|any|some|many|several)\s")
+        & line.rlike(r"\p{L}") & ~line.rlike(NO_TITLE)
     )
 
 
 def is_page_ornament(line: Column) -> Column:
     """A bare page number, perhaps with "page", "of n" and a dash or bullet."""
-    return compact(line).rlike(r"(?i)^(?:[-–—•·*]\s*)?(?:page\s*)?\d{1,4}(?:\s*(?:of|/|\|)\s*\d{1,4})?(?:\s*[-–—•·*])?$")
+    return compact(line).rlike(PAGE_NUMBER)
 
 
 def is_safe_mention(name: Column) -> Column:

@@ -124,11 +124,27 @@ def features(pairs: DataFrame) -> Column:
     inside = F.size(F.array_except(short, long)) == 0
     reorder = same_type & ~same & (F.size(ml) >= 2) & (ml == mr)
     both = (F.size(ml) >= 2) & (F.size(mr) >= 2)
+    # honorifics in front; one stripped name may have one word more if a title was there
+    def untitled(t: Column) -> Column:
+        lead = F.size(F.filter(F.sequence(F.lit(1), F.size(t)), lambda k: F.forall(F.slice(t, 1, k), lambda x: x.isin(*NPC_TITLES))))
+        return F.slice(t, lead + 1, F.greatest(F.lit(1), F.size(t)))
+
+    ul, ur = untitled(lt), untitled(rt)
+    us, ug = F.when(F.size(ul) <= F.size(ur), ul).otherwise(ur), F.when(F.size(ul) <= F.size(ur), ur).otherwise(ul)
+    titled = (F.size(ul) < F.size(lt)) | (F.size(ur) < F.size(rt))
+    npc = (F.col("l.type") == "npc") & (F.col("r.type") == "npc")
+    variant = npc & ((ul == ur) | titled & (F.size(us) >= 1) & (F.size(ug) == F.size(us) + 1) & (F.size(F.array_except(us, ug)) == 0))
+    # "X" and "Xian empire": one word against a stem of it and a word for a polity
+    ts, tg = F.when(F.size(lt) <= F.size(rt), lt).otherwise(rt), F.when(F.size(lt) <= F.size(rt), rt).otherwise(lt)
+    factions = (F.col("l.type") == "faction") & (F.col("r.type") == "faction") & (F.size(ts) == 1) & (F.size(tg) == 2)
+    polity = factions & F.get(tg, F.lit(1)).isin(*POLITY_SUFFIXES) & (F.length(ts[0]) >= 5) & (tg[0].startswith(ts[0]) | ts[0].startswith(tg[0]))
     rules = [
         ("exact_name", same),
         ("article_variant", ~same & (bare(lt) == bare(rt))),
         ("token_reorder", reorder),
         ("conservative_subset", same_type & both & inside & (F.size(long) == F.size(short) + 1)),
+        ("npc_title_variant", variant),
+        ("polity_formal_variant", polity),
         ("name_contains_distinctive", (F.size(short) >= 1) & inside & F.exists(short, lambda x: F.length(x) >= 5) & (short != long)),
         ("organization_qualifier_variant", (F.length(core(lt)) >= 5) & (core(lt) == core(rt)) & ~same),
         ("shared_distinctive_stem", F.arrays_overlap(stems(lt), stems(rt)) & ~same & ~reorder),
