@@ -7,7 +7,10 @@ similarity 0.8 with a chance below 1 %.
 
 A passage that was pasted into the middle of a paragraph leaves no similar paragraph.  For it, every window of
 WINDOW shingles marks its least hash (the MinHash of the window), and the SPAN words from there are a unit too:
-any SPAN + WINDOW - 1 = 51 words that two texts share hold a unit that is the same in both.
+any SPAN + WINDOW - 1 = 51 words that two texts share hold a unit that is the same in both.  A unit that repeats is
+then extended, word by word, as far as it agrees with an earlier unit of its class (REACH words on each side: the
+next unit of the shared run is never further away), so the spans of a run cover all of it.  Words of these
+surroundings are compared by 32-bit hashes.
 
 Units are handled as contents: equal units are one content, counted with map-side sums, so a passage that a third
 of all documents share is one candidate.  Clusters above HEAVY contents are compared in blocks of two slices.
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewright.llm.common import materialize, table, text_or_empty
@@ -30,6 +33,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LEAST_WORDS = 20
 BANDS, BAND_ROWS = 5, 2
 WINDOW, SPAN = 32, 20
+#: Words on each side of a unit that a shared run can go on without another unit.
+REACH = WINDOW - 1
 HEAVY = 4_000
 #: Candidate units whose texts are fetched by broadcasting their places; more are fetched by an exchange.
 BROADCAST_ROWS = 400_000
@@ -105,15 +110,17 @@ class Units:
                 what = np.zeros(len(at), np.uint64)
                 for k in range(SPAN):
                     what = mixed(what * np.uint64(0x9E3779B97F4A7C15) + h[at + k])
-                new = np.r_[True, (what[1:] != what[:-1]) | (doc[at][1:] != doc[at][:-1])]  # not each step of a repeated word
+                # one unit for all steps of a repeated word
+                new = np.flatnonzero(np.r_[True, (what[1:] != what[:-1]) | (doc[at][1:] != doc[at][:-1]) | (at[1:] != at[:-1] + 1)])
+                last = at[np.r_[new[1:], len(at)] - 1] + SPAN - 1
                 at, what = at[new], what[new]
-                self.windows = (what, doc[at], points[start[at]] - zero[doc[at]], points[end[at + SPAN - 1]] - zero[doc[at]], np.full(len(at), SPAN))
+                self.windows = (what, doc[at], points[start[at]] - zero[doc[at]], points[end[last]] - zero[doc[at]], last - at + 1)
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "content", "doc_id", "start", "stop", "words", "bands"]
+    names = ["kind", "content", "doc_id", "print", "start", "stop", "words", "bands"]
     for batch in batches:
-        texts, ids = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], batch.column("doc_id")
+        texts, ids, prints = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], batch.column("doc_id"), batch.column("print")
         for a, b in in_chunks(texts):
             found = Units(texts[a:b])
             for kind, unit in enumerate((found.lines, found.windows)):
@@ -125,7 +132,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     bands = pa.nulls(n, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, kind, np.int8)), pa.array(unit[0].view(np.int64)), ids.take(pa.array(unit[1] + a)), *[pa.array(x.astype(np.int32)) for x in unit[2:5]], bands], names
+                    [pa.array(np.full(n, kind, np.int8)), pa.array(unit[0].view(np.int64)), *[x.take(pa.array(unit[1] + a)) for x in (ids, prints)], *[pa.array(x.astype(np.int32)) for x in unit[2:5]], bands], names
                 )
 
 
@@ -142,6 +149,111 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(sets, pa.binary())], ["content", "shingles"])
 
 
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each wanted side of each unit of a text: hashes of the next REACH words, and their ends in code points from the unit."""
+    names = ["content", "side", "first", "context", "ends", "none", "doc_id", "start", "print", "kept"]
+    kinds = [pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+    for batch in batches:
+        out: list[list] = [[] for _ in names]
+        for text, row, units in zip(batch.column("text"), batch.column("print").to_pylist(), batch.column("units").to_pylist(), strict=True):
+            h, start, end, low = hashed((text.as_py() or "").encode())
+            points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+            begin, stop = points[start], points[end]
+            small = (h >> np.uint64(32)).astype(np.uint32)
+            firsts = np.searchsorted(begin, [u["start"] for u in units])
+            for u, a in zip(units, firsts.tolist(), strict=True):
+                b = a + u["words"]
+                left, right = slice(max(0, a - REACH), a), slice(b, b + REACH)
+                sides = (u["left"], small[left][::-1], u["start"] - begin[left][::-1]), (u["right"], small[right], stop[right] - u["stop"])
+                for side, (wanted, words, ends) in enumerate(sides):
+                    if wanted and len(words):
+                        values = (u["content"], side, int(words[0]), words.tobytes(), ends.astype(np.int32).tobytes(), u["doc_id"] is None, u["doc_id"], u["start"], row, u["kept"])
+                        for column, value in zip(out, values, strict=True):
+                            column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+
+
+def shared_lengths(contexts: list[bytes], places: list[tuple], kept: list[bool]) -> list[int]:
+    """Words that each context has in common, from its start, with one of an earlier place; kept ones: with any other.
+
+    Contexts come sorted.  The most is shared with the nearest context of an earlier place above or below, and it is
+    the least of the steps between.
+    """
+    n = len(contexts)
+    words = [np.frombuffer(c, np.uint32) for c in contexts]
+    step = [0] * (n + 1)  # words in common with the context before
+    for k in range(1, n):
+        if contexts[k] == contexts[k - 1]:
+            step[k] = len(words[k])
+        else:
+            m = min(len(words[k]), len(words[k - 1]))
+            differ = np.flatnonzero(words[k][:m] != words[k - 1][:m])
+            step[k] = int(differ[0]) if len(differ) else m
+    out = [0] * n
+    for back in (False, True):
+        stack: list[tuple[int, int]] = []  # (index, words in common with the one below), places rise
+        for k in range(n - 1, -1, -1) if back else range(n):
+            common = step[k + 1] if back else step[k]
+            while stack and places[stack[-1][0]] >= places[k]:
+                common = min(common, stack.pop()[1])
+            if stack:
+                out[k] = max(out[k], common)
+            stack.append((k, common))
+    return [max(step[k], step[k + 1]) if kept[k] else out[k] for k in range(n)]
+
+
+def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How far units extend.  Rows come sorted by (content, side, first word, context), and a group may run over batches."""
+    key, rows = None, []
+
+    def close() -> pa.RecordBatch:
+        lengths = shared_lengths([r[3] for r in rows], [(r[5], r[6] or 0, r[7]) for r in rows], [r[9] for r in rows])
+        found = [(r[8], r[0], r[7], r[1], n, int(np.frombuffer(r[4], np.int32)[n - 1])) for r, n in zip(rows, lengths, strict=True) if n]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["print", "content", "start", "side", "more", "reach"])
+
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if key != row[:3]:
+                if len(rows) > 1:
+                    yield close()
+                key, rows = row[:3], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield close()
+
+
+def _extended(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """passages with start, stop and words extended to the run that each shares with an earlier unit of its class."""
+    parts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # surroundings are wanted of a class if somewhere its neighbours leave words between
+    row = Window.partitionBy("print", "kept").orderBy("start")
+    gaps = passages.select(
+        "class_id",
+        F.coalesce(F.lag("stop").over(row) < F.col("start"), F.lit(True)).alias("left"),
+        F.coalesce(F.lead("start").over(row) > F.col("stop"), F.lit(True)).alias("right"),
+    )
+    wanted = gaps.groupBy(F.col("class_id").alias("g_class")).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right")
+    units = passages.join(wanted, F.col("class_id") == F.col("g_class"))
+    units = units.groupBy(F.col("print").alias("u_print")).agg(F.collect_set(F.struct(F.col("class_id").alias("content"), "doc_id", "start", "stop", "words", "kept", "left", "right")).alias("units"))
+    texts = docs.join(units, F.col("print") == F.col("u_print")).select("text", "print", "units")
+    around = texts.mapInArrow(_surroundings, "content long, side byte, first long, context binary, ends binary, none boolean, doc_id long, start int, print long, kept boolean")
+    # units whose next words differ share nothing there, so the next word deals a frequent passage out
+    dealt = around.repartition(parts, "content", "side", "first").sortWithinPartitions("content", "side", "first", "context")
+    extents = dealt.mapInArrow(_extents, "print long, content long, start int, side byte, more int, reach int")
+    side = lambda value, k: F.max(F.when(F.col("side") == k, F.col(value)).otherwise(0))
+    extents = extents.groupBy(F.col("print").alias("e_print"), F.col("content").alias("e_class"), F.col("start").alias("e_start")).agg(
+        side("reach", 0).alias("e_left"), side("reach", 1).alias("e_right"), (side("more", 0) + side("more", 1)).alias("e_more")
+    )
+    extents = materialize(extents, "extents")
+    joined = passages.join(extents, (F.col("print") == F.col("e_print")) & (F.col("class_id") == F.col("e_class")) & (F.col("start") == F.col("e_start")), "left")
+    zero = lambda name: F.coalesce(name, F.lit(0))
+    return (
+        joined.withColumn("start", F.col("start") - zero("e_left")).withColumn("stop", F.col("stop") + zero("e_right")).withColumn("words", F.col("words") + zero("e_more"))
+        .select(*passages.columns)
+    )
+
+
 def similar_links(members: list[tuple[int, int, frozenset, list[int]]], similarity: float = SIMILARITY, between: bool = False) -> list[tuple[int, int]]:
     """Links whose components are those of all colliding pairs of at least that Jaccard similarity.
 
@@ -228,13 +340,16 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """One row per unit that occurs, exactly or nearly, more than once: doc_id, kind, start, stop, words, class_id,
     class_size, keep_id, kept.
 
-    kind is "paragraph" (a line of LEAST_WORDS or more) or "passage" (SPAN words); start and stop are code points of
-    the text.  A class is a component of similar units; its first unit (smallest doc_id, null last; then start)
+    kind is "paragraph" (a line of LEAST_WORDS or more) or "passage" (SPAN words and what the text shares around them with
+    an earlier unit of the class; units of one run overlap, and a repeated word counts as one unit); start and stop are
+    code points of the text.  A removed passage stands in full in earlier texts or earlier in its own; a kept one
+    shows the longest run that it shares.  A class is a component of similar units; its first unit (smallest doc_id, null last; then start)
     is kept, the others are removals.  Units of wholly identical rows count for each row, and one of their equal
     first units is marked kept in each.  Null texts are empty.  Without repeats there are no rows.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    units = materialize(slim.mapInArrow(_units, "kind byte, content long, doc_id long, start int, stop int, words int, bands array<long>"), "units")
+    slim = slim.withColumn("print", F.xxhash64("doc_id", "text"))
+    units = materialize(slim.mapInArrow(_units, "kind byte, content long, doc_id long, print long, start int, stop int, words int, bands array<long>"), "units")
     near = _near_contents(units.where("kind = 0").select("content", "doc_id", "start", "stop", "bands"), docs)
     near = near.select(F.lit(0).cast("byte").alias("n_kind"), F.col("node").alias("n_content"), F.col("component").alias("n_class"))
     counts = units.groupBy("kind", "content").agg(F.count(F.lit(1)).alias("n"))
@@ -248,10 +363,10 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     )
     classes = materialize(classes.where("class_size > 1").select("c_kind", "c_class", "class_size", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start")), "classes")
     joined = found.join(classes, (F.col("kind") == F.col("c_kind")) & (F.col("class_id") == F.col("c_class")))
-    return joined.select(
-        "doc_id", F.when(F.col("kind") == 0, "paragraph").otherwise("passage").alias("kind"), "start", "stop", "words", "class_id", "class_size", "keep_id",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("start") == F.col("keep_start"))).alias("kept"),
-    )
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("start") == F.col("keep_start"))
+    joined = materialize(joined.select("kind", "print", "doc_id", "start", "stop", "words", "class_id", "class_size", "keep_id", kept.alias("kept")), "repeats")
+    both = joined.where("kind = 0").unionByName(_extended(joined.where("kind = 1"), slim))
+    return both.select("doc_id", F.when(F.col("kind") == 0, "paragraph").otherwise("passage").alias("kind"), "start", "stop", "words", "class_id", "class_size", "keep_id", "kept")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

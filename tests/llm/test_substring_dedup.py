@@ -73,6 +73,53 @@ def test_passages_of_51_words_in_other_paragraphs_are_found(spark):
         assert r.kept == (r.doc_id == r.keep_id)
 
 
+def covered(rows, got):
+    """By document: the words (place, word) that removal spans hold."""
+    out = {i: set() for i, _ in rows}
+    texts = dict(rows)
+    for r in got:
+        if r.kind == "passage":
+            out[r.doc_id] |= {(m.start(), m[0]) for m in WORD.finditer(texts[r.doc_id]) if r.start <= m.start() and m.end() <= r.stop}
+    return out
+
+
+def test_spans_cover_the_whole_shared_run_and_no_more(spark):
+    rng = random.Random(14)
+    text = lambda n: " ".join(f"wö{rng.randrange(20_000)}" for _ in range(n))
+    rows, passages = [], [text(n) for n in (51, 52, 60, 80, 120, 300) for _ in range(4)]
+    for i, p in enumerate(passages):
+        for k in range(3):
+            rows.append((10 * i + k, f"{text(rng.randint(0, 200))} z{k} {p} y{k} {text(rng.randint(0, 200))}".strip()))
+    got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, words in covered(rows, got).items():
+        assert " ".join(w for _, w in sorted(words)) == passages[i // 10]
+    for r in got:
+        assert r.words == len(WORD.findall(dict(rows)[r.doc_id][r.start : r.stop]))
+
+
+def test_extensions_leave_one_copy_of_every_word(spark):
+    """Documents 2 and 3 share more than document 1 has: the surplus stays in document 2."""
+    rng = random.Random(15)
+    text = lambda n: " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))
+    before, shared, after = text(15), text(60), text(15)
+    rows = [(1, f"{text(50)} a {shared} b {text(50)}"), (2, f"{text(40)} c {before} {shared} {after} d {text(50)}"), (3, f"{text(30)} e {before} {shared} {after} f {text(50)}")]
+    got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    gone = covered(rows, [r for r in got if not r.kept])
+    said = {i: " ".join(w for _, w in sorted(words)) for i, words in gone.items()}
+    assert said == {1: "", 2: shared, 3: f"{before} {shared} {after}"}
+
+
+def test_shared_lengths_match_brute_force():
+    rng = random.Random(16)
+    for _ in range(200):
+        rows = sorted((b"".join(rng.choice("ab").encode() * 4 for _ in range(rng.randint(1, 6))), rng.randrange(50)) for _ in range(rng.randint(2, 12)))
+        contexts, places = [c for c, _ in rows], [(False, p, 0) for _, p in rows]
+        kept = [p == min(places) for p in places]
+        common = lambda a, b: next((k for k in range(min(len(a), len(b)) // 4) if a[4 * k] != b[4 * k]), min(len(a), len(b)) // 4)
+        want = [max([common(contexts[i], contexts[j]) for j in range(len(rows)) if j != i and (kept[i] or places[j] < places[i])], default=0) for i in range(len(rows))]
+        assert S.shared_lengths(contexts, places, kept) == want
+
+
 def test_heavy_clusters_in_blocks_lose_no_link(spark, monkeypatch):
     rng = random.Random(13)
     base = [f"w{k}" for k in range(120)]
