@@ -1,6 +1,8 @@
 """Substring dedup: paragraphs by MinHash banding, and passages inside paragraphs by content-defined windows.
 
-A paragraph is a line of LEAST_WORDS or more: shorter lines that recur are phrases and headings, not passages.  Its 5-word shingles have a MinHash signature; paragraphs that share a band collide, their
+A paragraph is a line of LEAST_WORDS words or more; shorter lines of SHINGLE words or more are kind "line".  Consecutive
+shorter lines, up to a blank or a longer line, are together a "block" as well, so hard-wrapped paragraphs meet each
+other and their unwrapped copies.  The 5-word shingles of each have a MinHash signature; those that share a band collide, their
 candidate clusters are brought together once, and within these the exact Jaccard similarity of every colliding
 pair decides (pairs that are already connected are skipped).  BANDS bands of BAND_ROWS hashes miss a pair at
 similarity 0.8 with a chance below 1 %.
@@ -31,6 +33,7 @@ from lorewright.operators.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 LEAST_WORDS = 20
+PARAGRAPH, PASSAGE, LINE, BLOCK = range(4)
 BANDS, BAND_ROWS = 5, 2
 WINDOW, SPAN = 32, 20
 #: Words on each side of a unit that a shared run can go on without another unit.
@@ -77,22 +80,31 @@ class Units:
         line = np.searchsorted(np.flatnonzero(low == 10), start)
         first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
         size = np.diff(np.r_[first, len(h)])
-        place = np.arange(len(h)) - np.repeat(first, size)
-        content = np.add.reduceat(mixed(h + mixed(place.astype(np.uint64))), first)
         sh = shingles(h)
-        long = size >= LEAST_WORDS
-        if long.any():
-            left = np.repeat(first + size, size) - np.arange(len(h))
-            own = np.flatnonzero((left[: len(sh)] >= SHINGLE) & np.repeat(long, size)[: len(sh)])
-            cut = np.searchsorted(own, first[long])
-            x = sh[own]
-            least = np.stack([np.minimum.reduceat(mixed(x * a + b), cut) for a, b in _ODD])
-            bands = np.zeros((BANDS, int(long.sum())), np.uint64)
-            for k in range(BANDS):
-                for m in least[k * BAND_ROWS : (k + 1) * BAND_ROWS]:
-                    bands[k] = mixed(bands[k] * np.uint64(31) + m + np.uint64(k))
-            a, b = first[long], first[long] + size[long] - 1
-            self.lines = (content[long], doc[a], points[start[a]] - zero[doc[a]], points[end[b]] - zero[doc[a]], size[long], bands)
+        # lines of a block are neighbours, short and of one text
+        short = size < LEAST_WORDS
+        line, own = line[first], doc[first]
+        joined = np.r_[False, short[1:] & short[:-1] & (line[1:] == line[:-1] + 1) & (own[1:] == own[:-1])]
+        head = np.flatnonzero(~joined)
+        lines = np.diff(np.r_[head, len(first)])
+        total = np.add.reduceat(size, head)
+        block = np.repeat(np.arange(len(head)), lines)
+        several = (lines > 1) & (total >= SHINGLE)
+        contents = self._contents(h, first[head], total)
+        parts = []
+        if (size >= SHINGLE).any():
+            pick = size >= SHINGLE
+            content = self._contents(h, first, size)[pick]
+            # a line within a block knows it: both in one class are one place
+            within = np.where(several[block], contents[block].view(np.int64), 0)[pick]
+            parts.append((np.where(short, LINE, PARAGRAPH)[pick], first[pick], size[pick], content, within, several[block][pick]))
+        if several.any():
+            n = int(several.sum())
+            parts.append((np.full(n, BLOCK), first[head][several], total[several], contents[several], np.zeros(n, np.int64), np.zeros(n, bool)))
+        if parts:
+            bands = np.concatenate([self._bands(sh, p[1], p[2]) for p in parts], axis=1)
+            form, a, n, content, within, inside = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self.lines = (content, doc[a], points[start[a]] - zero[doc[a]], points[end[a + n - 1]] - zero[doc[a]], n, bands, form, within, inside)
         x = sh.copy()
         if len(x):
             x[doc[: len(x)] != doc[SHINGLE - 1 :]] = _MAX  # over the end of a text
@@ -116,9 +128,28 @@ class Units:
                 at, what = at[new], what[new]
                 self.windows = (what, doc[at], points[start[at]] - zero[doc[at]], points[end[last]] - zero[doc[at]], last - at + 1)
 
+    @staticmethod
+    def _contents(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The hash of the size words from first on; the units together are all words, in order."""
+        place = np.arange(len(h)) - np.repeat(first, size)
+        return np.add.reduceat(mixed(h + mixed(place.astype(np.uint64))), first)
+
+    @staticmethod
+    def _bands(sh: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """BANDS x units: the band hashes of the shingles inside each unit (of SHINGLE words or more, apart, in order)."""
+        n = size - SHINGLE + 1
+        cut = np.cumsum(n) - n
+        x = sh[np.arange(int(n.sum())) + np.repeat(first - cut, n)]
+        least = np.stack([np.minimum.reduceat(mixed(x * a + b), cut) for a, b in _ODD])
+        bands = np.zeros((BANDS, len(first)), np.uint64)
+        for k in range(BANDS):
+            for m in least[k * BAND_ROWS : (k + 1) * BAND_ROWS]:
+                bands[k] = mixed(bands[k] * np.uint64(31) + m + np.uint64(k))
+        return bands
+
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "content", "doc_id", "print", "start", "stop", "words", "bands"]
+    names = ["kind", "content", "doc_id", "print", "start", "stop", "words", "bands", "form", "within"]
     for batch in batches:
         texts, ids, prints = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], batch.column("doc_id"), batch.column("print")
         for a, b in in_chunks(texts):
@@ -129,10 +160,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = len(unit[0])
                 if kind == 0:
                     bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32)), pa.array(unit[5].T.reshape(-1).view(np.int64)))
+                    more = [pa.array(unit[6].astype(np.int8)), pa.array(unit[7], mask=~unit[8])]
                 else:
                     bands = pa.nulls(n, pa.list_(pa.int64()))
+                    more = [pa.array(np.full(n, PASSAGE, np.int8)), pa.nulls(n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, kind, np.int8)), pa.array(unit[0].view(np.int64)), *[x.take(pa.array(unit[1] + a)) for x in (ids, prints)], *[pa.array(x.astype(np.int32)) for x in unit[2:5]], bands], names
+                    [pa.array(np.full(n, kind, np.int8)), pa.array(unit[0].view(np.int64)), *[x.take(pa.array(unit[1] + a)) for x in (ids, prints)], *[pa.array(x.astype(np.int32)) for x in unit[2:5]], bands, *more], names
                 )
 
 
@@ -340,7 +373,9 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """One row per unit that occurs, exactly or nearly, more than once: doc_id, kind, start, stop, words, class_id,
     class_size, keep_id, kept.
 
-    kind is "paragraph" (a line of LEAST_WORDS or more) or "passage" (SPAN words and what the text shares around them with
+    kind is "paragraph" (a line of LEAST_WORDS or more), "line" (one of SHINGLE to LEAST_WORDS - 1), "block" (two or more
+    consecutive lines under LEAST_WORDS, SHINGLE words together; similar lines, paragraphs and blocks are one class, in
+    which a block stands for its own lines) or "passage" (SPAN words and what the text shares around them with
     an earlier unit of the class; units of one run overlap, and a repeated word counts as one unit); start and stop are
     code points of the text.  A removed passage stands in full in earlier texts or earlier in its own; a kept one
     shows the longest run that it shares.  A class is a component of similar units; its first unit (smallest doc_id, null last; then start)
@@ -349,7 +384,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     slim = slim.withColumn("print", F.xxhash64("doc_id", "text"))
-    units = materialize(slim.mapInArrow(_units, "kind byte, content long, doc_id long, print long, start int, stop int, words int, bands array<long>"), "units")
+    units = materialize(slim.mapInArrow(_units, "kind byte, content long, doc_id long, print long, start int, stop int, words int, bands array<long>, form byte, within long"), "units")
     near = _near_contents(units.where("kind = 0").select("content", "doc_id", "start", "stop", "bands"), docs)
     near = near.select(F.lit(0).cast("byte").alias("n_kind"), F.col("node").alias("n_content"), F.col("component").alias("n_class"))
     counts = units.groupBy("kind", "content").agg(F.count(F.lit(1)).alias("n"))
@@ -357,16 +392,19 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     known = known.where("n > 1 OR n_class IS NOT NULL").select(F.col("kind").alias("k_kind"), F.col("content").alias("k_content"), F.coalesce("n_class", "content").alias("class_id"))
     known = materialize(known, "known")
     found = units.join(known, (F.col("kind") == F.col("k_kind")) & (F.col("content") == F.col("k_content"))).drop("bands", "k_kind", "k_content", "content")
-    found = materialize(found, "found")
+    # a line in one class with its block is no other place than the block
+    outer = known.where("k_kind = 0").select(F.col("k_content").alias("b_content"), F.col("class_id").alias("b_class"))
+    found = found.join(outer, F.col("within") == F.col("b_content"), "left").where("b_class IS NULL OR b_class <> class_id")
+    found = materialize(found.drop("within", "b_content", "b_class"), "found")
     classes = found.groupBy(F.col("kind").alias("c_kind"), F.col("class_id").alias("c_class")).agg(
         F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")).alias("first")
     )
     classes = materialize(classes.where("class_size > 1").select("c_kind", "c_class", "class_size", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start")), "classes")
     joined = found.join(classes, (F.col("kind") == F.col("c_kind")) & (F.col("class_id") == F.col("c_class")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("start") == F.col("keep_start"))
-    joined = materialize(joined.select("kind", "print", "doc_id", "start", "stop", "words", "class_id", "class_size", "keep_id", kept.alias("kept")), "repeats")
+    joined = materialize(joined.select("kind", "form", "print", "doc_id", "start", "stop", "words", "class_id", "class_size", "keep_id", kept.alias("kept")), "repeats")
     both = joined.where("kind = 0").unionByName(_extended(joined.where("kind = 1"), slim))
-    return both.select("doc_id", F.when(F.col("kind") == 0, "paragraph").otherwise("passage").alias("kind"), "start", "stop", "words", "class_id", "class_size", "keep_id", "kept")
+    return both.select("doc_id", F.element_at(F.array(*map(F.lit, ("paragraph", "passage", "line", "block"))), F.col("form") + 1).alias("kind"), "start", "stop", "words", "class_id", "class_size", "keep_id", "kept")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,3 +138,32 @@ def test_nulls_short_and_repeated_rows(spark):
     got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.kept) for r in got if r.kind == "paragraph"} == {(5, True), (None, False), (7, True)}
     assert S.repeated_units(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_and_wrapped_paragraphs_have_a_near_duplicate_path(spark):
+    rng = random.Random(17)
+    words = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+    wrap = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    edited = lambda w: [f"e{k}" if k in (20, 60) else x for k, x in enumerate(w)]
+    notice, body = words(18), words(120)
+    rows = [
+        (1, " ".join(notice)), (2, "\n\n".join([" ".join(words(12)), " ".join([*notice, "more"]), " ".join(words(3))])), (3, " ".join([*notice, "and", "more"])),
+        (4, wrap(body, 11) + "\n\n" + " ".join(words(7))), (5, " ".join(words(8)) + "\n\n" + wrap(edited(body), 13)), (6, " ".join(edited(body))),
+        (7, wrap(words(100), 12)), (8, "\n".join([" ".join(words(19)), "a b"])),
+    ]
+    got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).where("kind <> 'passage'").collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, set()).add((r.doc_id, r.kind, r.words, r.kept))
+    assert sorted(map(sorted, classes.values())) == [
+        [(1, "line", 18, True), (2, "line", 19, False), (3, "paragraph", 20, False)],
+        [(4, "block", 120, True), (5, "block", 120, False), (6, "paragraph", 120, False)],
+    ]
+
+
+def test_blocks_stand_for_their_own_lines(spark):
+    rng = random.Random(18)
+    line = " ".join(f"w{rng.randrange(20_000)}" for _ in range(19))
+    rows = [(1, f"{line}\nx y"), (1, f"{line}\nx y"), (2, f"q r\n{line}")]
+    got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).where("kind <> 'passage'").collect()
+    assert sorted((r.doc_id, r.kind, r.words, r.class_size) for r in got) == [(1, "block", 21, 3), (1, "block", 21, 3), (2, "block", 21, 3)]
