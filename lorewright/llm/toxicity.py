@@ -3,7 +3,7 @@
 The lexicon holds whole terms and stems.  It is learned from labelled documents: words, and word beginnings that
 many word forms share, which mark toxic documents far beyond chance; a short list of English insults stands
 beside it.  Automaton and trie are intersected lazily into one deterministic machine: a state is a set of (trie
-node, edits, pending swap), so most words leave it within a few letters and every misspelling within a term's
+node, edits, pending swap, first letter edited), so most words leave it within a few letters and every misspelling within a term's
 allowance is found.  Around each hit a window of words is read: quotation marks and words that mention rather
 than use a term speak for quotation, address and further hits for abuse.  A logistic model over these features,
 held near prior weights by its penalty, gives the score.
@@ -62,21 +62,26 @@ class Machine:
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[list[tuple[bool, int, float]]] = [[]]
         self.most: list[int] = [0]
+        self.far: list[int] = [0]  # the same of terms whose first letter may be edited
         self.depth: list[int] = [0]
         for term, stem, weight in lexicon:
             node, edits = 0, allowance(term, stem)
+            far = edits if len(term) > 5 else -1
             for c in term:
                 self.most[node] = max(self.most[node], edits)
+                self.far[node] = max(self.far[node], far)
                 below = self.children[node].get(c)
                 if below is None:
                     below = self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.ends.append([])
                     self.most.append(0)
+                    self.far.append(-1)
                     self.depth.append(self.depth[node] + 1)
                 node = below
             self.most[node] = max(self.most[node], edits)
-            self.ends[node].append((stem, edits, weight))
+            self.far[node] = max(self.far[node], far)
+            self.ends[node].append((stem, edits, far, weight))
         self._reset()
 
     def _reset(self) -> None:
@@ -85,28 +90,28 @@ class Machine:
         self.moves: list[dict[str, int]] = []
         self.final: list[tuple[float, int] | None] = []
         self.early: list[tuple[float, int] | None] = []
-        self.start = self._state({(0, 0, "")})
+        self.start = self._state({(0, 0, "", False)})
 
     def _state(self, members: set) -> int:
         """Closed under dropped letters; edits beyond what a node's terms allow are left out."""
         stack, closed = list(members), set()
         while stack:
             item = stack.pop()
-            node, edits, swap = item
-            if item in closed or edits > self.most[node]:
+            node, edits, swap, first = item
+            if item in closed or edits > (self.far if first else self.most)[node]:
                 continue
             closed.add(item)
             if not swap:
-                stack += [(below, edits + 1, "") for below in self.children[node].values() if node]
+                stack += [(below, edits + 1, "", first or not node) for below in self.children[node].values()]
         key = frozenset(closed)
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
             whole, early = None, None
-            for node, edits, swap in key:
-                for stem, most, weight in [] if swap else self.ends[node]:
-                    if edits <= most:
+            for node, edits, swap, first in key:
+                for stem, most, far, weight in [] if swap else self.ends[node]:
+                    if edits <= (far if first else most):
                         value = (weight * 0.8**edits, edits)
                         whole = max(whole, value) if whole else value
                         if stem:
@@ -117,22 +122,21 @@ class Machine:
 
     def _move(self, state: int, c: str) -> int:
         out = set()
-        for node, edits, swap in self.states[state]:
+        for node, edits, swap, first in self.states[state]:
             if swap:
                 if swap == c:
-                    out.add((node, edits, ""))
+                    out.add((node, edits, "", first))
                 continue
+            edited = first or not node
             for letter, below in self.children[node].items():
                 if letter == c:
-                    out.add((below, edits, ""))
+                    out.add((below, edits, "", first))
                 else:
-                    if node:
-                        out.add((below, edits + 1, ""))
+                    out.add((below, edits + 1, "", edited))
                     last = self.children[below].get(c)
-                    if last is not None and node:
-                        out.add((last, edits + 1, letter))
-            if node:
-                out.add((node, edits + 1, ""))
+                    if last is not None:
+                        out.add((last, edits + 1, letter, edited))
+            out.add((node, edits + 1, "", edited))
         return self._state(out)
 
     def match(self, word: str) -> tuple[float, int] | None:
@@ -236,7 +240,7 @@ def learn_lexicon(counts: Iterable[tuple[str, str, int, int]], toxic: int, clean
         related = any(x[:k] in stems for k in range(3, len(x))) or any(s.startswith(x) for s in stems)
         if not related and len(own) >= 5 and max(own) <= 0.6 * good["p"][x][0]:
             stems[x] = good["p"][x]
-    words = {x: n for x, n in good["w"].items() if len(x) >= 3 and not any(x.startswith(s) for s in stems)}
+    words = {x: n for x, n in good["w"].items() if len(x) >= 3}  # beside their stems, for misspelled beginnings
     found = [(x, True, weight(*n)) for x, n in stems.items()] + [(x, False, weight(*n)) for x, n in words.items()]
     return sorted(found, key=lambda x: (-x[2], x[0]))[:MOST_TERMS]
 

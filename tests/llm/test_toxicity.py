@@ -39,6 +39,38 @@ def test_machine_finds_all_words_within_the_allowance():
         assert (machine.match(word) is not None) == bool(near), (word, near)
 
 
+def test_first_letters_of_longer_terms_may_be_misspelled():
+    terms = ["idiot", "scum", "stupid", "imbecile", "asshole", "disgusting"]
+    machine = toxicity.Machine([(t, False, 1.0) for t in terms])
+    assert all(machine.match(w) for w in ("ztupid", "mbecile", "sshole", "tsupid", "xstupid", "idsgustin"))
+    assert not any(machine.match(w) for w in ("xdiot", "diot", "cum", "upid"))
+    rng = random.Random(7)
+    for _ in range(4000):
+        word = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(word))
+            what = rng.randrange(4)
+            if what == 0:
+                word[k] = rng.choice("abcdtx")
+            elif what == 1 and len(word) > 2:
+                del word[k]
+            elif what == 2:
+                word.insert(k, rng.choice("abcdtx"))
+            elif k + 1 < len(word):
+                word[k], word[k + 1] = word[k + 1], word[k]
+        word = "".join(word)
+        near = [t for t in terms if distance(word, t) <= toxicity.allowance(t, False) and (len(t) > 5 or t[0] == word[0])]
+        assert (machine.match(word) is not None) == bool(near), (word, near)
+
+
+def test_whole_words_stay_beside_their_stem():
+    counts = [("p", "vile", 100, 0)] + [("w", f"vile{x}", 20, 0) for x in ("ness", "lings", "hearted", "st", "mouth")]
+    lexicon = toxicity.learn_lexicon(counts, 500, 5000, 10)
+    assert ("vile", True) in {x[:2] for x in lexicon}
+    reader = toxicity.Reader(lexicon)
+    assert reader.features("such vilehearted talk")[2] > 0 and reader.features("such vlieheartde talk")[2] > 0
+
+
 def test_stems_and_quotation():
     reader = toxicity.Reader([("lowei", True, 5.0), ("idiot", False, 5.0)])
     assert reader.features("so loweischaft hier")[1] == 5.0
