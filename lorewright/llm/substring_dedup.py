@@ -2,20 +2,23 @@
 
 A paragraph is a line of LEAST_WORDS words or more; shorter lines of SHINGLE words or more are kind "line".  Consecutive
 shorter lines, up to a blank or a longer line, are together a "block" as well, so hard-wrapped paragraphs meet each
-other and their unwrapped copies.  The 5-word shingles of each have a MinHash signature; those that share a band collide, their
-candidate clusters are brought together once, and within these the exact Jaccard similarity of every colliding
-pair decides (pairs that are already connected are skipped).  BANDS bands of BAND_ROWS hashes miss a pair at
-similarity 0.8 with a chance below 1 %.
+other and their unwrapped copies.  The 5-word shingles of each have a MinHash signature; those that share a band collide
+and are compared there, band by band: the exact Jaccard similarity of every colliding pair decides (pairs that are
+already connected are skipped).  BANDS bands of BAND_ROWS hashes miss a pair at similarity 0.8 with a chance below 1 %.
+
+A band is compared in slices of at most SLICE_ROWS contents and about SLICE_BYTES of shingles, each together with the
+band's first content, so a mass of near copies connects in one linear pass.  Where a band of several slices is still in
+several components, all its contents but those of its largest component meet every slice once more.
 
 A passage that was pasted into the middle of a paragraph leaves no similar paragraph.  For it, every window of
 WINDOW shingles marks its least hash (the MinHash of the window), and the SPAN words from there are a unit too:
-any SPAN + WINDOW - 1 = 51 words that two texts share hold a unit that is the same in both.  A unit that repeats is
+any SPAN + WINDOW - 1 = 28 words that two texts share hold a unit that is the same in both.  A unit that repeats is
 then extended, word by word, as far as it agrees with an earlier unit of its class (REACH words on each side: the
-next unit of the shared run is never further away), so the spans of a run cover all of it.  Words of these
-surroundings are compared by 32-bit hashes.
+next unit of the shared run is never further away), so the spans of a run cover all of it.  Runs under LEAST_WORDS
+words are no passages.  Words of these surroundings are compared by 32-bit hashes.
 
-Units are handled as contents: equal units are one content, counted with map-side sums, so a passage that a third
-of all documents share is one candidate.  Clusters above HEAVY contents are compared in blocks of two slices.
+Units are equal if two independent 64-bit hashes over their words agree.  They are handled as contents: equal units are
+one content, counted with map-side sums, so a passage that a third of all documents share is one candidate.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewright.llm.common import materialize, table, text_or_empty
@@ -34,14 +37,16 @@ from lorewright.operators.components import connected_components
 SHINGLE, SIMILARITY = 5, 0.8
 LEAST_WORDS = 20
 PARAGRAPH, PASSAGE, LINE, BLOCK = range(4)
-BANDS, BAND_ROWS = 5, 2
-WINDOW, SPAN = 32, 20
+BANDS, BAND_ROWS = 7, 3
+WINDOW, SPAN = 17, 12
 #: Words on each side of a unit that a shared run can go on without another unit.
 REACH = WINDOW - 1
-HEAVY = 4_000
-#: Candidate units whose texts are fetched by broadcasting their places; more are fetched by an exchange.
-BROADCAST_ROWS = 400_000
+#: A slice of a band: contents, and bytes of their shingles (a longer content is alone in excess).
+SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
+#: Shingle sets over so many elements are intersected as arrays.
+LARGE_SET = 50_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+_OTHER = np.uint64(0x27D4EB2F165667C5)
 _ODD = np.random.default_rng(7).integers(1, 1 << 62, (BANDS * BAND_ROWS, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -91,20 +96,21 @@ class Units:
         block = np.repeat(np.arange(len(head)), lines)
         several = (lines > 1) & (total >= SHINGLE)
         contents = self._contents(h, first[head], total)
+        again = self._contents(h, first[head], total, _OTHER)
         parts = []
         if (size >= SHINGLE).any():
             pick = size >= SHINGLE
-            content = self._contents(h, first, size)[pick]
+            content, check = self._contents(h, first, size)[pick], self._contents(h, first, size, _OTHER)[pick]
             # a line within a block knows it: both in one class are one place
             within = np.where(several[block], contents[block].view(np.int64), 0)[pick]
-            parts.append((np.where(short, LINE, PARAGRAPH)[pick], first[pick], size[pick], content, within, several[block][pick]))
+            parts.append((np.where(short, LINE, PARAGRAPH)[pick], first[pick], size[pick], content, within, several[block][pick], check))
         if several.any():
             n = int(several.sum())
-            parts.append((np.full(n, BLOCK), first[head][several], total[several], contents[several], np.zeros(n, np.int64), np.zeros(n, bool)))
+            parts.append((np.full(n, BLOCK), first[head][several], total[several], contents[several], np.zeros(n, np.int64), np.zeros(n, bool), again[several]))
         if parts:
             bands = np.concatenate([self._bands(sh, p[1], p[2]) for p in parts], axis=1)
-            form, a, n, content, within, inside = (np.concatenate(x) for x in zip(*parts, strict=True))
-            self.lines = (content, doc[a], points[start[a]] - zero[doc[a]], points[end[a + n - 1]] - zero[doc[a]], n, bands, form, within, inside)
+            form, a, n, content, within, inside, check = (np.concatenate(x) for x in zip(*parts, strict=True))
+            self.lines = (content, check, doc[a], points[start[a]] - zero[doc[a]], points[end[a + n - 1]] - zero[doc[a]], n, a - bounds[doc[a]], bands, form, within, inside)
         x = sh.copy()
         if len(x):
             x[doc[: len(x)] != doc[SHINGLE - 1 :]] = _MAX  # over the end of a text
@@ -119,20 +125,22 @@ class Units:
             at = at[at + SPAN <= len(h)]
             at = at[doc[at] == doc[at + SPAN - 1]]
             if len(at):
-                what = np.zeros(len(at), np.uint64)
+                what, check = np.zeros(len(at), np.uint64), np.full(len(at), _OTHER)
                 for k in range(SPAN):
                     what = mixed(what * np.uint64(0x9E3779B97F4A7C15) + h[at + k])
+                    check = (check ^ h[at + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    check ^= check >> np.uint64(29)
                 # one unit for all steps of a repeated word
                 new = np.flatnonzero(np.r_[True, (what[1:] != what[:-1]) | (doc[at][1:] != doc[at][:-1]) | (at[1:] != at[:-1] + 1)])
                 last = at[np.r_[new[1:], len(at)] - 1] + SPAN - 1
-                at, what = at[new], what[new]
-                self.windows = (what, doc[at], points[start[at]] - zero[doc[at]], points[end[last]] - zero[doc[at]], last - at + 1)
+                at, what, check = at[new], what[new], check[new]
+                self.windows = (what, check, doc[at], points[start[at]] - zero[doc[at]], points[end[last]] - zero[doc[at]], last - at + 1, at - bounds[doc[at]])
 
     @staticmethod
-    def _contents(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _contents(h: np.ndarray, first: np.ndarray, size: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
         """The hash of the size words from first on; the units together are all words, in order."""
         place = np.arange(len(h)) - np.repeat(first, size)
-        return np.add.reduceat(mixed(h + mixed(place.astype(np.uint64))), first)
+        return np.add.reduceat(mixed(h + mixed(place.astype(np.uint64) + salt)), first)
 
     @staticmethod
     def _bands(sh: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -149,7 +157,7 @@ class Units:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "content", "doc_id", "print", "start", "stop", "words", "bands", "form", "within"]
+    names = ["kind", "content", "check", "doc_id", "print", "start", "stop", "words", "word", "bands", "form", "within"]
     for batch in batches:
         texts, ids, prints = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], batch.column("doc_id"), batch.column("print")
         for a, b in in_chunks(texts):
@@ -159,33 +167,41 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 n = len(unit[0])
                 if kind == 0:
-                    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32)), pa.array(unit[5].T.reshape(-1).view(np.int64)))
-                    more = [pa.array(unit[6].astype(np.int8)), pa.array(unit[7], mask=~unit[8])]
+                    bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32)), pa.array(unit[7].T.reshape(-1).view(np.int64)))
+                    more = [pa.array(unit[8].astype(np.int8)), pa.array(unit[9], mask=~unit[10])]
                 else:
                     bands = pa.nulls(n, pa.list_(pa.int64()))
                     more = [pa.array(np.full(n, PASSAGE, np.int8)), pa.nulls(n, pa.int64())]
+                hashes = [pa.array(x.view(np.int64)) for x in unit[:2]]
+                owner = pa.array(unit[2] + a)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, kind, np.int8)), pa.array(unit[0].view(np.int64)), *[x.take(pa.array(unit[1] + a)) for x in (ids, prints)], *[pa.array(x.astype(np.int32)) for x in unit[2:5]], bands, *more], names
+                    [pa.array(np.full(n, kind, np.int8)), *hashes, *[x.take(owner) for x in (ids, prints)], *[pa.array(x.astype(np.int32)) for x in unit[3:7]], bands, *more], names
                 )
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct shingles of the wanted lines of each text."""
+    """The sorted distinct shingles of the wanted lines of each text; about SLICE_BYTES of them a batch."""
     for batch in batches:
-        contents, sets = [], []
-        for text, content, start, stop in zip(batch.column("text"), batch.column("content"), batch.column("start"), batch.column("stop"), strict=True):
-            h = hashed(text.as_py()[start.as_py() : stop.as_py()].encode())[0]
-            if len(h) < SHINGLE or int(np.sum(mixed(h + mixed(np.arange(len(h), dtype=np.uint64))), dtype=np.uint64).view(np.int64)) != content.as_py():
-                continue  # another row with this doc_id
-            contents.append(content.as_py())
-            sets.append(np.unique(shingles(h)).tobytes())
+        contents, sets, held = [], [], 0
+        for text, lines in zip(batch.column("text"), batch.column("lines").to_pylist(), strict=True):
+            said = text.as_py() or ""
+            for line in lines:
+                h = hashed(said[line["start"] : line["stop"]].encode())[0]
+                if len(h) < SHINGLE or int(np.sum(mixed(h + mixed(np.arange(len(h), dtype=np.uint64))), dtype=np.uint64).view(np.int64)) != line["content"]:
+                    continue  # another text with this fingerprint
+                contents.append(line["content"])
+                sets.append(np.unique(shingles(h)).tobytes())
+                held += len(sets[-1])
+                if held > SLICE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(sets, pa.binary())], ["content", "shingles"])
+                    contents, sets, held = [], [], 0
         yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(sets, pa.binary())], ["content", "shingles"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each wanted side of each unit of a text: hashes of the next REACH words, and their ends in code points from the unit."""
-    names = ["content", "side", "first", "context", "ends", "none", "doc_id", "start", "print", "kept"]
-    kinds = [pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+    names = ["content", "check", "side", "first", "context", "ends", "none", "doc_id", "print", "start", "kept"]
+    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
         for text, row, units in zip(batch.column("text"), batch.column("print").to_pylist(), batch.column("units").to_pylist(), strict=True):
@@ -193,14 +209,13 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
             begin, stop = points[start], points[end]
             small = (h >> np.uint64(32)).astype(np.uint32)
-            firsts = np.searchsorted(begin, [u["start"] for u in units])
-            for u, a in zip(units, firsts.tolist(), strict=True):
-                b = a + u["words"]
+            for u in units:
+                a, b = u["word"], u["word"] + u["words"]
                 left, right = slice(max(0, a - REACH), a), slice(b, b + REACH)
                 sides = (u["left"], small[left][::-1], u["start"] - begin[left][::-1]), (u["right"], small[right], stop[right] - u["stop"])
                 for side, (wanted, words, ends) in enumerate(sides):
                     if wanted and len(words):
-                        values = (u["content"], side, int(words[0]), words.tobytes(), ends.astype(np.int32).tobytes(), u["doc_id"] is None, u["doc_id"], u["start"], row, u["kept"])
+                        values = (u["content"], u["check"], side, int(words[0]), words.tobytes(), ends.astype(np.int32).tobytes(), u["doc_id"] is None, u["doc_id"], row, u["start"], u["kept"])
                         for column, value in zip(out, values, strict=True):
                             column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
@@ -236,175 +251,226 @@ def shared_lengths(contexts: list[bytes], places: list[tuple], kept: list[bool])
 
 
 def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How far units extend.  Rows come sorted by (content, side, first word, context), and a group may run over batches."""
+    """How far units extend.  Rows come sorted by (content, check, side, first word, context), and a group may run over batches."""
     key, rows = None, []
 
     def close() -> pa.RecordBatch:
-        lengths = shared_lengths([r[3] for r in rows], [(r[5], r[6] or 0, r[7]) for r in rows], [r[9] for r in rows])
-        found = [(r[8], r[0], r[7], r[1], n, int(np.frombuffer(r[4], np.int32)[n - 1])) for r, n in zip(rows, lengths, strict=True) if n]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["print", "content", "start", "side", "more", "reach"])
+        lengths = shared_lengths([r[4] for r in rows], [(r[6], r[7] or 0, r[8], r[9]) for r in rows], [r[10] for r in rows])
+        found = [(r[8], r[0], r[1], r[9], r[2], n, int(np.frombuffer(r[5], np.int32)[n - 1])) for r, n in zip(rows, lengths, strict=True) if n]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int32()]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["print", "content", "check", "start", "side", "more", "reach"])
 
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if key != row[:3]:
+            if key != row[:4]:
                 if len(rows) > 1:
                     yield close()
-                key, rows = row[:3], []
+                key, rows = row[:4], []
             rows.append(row)
     if len(rows) > 1:
         yield close()
 
 
 def _extended(passages: DataFrame, docs: DataFrame) -> DataFrame:
-    """passages with start, stop and words extended to the run that each shares with an earlier unit of its class."""
+    """passages with start, stop and words extended to the run that each shares with an earlier unit of its class; runs
+    of LEAST_WORDS words or more stay."""
     parts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # surroundings are wanted of a class if somewhere its neighbours leave words between
     row = Window.partitionBy("print", "kept").orderBy("start")
     gaps = passages.select(
         "class_id",
+        "class_check",
         F.coalesce(F.lag("stop").over(row) < F.col("start"), F.lit(True)).alias("left"),
         F.coalesce(F.lead("start").over(row) > F.col("stop"), F.lit(True)).alias("right"),
     )
-    wanted = gaps.groupBy(F.col("class_id").alias("g_class")).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right")
-    units = passages.join(wanted, F.col("class_id") == F.col("g_class"))
-    units = units.groupBy(F.col("print").alias("u_print")).agg(F.collect_set(F.struct(F.col("class_id").alias("content"), "doc_id", "start", "stop", "words", "kept", "left", "right")).alias("units"))
+    wanted = gaps.groupBy(F.col("class_id").alias("g_class"), F.col("class_check").alias("g_check")).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right")
+    units = passages.join(wanted, (F.col("class_id") == F.col("g_class")) & (F.col("class_check") == F.col("g_check")))
+    unit = F.struct(F.col("class_id").alias("content"), F.col("class_check").alias("check"), "doc_id", "start", "stop", "words", "word", "kept", "left", "right")
+    units = units.groupBy(F.col("print").alias("u_print")).agg(F.collect_set(unit).alias("units"))
     texts = docs.join(units, F.col("print") == F.col("u_print")).select("text", "print", "units")
-    around = texts.mapInArrow(_surroundings, "content long, side byte, first long, context binary, ends binary, none boolean, doc_id long, start int, print long, kept boolean")
+    around = texts.mapInArrow(_surroundings, "content long, check long, side byte, first long, context binary, ends binary, none boolean, doc_id long, print long, start int, kept boolean")
     # units whose next words differ share nothing there, so the next word deals a frequent passage out
-    dealt = around.repartition(parts, "content", "side", "first").sortWithinPartitions("content", "side", "first", "context")
-    extents = dealt.mapInArrow(_extents, "print long, content long, start int, side byte, more int, reach int")
+    dealt = around.repartition(parts, "content", "check", "side", "first").sortWithinPartitions("content", "check", "side", "first", "context")
+    extents = dealt.mapInArrow(_extents, "print long, content long, check long, start int, side byte, more int, reach int")
     side = lambda value, k: F.max(F.when(F.col("side") == k, F.col(value)).otherwise(0))
-    extents = extents.groupBy(F.col("print").alias("e_print"), F.col("content").alias("e_class"), F.col("start").alias("e_start")).agg(
-        side("reach", 0).alias("e_left"), side("reach", 1).alias("e_right"), (side("more", 0) + side("more", 1)).alias("e_more")
+    extents = extents.groupBy(F.col("print").alias("e_print"), F.col("content").alias("e_class"), F.col("check").alias("e_check"), F.col("start").alias("e_start")).agg(
+        side("reach", 0).alias("e_left"), side("reach", 1).alias("e_right"), side("more", 0).alias("e_before"), side("more", 1).alias("e_after")
     )
     extents = materialize(extents, "extents")
-    joined = passages.join(extents, (F.col("print") == F.col("e_print")) & (F.col("class_id") == F.col("e_class")) & (F.col("start") == F.col("e_start")), "left")
+    same = (F.col("print") == F.col("e_print")) & (F.col("class_id") == F.col("e_class")) & (F.col("class_check") == F.col("e_check")) & (F.col("start") == F.col("e_start"))
     zero = lambda name: F.coalesce(name, F.lit(0))
-    return (
-        joined.withColumn("start", F.col("start") - zero("e_left")).withColumn("stop", F.col("stop") + zero("e_right")).withColumn("words", F.col("words") + zero("e_more"))
-        .select(*passages.columns)
+    grown = (
+        passages.join(extents, same, "left").withColumn("start", F.col("start") - zero("e_left")).withColumn("stop", F.col("stop") + zero("e_right"))
+        .withColumn("words", F.col("words") + zero("e_before") + zero("e_after")).withColumn("word", F.col("word") - zero("e_before")).select(*passages.columns)
     )
+    # units of a text that touch or overlap are one run
+    along = Window.partitionBy("print", "kept").orderBy("word", "words", "class_id", "class_check")
+    over = F.max(F.col("word") + F.col("words")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = grown.withColumn("run", F.sum(F.when(over >= F.col("word"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    run = Window.partitionBy("print", "kept", "run")
+    length = F.max(F.col("word") + F.col("words")).over(run) - F.min("word").over(run)
+    return runs.withColumn("length", length).where(F.col("length") >= LEAST_WORDS).select(*passages.columns)
+
 
+def _similar(a: frozenset | np.ndarray, b: frozenset | np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    if isinstance(a, frozenset) and isinstance(b, frozenset):
+        both = len(a & b)
+    else:
+        both = len(np.intersect1d(np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b)), assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
-def similar_links(members: list[tuple[int, int, frozenset, list[int]]], similarity: float = SIMILARITY, between: bool = False) -> list[tuple[int, int]]:
-    """Links whose components are those of all colliding pairs of at least that Jaccard similarity.
 
-    members: (content, slice, shingles, bands).  between: only pairs of different slices.
+def similar_links(members: list[tuple[int, int | None, int, frozenset | np.ndarray]], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links whose components are those of all pairs of at least that Jaccard similarity.
+
+    members: (content, side, component so far, shingles).  Sides 0 and 1 meet each other only; None meets all.
     """
-    root = list(range(len(members)))
+    root: dict[int, int] = {}
 
     def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+        while root.setdefault(i, i) != i:
+            root[i] = i = root.setdefault(root[i], root[i])
         return i
 
-    met: dict[int, list[int]] = {}
     out = []
-    for i, (content, part, own, bands) in enumerate(members):
-        tried = set()
-        for band in bands:
-            for j in met.get(band, ()):
-                if j in tried or between and members[j][1] == part or find(i) == find(j):
-                    continue
-                tried.add(j)
-                other = members[j][2]
-                if min(len(own), len(other)) < similarity * max(len(own), len(other)):
-                    continue
-                both = len(own & other)
-                if both >= similarity * (len(own) + len(other) - both):
-                    root[find(i)] = find(j)
-                    out.append((content, members[j][0]))
-        for band in bands:
-            met.setdefault(band, []).append(i)
+    for i, (content, side, component, own) in enumerate(members):
+        for other, other_side, other_component, shingles_ in members[:i]:
+            if side is not None and side == other_side or find(component) == find(other_component):
+                continue
+            if _similar(own, shingles_, similarity):
+                root[find(component)] = find(other_component)
+                out.append((content, other))
     return out
 
 
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block (cluster, i, j), and a block may run over batches."""
+    """Rows (band, i, j, content, side, component, shingles) come sorted by (band, i, j), and a slice may run over batches."""
     key, members = None, []
 
     def close() -> pa.RecordBatch:
-        links = similar_links(members, between=key[1] != key[2])
+        links = similar_links(members)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for cluster, i, j, content, part, raw, bands in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if key != (cluster, i, j):
+        for band, i, j, content, side, component, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if key != (band, i, j):
                 if len(members) > 1:
                     yield close()
-                key, members = (cluster, i, j), []
-            members.append((content, part, frozenset(np.frombuffer(raw, np.int64).tolist()), bands))
+                key, members = (band, i, j), []
+            own = np.frombuffer(raw, np.int64)
+            members.append((content, side, component, own if len(own) > LARGE_SET else frozenset(own.tolist())))
     if len(members) > 1:
         yield close()
 
 
+def _verified(dealt: DataFrame, parts: int) -> DataFrame:
+    dealt = dealt.select("band", "i", "j", "content", "side", "component", "shingles")
+    return dealt.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_verifier, "a long, b long")
+
+
+def _slices(rows: str, size: str) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(F.col(rows) / SLICE_ROWS), F.ceil(F.col(size) / SLICE_BYTES))
+
+
+def _upto(n: str) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+
+
 def _near_contents(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of line contents that have other similar contents."""
+    """(node, component) of line contents that have other similar contents; docs is (text, print)."""
     spark = lines.sparkSession
-    banded = lines.select("content", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("content").alias("least"), F.max("content").alias("most")).where("least <> most")
-    shared = materialize(shared.select(F.col("band").alias("s_band"), "least"), "bands")
-    edges = banded.join(shared, F.col("band") == F.col("s_band")).where("content <> least").select(F.col("content").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = connected_components(materialize(edges, "candidates"))
-    # written first, so its size is known: small it is sent round, large both sides of the join can be split
-    sizes = materialize(clusters.groupBy(F.col("component").alias("c_size")).agg(F.count(F.lit(1)).alias("contents")), "cluster-sizes")
-    clusters = materialize(clusters.join(sizes, F.col("component") == F.col("c_size")).select(F.col("node").alias("c_content"), F.col("component").alias("cluster"), "contents"), "clusters")
-    # one place of each content, combined map-side: a line that a third of all documents share is a row a task
-    first = lines.groupBy("content").agg(F.min(F.struct("doc_id", "start", "stop", "bands")).alias("at"))
-    first = first.join(clusters, F.col("content") == F.col("c_content"))
-    wanted = materialize(first.select("content", F.col("at.doc_id").alias("w_id"), "at.start", "at.stop", "at.bands", "cluster", "contents"), "wanted")
-    places = wanted.select("content", "w_id", "start", "stop")
-    n = places.count()
-    places = F.broadcast(places) if n <= BROADCAST_ROWS else places  # 24 bytes a row
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(places, F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "content", "start", "stop")
-    sets = materialize(texts.mapInArrow(_shingle_sets, "content long, shingles binary"), "shingles").dropDuplicates(["content"])
-    slices = F.ceil(F.col("contents") / HEAVY)
-    own = wanted.select(F.col("content").alias("o_content"), "cluster", "bands", slices.alias("slices"), F.pmod("content", slices).alias("part"))
-    blocks = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1), lambda t: F.struct(F.least("part", t).alias("i"), F.greatest("part", t).alias("j"))))
-    dealt = own.withColumn("block", blocks).join(sets, F.col("o_content") == F.col("content")).select("cluster", "block.i", "block.j", "content", "part", "shingles", "bands")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "content").mapInArrow(_verifier, "a long, b long")
-    return connected_components(materialize(links, "links"))
+    banded = lines.select("content", "words", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.min("content").alias("pivot"), F.max("content").alias("most")).where("pivot <> most")
+    shared = materialize(shared.select(F.col("band").alias("s_band"), "pivot"), "bands")
+    members = banded.join(shared, F.col("band") == F.col("s_band")).groupBy("band", "pivot", "content").agg((8 * F.max("words")).alias("size"))
+    members = materialize(members, "members")
+    wanted = members.select(F.col("content").alias("w_content")).distinct()
+    # one place of each content, combined map-side: a line that a third of all documents share is a row a task
+    place = F.xxhash64("print", "start")
+    first = lines.groupBy("content").agg(*[F.min_by(x, place).alias(x) for x in ("print", "start", "stop")])
+    first = first.join(wanted, F.col("content") == F.col("w_content"), "left_semi")
+    # all wanted lines of a text in one row, which its own length bounds
+    places = first.groupBy(F.col("print").alias("p_print")).agg(F.collect_list(F.struct("content", "start", "stop")).alias("lines"))
+    texts = docs.join(places, F.col("print") == F.col("p_print")).select("text", "lines")
+    sets = materialize(texts.mapInArrow(_shingle_sets, "content long, shingles binary"), "shingles")
+    sets = materialize(sets.dropDuplicates(["content"]).select(F.col("content").alias("t_content"), "shingles"), "sets")  # identical rows give a content again
+    sizes = materialize(members.groupBy(F.col("band").alias("z_band")).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).withColumn("slices", _slices("rows", "bytes")).where("slices > 1"), "heavy")
+    own = members.join(sizes.select("z_band", "slices"), F.col("band") == F.col("z_band"), "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long")))
+    own = own.select("band", "pivot", "content", "slices", F.pmod(F.xxhash64("content"), F.col("slices")).alias("slice"))
+    # the pivot is in every slice
+    dealt = own.withColumn("i", F.explode(F.when(F.col("content") == F.col("pivot"), _upto("slices")).otherwise(F.array("slice"))))
+    alone = F.lit(None).cast("byte").alias("side")
+    dealt = dealt.join(sets, F.col("content") == F.col("t_content")).select("band", "i", F.lit(0).cast("long").alias("j"), "content", alone, F.col("content").alias("component"), "shingles")
+    links = materialize(_verified(dealt, parts), "links")
+    if sizes.isEmpty():
+        return connected_components(links)
+    # heavy bands in several components: all but the largest component meet all slices
+    labels = connected_components(links).select(F.col("node").alias("l_node"), F.col("component").alias("label"))
+    heavy = members.join(sizes.select("z_band", "slices"), F.col("band") == F.col("z_band"))
+    heavy = heavy.join(labels, F.col("content") == F.col("l_node"), "left").select("band", "content", "size", "slices", F.coalesce("label", "content").alias("component"))
+    heavy = materialize(heavy, "heavy-members")
+    by_component = heavy.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"))
+    split = by_component.groupBy("band").agg(F.max(F.struct("n", "held", "component")).alias("most"), F.sum("n").alias("all"), F.sum("held").alias("all_held"))
+    split = split.withColumn("rest", F.col("all") - F.col("most.n")).withColumn("rest_held", F.col("all_held") - F.col("most.held")).where("rest > 0")
+    split = materialize(split.select(F.col("band").alias("x_band"), F.col("most.component").alias("largest"), _slices("rest", "rest_held").alias("others")), "split")
+    met = heavy.join(split, F.col("band") == F.col("x_band")).withColumn("i", F.pmod(F.xxhash64("content"), F.col("slices"))).withColumn("j", F.pmod(F.xxhash64("content"), F.col("others")))
+    left = met.select("band", "i", F.explode(_upto("others")).alias("j"), "content", F.lit(0).cast("byte").alias("side"), "component")
+    right = met.where("component <> largest").select("band", F.explode(_upto("slices")).alias("i"), "j", "content", F.lit(1).cast("byte").alias("side"), "component")
+    again = left.unionByName(right).join(sets, F.col("content") == F.col("t_content"))
+    return connected_components(links.unionByName(materialize(_verified(again, parts), "links")))
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
     """One row per unit that occurs, exactly or nearly, more than once: doc_id, kind, start, stop, words, class_id,
-    class_size, keep_id, kept.
+    class_check, class_size, keep_id, kept.
 
     kind is "paragraph" (a line of LEAST_WORDS or more), "line" (one of SHINGLE to LEAST_WORDS - 1), "block" (two or more
     consecutive lines under LEAST_WORDS, SHINGLE words together; similar lines, paragraphs and blocks are one class, in
     which a block stands for its own lines) or "passage" (SPAN words and what the text shares around them with
-    an earlier unit of the class; units of one run overlap, and a repeated word counts as one unit); start and stop are
-    code points of the text.  A removed passage stands in full in earlier texts or earlier in its own; a kept one
-    shows the longest run that it shares.  A class is a component of similar units; its first unit (smallest doc_id, null last; then start)
-    is kept, the others are removals.  Units of wholly identical rows count for each row, and one of their equal
-    first units is marked kept in each.  Null texts are empty.  Without repeats there are no rows.
+    an earlier unit of the class, in a run of LEAST_WORDS or more; units of one run overlap, and a repeated word counts
+    as one unit); start and stop are code points of the text.  A removed passage stands in full in earlier texts or
+    earlier in its own; a kept one shows the longest run that it shares.
+
+    A class, named by (class_id, class_check), is a component of similar units; its first unit (smallest doc_id, null
+    last; then smallest fingerprint of doc_id and text, then start) is kept, the others are removals.  Rows with null or
+    repeated doc_ids are told apart by their texts.  Units of wholly identical rows count for each row, and one of their
+    equal first units is marked kept in each.  Null and empty texts have no units.  A very long text is read in pieces
+    and gives one row with all its lines to be compared.  Without repeats, and for an empty table, there are no
+    rows.  Only doc_id and text are read, so further columns may have any names.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     slim = slim.withColumn("print", F.xxhash64("doc_id", "text"))
-    units = materialize(slim.mapInArrow(_units, "kind byte, content long, doc_id long, print long, start int, stop int, words int, bands array<long>, form byte, within long"), "units")
-    near = _near_contents(units.where("kind = 0").select("content", "doc_id", "start", "stop", "bands"), docs)
+    units = materialize(slim.mapInArrow(_units, "kind byte, content long, check long, doc_id long, print long, start int, stop int, words int, word int, bands array<long>, form byte, within long"), "units")
+    near = _near_contents(units.where("kind = 0").select("content", "print", "start", "stop", "words", "bands"), slim.select("text", "print"))
     near = near.select(F.lit(0).cast("byte").alias("n_kind"), F.col("node").alias("n_content"), F.col("component").alias("n_class"))
-    counts = units.groupBy("kind", "content").agg(F.count(F.lit(1)).alias("n"))
+    counts = units.groupBy("kind", "content", "check").agg(F.count(F.lit(1)).alias("n"))
     known = counts.join(near, (F.col("kind") == F.col("n_kind")) & (F.col("content") == F.col("n_content")), "left")
-    known = known.where("n > 1 OR n_class IS NOT NULL").select(F.col("kind").alias("k_kind"), F.col("content").alias("k_content"), F.coalesce("n_class", "content").alias("class_id"))
+    known = known.where("n > 1 OR n_class IS NOT NULL").select(
+        F.col("kind").alias("k_kind"), F.col("content").alias("k_content"), F.col("check").alias("k_check"),
+        F.coalesce("n_class", "content").alias("class_id"), F.when(F.col("n_class").isNull(), F.col("check")).otherwise(0).alias("class_check"),
+    )
     known = materialize(known, "known")
-    found = units.join(known, (F.col("kind") == F.col("k_kind")) & (F.col("content") == F.col("k_content"))).drop("bands", "k_kind", "k_content", "content")
+    same = (F.col("kind") == F.col("k_kind")) & (F.col("content") == F.col("k_content")) & (F.col("check") == F.col("k_check"))
+    found = units.join(known, same).drop("bands", "k_kind", "k_content", "k_check", "content", "check")
     # a line in one class with its block is no other place than the block
-    outer = known.where("k_kind = 0").select(F.col("k_content").alias("b_content"), F.col("class_id").alias("b_class"))
+    outer = known.where("k_kind = 0").select(F.col("k_content").alias("b_content"), F.col("class_id").alias("b_class")).dropDuplicates(["b_content"])
     found = found.join(outer, F.col("within") == F.col("b_content"), "left").where("b_class IS NULL OR b_class <> class_id")
     found = materialize(found.drop("within", "b_content", "b_class"), "found")
-    classes = found.groupBy(F.col("kind").alias("c_kind"), F.col("class_id").alias("c_class")).agg(
-        F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")).alias("first")
+    classes = found.groupBy(F.col("kind").alias("c_kind"), F.col("class_id").alias("c_class"), F.col("class_check").alias("c_check")).agg(
+        F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "start")).alias("first")
     )
-    classes = materialize(classes.where("class_size > 1").select("c_kind", "c_class", "class_size", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start")), "classes")
-    joined = found.join(classes, (F.col("kind") == F.col("c_kind")) & (F.col("class_id") == F.col("c_class")))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("start") == F.col("keep_start"))
-    joined = materialize(joined.select("kind", "form", "print", "doc_id", "start", "stop", "words", "class_id", "class_size", "keep_id", kept.alias("kept")), "repeats")
+    classes = classes.where("class_size > 1").select("c_kind", "c_class", "c_check", "class_size", F.col("first.doc_id").alias("keep_id"), F.col("first.print").alias("keep_print"), F.col("first.start").alias("keep_start"))
+    classes = materialize(classes, "classes")
+    joined = found.join(classes, (F.col("kind") == F.col("c_kind")) & (F.col("class_id") == F.col("c_class")) & (F.col("class_check") == F.col("c_check")))
+    kept = (F.col("print") == F.col("keep_print")) & (F.col("start") == F.col("keep_start"))
+    joined = joined.select("kind", "form", "print", "doc_id", "start", "stop", "words", "word", "class_id", "class_check", "class_size", "keep_id", kept.alias("kept"))
+    joined = materialize(joined, "repeats")
     both = joined.where("kind = 0").unionByName(_extended(joined.where("kind = 1"), slim))
-    return both.select("doc_id", F.element_at(F.array(*map(F.lit, ("paragraph", "passage", "line", "block"))), F.col("form") + 1).alias("kind"), "start", "stop", "words", "class_id", "class_size", "keep_id", "kept")
+    kind = F.element_at(F.array(*map(F.lit, ("paragraph", "passage", "line", "block"))), F.col("form") + 1).alias("kind")
+    return both.select("doc_id", kind, "start", "stop", "words", "class_id", "class_check", "class_size", "keep_id", "kept")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,8 +69,13 @@ def test_passages_of_51_words_in_other_paragraphs_are_found(spark):
     assert {r.doc_id for r in got} == {i for i, _ in rows if i < 5000}
     for r in got:
         said = texts[r.doc_id][r.start : r.stop]
-        assert said in passages[r.doc_id // 10] and r.keep_id == r.doc_id // 10 * 10
+        # a unit at the edge may be marked in later documents only, and is then first in the first of these
+        assert said in passages[r.doc_id // 10] and r.keep_id // 10 == r.doc_id // 10
         assert r.kept == (r.doc_id == r.keep_id)
+    gone = covered(rows, [r for r in got if not r.kept])
+    for i, _ in rows[:60]:
+        said = " ".join(w for _, w in sorted(gone[i]))
+        assert said == passages[i // 10] if i % 10 == 2 else said in passages[i // 10] if i % 10 else not said
 
 
 def covered(rows, got):
@@ -128,7 +133,7 @@ def test_heavy_clusters_in_blocks_lose_no_link(spark, monkeypatch):
         w = list(base)
         w[rng.randrange(120)] = f"y{i}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(S, "HEAVY", 7)
+    monkeypatch.setattr(S, "SLICE_ROWS", 7)
     got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()
     assert len(got) == 60 and len({r.class_id for r in got}) == 1 and sum(r.kept for r in got) == 1
 
@@ -167,3 +172,57 @@ def test_blocks_stand_for_their_own_lines(spark):
     rows = [(1, f"{line}\nx y"), (1, f"{line}\nx y"), (2, f"q r\n{line}")]
     got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).where("kind <> 'passage'").collect()
     assert sorted((r.doc_id, r.kind, r.words, r.class_size) for r in got) == [(1, "block", 21, 3), (1, "block", 21, 3), (2, "block", 21, 3)]
+
+
+def test_two_texts_of_thousands_of_near_copied_lines(spark):
+    """All wanted lines of a text travel in one row beside it."""
+    rng = random.Random(19)
+    words = lambda n: [f"w{rng.randrange(50_000)}" for _ in range(n)]
+    lines = [words(24) for _ in range(4000)]
+    texts = ["\n".join(" ".join(w[:-1] + [tail]) for w in lines) for tail in ("a", "b")]
+    got = S.repeated_units(spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string")).where("kind = 'paragraph'")
+    # bands miss a pair at this similarity, 19 / 21, with a chance of about 0.0001
+    assert got.count() >= 7_960 and got.where("kept").count() >= 3_980
+
+
+def test_null_and_repeated_ids_are_told_apart_by_text(spark):
+    rng = random.Random(20)
+    words = lambda n: " ".join(f"w{rng.randrange(50_000)}" for _ in range(n))
+    a, b = words(30), words(30)
+    rows = [(None, f"{a} x"), (None, f"{a} y"), (None, words(40)), (4, f"{b} x"), (4, f"{b} y"), (4, words(40))]
+    got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()
+    assert sorted((r.doc_id is None, r.class_size, r.kept) for r in got) == [(n, 2, k) for n in (False, True) for k in (False, True)]
+
+
+def test_heavy_bands_of_several_components_lose_no_link(spark, monkeypatch):
+    """Chains whose ends are far apart: neighbours meet across slices, not through the first content."""
+    rng = random.Random(21)
+    rows = []
+    for chain in range(3):
+        w = [f"common{k}" for k in range(40)] + [f"c{chain}x{k}" for k in range(60)]
+        for step in range(40):
+            w = list(w)
+            w[40 + step] = f"c{chain}s{step}"
+            rows.append((1000 * chain + step, " ".join(w)))
+    monkeypatch.setattr(S, "SLICE_ROWS", 5)
+    rng.shuffle(rows)
+    got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, set()).add(r.doc_id // 1000)
+    assert len(got) == 120 and sorted(map(sorted, classes.values())) == [[0], [1], [2]]
+
+
+def test_recall_of_passages_of_20_to_50_words(spark):
+    """28 words and more are found for certain; over lengths of 20 to 50 words at least 0.9 are."""
+    rng = random.Random(22)
+    text = lambda n: " ".join(f"w{rng.randrange(20_000)}" for _ in range(n))
+    rows, size = [], {}
+    for i in range(620):
+        size[i] = 20 + i % 31
+        p = text(size[i])
+        rows += [(2 * i + k, f"{text(rng.randint(30, 80))} {p} {text(rng.randint(30, 80))}") for k in range(2)]
+    got = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'passage' AND NOT kept").collect()
+    found = {r.doc_id // 2 for r in got}
+    assert all(i in found for i in size if size[i] >= 28)
+    assert len(found) / len(size) >= 0.9
