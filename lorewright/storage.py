@@ -11,10 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 _written: dict[str, list[str]] = {}
 
 
+#: Shuffle files of a write go when the write is done: its rows stand in the shared folder.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of this machine where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset a folder of this machine, which only a local master may use (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = _written.setdefault("own", [])
         if not own:
             own.append(tempfile.mkdtemp(prefix="lorewright-"))
@@ -32,16 +38,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, and any executor can read it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._scratch = path
+    return found
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize() has returned and that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path in _written.get("paths", []):
+            _written["paths"].remove(path)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what materialize() has written in this process."""
-    jvm = spark.sparkContext._jvm
     for path in _written.pop("paths", []):
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
 
 
 @atexit.register
