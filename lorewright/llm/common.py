@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewright.storage import drop_scratch, materialize, scratch_path, shared_dir
+from lorewright.storage import drop_scratch, materialize, release, scratch_path, shared_dir
 
-__all__ = ["drop_scratch", "materialize", "rows_kept", "row_print", "scratch_path", "shared_dir", "table", "text_or_empty", "word_count"]
+__all__ = ["drop_scratch", "materialize", "release", "rows_kept", "row_print", "scratch_path", "shared_dir", "table", "text_or_empty", "word_count"]
 
 #: The white space of every contract: \x20 and \x09 to \x0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"

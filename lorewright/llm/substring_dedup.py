@@ -12,7 +12,7 @@ several components, all its contents but those of its largest component meet eve
 
 A passage that was pasted into the middle of a paragraph leaves no similar paragraph.  For it, every window of
 WINDOW shingles marks its least hash (the MinHash of the window), and the SPAN words from there are a unit too:
-any SPAN + WINDOW - 1 = 28 words that two texts share hold a unit that is the same in both.  A unit that repeats is
+any SPAN + WINDOW - 1 = 29 words that two texts share hold a unit that is the same in both.  A unit that repeats is
 then extended, word by word, as far as it agrees with an earlier unit of its class (REACH words on each side: the
 next unit of the shared run is never further away), so the spans of a run cover all of it.  Runs under LEAST_WORDS
 words are no passages.  Words of these surroundings are compared by 32-bit hashes.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import materialize, table, text_or_empty
+from lorewright.llm.common import materialize, release, table, text_or_empty
 from lorewright.llm.words import hashed, in_chunks, mixed, words_of
 from lorewright.operators.components import connected_components
 
@@ -38,7 +38,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 LEAST_WORDS = 20
 PARAGRAPH, PASSAGE, LINE, BLOCK = range(4)
 BANDS, BAND_ROWS = 7, 3
-WINDOW, SPAN = 17, 12
+#: Marks are at most WINDOW shingles apart, so the units of a run touch.
+WINDOW, SPAN = 15, 15
 #: Words on each side of a unit that a shared run can go on without another unit.
 REACH = WINDOW - 1
 #: A slice of a band: contents, and bytes of their shingles (a longer content is alone in excess).
@@ -395,8 +396,9 @@ def _near_contents(lines: DataFrame, docs: DataFrame) -> DataFrame:
     # all wanted lines of a text in one row, which its own length bounds
     places = first.groupBy(F.col("print").alias("p_print")).agg(F.collect_list(F.struct("content", "start", "stop")).alias("lines"))
     texts = docs.join(places, F.col("print") == F.col("p_print")).select("text", "lines")
-    sets = materialize(texts.mapInArrow(_shingle_sets, "content long, shingles binary"), "shingles")
-    sets = materialize(sets.dropDuplicates(["content"]).select(F.col("content").alias("t_content"), "shingles"), "sets")  # identical rows give a content again
+    written = materialize(texts.mapInArrow(_shingle_sets, "content long, shingles binary"), "shingles")
+    sets = materialize(written.dropDuplicates(["content"]).select(F.col("content").alias("t_content"), "shingles"), "sets")  # identical rows give a content again
+    release(written)
     sizes = materialize(members.groupBy(F.col("band").alias("z_band")).agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).withColumn("slices", _slices("rows", "bytes")).where("slices > 1"), "heavy")
     own = members.join(sizes.select("z_band", "slices"), F.col("band") == F.col("z_band"), "left").withColumn("slices", F.coalesce("slices", F.lit(1).cast("long")))
     own = own.select("band", "pivot", "content", "slices", F.pmod(F.xxhash64("content"), F.col("slices")).alias("slice"))
@@ -406,6 +408,7 @@ def _near_contents(lines: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = dealt.join(sets, F.col("content") == F.col("t_content")).select("band", "i", F.lit(0).cast("long").alias("j"), "content", alone, F.col("content").alias("component"), "shingles")
     links = materialize(_verified(dealt, parts), "links")
     if sizes.isEmpty():
+        release(shared, members, sets, sizes)
         return connected_components(links)
     # heavy bands in several components: all but the largest component meet all slices
     labels = connected_components(links).select(F.col("node").alias("l_node"), F.col("component").alias("label"))
@@ -459,6 +462,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     outer = known.where("k_kind = 0").select(F.col("k_content").alias("b_content"), F.col("class_id").alias("b_class")).dropDuplicates(["b_content"])
     found = found.join(outer, F.col("within") == F.col("b_content"), "left").where("b_class IS NULL OR b_class <> class_id")
     found = materialize(found.drop("within", "b_content", "b_class"), "found")
+    release(units, known)
     classes = found.groupBy(F.col("kind").alias("c_kind"), F.col("class_id").alias("c_class"), F.col("class_check").alias("c_check")).agg(
         F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "start")).alias("first")
     )
@@ -468,6 +472,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     kept = (F.col("print") == F.col("keep_print")) & (F.col("start") == F.col("keep_start"))
     joined = joined.select("kind", "form", "print", "doc_id", "start", "stop", "words", "word", "class_id", "class_check", "class_size", "keep_id", kept.alias("kept"))
     joined = materialize(joined, "repeats")
+    release(found, classes)
     both = joined.where("kind = 0").unionByName(_extended(joined.where("kind = 1"), slim))
     kind = F.element_at(F.array(*map(F.lit, ("paragraph", "passage", "line", "block"))), F.col("form") + 1).alias("kind")
     return both.select("doc_id", kind, "start", "stop", "words", "class_id", "class_check", "class_size", "keep_id", "kept")
