@@ -184,9 +184,9 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """The sorted distinct shingles of the wanted lines of each text; about SLICE_BYTES of them a batch."""
     for batch in batches:
         contents, sets, held = [], [], 0
-        for text, lines in zip(batch.column("text"), batch.column("lines").to_pylist(), strict=True):
+        for text, lines in zip(batch.column("text"), batch.column("lines"), strict=True):
             said = text.as_py() or ""
-            for line in lines:
+            for line in lines.as_py():
                 h = hashed(said[line["start"] : line["stop"]].encode())[0]
                 if len(h) < SHINGLE or int(np.sum(mixed(h + mixed(np.arange(len(h), dtype=np.uint64))), dtype=np.uint64).view(np.int64)) != line["content"]:
                     continue  # another text with this fingerprint
@@ -205,12 +205,15 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for text, row, units in zip(batch.column("text"), batch.column("print").to_pylist(), batch.column("units").to_pylist(), strict=True):
+        for text, row, units in zip(batch.column("text"), batch.column("print").to_pylist(), batch.column("units"), strict=True):
+            if len(out[0]) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+                out = [[] for _ in names]
             h, start, end, low = hashed((text.as_py() or "").encode())
             points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
             begin, stop = points[start], points[end]
             small = (h >> np.uint64(32)).astype(np.uint32)
-            for u in units:
+            for u in units.as_py():
                 a, b = u["word"], u["word"] + u["words"]
                 left, right = slice(max(0, a - REACH), a), slice(b, b + REACH)
                 sides = (u["left"], small[left][::-1], u["start"] - begin[left][::-1]), (u["right"], small[right], stop[right] - u["stop"])
@@ -457,12 +460,12 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     )
     known = materialize(known, "known")
     same = (F.col("kind") == F.col("k_kind")) & (F.col("content") == F.col("k_content")) & (F.col("check") == F.col("k_check"))
-    found = units.join(known, same).drop("bands", "k_kind", "k_content", "k_check", "content", "check")
+    met = materialize(units.join(known, same).drop("bands", "k_kind", "k_content", "k_check", "content", "check"), "met")
+    release(units)
     # a line in one class with its block is no other place than the block
     outer = known.where("k_kind = 0").select(F.col("k_content").alias("b_content"), F.col("class_id").alias("b_class")).dropDuplicates(["b_content"])
-    found = found.join(outer, F.col("within") == F.col("b_content"), "left").where("b_class IS NULL OR b_class <> class_id")
-    found = materialize(found.drop("within", "b_content", "b_class"), "found")
-    release(units, known)
+    inside = met.where("within IS NOT NULL").join(outer, F.col("within") == F.col("b_content"), "left").where("b_class IS NULL OR b_class <> class_id")
+    found = met.where("within IS NULL").unionByName(inside.drop("b_content", "b_class")).drop("within")
     classes = found.groupBy(F.col("kind").alias("c_kind"), F.col("class_id").alias("c_class"), F.col("class_check").alias("c_check")).agg(
         F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print", "start")).alias("first")
     )
@@ -472,7 +475,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     kept = (F.col("print") == F.col("keep_print")) & (F.col("start") == F.col("keep_start"))
     joined = joined.select("kind", "form", "print", "doc_id", "start", "stop", "words", "word", "class_id", "class_check", "class_size", "keep_id", kept.alias("kept"))
     joined = materialize(joined, "repeats")
-    release(found, classes)
+    release(met, known, classes)
     both = joined.where("kind = 0").unionByName(_extended(joined.where("kind = 1"), slim))
     kind = F.element_at(F.array(*map(F.lit, ("paragraph", "passage", "line", "block"))), F.col("form") + 1).alias("kind")
     return both.select("doc_id", kind, "start", "stop", "words", "class_id", "class_check", "class_size", "keep_id", "kept")
