@@ -34,16 +34,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, and any executor can read it."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, and any executor can read it.
+
+    by: a column of a few values, each of which gets files of its own, so that a filter on it reads no others.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     found = spark.read.schema(df.schema).parquet(path)
     found._scratch = path
     return found
