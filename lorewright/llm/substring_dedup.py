@@ -12,7 +12,7 @@ several components, all its contents but those of its largest component meet eve
 
 A passage that was pasted into the middle of a paragraph leaves no similar paragraph.  For it, every window of
 WINDOW shingles marks its least hash (the MinHash of the window), and the SPAN words from there are a unit too:
-any SPAN + WINDOW - 1 = 29 words that two texts share hold a unit that is the same in both.  A unit that repeats is
+any SPAN + WINDOW - 1 = 31 words that two texts share hold a unit that is the same in both.  A unit that repeats is
 then extended, word by word, as far as it agrees with an earlier unit of its class (REACH words on each side: the
 next unit of the shared run is never further away), so the spans of a run cover all of it.  Runs under LEAST_WORDS
 words are no passages.  Words of these surroundings are compared by 32-bit hashes.
@@ -39,7 +39,7 @@ LEAST_WORDS = 20
 PARAGRAPH, PASSAGE, LINE, BLOCK = range(4)
 BANDS, BAND_ROWS = 7, 3
 #: Marks are at most WINDOW shingles apart, so the units of a run touch.
-WINDOW, SPAN = 15, 15
+WINDOW, SPAN = 16, 16
 #: Words on each side of a unit that a shared run can go on without another unit.
 REACH = WINDOW - 1
 #: A slice of a band: contents, and bytes of their shingles (a longer content is alone in excess).
@@ -149,7 +149,7 @@ class Units:
         n = size - SHINGLE + 1
         cut = np.cumsum(n) - n
         x = sh[np.arange(int(n.sum())) + np.repeat(first - cut, n)]
-        least = np.stack([np.minimum.reduceat(mixed(x * a + b), cut) for a, b in _ODD])
+        least = np.stack([np.minimum.reduceat(x * a + b, cut) for a, b in _ODD])  # shingles are mixed already
         bands = np.zeros((BANDS, len(first)), np.uint64)
         for k in range(BANDS):
             for m in least[k * BAND_ROWS : (k + 1) * BAND_ROWS]:
@@ -181,48 +181,76 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sorted distinct shingles of the wanted lines of each text; about SLICE_BYTES of them a batch."""
+    """The sorted distinct shingles of the wanted lines of each text; lines of about 1 MB are read together."""
     for batch in batches:
-        contents, sets, held = [], [], 0
+        pieces, contents = [], []
         for text, lines in zip(batch.column("text"), batch.column("lines"), strict=True):
             said = text.as_py() or ""
             for line in lines.as_py():
-                h = hashed(said[line["start"] : line["stop"]].encode())[0]
-                if len(h) < SHINGLE or int(np.sum(mixed(h + mixed(np.arange(len(h), dtype=np.uint64))), dtype=np.uint64).view(np.int64)) != line["content"]:
-                    continue  # another text with this fingerprint
-                contents.append(line["content"])
-                sets.append(np.unique(shingles(h)).tobytes())
-                held += len(sets[-1])
-                if held > SLICE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(sets, pa.binary())], ["content", "shingles"])
-                    contents, sets, held = [], [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.array(sets, pa.binary())], ["content", "shingles"])
+                piece = said[line["start"] : line["stop"]].encode()
+                if piece.split(None, 1):  # else the text only shares its fingerprint with the one wanted
+                    pieces.append(piece)
+                    contents.append(line["content"])
+        for a, b in in_chunks(pieces):
+            h, _, _, _, bounds = words_of(pieces[a:b])
+            size = np.diff(bounds)
+            same = (Units._contents(h, bounds[:-1], size).view(np.int64) == np.array(contents[a:b], np.int64)) & (size >= SHINGLE)
+            sh = shingles(h)
+            known = [k for k in range(b - a) if same[k]]
+            sets = [np.unique(sh[bounds[k] : bounds[k + 1] - SHINGLE + 1]).tobytes() for k in known]
+            yield pa.RecordBatch.from_arrays([pa.array([contents[a + k] for k in known], pa.int64()), pa.array(sets, pa.binary())], ["content", "shingles"])
+
+
+_AROUND = pa.schema(
+    [("content", pa.int64()), ("check", pa.int64()), ("side", pa.int8()), ("first", pa.int64()), ("context", pa.binary()), ("ends", pa.binary()), ("none", pa.bool_()),
+     ("doc_id", pa.int64()), ("print", pa.int64()), ("start", pa.int32()), ("kept", pa.bool_()), ("again", pa.bool_()), ("settled", pa.bool_())]
+)
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each wanted side of each unit of a text: hashes of the next REACH words, and their ends in code points from the unit."""
-    names = ["content", "check", "side", "first", "context", "ends", "none", "doc_id", "print", "start", "kept"]
-    kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+    """A row for each wanted side of each unit of a text: hashes of the next REACH words, and their ends in code points from the unit.
+
+    Of equal surroundings that a task meets together only those of the earliest place (and of a kept one) need others: the
+    rest share them in full with that one, and are settled.  So what a third of all texts share is a few rows a task.
+    """
+
+    def combined(rows: list[list]) -> pa.RecordBatch:
+        best: dict[tuple, list] = {}
+        for row in rows:
+            key = (row[0], row[1], row[2], row[4])
+            other = best.setdefault(key, row)
+            if other is row:
+                continue
+            early, late = (row, other) if row[6:10] < other[6:10] else (other, row)
+            best[key] = early
+            early[11] = True
+            if late[10]:
+                late[11] = True
+            else:
+                late[12], late[3] = True, late[8]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _AROUND, strict=True)], schema=_AROUND)
+
+    rows: list[list] = []
     for batch in batches:
-        out: list[list] = [[] for _ in names]
         for text, row, units in zip(batch.column("text"), batch.column("print").to_pylist(), batch.column("units"), strict=True):
-            if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
-                out = [[] for _ in names]
+            if len(rows) > 50_000:
+                yield combined(rows)
+                rows = []
             h, start, end, low = hashed((text.as_py() or "").encode())
             points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
             begin, stop = points[start], points[end]
             small = (h >> np.uint64(32)).astype(np.uint32)
             for u in units.as_py():
                 a, b = u["word"], u["word"] + u["words"]
-                left, right = slice(max(0, a - REACH), a), slice(b, b + REACH)
-                sides = (u["left"], small[left][::-1], u["start"] - begin[left][::-1]), (u["right"], small[right], stop[right] - u["stop"])
-                for side, (wanted, words, ends) in enumerate(sides):
-                    if wanted and len(words):
-                        values = (u["content"], u["check"], side, int(words[0]), words.tobytes(), ends.astype(np.int32).tobytes(), u["doc_id"] is None, u["doc_id"], row, u["start"], u["kept"])
-                        for column, value in zip(out, values, strict=True):
-                            column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+                place = [u["doc_id"] is None, u["doc_id"] or 0, row, u["start"], u["kept"], False, False]
+                if u["left"] and a:
+                    words = small[max(0, a - REACH) : a][::-1]
+                    rows.append([u["content"], u["check"], 0, int(words[0]), words.tobytes(), (u["start"] - begin[max(0, a - REACH) : a][::-1]).astype(np.int32).tobytes(), *place])
+                if u["right"] and b < len(h):
+                    words = small[b : b + REACH]
+                    rows.append([u["content"], u["check"], 1, int(words[0]), words.tobytes(), (stop[b : b + REACH] - u["stop"]).astype(np.int32).tobytes(), *place])
+    if rows:
+        yield combined(rows)
 
 
 def shared_lengths(contexts: list[bytes], places: list[tuple], kept: list[bool]) -> list[int]:
@@ -256,23 +284,40 @@ def shared_lengths(contexts: list[bytes], places: list[tuple], kept: list[bool])
 
 def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How far units extend.  Rows come sorted by (content, check, side, first word, context), and a group may run over batches."""
-    key, rows = None, []
-
-    def close() -> pa.RecordBatch:
-        lengths = shared_lengths([r[4] for r in rows], [(r[6], r[7] or 0, r[8], r[9]) for r in rows], [r[10] for r in rows])
-        found = [(r[8], r[0], r[1], r[9], r[2], n, int(np.frombuffer(r[5], np.int32)[n - 1])) for r, n in zip(rows, lengths, strict=True) if n]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["print", "content", "check", "start", "side", "more", "reach"])
-
+    names, kinds = ["print", "content", "check", "start", "side", "more", "reach"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int32()]
+
+    def found(row: tuple, n: int) -> tuple:
+        return (row[8], row[0], row[1], row[9], row[2], n, int(np.frombuffer(row[5], np.int32, 1, 4 * (n - 1))[0]))
+
+    def lengths() -> list[int]:
+        places = [r[6:10] for r in rows]
+        if rows[0][4] == rows[-1][4]:  # all are equal
+            earliest = places.index(min(places))
+            return [len(r[4]) // 4 if k != earliest or r[10] else 0 for k, r in enumerate(rows)]
+        return shared_lengths([r[4] for r in rows], places, [r[10] for r in rows])
+
+    def close() -> None:
+        if len(rows) > 1:
+            # a kept place with equal surroundings in its own task shares them all
+            shared = [len(r[4]) // 4 if r[10] and r[11] else n for r, n in zip(rows, lengths(), strict=True)]
+            ready.extend(found(r, n) for r, n in zip(rows, shared, strict=True) if n)
+        elif rows and rows[0][10] and rows[0][11]:
+            ready.append(found(rows[0], len(rows[0][4]) // 4))
+
+    key, rows, ready = None, [], []
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if row[12]:
+                ready.append(found(row, len(row[4]) // 4))
+                continue
             if key != row[:4]:
-                if len(rows) > 1:
-                    yield close()
+                close()
                 key, rows = row[:4], []
             rows.append(row)
-    if len(rows) > 1:
-        yield close()
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in ready], kind) for k, kind in enumerate(kinds)], names)
+        ready = []
+    close()
+    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in ready], kind) for k, kind in enumerate(kinds)], names)
 
 
 def _extended(passages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -284,15 +329,15 @@ def _extended(passages: DataFrame, docs: DataFrame) -> DataFrame:
     gaps = passages.select(
         "class_id",
         "class_check",
-        F.coalesce(F.lag("stop").over(row) < F.col("start"), F.lit(True)).alias("left"),
-        F.coalesce(F.lead("start").over(row) > F.col("stop"), F.lit(True)).alias("right"),
+        F.coalesce(F.lag(F.col("word") + F.col("words")).over(row) < F.col("word"), F.lit(True)).alias("left"),
+        F.coalesce(F.lead("word").over(row) > F.col("word") + F.col("words"), F.lit(True)).alias("right"),
     )
     wanted = gaps.groupBy(F.col("class_id").alias("g_class"), F.col("class_check").alias("g_check")).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right")
     units = passages.join(wanted, (F.col("class_id") == F.col("g_class")) & (F.col("class_check") == F.col("g_check")))
     unit = F.struct(F.col("class_id").alias("content"), F.col("class_check").alias("check"), "doc_id", "start", "stop", "words", "word", "kept", "left", "right")
     units = units.groupBy(F.col("print").alias("u_print")).agg(F.collect_set(unit).alias("units"))
     texts = docs.join(units, F.col("print") == F.col("u_print")).select("text", "print", "units")
-    around = texts.mapInArrow(_surroundings, "content long, check long, side byte, first long, context binary, ends binary, none boolean, doc_id long, print long, start int, kept boolean")
+    around = texts.mapInArrow(_surroundings, "content long, check long, side byte, first long, context binary, ends binary, none boolean, doc_id long, print long, start int, kept boolean, again boolean, settled boolean")
     # units whose next words differ share nothing there, so the next word deals a frequent passage out
     dealt = around.repartition(parts, "content", "check", "side", "first").sortWithinPartitions("content", "check", "side", "first", "context")
     extents = dealt.mapInArrow(_extents, "print long, content long, check long, start int, side byte, more int, reach int")
@@ -449,7 +494,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     slim = slim.withColumn("print", F.xxhash64("doc_id", "text"))
-    units = materialize(slim.mapInArrow(_units, "kind byte, content long, check long, doc_id long, print long, start int, stop int, words int, word int, bands array<long>, form byte, within long"), "units")
+    units = materialize(slim.mapInArrow(_units, "kind byte, content long, check long, doc_id long, print long, start int, stop int, words int, word int, bands array<long>, form byte, within long"), "units", by="kind")
     near = _near_contents(units.where("kind = 0").select("content", "print", "start", "stop", "words", "bands"), slim.select("text", "print"))
     near = near.select(F.lit(0).cast("byte").alias("n_kind"), F.col("node").alias("n_content"), F.col("component").alias("n_class"))
     counts = units.groupBy("kind", "content", "check").agg(F.count(F.lit(1)).alias("n"))
