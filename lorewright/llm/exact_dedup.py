@@ -1,15 +1,19 @@
 """Exact dedup by an extendible-hash index on shared files. DataFrame functions only.
 
-Every text is normalised (white space deleted) and hashed to 64 bits.  The directory looks at the leading
-bits: buckets over capacity are split by one more bit (directory doubling) until each fits or holds a single
-key, which no further bit can split.  A bucket's page lists its distinct texts; texts that share a key are
-chained and told apart by their bytes: the pages come from a grouping by (key, normalised bytes), which Spark
-resolves by comparing the bytes of equal hashes.  Copies are combined before the exchange, so a group with a
-third of all rows sends one row per task.
+Every text is normalised (white space deleted) and hashed to a 64-bit key.  The directory looks at the leading bits:
+buckets over capacity are split by one more bit (directory doubling) until each fits or holds a single key, which no
+further bit can split.  A bucket's page lists its keys with the size of their group and the row that stays; rows find
+their page through the directory's slot, and their entry in it by key.  Owner tasks hold ranges of keys.
+
+That a key stands for one text is proved by bytes: copies are combined under (key, normalised bytes) before the
+exchange, so a group with a third of all rows sends one row a task, and a key with two byte strings is a collision.
+Entries of such a key are chained by their bytes, and its rows follow the chain by comparing bytes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,59 +57,62 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         depth += 1
 
 
-def build_index(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The index pages over rows (norm): bucket, key, chain, text_sha256, group_size; one row per distinct text."""
-    pages = rows.groupBy(F.xxhash64("norm").alias("key"), "norm").agg(F.count(F.lit(1)).alias("group_size"))
-    pages = materialize(pages.select("key", F.sha2("norm", 256).alias("text_sha256"), "group_size"), "pages")
-    buckets = directory(pages.select("key"), capacity)
-    depths = [r["local_depth"] for r in buckets.select("local_depth").distinct().collect()]
-    owned = None
-    for depth in depths:  # 1 to 3 levels in practice, 64 at most
-        at = buckets.where(F.col("local_depth") == depth).select(F.col("slot").alias("__slot"))
-        part = pages.join(at, _slot(F.col("key"), depth) == F.col("__slot"), "left_semi").withColumn(
-            "bucket", F.concat(F.lit(f"{depth}:"), F.hex(_slot(F.col("key"), depth)))
-        )
-        owned = part if owned is None else owned.unionByName(part)
-    if owned is None:
-        owned = pages.withColumn("bucket", F.lit("0:0"))
-    chain = F.row_number().over(Window.partitionBy("key").orderBy("text_sha256"))
-    # an owner task holds a range of keys, and so all pages and chains of its buckets
-    return owned.repartitionByRange("key").withColumn("chain", chain)
-
-
-def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """rows (with key) with their bucket (local_depth, slot): the directory has exactly one for every key in it."""
+    depths = sorted(r["local_depth"] for r in buckets.select("local_depth").distinct().collect())  # 1 to 3 in practice, 64 at most
+    found = None
+    for depth in depths:
+        at = buckets.where(F.col("local_depth") == depth).select("local_depth", "slot")
+        part = rows.join(at, _slot(F.col("key"), depth) == F.col("slot"))
+        found = part if found is None else found.unionByName(part)
+    return rows.limit(0).withColumns({"local_depth": F.lit(0), "slot": F.lit(0).cast("long")}) if found is None else found
+
+
+def _page(entries: DataFrame, by: list[str]) -> DataFrame:
+    """An entry of a page for each group of by: its size, the row that stays and that row's fingerprint."""
+    best = F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row_print").alias("print")))
+    return entries.groupBy(*by).agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")).select(
+        *by, "group_size", F.bitwise_not("best.id").alias("keep_id"), F.bitwise_not("best.print").alias("keep_print")
+    )
+
+
+def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_of: Callable[[str], Column] = F.xxhash64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, chain, row_print.
 
     Of equal normalised texts the row with most code points stays, then the smallest doc_id (null last), then
     the smallest row fingerprint; of wholly identical rows one is marked kept.  Null texts count as empty and
-    form one group with texts of white space only.  An empty table gives no rows.
+    form one group with texts of white space only.  Very long texts are compared whole; only one of a task's copies
+    travels.  An empty table gives no rows.  Of docs doc_id and text are read, and all columns for the fingerprint.
     """
     base = docs.select(F.col("doc_id"), row_print(docs).alias("row_print"), text_or_empty().alias("t"))
     base = base.select("doc_id", "row_print", F.length("t").alias("points"), normalised(F.col("t")).alias("norm"))
-    entries = materialize(
-        base.select("doc_id", "row_print", "points", F.xxhash64("norm").alias("key"), F.sha2("norm", 256).alias("text_sha256")), "entries"
-    )
-    index = build_index(base.select("norm"), capacity)
-    best = entries.groupBy("key", "text_sha256").agg(
-        F.max(F.struct("points", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row_print").alias("print"))).alias("best")
-    )
-    pages = materialize(
-        index.join(best, ["key", "text_sha256"]).select(
-            F.col("key").alias("p_key"), F.col("text_sha256").alias("p_sha"), "bucket", "chain", "group_size",
-            F.bitwise_not("best.id").alias("keep_id"), F.bitwise_not("best.print").alias("keep_print"),
-        ),
-        "index",
-    )
-    found = entries.join(pages, (F.col("key") == F.col("p_key")) & (F.col("text_sha256") == F.col("p_sha")))
+    keyed = base.withColumn("key", key_of("norm").cast("long"))
+    rows = keyed.select("doc_id", "row_print", "points", "key", F.sha2("norm", 256).alias("text_sha256"))
+    entries = materialize(rows, "entries")
+    texts = keyed.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.count(F.lit(1)).alias("texts"))
+    keys = materialize(texts, "keys")
+    buckets = materialize(directory(keys.select("key"), capacity), "buckets")
+    collided = keys.where("texts > 1").select("key")
+    single = routed(keys.where("texts = 1").select("key"), buckets).repartitionByRange("key")
+    pages = materialize(single.join(_page(entries, ["key"]), "key").withColumn("chain", F.lit(1)), "index")
+    at = ["local_depth", "slot", "key"]
+    found = routed(entries, buckets).join(pages, at)
+    if not collided.isEmpty():
+        chained = keyed.join(collided, "key", "left_semi")
+        chain = F.row_number().over(Window.partitionBy("key").orderBy("norm"))
+        chains = routed(_page(chained, ["key", "norm"]).withColumn("chain", chain), buckets)
+        chained = routed(chained.withColumn("text_sha256", F.sha2("norm", 256)), buckets)
+        found = found.unionByName(chained.join(chains, [*at, "norm"]).drop("norm"))
     best_row = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_print") == F.col("keep_print"))
     n = F.row_number().over(Window.partitionBy("doc_id", "row_print").orderBy("key"))
     return found.withColumn("n", n).select(
-        "doc_id", "keep_id", "group_size", (best_row & (F.col("n") == 1)).alias("kept"), "text_sha256", "bucket", "chain", "row_print"
-    )
+        "doc_id", "keep_id", "group_size", (best_row & (F.col("n") == 1)).alias("kept"), "text_sha256",
+        F.concat_ws(":", "local_depth", F.hex("slot")).alias("bucket"), "chain", "row_print",
+    )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """docs without exact copies, all columns."""
+    """docs without exact copies, all columns, whatever their names; ties, nulls and repeated rows as in exact_dedup."""
     return rows_kept(docs, exact_dedup(docs).where("kept").select("doc_id", "row_print"))
 
 

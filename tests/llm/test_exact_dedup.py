@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -22,6 +23,27 @@ def test_matches_brute_force_with_nulls_ties_and_repeated_rows(spark):
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
 
+def test_colliding_keys_are_chained_and_told_apart_by_bytes(spark):
+    """With a hash of 3 values nearly every key is a collision; groups stay those of the bytes."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice(["a b", "ab", "ba", "b\ta", "abc", "c", None, "", "d", "ca b"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda norm: F.pmod(F.length(norm), F.lit(3))
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    got = exact_dedup.exact_dedup(docs, capacity=1, key_of=weak)
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, exact_dedup.exact_dedup(docs).select(columns).collect()))
+    assert got.select("bucket", "chain").distinct().count() == got.select("text_sha256").distinct().count() > got.select("bucket").distinct().count()
+
+
+def test_rows_are_found_through_the_directory(spark, monkeypatch):
+    """A row whose bucket the directory lacks is not found: the index decides, nothing beside it."""
+    docs = spark.createDataFrame([(i, f"text {i % 50}") for i in range(200)], "doc_id long, text string")
+    whole = exact_dedup.directory
+    monkeypatch.setattr(exact_dedup, "directory", lambda keys, capacity: whole(keys, capacity).orderBy("slot").limit(3))
+    got = exact_dedup.exact_dedup(docs, capacity=4)
+    assert 0 < got.count() < 200 and got.select("bucket").distinct().count() == 3
+
+
 def test_directory_splits_overfull_buckets_but_not_single_keys(spark):
     keys = spark.createDataFrame([(k,) for k in [*range(-40, 40), *[1 << 62] * 50, *[(1 << 61) + i for i in range(7)]]], "key long")
     pages = exact_dedup.directory(keys, capacity=8).collect()
