@@ -1,23 +1,27 @@
 """Mixing sources to target weights by entropy balancing. DataFrame functions only.
 
-Of all rates r >= 0 of a source's documents that meet its constraints, entropy balancing takes those nearest to 1
-in relative entropy.  The constraints are two moments of each source: the words of the mix, sum(r * size), and
-its documents, sum(r), which hold the mean document length at length_ratio times the source's.  The convex dual
-has two multipliers a source, and the rates are the exponential tilt exp(a + b * size / mean).  Newton's method
-solves all sources at once: an iteration is one aggregation over the (source, size) histogram, whose rows are
-bounded by the distinct lengths.  The rates then become whole copies: cumulative rounding along sizes, then
-corrections that close what is left of the word target.
+Of all rates 0 <= r <= max_repeat of a source's documents that meet its token constraint, sum(r * size) = target, entropy
+balancing takes those nearest to 1 in relative entropy, sum(r * ln r - r + 1).  The convex dual has one multiplier a
+source, and the rates are the exponential tilt min(max_repeat, exp(b * size / mean)): a source that shall give more
+than it has repeats its long documents first, one that shall give less drops them first.  Newton's method, kept
+inside a bracket, solves all sources at once: an iteration is one aggregation over the (source, size) histogram, whose
+rows are bounded by the distinct lengths.  The rates then become whole copies: cumulative rounding along sizes, then
+corrections that close what is left of the token target.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import materialize, row_print, rows_kept, table, text_or_empty, word_count
+from lorewright.llm.common import materialize, release, row_print, rows_kept, table, text_or_empty, word_count
+from lorewright.operators.ranking import rank_in_groups
 
 WEIGHTS, MAX_REPEAT, TOLERANCE = (5.0, 2.0, 1.0), 3, 1e-9
-ROUNDS, CORRECTIONS = 50, 16
+#: Rounds after which a loop is taken to be stuck and raises.
+ROUNDS, CORRECTIONS, LEVELS = 200, 1_000, 1_000
 #: Ranks within a (source, size) are made in at least so many slices; more for more rows.
 SLICES, SLICE_ROWS = 64, 2_000_000
 
@@ -26,64 +30,75 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_r
     """(src, source_size, target) from (src, source, source_size), a row per source.
 
     Sources by code point, null last, take the weights in turn and share the sum of all sizes by weight; none
-    gets over max_repeat times its size, and the others share the excess.  With limits by weight in ascending
-    order, the sources held at their limit are those before the first that the common level does not exceed.
+    gets over max_repeat times its size, and the others share the excess.  The common level (words a weight) rises until
+    no further source exceeds its limit; a round is one aggregation, and ranks are made by ranges where sources are many.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    base = sizes.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(max_repeat)))
-    by_limit = Window.orderBy(F.col("limit") / F.col("weight"), "src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total, all_weight = F.sum("source_size").over(everything), F.sum("weight").over(everything)
-    left = total - (F.sum("limit").over(by_limit) - F.col("limit"))
-    level = left / (all_weight - (F.sum("weight").over(by_limit) - F.col("weight")))
-    fits = base.withColumn("level", level).withColumn("fits", level * F.col("weight") <= F.col("limit"))
-    common = F.min(F.when(F.col("fits"), F.struct(F.col("limit") / F.col("weight"), "src", "level"))).over(everything)
-    shared = fits.withColumn("common", common.getField("level"))
-    return shared.select(
-        "src", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("limit", F.coalesce(F.col("common") * F.col("weight"), "limit"))).alias("target")
-    )
+    order = [F.col("source").isNull(), F.col("source"), F.col("src")]
+    ranked = rank_in_groups(sizes.withColumn("all", F.lit(0)), "all", order, "place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    base = ranked.select("src", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(max_repeat))).alias("limit"))
+    base = materialize(base, "sources")
+    level, free = 0.0, -1
+    for _ in range(LEVELS):
+        held = F.col("limit") < F.lit(level) * F.col("weight")
+        got = base.agg(
+            F.sum("source_size").alias("total"), F.sum(F.when(held, F.col("limit"))).alias("held"),
+            F.sum(F.when(~held, F.col("weight"))).alias("weight"), F.count_if(~held).alias("free"),
+        ).first()
+        if not got.free or got.free == free:
+            break
+        free, level = got.free, (got.total - (got.held or 0.0)) / got.weight
+    else:
+        raise RuntimeError(f"targets did not settle in {LEVELS} rounds")
+    return base.select("src", "source_size", F.least("limit", F.lit(level) * F.col("weight")).alias("target"))
+
 
+def tilted_rates(cells: DataFrame, targets: DataFrame, max_repeat: int = MAX_REPEAT, tolerance: float = TOLERANCE) -> DataFrame:
+    """(src, b, mean) with rates min(max_repeat, exp(b * size / mean)); cells is (src, size > 0, n).
 
-def tilted_rates(cells: DataFrame, targets: DataFrame, length_ratio: float = 1.0, tolerance: float = TOLERANCE) -> DataFrame:
-    """(src, a, b, mean) with rates exp(a + b * size / mean); cells is (src, size > 0, n)."""
-    start = cells.groupBy("src").agg(F.sum("n").alias("docs"), (F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    # wanted documents and wanted sum of size / mean
-    wanted = (F.col("target") / F.col("mean")).alias("want_x")
+    The words that a multiplier takes rise with it, so a bracket (low, high) holds the solution: at high every rate is
+    max_repeat.  A Newton step that would leave the bracket halves it instead.
+    """
+    start = cells.groupBy("src").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
+    most, share = F.lit(math.log(max_repeat)), F.col("target") / F.col("source_size")
     state = materialize(
         start.join(targets, "src").where("target > 0").select(
-            "src", "mean", wanted, (F.col("target") / F.col("mean") / F.lit(length_ratio)).alias("want_n"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b")
+            "src", "mean", (F.col("target") / F.col("mean")).alias("want"), F.log(share).alias("b"),
+            F.lit(None).cast("double").alias("low"), (most * F.col("mean") / F.col("least")).alias("high"),
         ),
         "dual",
     )
     for _ in range(ROUNDS):
         x = F.col("size") / F.col("mean")
-        rate = F.col("n") * F.exp(F.col("a") + F.col("b") * x)
-        moments = cells.join(state, "src").groupBy("src", "mean", "want_x", "want_n", "a", "b").agg(
-            F.sum(rate).alias("s0"), F.sum(rate * x).alias("s1"), F.sum(rate * x * x).alias("s2")
+        inside = F.col("b") * x < most
+        taken = F.col("n") * x * F.when(inside, F.exp(F.least(F.col("b") * x, most))).otherwise(float(max_repeat))
+        moments = cells.join(state, "src").groupBy("src", "mean", "want", "b", "low", "high").agg(
+            F.sum(taken).alias("words"), F.sum(F.when(inside, taken * x).otherwise(0.0)).alias("slope")
         )
-        g0, g1 = F.col("s0") - F.col("want_n"), F.col("s1") - F.col("want_x")
-        det = F.col("s0") * F.col("s2") - F.col("s1") * F.col("s1")
-        # one length only: the tilt along sizes is not determined, and words alone are balanced
-        flat = det <= F.lit(1e-9) * F.col("s0") * F.col("s2")
-        det = F.when(flat, F.lit(1.0)).otherwise(det)
-        da = F.when(flat, -g1 / F.col("s1")).otherwise((F.col("s1") * g1 - F.col("s2") * g0) / det)
-        db = F.when(flat, F.lit(0.0)).otherwise((F.col("s1") * g0 - F.col("s0") * g1) / det)
-        step = F.greatest(F.lit(1.0), F.abs(F.col("da")) / 2, F.abs(F.col("db")) / 2)
-        gap = F.greatest(F.abs(g1) / F.col("want_x"), F.when(flat, F.lit(0.0)).otherwise(F.abs(g0) / F.col("want_n")))
-        new = moments.select("src", "mean", "want_x", "want_n", "a", "b", da.alias("da"), db.alias("db"), gap.alias("gap"))
-        state = materialize(new.select("src", "mean", "want_x", "want_n", (F.col("a") + F.col("da") / step).alias("a"), (F.col("b") + F.col("db") / step).alias("b"), "gap"), "dual")
-        if state.where(F.col("gap") > tolerance).isEmpty():
-            break
-        state = state.drop("gap")
-    return state.select("src", "a", "b", "mean")
+        over = F.col("words") - F.col("want")
+        low = F.when(over < 0, F.col("b")).otherwise(F.col("low"))
+        high = F.when(over > 0, F.least("b", "high")).otherwise(F.col("high"))
+        newton = F.when(F.col("slope") > 0, F.col("b") - over / F.col("slope"))
+        moved = moments.select("src", "mean", "want", (F.abs(over) / F.col("want")).alias("gap"), "b", low.alias("low"), high.alias("high"), newton.alias("newton"))
+        half = F.coalesce((F.col("low") + F.col("high")) / 2, F.least(F.col("high"), F.lit(0.0)) * 2 - 1)  # no low yet: further down
+        good = F.col("newton").isNotNull() & (F.col("newton") <= F.col("high")) & (F.col("low").isNull() | (F.col("newton") > F.col("low"))) & (F.abs(F.col("newton")) < 1e6 * F.abs("high"))
+        settled = (F.col("gap") <= tolerance) | (F.col("high") - F.col("low") <= F.lit(1e-15) * F.abs("high"))
+        b = F.when(settled, F.col("b")).when(good, F.col("newton")).otherwise(half)
+        new = materialize(moved.select("src", "mean", "want", b.alias("b"), "low", "high", settled.alias("settled")), "dual")
+        release(state)
+        state = new
+        if state.where(~F.coalesce("settled", F.lit(False))).isEmpty():
+            return state.select("src", "b", "mean")
+        state = state.drop("settled")
+        state._scratch = new._scratch
+    raise RuntimeError(f"rates did not settle in {ROUNDS} rounds")
 
 
 def whole_copies(cells: DataFrame, rates: DataFrame, targets: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """(src, size, n, copies): copies for all n documents of a cell together, 0 to max_repeat * n."""
     limit = F.col("n") * F.lit(max_repeat)
     # the rates are rounded, so that sums in another order give the same copies
-    rate = F.round(F.least(F.lit(float(max_repeat)), F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("mean"))), 6)
+    rate = F.round(F.least(F.lit(float(max_repeat)), F.exp(F.least(F.lit(50.0), F.col("b") * F.col("size") / F.col("mean")))), 6)
     along = Window.partitionBy("src").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.floor(F.sum(F.round(F.col("rate") * F.col("n"), 6)).over(along) + F.lit(0.5))
     placed = cells.join(rates, "src").withColumn("rate", rate).withColumn("upto", upto)
@@ -100,20 +115,22 @@ def whole_copies(cells: DataFrame, rates: DataFrame, targets: DataFrame, max_rep
         fit = F.struct((F.col("size") <= F.abs("miss")).alias("whole"), F.when(F.col("size") <= F.abs("miss"), F.col("size")).otherwise(-F.col("size")).alias("rank"), "size", (k * F.signum("miss").cast("long")).alias("add"))
         change = materialize(open_.groupBy("src").agg(F.max(fit).alias("fit")).select("src", "fit.size", "fit.add"), "change")
         if change.isEmpty():
-            break
+            return state
+        before = state
         state = materialize(
             state.join(change, ["src", "size"], "left").select("src", "size", "n", (F.col("copies") + F.coalesce("add", F.lit(0))).cast("long").alias("copies")), "copies"
         )
-    return state
+        release(before, change)
+    raise RuntimeError(f"copies did not settle in {CORRECTIONS} rounds")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, length_ratio: float = 1.0) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, copies, taken, row_print.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, copies, taken, row_print, rate.
 
     Size is the number of words; a document without words (null texts too) has rate 1 and takes 0 words.  A null
     source is a source of its own.  taken = copies * size <= max_repeat * size.  Reruns agree: documents of a
-    cell are told apart by hashes of their rows; wholly identical rows may swap their equal results.  An empty
-    table gives no rows.
+    cell are told apart by hashes of their rows; wholly identical rows may swap their equal results.  Very long texts are
+    counted whole.  An empty table gives no rows.  Columns other than doc_id, text and source only enter the fingerprint.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
     slim = docs.select("doc_id", row_print(docs).alias("row_print"), F.col("source").cast("string").alias("source"), key.alias("src"), word_count(text_or_empty()).alias("size"))
@@ -123,9 +140,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int =
     sizes = cells.groupBy("src", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = materialize(source_targets(sizes, weights, max_repeat), "targets")
     worded = cells.where("size > 0").select("src", "size", "n")
-    copies = whole_copies(worded, tilted_rates(worded, targets, length_ratio), targets, max_repeat)
+    rates = tilted_rates(worded, targets, max_repeat)
+    copies = whole_copies(worded, rates, targets, max_repeat)
     known = cells.select("src", "size", "n").join(copies.select("src", "size", "copies"), ["src", "size"], "left").join(targets, "src")
-    known = known.select("src", "size", "n", "source_size", "target", F.when(F.col("size") == 0, F.col("n")).otherwise(F.coalesce("copies", F.lit(0))).alias("copies"))
+    rate = F.least(F.lit(float(max_repeat)), F.exp(F.least(F.lit(50.0), F.col("b") * F.col("size") / F.col("mean"))))
+    rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.coalesce(rate, F.lit(0.0)))
+    known = known.join(rates, "src", "left").select("src", "size", "n", "source_size", "target", rate.alias("rate"), F.when(F.col("size") == 0, F.col("n")).otherwise(F.coalesce("copies", F.lit(0))).alias("copies"))
     # the documents of a cell in hash order: ranks within slices, after the rows of the slices before
     sliced = rows.withColumn("hash", F.xxhash64("doc_id", "row_print")).withColumn("slice", F.pmod("hash", F.lit(slices)))
     counts = sliced.groupBy("src", "size", "slice").agg(F.count(F.lit(1)).alias("rows"))
@@ -134,11 +154,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: int =
     at = F.col("before") + F.row_number().over(Window.partitionBy("src", "size", "slice").orderBy("hash", "doc_id")) - 1
     own = F.floor(F.col("copies") / F.col("n")) + F.when(at < F.col("copies") % F.col("n"), 1).otherwise(0)
     found = sliced.join(offsets, ["src", "size", "slice"]).withColumn("own", own.cast("long"))
-    return found.select("doc_id", "size", "source_size", "target", F.col("own").alias("copies"), (F.col("own") * F.col("size")).alias("taken"), "row_print")
+    return found.select("doc_id", "size", "source_size", "target", F.col("own").alias("copies"), (F.col("own") * F.col("size")).alias("taken"), "row_print", "rate")
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row as often as the mix takes it, all columns; wholly identical rows count together."""
+    """docs with every row as often as the mix takes it, all columns, whatever their names; wholly identical rows count together."""
     plan = mix(docs, **how).groupBy("doc_id", "row_print").agg(F.sum("copies").alias("__copies")).where("__copies > 0")
     once = rows_kept(docs, plan, ["__copies"])
     again: Column = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
@@ -147,4 +167,4 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
 
 def op4_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")

@@ -62,19 +62,66 @@ def test_targets_and_taken_words(spark):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def direct(cells, target):
+    """b of one source by halving; cells is [(size, n)]."""
+    mean = sum(s * n for s, n in cells) / sum(n for _, n in cells)
+    taken = lambda b: sum(s * n * math.exp(min(math.log(3), b * s / mean)) for s, n in cells)
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        half = (low + high) / 2
+        low, high = (half, high) if taken(half) < target else (low, half)
+    return half, mean
+
+
+def entropy(rates):
+    """Relative entropy to 1 of [(rate, n)]."""
+    return sum(n * ((r * math.log(r) if r > 0 else 0) - r + 1) for r, n in rates)
+
+
 def test_dual_matches_a_direct_solution(spark):
-    cells = [("s", size, 3 + size % 4) for size in range(1, 60)]
-    total = sum(s * n for _, s, n in cells)
-    state = mixing.tilted_rates(
-        spark.createDataFrame(cells, "src string, size long, n long"), spark.createDataFrame([("s", total, total * 0.4)], "src string, source_size long, target double"), length_ratio=0.8
-    ).first()
-    rate = {s: math.exp(state.a + state.b * s / state.mean) for _, s, _ in cells}
-    words_taken = sum(rate[s] * s * n for _, s, n in cells)
-    docs_taken = sum(rate[s] * n for _, s, n in cells)
-    mean = total / sum(n for *_, n in cells)
-    assert math.isclose(words_taken, 0.4 * total, rel_tol=1e-6)
-    assert math.isclose(words_taken / docs_taken, 0.8 * mean, rel_tol=1e-6)
-    assert state.b < 0
+    sources = {s: [(size, 3 + size % 4) for size in range(1, 60)] + [(5000, 2)] for s in ("0.05", "0.4", "0.97", "1.0", "1.6", "2.9", "3.0")}
+    cells = spark.createDataFrame([(s, *c) for s, cs in sources.items() for c in cs], "src string, size long, n long")
+    total = sum(s * n for s, n in sources["0.4"])
+    targets = spark.createDataFrame([(s, total, total * float(s)) for s in sources], "src string, source_size long, target double")
+    got = {r.src: r for r in mixing.tilted_rates(cells, targets).collect()}
+    assert set(got) == set(sources)
+    for s, cs in sources.items():
+        share, (b, mean) = float(s), direct(cs, total * float(s))
+        rates = [(min(3.0, math.exp(min(9.0, got[s].b * size / mean))), n) for size, n in cs]
+        assert math.isclose(sum(r * size * n for (r, n), (size, _) in zip(rates, cs)), share * total, rel_tol=1e-6)
+        if share not in (1.0, 3.0):
+            assert math.isclose(got[s].b, b, rel_tol=1e-5) and (got[s].b < 0) == (share < 1)
+            assert entropy(rates) < entropy([(share, n) for _, n in cs])
+
+
+def test_the_registered_query_tilts(spark):
+    """Rates of a source differ by length, and are nearer to 1 than the uniform rate of the same words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    groups = {}
+    for r in mixing.op4_entropy_mixing(spark, "/root/testdata/sf0.01").where("size > 0").collect():
+        groups.setdefault(source[r.doc_id], []).append(r)
+    tilted = 0
+    for rows_ in groups.values():
+        share = rows_[0].target / rows_[0].source_size
+        rates = [(r.rate, 1) for r in rows_]
+        assert math.isclose(sum(r.rate * r["size"] for r in rows_), rows_[0].target, rel_tol=1e-6)
+        assert abs(sum(r.taken for r in rows_) - rows_[0].target) <= 0.005 * rows_[0].target  # half of a short text
+        if abs(share - 1) > 1e-6 and share < 3 - 1e-6:
+            tilted += len({r.rate for r in rows_}) > 1
+            assert entropy(rates) < entropy([(share, 1)] * len(rows_))
+    assert tilted >= len(groups) - 2
+
+
+def test_many_sources_settle_like_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    sizes = {f"s{k}": int(rng.paretovariate(0.7)) for k in range(500)} | {None: 40, "zero": 0}
+    table = [("n" if s is None else f"s{s}", s, n) for s, n in sizes.items()]
+    got = {r.src: r.target for r in mixing.source_targets(spark.createDataFrame(table, "src string, source string, source_size long")).collect()}
+    for s, t in brute_targets(sizes).items():
+        assert math.isclose(got["n" if s is None else f"s{s}"], t, rel_tol=1e-9, abs_tol=1e-9)
 
 
 def test_one_length_one_source_and_empty(spark):
