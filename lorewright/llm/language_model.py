@@ -7,9 +7,14 @@ the endings of the two words before (bigram), and the endings two and three back
 absolute discounting, whose mass goes to one slot of the class for unseen words.
 
 Words are counted exactly over all training documents, in blocks of about BLOCK_BYTES of text: a block sends each of
-its words once, gets the global counts back, and is scored with nothing but these.  Training reads all training
-documents: every task runs minibatch updates over its own, the tasks' weights are averaged in a tree, and the
-next round starts from there.  The weights have a fixed size, and so has the table of neighbouring endings.
+its words once, gets the global counts back, and is scored with nothing but these.  A word that is in more than
+GROUP_BLOCKS blocks is summed by groups of blocks, and each group gets its own copy of the sum.
+
+Training is batch descent on the likelihood: every round sums a gradient over all training documents, in every task from
+the same weights, and the sums meet in a tree.  The first round needs the observed counts of (feature, class) only,
+since the model is still the same in every context; ROUNDS more take Newton steps along the diagonal.  Sums do not
+depend on how documents lie in tasks, and so neither do weights and scores.  Word features are hashed into more rows the
+more different words there are, from 2 ** 13 to 2 ** 15 (the table stands in every task and on the driver).
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import materialize, row_print, table, text_or_empty
+from lorewright.llm.common import materialize, release, row_print, table, text_or_empty
 from lorewright.llm.words import in_chunks, mixed, words_of
 
 FOLDS, HELD_OUT = 7, 2
@@ -30,11 +35,13 @@ BLOCK_BYTES = 12 << 20
 CODES, END_CODE = 1024, 1023
 OWN_CLASS, ENDING_CLASSES = 16, 32
 CLASSES = OWN_CLASS + ENDING_CLASSES
-WORD_ROWS, PAIR_ROWS = 1 << 13, 1 << 13
+LEAST_WORD_ROWS, MOST_WORD_ROWS, PAIR_ROWS = 1 << 13, 1 << 15, 1 << 13
 #: Where each feature's rows begin: word before, pair of endings, ending two back, ending three back.
-ROWS_AT = (0, WORD_ROWS, WORD_ROWS + PAIR_ROWS, WORD_ROWS + PAIR_ROWS + CODES)
-ROWS = WORD_ROWS + PAIR_ROWS + 2 * CODES
-ROUNDS, BATCH, RATE = 1, 8192, 0.5
+ROWS_AT = (PAIR_ROWS + 2 * CODES, 0, PAIR_ROWS, PAIR_ROWS + CODES)
+ROUNDS, BATCH = 1, 8192
+#: The first step's length and prior tokens a row; the Newton steps' length, ridge and bound.
+START, PRIOR, STEP, RIDGE, MOST_STEP = 0.4, 8.0, 0.5, 2.0, 1.0
+GROUP_BLOCKS = 2_000
 FAN_IN, PARTS = 32, 16
 END = np.uint64(0x5EED0E0D)
 
@@ -47,15 +54,15 @@ class Tokens:
     """Tokens of several texts, each closed by an end: hash, ending code, and the bounds of the texts."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        h, _, end, low, bounds = words_of(texts)
-        # the last two bytes before one closing sign
+        h, start, end, low, bounds = words_of(texts)
+        # the last two bytes of the word before one closing sign; none is 0, so that a word has one code everywhere
         e = end.astype(np.int64)
         sign = low[e - 1] < 128 if len(e) else np.zeros(0, bool)
         if len(e):
             last = low[e - 1]
             sign &= ~(((last >= 97) & (last <= 122)) | ((last >= 48) & (last <= 57)))
         e = e - sign
-        a, b = (low[np.maximum(e - k, 0)].astype(np.uint64) if len(e) else np.zeros(0, np.uint64) for k in (1, 2))
+        a, b = (np.where(e - k >= start, low[np.maximum(e - k, 0)], 0).astype(np.uint64) if len(e) else np.zeros(0, np.uint64) for k in (1, 2))
         code = (mixed(a * np.uint64(256) + b) % np.uint64(END_CODE)).astype(np.int32)
         at = bounds[1:]
         self.hash = np.insert(h, at, END)
@@ -72,12 +79,12 @@ class Tokens:
             out[at[at < len(out)]] = fill
         return out
 
-    def rows(self) -> np.ndarray:
+    def rows(self, word_rows: int = LEAST_WORD_ROWS) -> np.ndarray:
         """The four weight rows of every token's context."""
-        word = (self.back(self.hash, 1, END) >> np.uint64(20)) % np.uint64(WORD_ROWS)
+        word = (self.back(self.hash, 1, END) >> np.uint64(20)) % np.uint64(word_rows)
         one, two, three = (self.back(self.code, k, END_CODE) for k in (1, 2, 3))
         pair = mixed(one.astype(np.uint64) * np.uint64(CODES) + two.astype(np.uint64)) % np.uint64(PAIR_ROWS)
-        return np.stack([word.astype(np.int64), pair.astype(np.int64) + ROWS_AT[1], two.astype(np.int64) + ROWS_AT[2], three.astype(np.int64) + ROWS_AT[3]])
+        return np.stack([word.astype(np.int64) + ROWS_AT[0], pair.astype(np.int64) + ROWS_AT[1], two.astype(np.int64) + ROWS_AT[2], three.astype(np.int64) + ROWS_AT[3]])
 
 
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
@@ -152,7 +159,10 @@ class Model:
             self.log_n = np.log10(np.maximum(n, 1))
             self.unseen = np.where(n > 0, np.log10(np.maximum(self.discount * v, 1e-9)) - self.log_n, 0.0)
         self.bias = np.log(np.maximum(n, 0.5) / max(1.0, n.sum())).astype(np.float32)
-        self.weights = np.zeros((ROWS, CLASSES), np.float32)
+        self.word_rows = LEAST_WORD_ROWS
+        while self.word_rows < min(MOST_WORD_ROWS, types // 8):
+            self.word_rows *= 2
+        self.weights = np.zeros((ROWS_AT[0] + self.word_rows, CLASSES), np.float32)
 
     def classes(self, t: Tokens) -> np.ndarray:
         own = (OWN_CLASS + self.class_of[t.code]).astype(np.int64)
@@ -185,72 +195,89 @@ class Model:
         seen = np.log10(np.maximum(count - self.discount[own], 1e-9)) - self.log_n[own]
         return np.where(count > 0, seen, self.unseen[own])
 
-    def update(self, rows: np.ndarray, own: np.ndarray, gathered: np.ndarray) -> None:
-        """One minibatch step; gathered has each row's sum of squared gradients."""
-        p = self.logits(rows)
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(p)), own] -= 1
+    def observed(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """How often each row and class met."""
+        out = np.zeros(self.weights.size)
         for r in rows:
-            order = np.argsort(r, kind="stable")
-            mine = r[order]
-            first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-            grad = np.add.reduceat(p[order], first, axis=0)
-            at = mine[first]
-            gathered[at] += np.einsum("ij,ij->i", grad, grad) / CLASSES
-            self.weights[at] -= RATE * grad / np.sqrt(gathered[at] + 1.0)[:, None]
-
-
-def _trainer(model: Model):
+            out += np.bincount(r * CLASSES + own, minlength=out.size)
+        return out.reshape(self.weights.shape)
+
+    def expected(self, rows: np.ndarray, into: np.ndarray) -> None:
+        """Adds how often the model expects each row and class to meet."""
+        for a in range(0, rows.shape[1], BATCH):
+            p = self.logits(rows[:, a : a + BATCH])
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+            for r in rows[:, a : a + BATCH]:
+                order = np.argsort(r, kind="stable")
+                mine = r[order]
+                first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+                into[mine[first]] += np.add.reduceat(p[order], first, axis=0)
+
+    def first_step(self, observed: np.ndarray) -> None:
+        """From classes alone to rows, which lean to the classes that they have met."""
+        p = np.exp(self.bias.astype(float))
+        p /= p.sum()
+        met = observed.sum(axis=1, keepdims=True)
+        self.weights = (START * np.log((observed + PRIOR * p) / ((met + PRIOR) * p))).astype(np.float32)
+
+    def next_step(self, observed: np.ndarray, expected: np.ndarray) -> None:
+        self.weights += np.clip(STEP * (observed - expected) / (expected + RIDGE), -MOST_STEP, MOST_STEP).astype(np.float32)
+
+
+def _summed_rows(model: Model, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task's updates over its texts; yields its weights in PARTS pieces with the tokens they have seen."""
-        gathered, seen = np.zeros(ROWS, np.float32), 0
-        own = Model.__new__(Model)
-        own.__dict__.update(model.__dict__)
-        own.weights = model.weights.copy()
+        """A task's sums over its texts, in PARTS pieces."""
+        total, seen = np.zeros(model.weights.shape), False
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for a, b in in_chunks(texts):
-                t = Tokens(texts[a:b])
-                rows, target = t.rows(), own.classes(t)
-                for k in range(0, len(target), BATCH):
-                    own.update(rows[:, k : k + BATCH], target[k : k + BATCH], gathered)
-                seen += len(target)
+                t, seen = Tokens(texts[a:b]), True
+                rows = t.rows(model.word_rows)
+                if first:
+                    total += model.observed(rows, model.classes(t))
+                else:
+                    model.expected(rows, total)
         if seen:
-            parts = np.array_split(own.weights, PARTS)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(PARTS, TaskContext.get().partitionId(), np.int64)), pa.array(np.arange(PARTS, dtype=np.int64)),
-                    pa.array(np.full(PARTS, float(seen))), pa.array([p.astype(np.float16).tobytes() for p in parts], pa.binary()),
-                ],
-                ["task", "part", "seen", "weights"],
-            )
+            parts = [p.astype(np.float32).tobytes() for p in np.array_split(total, PARTS)]
+            task = np.full(PARTS, TaskContext.get().partitionId(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(np.arange(PARTS, dtype=np.int64)), pa.array(parts, pa.binary())], ["task", "part", "sums"])
 
     return run
 
 
-def _averaged(key: tuple, group: pa.Table) -> pa.Table:
-    rows = sorted(zip(group.column("task").to_pylist(), group.column("seen").to_pylist(), group.column("weights").to_pylist(), strict=True))
-    total = sum(seen for _, seen, _ in rows)
-    mean = sum(np.frombuffer(w, np.float16).astype(np.float32) * np.float32(seen / total) for _, seen, w in rows)
-    return pa.table({"task": [key[0].as_py()], "part": [key[1].as_py()], "seen": [total], "weights": pa.array([mean.astype(np.float16).tobytes()], pa.binary())})
+def _added(key: tuple, group: pa.Table) -> pa.Table:
+    rows = sorted(zip(group.column("task").to_pylist(), group.column("sums").to_pylist(), strict=True))
+    total = sum(np.frombuffer(x, np.float32).astype(float) for _, x in rows)
+    return pa.table({"task": [key[0].as_py()], "part": [key[1].as_py()], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _sums(model: Model, texts: DataFrame, first: bool) -> np.ndarray | None:
+    """The sums over all texts, added in a tree of FAN_IN, so no task gathers many; None without texts."""
+    schema = "task long, part long, sums binary"
+    level = materialize(texts.mapInArrow(_summed_rows(model, first), schema), "sums")
+    while True:
+        most = level.agg(F.max("task")).first()[0]
+        if most is None:
+            return None
+        above = materialize(level.withColumn("up", F.floor(F.col("task") / FAN_IN)).groupBy("up", "part").applyInArrow(_added, schema), "sums")
+        release(level)
+        level = above
+        if most < FAN_IN:
+            break
+    got = {r.part: np.frombuffer(r.sums, np.float32) for r in level.collect()}  # a table of the weights' shape, once
+    release(level)
+    return np.concatenate([got[k] for k in range(PARTS)]).reshape(model.weights.shape).astype(float)
 
 
 def train(model: Model, texts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Rounds of updates over all texts; weights are averaged in a tree of FAN_IN, so no task gathers many."""
-    schema = "task long, part long, seen double, weights binary"
-    for _ in range(rounds):
-        level = materialize(texts.mapInArrow(_trainer(model), schema), "weights")
-        while True:
-            most = level.agg(F.max("task")).first()[0]
-            if most is None:
-                return model
-            level = materialize(level.withColumn("up", F.floor(F.col("task") / FAN_IN)).groupBy("up", "part").applyInArrow(_averaged, schema), "weights")
-            if most < FAN_IN:
-                break
-        got = {r.part: np.frombuffer(r.weights, np.float16) for r in level.collect()}  # the weights, once
-        model.weights = np.concatenate([got[k] for k in range(PARTS)]).astype(np.float32).reshape(ROWS, CLASSES)
+    """The first step and rounds more; every one sums over all texts."""
+    observed = _sums(model, texts, True)
+    if observed is not None:
+        model.first_step(observed)
+        for _ in range(rounds):
+            model.next_step(observed, _sums(model, texts, False))
     return model
 
 
@@ -268,7 +295,7 @@ def _scorer(model: Model):
             t = Tokens(texts[a:b])
             count = n[np.searchsorted(known, t.hash)]  # every token of the block is in its list
             own = model.classes(t)
-            score = model.class_scores(t.rows(), own) + model.word_scores(own, count)
+            score = model.class_scores(t.rows(model.word_rows), own) + model.word_scores(own, count)
             at = t.bounds[:-1]
             for column, values in zip(columns, (np.diff(t.bounds), np.add.reduceat((count > 0).astype(np.int64), at), np.add.reduceat(np.log10(count + 1.0) - floor, at), np.add.reduceat(score, at)), strict=True):
                 column.append(values)
@@ -282,17 +309,28 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = R
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Trained on the rows outside the held-out fold.  A null text is empty and has one token, the end.  Without
-    training rows every token is unseen and scores by the class softmax alone.  An empty table gives no rows.
+    training rows every token is unseen and scores by the class softmax alone.  An empty table gives no rows.  Repeated
+    rows count and score each for itself, a null doc_id is in the fold of the empty text.  A text longer than a block
+    is read whole, in pieces.  Scores agree to float32 however docs is partitioned.  Other columns enter only the
+    fingerprint that deals rows to blocks.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("text"), row_print(docs).alias("print"))
     total = slim.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     blocked = slim.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", "print"), F.lit(blocks)).alias("block"))
     counted = materialize(blocked.select("held_out", "text", "block").groupBy("block").applyInArrow(_count_block, "kind byte, key long, code short, block long, n long"), "counted")
-    by_word = Window.partitionBy("key")
-    words = counted.where("kind = 0").select("key", "code", "block", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
-    words = materialize(words, "words")
-    once = words.where("first AND c > 0")
+    by_word, seen = Window.partitionBy("key"), counted.where("kind = 0")
+    if blocks <= GROUP_BLOCKS:  # a key has a row a block at most
+        words = seen.select("key", "code", "block", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
+        words = materialize(words, "words")
+        once = words.where("first AND c > 0")
+    else:
+        seen = seen.withColumn("group", F.floor(F.col("block") / GROUP_BLOCKS))
+        summed = seen.groupBy("key", "group").agg(F.sum("n").alias("n"), F.min("code").alias("g_code"))
+        summed = summed.select(F.col("key").alias("g_key"), F.col("group").alias("g_group"), "g_code", F.sum("n").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("group")) == 1).alias("first"))
+        summed = materialize(summed, "summed")
+        words = materialize(seen.join(summed, (F.col("key") == F.col("g_key")) & (F.col("group") == F.col("g_group"))).select("key", "block", "c"), "words")
+        once = summed.where("first AND c > 0").select(F.col("g_key").alias("key"), F.col("g_code").alias("code"), "c")
     top = [(r.key, r.code, r.c) for r in once.orderBy(F.desc("c"), "key").limit(OWN_CLASS).collect()]
     by_code = once.groupBy("code").agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")
@@ -309,6 +347,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = R
         stats[k] = (n, 1, n == 1, n == 2)
         stats[OWN_CLASS + class_of[code]] -= (n, 1, n == 1, n == 2)
     model = Model(tokens, types, np.array([k for k, *_ in top], np.int64).view(np.uint64), class_of, stats)
+    release(counted)
     model = train(model, slim.where(~F.col("held_out")).select("text"), rounds)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocked.groupBy("block").cogroup(words.select("key", "c", "block").groupBy("block")).applyInArrow(_scorer(model), schema)

@@ -46,6 +46,7 @@ REACH = WINDOW - 1
 SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
 #: Shingle sets over so many elements are intersected as arrays.
 LARGE_SET = 50_000
+CLASS_ROWS = 2_000
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _OTHER = np.uint64(0x27D4EB2F165667C5)
 _ODD = np.random.default_rng(7).integers(1, 1 << 62, (BANDS * BAND_ROWS, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -326,14 +327,19 @@ def _extended(passages: DataFrame, docs: DataFrame) -> DataFrame:
     parts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # surroundings are wanted of a class if somewhere its neighbours leave words between
     row = Window.partitionBy("print", "kept").orderBy("start")
+    shares = F.ceil(F.col("class_size") / CLASS_ROWS)
     gaps = passages.select(
+        shares.alias("shares"),
         "class_id",
         "class_check",
         F.coalesce(F.lag(F.col("word") + F.col("words")).over(row) < F.col("word"), F.lit(True)).alias("left"),
         F.coalesce(F.lead("word").over(row) > F.col("word") + F.col("words"), F.lit(True)).alias("right"),
     )
-    wanted = gaps.groupBy(F.col("class_id").alias("g_class"), F.col("class_check").alias("g_check")).agg(F.max("left").alias("left"), F.max("right").alias("right")).where("left OR right")
-    units = passages.join(wanted, (F.col("class_id") == F.col("g_class")) & (F.col("class_check") == F.col("g_check")))
+    wanted = gaps.groupBy(F.col("class_id").alias("g_class"), F.col("class_check").alias("g_check")).agg(F.max("left").alias("left"), F.max("right").alias("right"), F.max("shares").alias("g_shares"))
+    # places of a frequent class meet its row in shares of CLASS_ROWS
+    wanted = wanted.where("left OR right").withColumn("g_share", F.explode(_upto("g_shares")))
+    share = F.pmod(F.xxhash64("print", "start"), shares)
+    units = passages.withColumn("share", share).join(wanted, (F.col("class_id") == F.col("g_class")) & (F.col("class_check") == F.col("g_check")) & (F.col("share") == F.col("g_share")))
     unit = F.struct(F.col("class_id").alias("content"), F.col("class_check").alias("check"), "doc_id", "start", "stop", "words", "word", "kept", "left", "right")
     units = units.groupBy(F.col("print").alias("u_print")).agg(F.collect_set(unit).alias("units"))
     texts = docs.join(units, F.col("print") == F.col("u_print")).select("text", "print", "units")

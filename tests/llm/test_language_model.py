@@ -83,14 +83,89 @@ def test_probabilities_add_up():
 
 
 def test_gradient_is_that_of_the_likelihood():
+    """Observed less expected counts are the slope of the log likelihood, measured weight by weight; steps raise it."""
     rng = np.random.default_rng(3)
     model = L.Model(10, 5, np.zeros(0, np.uint64), np.zeros(L.CODES, int), np.ones((L.CLASSES, 4), np.int64))
-    rows = np.stack([rng.integers(0, 20, 64) + at for at in L.ROWS_AT])
+    rows = np.stack([rng.integers(0, 4, 64) + at for at in L.ROWS_AT])
     own = rng.integers(0, L.CLASSES, 64)
-    before, gathered = model.class_scores(rows, own).sum(), np.zeros(L.ROWS, np.float32)
-    for _ in range(40):
-        model.update(rows, own, gathered)
-    assert model.class_scores(rows, own).sum() > 0.5 * before
+    model.weights[: L.ROWS_AT[0] + 4] = rng.normal(size=(L.ROWS_AT[0] + 4, L.CLASSES)) / 4
+    observed, expected = model.observed(rows, own), np.zeros(model.weights.shape)
+    model.expected(rows, expected)
+    gain = lambda: model.class_scores(rows, own).sum() * np.log(10)
+    for _ in range(20):
+        r, c = rows[rng.integers(0, 4), rng.integers(0, 64)], rng.integers(0, L.CLASSES)
+        kept, e = model.weights[r, c], 0.05
+        model.weights[r, c] = kept + e
+        up = gain()
+        model.weights[r, c] = kept - e
+        down = gain()
+        model.weights[r, c] = kept
+        assert abs((up - down) / (2 * e) - (observed[r, c] - expected[r, c])) < 0.05
+    before = gain()
+    model.next_step(observed, expected)
+    assert gain() > before
+
+
+def naive_score(model, tokens, count):
+    """The log10 probability of one text, token by token; tokens is [(hash, code)], count a dict by hash."""
+    total, end = 0.0, (int(L.END), L.END_CODE)
+    mix = lambda x: int(L.mixed(np.array([x], np.uint64))[0])
+    for k, (h, code) in enumerate(tokens):
+        back = [tokens[k - j] if k >= j else end for j in (1, 2, 3)]
+        rows = [
+            (back[0][0] >> 20) % model.word_rows + L.ROWS_AT[0], mix(back[0][1] * L.CODES + back[1][1]) % L.PAIR_ROWS + L.ROWS_AT[1],
+            back[1][1] + L.ROWS_AT[2], back[2][1] + L.ROWS_AT[3],
+        ]
+        logits = [float(model.bias[c]) + sum(float(model.weights[r][c]) for r in rows) for c in range(L.CLASSES)]
+        top = {int(x): int(model.order[j]) for j, x in enumerate(model.top)}
+        own = top.get(h, L.OWN_CLASS + int(model.class_of[code]))
+        high = max(logits)
+        total += (logits[own] - high - math.log(sum(math.exp(x - high) for x in logits))) / math.log(10)
+        c = count.get(h, 0)
+        total += math.log10(max(c - model.discount[own], 1e-9)) - model.log_n[own] if c else model.unseen[own]
+    return total
+
+
+def test_scores_match_brute_force(spark, monkeypatch):
+    """Counts, weights and scores of a small table, computed again with plain loops."""
+    kept, plain = [], L.train
+    monkeypatch.setattr(L, "train", lambda model, texts, rounds: kept.append(plain(model, texts, rounds)) or kept[-1])
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"W{int(rng.zipf(1.4)) % 60}ing," if rng.random() < 0.5 else f"ö{rng.integers(9)}ed" for _ in range(rng.integers(0, 40)))) for i in range(60)]
+    got = L.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=2_000).collect()
+    model = kept[0]
+    tokens = {i: list(zip((t := L.Tokens([x.encode()])).hash.tolist(), t.code.tolist(), strict=True)) for i, x in rows}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(h for i in train for h, _ in tokens[i])
+    assert len(got) == 60 and len({r.score for r in got}) > 50
+    for r in got:
+        assert math.isclose(r.score, naive_score(model, tokens[r.doc_id], count), rel_tol=1e-4)
+    # the weights, from observed and expected counts over all training texts at once
+    again = L.Model.__new__(L.Model)
+    again.__dict__.update(model.__dict__)
+    t = L.Tokens([x.encode() for i, x in rows if i in train])
+    observed, expected = again.observed(t.rows(again.word_rows), again.classes(t)), np.zeros(model.weights.shape)
+    again.first_step(observed)
+    again.expected(t.rows(again.word_rows), expected)
+    again.next_step(observed, expected)
+    assert L.ROUNDS == 1 and np.abs(again.weights - model.weights).max() < 1e-4
+
+
+def test_scores_do_not_depend_on_partitions(spark, scored):
+    rows, got = scored
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
+    base = sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+    for n in (1, 64):
+        other = sorted((str(r.doc_id), r.n_tokens, r.score) for r in L.score_texts(docs.repartition(n), block_bytes=300_000).collect())
+        assert [(a, b) for a, b in zip(base, other, strict=True) if a[:2] != b[:2] or abs(a[2] - b[2]) > 1e-4 * a[1]] == []
+
+
+def test_words_of_many_blocks_are_summed_by_groups(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the word {i % 9} of {i} the") for i in range(120)], "doc_id long, text string")
+    want = sorted(map(tuple, L.score_texts(docs, block_bytes=100).collect()))
+    monkeypatch.setattr(L, "GROUP_BLOCKS", 3)
+    got = sorted(map(tuple, L.score_texts(docs, block_bytes=100).collect()))
+    assert all(a[:6] == b[:6] and abs(a[6] - b[6]) < 1e-4 for a, b in zip(want, got, strict=True))
 
 
 def test_no_training_rows_and_empty_table(spark):
