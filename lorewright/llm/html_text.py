@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from functools import cache
 from html import unescape
 
@@ -31,7 +31,7 @@ TOKEN = re.compile(r"[a-z]+")
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold no main text by what they are.
-NEVER = frozenset("head script style noscript template nav aside footer form iframe object svg canvas select option button textarea dialog menu title audio video label".split())
+NEVER = frozenset("head script style noscript template nav aside footer iframe object svg canvas select option button textarea dialog menu title audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -39,29 +39,63 @@ BLOCK = frozenset(
 #: A start tag closes open elements of these names first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select body html article main section div".split())
+#: A form that holds one of these wraps the page; any other holds no main text.
+PAGE_PARTS = frozenset("article main header nav footer h1".split())
 CONTAINERS = frozenset({"<article", "<main"})
 MAIN_WORD, CLIP, TAG_COST = 0.05, 3.0, 0.3
 
 
 class Run:
-    """A run of text: what it says, the features of the elements around it, its place in a block."""
+    """A run of text: what it says, the features of the elements around it, its form, its place in a block."""
 
-    __slots__ = ("text", "marks", "never", "block")
+    __slots__ = ("text", "marks", "never", "block", "form")
 
-    def __init__(self, text: str, marks: frozenset, never: bool, block: int) -> None:
-        self.text, self.marks, self.never, self.block = text, marks, never, block
+    def __init__(self, text: str, marks: frozenset, never: bool, block: int, form: int = -1) -> None:
+        self.text, self.marks, self.never, self.block, self.form = text, marks, never, block, form
 
 
-def page_sequence(html: str) -> list[Run | str]:
-    """Text runs and tag names ("/p" for an end tag) in page order."""
+class Open:
+    """The open elements.  What tags need to know of them is kept as they come and go, so a tag costs what it closes."""
+
+    def __init__(self) -> None:
+        self.names, self.marks, self.never, self.form = [""], [frozenset()], [False], [-1]
+        self.near: list[dict[str, int]] = [{}]  # of the elements that later tags may close: the outermost in scope
+        self.places: dict[str, list[int]] = {}
+        self.outside: list[int] = []  # places of headers and elements that hold no main text
+
+    def push(self, name: str, marks: frozenset, never: bool, form: int) -> None:
+        place = len(self.names)
+        near = {} if name in SCOPE else self.near[-1]
+        if (name == "p" or name in CLOSES) and name not in near:
+            near = {**near, name: place}
+        for column, value in zip((self.names, self.marks, self.never, self.form, self.near), (name, marks, never, form, near), strict=True):
+            column.append(value)
+        self.places.setdefault(name, []).append(place)
+        if name in NEVER or name == "header":
+            self.outside.append(place)
+
+    def cut(self, place: int) -> None:
+        while self.outside and self.outside[-1] >= place:
+            self.outside.pop()
+        for name in self.names[place:]:
+            self.places[name].pop()
+        for column in (self.names, self.marks, self.never, self.form, self.near):
+            del column[place:]
+
+    def last(self, name: str) -> int | None:
+        places = self.places.get(name)
+        return places[-1] if places else None
+
+
+def page_sequence(html: str, known: Container[str] | None = None) -> list[Run | str]:
+    """Text runs and tag names ("/p" for an end tag) in page order; marks outside known are left out."""
     out: list[Run | str] = []
-    stack: list[tuple[str, frozenset, bool]] = [("", frozenset(), False)]
+    stack, wraps = Open(), []
     block, at = 0, 0
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            _, marks, never = stack[-1]
-            out.append(Run(unescape(raw), marks, never, block))
+            out.append(Run(unescape(raw), stack.marks[-1], stack.never[-1], block, stack.form[-1]))
         elif raw:
             out.append(Run(" ", frozenset(), False, block))
 
@@ -69,6 +103,9 @@ def page_sequence(html: str) -> list[Run | str]:
         m = TAG.search(html, at)
         if m is None:
             text(html[at:])
+            for x in out:
+                if isinstance(x, Run) and x.form >= 0 and not wraps[x.form]:
+                    x.never = True
             return out
         text(html[at : m.start()])
         at = m.end()
@@ -84,42 +121,37 @@ def page_sequence(html: str) -> list[Run | str]:
         if name == "br":
             out.append(Run(" ", frozenset(), False, block))
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+            place = stack.last(name)
+            if place is not None:
+                stack.cut(place)
             continue
         if name in VOID:
             continue
-        if name in BLOCK and any(s[0] == "p" for s in stack):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPE:
-                    break
+        if name in BLOCK and "p" in stack.near[-1]:
+            stack.cut(stack.near[-1]["p"])
         if name in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES[name]:
-                    del stack[k:]
-                elif stack[k][0] in SCOPE:
-                    break
-        if name == "main" or name == "article" and any(s[0] in ("nav", "header") for s in stack):
-            # a menu that was never closed ends here
-            for k in range(1, len(stack)):
-                if stack[k][0] in NEVER or stack[k][0] == "header":
-                    del stack[k:]
-                    break
-        _, marks, never = stack[-1]
-        own = {f"<{name}"}
+            found = [stack.near[-1][x] for x in CLOSES[name] if x in stack.near[-1]]
+            if found:
+                stack.cut(min(found))
+        if stack.outside and (name == "main" or name == "article" and (stack.places.get("nav") or stack.places.get("header"))):
+            stack.cut(stack.outside[0])  # a menu that was never closed ends here
+        form = stack.form[-1]
+        if form >= 0 and name in PAGE_PARTS:
+            wraps[form] = True
+        if name == "form" and form < 0:  # a form within a form is part of it
+            form = len(wraps)
+            wraps.append(False)
+        marks, own = stack.marks[-1], {f"<{name}"}
         if attrs and "=" in attrs and (told := {t for x in NAMES.findall(attrs) for t in TOKEN.findall("".join(x).lower())}):
             own |= {f".{t}" for t in told} | {f"@{t}" for t in told}
             marks = frozenset(m for m in marks if m[0] != "@")  # "@": of the innermost element with a name
-        outer = name == "header" and not marks & {"<article", "<main"}
+        if known is not None:
+            own = {x for x in own if x in known or x in CONTAINERS}
+        outer = name == "header" and not marks & CONTAINERS
         if name in RAW:
             close = re.compile(rf"</{name}\b", re.I).search(html, at)
             at = close.start() if close else len(html)
-        stack.append((name, marks | own, never or name in NEVER or outer))
+        stack.push(name, marks | own if own - marks else marks, stack.never[-1] or name in NEVER or outer, form)
 
 
 class Weights:
@@ -200,7 +232,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(html: str | None, weights: Weights) -> str:
-    sequence = page_sequence(html or "")
+    sequence = page_sequence(html or "", weights.marks)
     scores, blocks = [], {}
     for x in sequence:
         if isinstance(x, str):
@@ -223,7 +255,9 @@ def main_text(html: str | None, weights: Weights) -> str:
 def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars (code points).
 
-    A null or empty page, or one without main text, has an empty text.  Nothing is cut off; repeated rows stay.
+    A null or empty page, or one without main text, has an empty text.  Nothing is cut off, however long a page is
+    or however deep its elements; repeated rows stay, an empty table gives no rows, and other columns are not read.  Of
+    equally good regions the first, longest one is taken.  A form that wraps the page does not hide it.
     """
     fitted = weights or default_weights()
     model = (fitted.bias, fitted.marks, fitted.tags)
