@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lorewright.llm.common import materialize, table
+from lorewright.llm.common import materialize, release, table
 
 FOLDS = 5
 #: The labelled rows that the lexicon and the weights are fitted on, at most: those of least hash.
 MOST_TOXIC, MOST_CLEAN = 10_000, 20_000
-#: Terms of the learned lexicon at most (the training sample bounds them too).
-MOST_TERMS = 5_000
+#: Letters that a stem has at least, and word forms that must share it.
+STEM_LETTERS, STEM_FORMS = 3, 5
 WINDOW = 6
 CACHE = 400_000
 SEED_TERMS = (
@@ -214,6 +214,15 @@ def _tail(t: int, n: int, p: float) -> float:
     return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))
 
 
+def shared_beginnings(words: Iterable[str]) -> set[str]:
+    """Beginnings of any length that STEM_FORMS words or more share, and at which some of them part."""
+    ordered, found = sorted(set(words)), set()
+    for x, y in zip(ordered, ordered[STEM_FORMS - 1 :], strict=False):  # the first and last of so many neighbours
+        n = next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+        found |= {x[:k] for k in range(STEM_LETTERS, n + 1)}
+    return found
+
+
 def learn_lexicon(counts: Iterable[tuple[str, str, int, int]], toxic: int, clean: int, tried: int) -> list[tuple[str, bool, float]]:
     """(term, is a stem, weight) from (kind, string, toxic documents, clean documents); kind w: word, p: beginning.
 
@@ -224,25 +233,30 @@ def learn_lexicon(counts: Iterable[tuple[str, str, int, int]], toxic: int, clean
         return []
     rate, limit = toxic / (toxic + clean), math.log(0.05 / max(1, tried))
     good: dict[str, dict[str, tuple[int, int]]] = {"w": {}, "p": {}}
-    forms: dict[str, list[int]] = {}
+    words: dict[str, int] = {}
     for kind, x, t, c in counts:
         lift = WORD_LIFT if kind == "w" else STEM_LIFT
         if t >= 3 and t * clean >= lift * c * toxic and _tail(t, t + c, rate) <= limit:
             good[kind][x] = (t, c)
         if kind == "w":
-            for k in range(3, min(8, len(x)) + 1):
+            words[x] = t
+    forms: dict[str, list[int]] = {}
+    lengths = sorted({len(x) for x in good["p"]})
+    for x, t in words.items():
+        for k in lengths:
+            if k <= len(x) and x[:k] in good["p"]:
                 forms.setdefault(x[:k], []).append(t)
     weight = lambda t, c: min(8.0, math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)))
     stems: dict[str, tuple[int, int]] = {}
     # the least likely first; of nested beginnings with the same documents the longest
     for x in sorted(good["p"], key=lambda x: (_tail(good["p"][x][0], sum(good["p"][x]), rate), -len(x), x)):
         own = forms.get(x, [])
-        related = any(x[:k] in stems for k in range(3, len(x))) or any(s.startswith(x) for s in stems)
-        if not related and len(own) >= 5 and max(own) <= 0.6 * good["p"][x][0]:
+        related = any(x[:k] in stems for k in range(STEM_LETTERS, len(x))) or any(s.startswith(x) for s in stems)
+        if not related and len(own) >= STEM_FORMS and max(own) <= 0.6 * good["p"][x][0]:
             stems[x] = good["p"][x]
-    words = {x: n for x, n in good["w"].items() if len(x) >= 3}  # beside their stems, for misspelled beginnings
-    found = [(x, True, weight(*n)) for x, n in stems.items()] + [(x, False, weight(*n)) for x, n in words.items()]
-    return sorted(found, key=lambda x: (-x[2], x[0]))[:MOST_TERMS]
+    whole = {x: n for x, n in good["w"].items() if len(x) >= 3}  # beside their stems, for misspelled beginnings
+    found = [(x, True, weight(*n)) for x, n in stems.items()] + [(x, False, weight(*n)) for x, n in whole.items()]
+    return sorted(found, key=lambda x: (-x[2], x[0]))
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,20 +270,39 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("sketch", pa.array(sketch, pa.int64()))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = (Counter(), Counter())
-    for batch in batches:
-        for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
-            words = {w.strip("".join(c for c in set(w) if not c.isalnum())) for w in (text.as_py() or "").lower().split()}
-            words.discard("")
-            count = seen[bool(toxic.as_py())]
-            count.update(("w", w) for w in words if len(w) <= 64)
-            count.update({("p", w[:k]) for w in words for k in range(3, min(8, len(w)) + 1)})
-    keys = list({**seen[0], **seen[1]})
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([k for k, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())],
-        ["kind", "x", "t", "c"],
-    )
+def _words(text: str | None) -> set[str]:
+    words = {w.strip("".join(c for c in set(w) if not c.isalnum())) for w in (text or "").lower().split()}
+    words.discard("")
+    return words
+
+
+def _counter(kind: str, strings):
+    """Counts the groups (sketch, toxic) in which each of strings(words) is met; rows come sorted by group, which may run over batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, group, words = (Counter(), Counter()), None, set()
+        for batch in batches:
+            for text, sketch, toxic in zip(batch.column("text"), batch.column("sketch").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                if group != (sketch, toxic):
+                    if group:
+                        seen[bool(group[1])].update(strings(words))
+                    group, words = (sketch, toxic), set()
+                words |= _words(text.as_py())
+        if group:
+            seen[bool(group[1])].update(strings(words))
+        keys = list({**seen[0], **seen[1]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())],
+            ["kind", "x", "t", "c"],
+        )
+
+    return run
+
+
+def _counted(texts: DataFrame, kind: str, strings) -> DataFrame:
+    dealt = texts.repartition("sketch").sortWithinPartitions("sketch", "toxic")
+    counted = dealt.mapInArrow(_counter(kind, strings), "kind string, x string, t long, c long")
+    return materialize(counted.groupBy("kind", "x").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "words")
 
 
 def _innocent_words(counted: DataFrame, lexicon: list[tuple[str, bool, float]], toxic: int, clean: int) -> list[str]:
@@ -285,13 +318,13 @@ def _innocent_words(counted: DataFrame, lexicon: list[tuple[str, bool, float]],
     return sorted(r.x for r in used.select("x").mapInArrow(near, "x string").collect())
 
 
-def fit(features: np.ndarray, toxic: np.ndarray, penalty: float = 1.0) -> np.ndarray:
-    """Logistic weights with a squared penalty on the distance from PRIOR, by Newton's method."""
+def fit(features: np.ndarray, toxic: np.ndarray, shares: np.ndarray, penalty: float = 1.0) -> np.ndarray:
+    """Logistic weights with a squared penalty on the distance from PRIOR, by Newton's method; a row counts by its share."""
     w = PRIOR.copy()
     for _ in range(50 if len(toxic) else 0):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        grad = features.T @ (p - toxic) + penalty * (w - PRIOR)
-        step = np.linalg.solve((features * (p * (1 - p))[:, None]).T @ features + penalty * np.eye(len(w)), grad)
+        grad = features.T @ (shares * (p - toxic)) + penalty * (w - PRIOR)
+        step = np.linalg.solve((features * (shares * p * (1 - p))[:, None]).T @ features + penalty * np.eye(len(w)), grad)
         w -= step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
@@ -331,32 +364,45 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     picked = own.where("toxic = 1").orderBy(order).limit(MOST_TOXIC).unionByName(own.where("toxic = 0").orderBy(order).limit(MOST_CLEAN))
     ids = F.broadcast(picked.withColumnRenamed("doc_id", "__id"))  # MOST_TOXIC + MOST_CLEAN rows of 12 bytes
     labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id") == F.col("__id"))
-    sketched = labelled.select("text", "toxic").mapInArrow(_sketched, "text string, toxic int, sketch long")
-    # one text of each group of copies, or their other words would count as marks
-    texts = materialize(sketched.groupBy("sketch", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "labelled")
-    size = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    counted = materialize(texts.mapInArrow(_count_words, "kind string, x string, t long, c long").groupBy("kind", "x").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "words")
+    sketched = materialize(labelled.select("text", "toxic").mapInArrow(_sketched, "text string, toxic int, sketch long"), "sketched")
+    # copies count together as one, or their other words would count as marks; all texts of the sample are read
+    groups = sketched.groupBy(F.col("sketch").alias("g_sketch"), F.col("toxic").alias("g_toxic")).agg((1 / F.count(F.lit(1))).alias("share"))
+    texts = sketched.join(groups, (F.col("sketch") == F.col("g_sketch")) & (F.col("toxic") == F.col("g_toxic"))).select("text", "toxic", "sketch", "share")
+    texts = materialize(texts, "labelled")
+    release(sketched)
+    size = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count_distinct("sketch").alias("n")).collect()}
+    toxic, clean = size.get(1, 0), size.get(0, 0)
+    counted = _counted(texts, "w", lambda words: words)
     # words and beginnings of three of the MOST_TOXIC documents at least
-    rows = [(r.kind, r.x, r.t, r.c) for r in counted.where(F.col("t") >= 3).where(F.col("t") * size.get(0, 0) >= F.col("c") * size.get(1, 0) * STEM_LIFT).collect()]
-    learned = learn_lexicon(rows, size.get(1, 0), size.get(0, 0), counted.where("t + c >= 3").count())
+    marks = lambda table: [(r.kind, r.x, r.t, r.c) for r in table.where(F.col("t") >= 3).where(F.col("t") * clean >= F.col("c") * toxic * STEM_LIFT).collect()]
+    rows = marks(counted)
+    begun = shared_beginnings(x for _, x, *_ in rows)
+    lengths = sorted({len(x) for x in begun})
+    beginnings = _counted(texts, "p", lambda words: {w[:k] for w in words for k in lengths if k <= len(w) and w[:k] in begun})
+    learned = learn_lexicon([*rows, *marks(beginnings)], toxic, clean, counted.where("t + c >= 3").count() + len(begun))
     have = {x for x, *_ in learned}
     lexicon = learned + [(x, False, SEED_WEIGHT) for x in SEED_TERMS if x not in have]
 
-    innocent = frozenset(_innocent_words(counted, lexicon, size.get(1, 0), size.get(0, 0)))
+    innocent = frozenset(_innocent_words(counted, lexicon, toxic, clean))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon, innocent)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([reader.features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64())), batch.column("toxic")], ["f", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([reader.features(t.as_py()) for t in batch.column("text")], pa.list_(pa.float64())), batch.column("toxic"), batch.column("share")], ["f", "toxic", "share"])
 
-    got = texts.mapInArrow(featured, "f array<double>, toxic int").groupBy("f", "toxic").count().collect()  # MOST_TOXIC + MOST_CLEAN rows
-    got = sorted((tuple(r.f), r.toxic, r["count"]) for r in got)
-    features = np.array([f for f, _, n in got for _ in range(n)]).reshape(-1, len(FEATURES))
-    return Model(lexicon, innocent, fit(features, np.array([t for _, t, n in got for _ in range(n)], float)))
+    got = texts.mapInArrow(featured, "f array<double>, toxic int, share double").groupBy("f", "toxic").agg(F.sum("share").alias("share")).collect()  # MOST_TOXIC + MOST_CLEAN rows
+    got = sorted((tuple(r.f), r.toxic, r.share) for r in got)
+    features = np.array([f for f, *_ in got]).reshape(-1, len(FEATURES))
+    release(texts, counted, beginnings)
+    return Model(lexicon, innocent, fit(features, np.array([t for _, t, _ in got], float), np.array([n for *_, n in got], float)))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score, predicted.  Null texts score like empty ones."""
+    """One row per row of docs: doc_id, held_out, score, predicted.
+
+    Null texts score like empty ones; texts are read whole, however long.  Equal texts have equal scores, repeated rows and
+    rows with a null doc_id are scored each.  An empty table gives no rows.  Only doc_id and text are read.
+    """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -71,6 +72,68 @@ def test_whole_words_stay_beside_their_stem():
     assert reader.features("such vilehearted talk")[2] > 0 and reader.features("such vlieheartde talk")[2] > 0
 
 
+def test_stems_have_any_length_and_copies_count_once(spark):
+    rng = random.Random(5)
+    calm = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    forms = ["schadenfreudig" + x for x in ("er", "es", "em", "en", "ste", "keit")]
+    rows, labels = [], []
+    for i in range(1, 3000):
+        bad = i % 6 == 0
+        rows.append((i, calm(20) + (f" {rng.choice(forms)} {calm(5)}" if bad else "")))
+        labels.append((i, 1, int(bad)))
+    copied = calm(30)
+    rows += [(5000 + i, f"{copied} {rng.choice(forms)}") for i in range(400)]  # 400 copies do not make their words marks
+    labels += [(5000 + i, 1, 1) for i in range(400)]
+    long_word = "x" * 500
+    rows += [(6000 + i, f"{calm(12)} {long_word}") for i in range(200)]
+    labels += [(6000 + i, 1, 1) for i in range(200)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lexicon = {x[:2] for x in toxicity.train(docs, told).lexicon}
+    assert ("schadenfreudig", True) in lexicon or ("schadenfreudige", True) in lexicon
+    assert (long_word, False) in lexicon and not any((w, False) in lexicon for w in copied.split())
+
+
+def test_shared_beginnings_match_brute_force():
+    rng = random.Random(9)
+    for _ in range(100):
+        words = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 40))}
+        want = {w[:k] for w in words for k in range(3, len(w) + 1)}
+        assert toxicity.shared_beginnings(words) == {p for p in want if sum(w.startswith(p) for w in words) >= 5}
+
+
+def naive_score(text, lexicon, innocent, weights):
+    """The score from edit distances to every term, word by word."""
+    words, hits = (text or "").lower().split(), {}
+    for i, w in enumerate(words):
+        core = w.strip("".join(c for c in set(w) if not c.isalnum()))
+        found = []
+        for term, stem, value in lexicon if core and core not in innocent else ():
+            for part in [core[:k] for k in range(1, len(core) + 1)] if stem else [core]:
+                d = distance(part, term)
+                if d <= toxicity.allowance(term, stem) and (len(term) > 5 or part[0] == term[0]):
+                    found.append((value * 0.8**d, d))
+        if found:
+            hits[i] = max(found)
+    used = [i for i in hits if not toxicity.Reader._is_quoted(words, i, max(0, i - 6), min(len(words), i + 7))]
+    row = [1.0] + [0.0] * 7
+    if hits:
+        near = [any(words[k].strip(".,;:!?") in toxicity.ADDRESS or (k != i and k in hits) for k in range(max(0, i - 6), min(len(words), i + 7))) for i in used]
+        strength = [hits[i][0] for i in used]
+        row = [1.0, max(strength, default=0.0), math.log1p(len(used)), math.log1p(len(hits) - len(used)), math.log1p(sum(near)), math.log1p(100 * len(used) / len(words)),
+               sum(hits[i][1] > 0 for i in used) / max(1, len(used)), math.log1p(sum(strength))]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(row, weights, strict=True))))
+
+
+def test_scores_match_brute_force():
+    rng = random.Random(10)
+    lexicon = [("idiot", False, 4.0), ("disgusting", False, 3.5), ("imbecile", False, 4.5), ("schadenf", True, 3.0), ("low", True, 5.0)]
+    model = toxicity.Model(lexicon, frozenset({"idiom"}), toxicity.PRIOR.copy())
+    score, pool = model.scorer(), ["idiot", "idoit", "idiom", "xdiot", "disgustin", "digsusting!!", "mbecile", "schadenfroh", "scha", "lowly", "you", "word", '"idiot"', "calm", "text,", "the", "“imbecile”"]
+    for _ in range(300):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
+        assert math.isclose(score(text), naive_score(text, lexicon, model.innocent, model.weights), rel_tol=1e-9), text
+
+
 def test_stems_and_quotation():
     reader = toxicity.Reader([("lowei", True, 5.0), ("idiot", False, 5.0)])
     assert reader.features("so loweischaft hier")[1] == 5.0
