@@ -205,15 +205,20 @@ class Model:
     def expected(self, rows: np.ndarray, into: np.ndarray) -> None:
         """Adds how often the model expects each row and class to meet."""
         for a in range(0, rows.shape[1], BATCH):
-            p = self.logits(rows[:, a : a + BATCH])
-            p -= p.max(axis=1, keepdims=True)
+            part = rows[:, a : a + BATCH]
+            # in the order of the word before: its rows need no sorting, and its weights are read along
+            part = part[:, np.argsort(part[0].astype(np.uint16) if len(self.weights) <= 1 << 16 else part[0], kind="stable")]
+            p = self.logits(part)  # steps are bounded, so no exponential overflows
             np.exp(p, out=p)
             p /= p.sum(axis=1, keepdims=True)
-            for r in rows[:, a : a + BATCH]:
-                order = np.argsort(r, kind="stable")
-                mine = r[order]
+            for k, r in enumerate(part):
+                if k:
+                    order = np.argsort(r.astype(np.uint16), kind="stable")  # rows of endings are few
+                    mine, q = r[order], p[order]
+                else:
+                    mine, q = r, p
                 first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-                into[mine[first]] += np.add.reduceat(p[order], first, axis=0)
+                into[mine[first]] += np.add.reduceat(q, first, axis=0)
 
     def first_step(self, observed: np.ndarray) -> None:
         """From classes alone to rows, which lean to the classes that they have met."""
@@ -229,7 +234,7 @@ class Model:
 def _summed_rows(model: Model, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A task's sums over its texts, in PARTS pieces."""
-        total, seen = np.zeros(model.weights.shape), False
+        total, seen = np.zeros(model.weights.shape, np.float64 if first else np.float32), False
         for batch in batches:
             texts = texts_of(batch.column("text"))
             for a, b in in_chunks(texts):
