@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Titles that are no safe mention by themselves.
 GENERIC_TITLES = (
@@ -11,8 +13,9 @@ GENERIC_TITLES = (
     "lady", "lord", "master", "prince", "princess", "queen", "sergeant", "sir",
 )
 
-#: The wordings of purchaser marks, page numbers and lines that are no titles.
+#: The wordings and bounds of purchaser marks, page numbers and lines that are no titles.
 WATERMARK = r"(?i)\b(?:order\s*#?\s*\d+\)?\s*$|customer\s*(?:id|number|#)\s*[:#]?\s*\d+\s*$|downloaded\s+(?:by|for)|purchased\s+by|copyright|all rights reserved)"
+WATERMARK_LENGTH, TITLE_LENGTHS, TITLE_WORDS, NO_TITLE_SIGNS = 180, (8, 100), 10, r"[.!?;:,()#]"
 PAGE_NUMBER = r"(?i)^(?:[-–—•·*]\s*)?(?:page\s*)?\d{1,4}(?:\s*(?:of|/|\|)\s*\d{1,4})?(?:\s*[-–—•·*])?$"
 NO_TITLE = r"(?i)^(?:a|an|if|when|while|each|any|some|many|several)\s"
 
@@ -21,6 +24,42 @@ def _gaps_to_space(x: Column, pattern: str) -> Column:
     return F.trim(F.regexp_replace(x, pattern, " "))
 
 
+@F.pandas_udf(StringType())
+def _nfkc(x: pd.Series) -> pd.Series:
+    return x.str.normalize("NFKC")
+
+
+@F.pandas_udf(StringType())
+def _nfkd(x: pd.Series) -> pd.Series:
+    return x.str.normalize("NFKD")
+
+
+def compatible(x: Column) -> Column:
+    """NFKC: ligatures, full-width and other compatibility forms become plain, accents are composed.  Spark has no
+    built-in for it, so Arrow batches go through Python: apply it where names and quotes come in, not in every join."""
+    return _nfkc(x)
+
+
+def normalize_evidence(x: Column) -> Column:
+    """Compatibility decomposition without accents, lower case, runs of punctuation and signs to single spaces."""
+    bare = F.lower(F.regexp_replace(_nfkd(x), r"[\x{300}-\x{36F}]", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[\p{P}\p{S}]+", " "), r"\s+", " "))
+
+
+def snake_key(x: Column) -> Column:
+    """Lower case, runs of other characters as _, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", "_"), "^_|_$", "")
+
+
+def once(tokens: Column) -> Column:
+    """A token list without its repeats: a list has a period if it equals itself moved on by it.  The least period of two
+    or more tokens that divides the list is kept; a list without one stays."""
+    n = F.size(tokens)
+    fits = lambda w: (n % w == 0) & (F.slice(tokens, F.lit(1), n - w) == F.slice(tokens, w + 1, n - w))
+    periods = F.when(n >= 4, F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(n / 2).cast("int"))), fits))
+    return F.when(F.size(periods) > 0, F.slice(tokens, F.lit(1), periods[0])).otherwise(tokens)
+
+
 def normalize_name(x: Column) -> Column:
     """Lower case; every run of characters that are no letters or digits becomes a space. Null stays null."""
     return _gaps_to_space(F.lower(x), r"[^\p{L}\p{N}]+")
@@ -71,13 +110,13 @@ def fact_key(field: Column, content: Column) -> Column:
 
 def is_watermark(line: Column) -> Column:
     """Purchaser marks: short lines without ! or ? that name an order, a customer, a download or a copyright."""
-    return (F.length(line) <= 180) & ~line.rlike("[!?]") & line.rlike(WATERMARK)
+    return (F.length(line) <= WATERMARK_LENGTH) & ~line.rlike("[!?]") & line.rlike(WATERMARK)
 
 
 def is_title_like(line: Column) -> Column:
     """8 to 100 characters, at most ten words, no digits or sentence signs, no leading article or condition word."""
     return (
-        F.length(line).between(8, 100) & (F.size(F.split(line, r"\s+")) <= 10) & ~line.rlike(r"[.!?;:,()#]") & ~line.rlike(r"\d")
+        F.length(line).between(*TITLE_LENGTHS) & (F.size(F.split(line, r"\s+")) <= TITLE_WORDS) & ~line.rlike(NO_TITLE_SIGNS) & ~line.rlike(r"\d")
         & line.rlike(r"\p{L}") & ~line.rlike(NO_TITLE)
     )
 

@@ -96,7 +96,7 @@ def relationships(chunks: DataFrame, of: DataFrame) -> tuple[DataFrame, DataFram
 def facts(entities: DataFrame, of: DataFrame) -> DataFrame:
     """Facts by (entity, field, normalised content): evidence united by page and text, in order of first sight."""
     own = entities.join(of.select("id", "canonical"), "id").select("campaign_id", "canonical", "ord", F.posexplode("facts").alias("k", "f"))
-    rows = own.select("campaign_id", "canonical", (F.col("ord") * 1000 + F.col("k")).alias("ord"), F.col("f.field_key").alias("field"), F.col("f.content").alias("content"), F.explode_outer("f.sources").alias("src"))
+    rows = own.select("campaign_id", "canonical", F.struct("ord", "k").alias("ord"), F.col("f.field_key").alias("field"), F.col("f.content").alias("content"), F.explode_outer("f.sources").alias("src"))
     rows = rows.withColumn("norm", T.normalize_fact(F.col("content"))).where("norm <> ''")
     merged = rows.groupBy("campaign_id", "canonical", "field", "norm").agg(
         F.min("ord").alias("ord"), F.min(F.struct("ord", "content")).getField("content").alias("content"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorewright.operators.ranking import rank_in_groups
 from lorewright.plans.base import PARTS, parts, rank_of, registrar, table
 
 QUERIES: dict = {}
@@ -188,12 +189,11 @@ def issue_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.split(reason, ":")[0].alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT k, place FROM (SELECT p_partkey AS k, row_number() OVER (ORDER BY CASE WHEN p_brand = 'Brand#7' THEN 0 ELSE 1 END, p_size, p_partkey) AS place FROM part) WHERE place <= 40")
+@register("SELECT p_partkey AS k, row_number() OVER (ORDER BY CASE WHEN p_brand = 'Brand#7' THEN 0 ELSE 1 END, p_size, p_partkey) AS place FROM part")
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The selected candidate first, then by sample, then by row; forty rows."""
-    own = table(spark, sf_dir, "part").orderBy(F.when(F.col("p_brand") == "Brand#7", 0).otherwise(1), "p_size", "p_partkey").limit(40)
-    place = F.row_number().over(Window.orderBy(F.when(F.col("p_brand") == "Brand#7", 0).otherwise(1), "p_size", "p_partkey"))  # of forty rows
-    return own.select(F.col("p_partkey").alias("k"), place.alias("place"))
+    """The selected candidate first, then by sample, then by row; every row has its place, ranked by ranges where rows are many."""
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size", F.when(F.col("p_brand") == "Brand#7", 0).otherwise(1).alias("rest"), F.lit(0).alias("all"))
+    return rank_in_groups(own, "all", [F.col("rest"), F.col("p_size"), F.col("k")], "place").select("k", "place")
 
 
 @register("SELECT l_suppkey, round(0.5 * avg(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) + 0.15 * avg(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) + 0.35, 6) - least(1, 0.05 * count(*) FILTER (l_discount > 0.09)) AS raw, greatest(0, round(0.5 * avg(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) + 0.15 * avg(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) + 0.35, 6) - least(1, 0.05 * count(*) FILTER (l_discount > 0.09))) AS quality FROM lineitem GROUP BY l_suppkey".replace("SELECT l_suppkey, round(0.5", "SELECT l_suppkey, round(0.5", 1))

@@ -135,14 +135,24 @@ def output_allowance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.least(F.lit(4000), money, 200 * (F.col("user_id") % 30)).cast("long").alias("allowance"))
 
 
-@register("""WITH pr(prefix, price) AS (VALUES ('cl', 2), ('vi', 3), ('purchase', 5)), c AS (SELECT event_id, event_type, CAST(round(value * 100) AS BIGINT) AS n, (SELECT max(price) FROM pr WHERE starts_with(event_type, prefix)) AS price FROM events)
-  SELECT event_id, price * n * CASE WHEN n > 10000 THEN 2 ELSE 1 END AS cost FROM c""")
+@register("""WITH pr(alias, i, c, w, o) AS (VALUES ('view', 10, 1, 12, 50), ('click', 4, 2, 5, 20), ('purchase', 2, 1, 3, 12)),
+  u AS (SELECT event_id, event_type || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '-2024' ELSE '-x' END AS model, CAST(round(value * 100) AS BIGINT) AS input, user_id % 50 AS cached, user_id % 7 AS written, event_id % 1000 AS output FROM events)
+  SELECT event_id, (greatest(0, input - cached - written) * i + cached * c + written * w) * CASE WHEN input > 10000 THEN 2 ELSE 1 END + output * o * CASE WHEN input > 10000 THEN 1.5 ELSE 1 END AS cost
+  FROM u LEFT JOIN pr ON model = alias OR starts_with(model, alias || '-20')""")
 def call_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cost by price of the model's prefix, doubled beyond a size; an unknown model has an unknown cost."""
-    prices = spark.createDataFrame([("cl", 2), ("vi", 3), ("purchase", 5)], "prefix string, price int")
-    n = F.round(F.col("value") * 100).cast("long")
-    own = table(spark, sf_dir, "events").join(F.broadcast(prices), F.col("event_type").startswith(F.col("prefix")), "left")
-    return own.select("event_id", (F.col("price") * n * F.when(n > 10000, 2).otherwise(1)).alias("cost"))
+    """Cost by the prices of the model, or of its dated alias: beyond a size input costs twice and output one and a half times as much.  An unknown model has an unknown cost."""
+    prices = spark.createDataFrame([("view", 10, 1, 12, 50), ("click", 4, 2, 5, 20), ("purchase", 2, 1, 3, 12)], "alias string, i int, c int, w int, o int")
+    suffix = F.element_at(F.array(F.lit(""), F.lit("-2024"), F.lit("-x")), (F.col("event_id") % 3 + 1).cast("int"))
+    calls = table(spark, sf_dir, "events").select(
+        "event_id", F.concat("event_type", suffix).alias("model"), F.round(F.col("value") * 100).cast("long").alias("input"), (F.col("user_id") % 50).alias("cached"),
+        (F.col("user_id") % 7).alias("written"), (F.col("event_id") % 1000).alias("output"),
+    )
+    known = F.regexp_replace("model", "-20.*$", "")  # a dated model has its alias's prices: an equi-join
+    own = calls.join(F.broadcast(prices), known == F.col("alias"), "left")
+    fresh = F.greatest(F.lit(0), F.col("input") - F.col("cached") - F.col("written"))
+    long = F.col("input") > 10000
+    read = (fresh * F.col("i") + F.col("cached") * F.col("c") + F.col("written") * F.col("w")) * F.when(long, 2).otherwise(1)
+    return own.select("event_id", (read + F.col("output") * F.col("o") * F.when(long, 1.5).otherwise(1.0)).alias("cost"))
 
 
 @register("""WITH m AS (SELECT event_id, event_type AS model, CASE WHEN event_id % 5 <> 0 THEN user_id END AS a, CASE WHEN event_id % 7 <> 0 THEN event_id % 100 END AS b FROM events) SELECT event_id, a + b AS tokens, model || '+' || model AS models FROM m""")

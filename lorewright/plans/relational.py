@@ -356,12 +356,15 @@ def target_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.orderBy(F.desc("p"), "p_partkey").limit(24)
 
 
-@register("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal >= (SELECT max(s_acctbal) FROM supplier) * 0.98 ORDER BY length(s_name), s_acctbal DESC, s_suppkey LIMIT 1")
+@register("""WITH q AS (SELECT event_id, length(props) AS tokens, round(value / (SELECT max(value) FROM events), 6) AS quality FROM events WHERE value IS NOT NULL)
+  SELECT event_id, quality FROM q WHERE (SELECT max(quality) FROM q) - quality < 0.02 ORDER BY tokens, quality DESC, event_id LIMIT 1""")
 def near_best_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Among those within 2 % of the best, the shortest, then the best, then the first."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    best = s.agg((F.max("s_acctbal") * 0.98).alias("floor"))
-    return s.join(F.broadcast(best), F.col("s_acctbal") >= F.col("floor")).orderBy(F.length("s_name"), F.desc("s_acctbal"), "s_suppkey").limit(1).select("s_suppkey", "s_acctbal")
+    """Among candidates whose quality (0 to 1) is less than 0.02 below the best, the fewest tokens, then the best, then the first."""
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", F.length("props").alias("tokens"), "value")
+    top = F.broadcast(e.agg(F.max("value").alias("top")))  # one row
+    q = e.join(top).select("event_id", "tokens", F.round(F.col("value") / F.col("top"), 6).alias("quality"))
+    best = F.broadcast(q.agg(F.max("quality").alias("best")))  # one row
+    return q.join(best, F.col("best") - F.col("quality") < 0.02).orderBy("tokens", F.desc("quality"), "event_id").limit(1).select("event_id", "quality")
 
 
 @register("SELECT event_type AS pattern, n FROM (SELECT event_type, count(*) AS n, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS place FROM events WHERE event_type <> 'purchase' GROUP BY event_type) ORDER BY n DESC, place LIMIT 1")

@@ -190,19 +190,22 @@ def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""{COMPONENT_SQL}, d AS (SELECT a AS x, b AS y, (a + b) % 5 = 0 AS merges FROM e WHERE a < b), bad AS (SELECT DISTINCT component FROM d JOIN comp ON id = x WHERE NOT merges),
   u AS (SELECT l_partkey AS id, count(DISTINCT l_orderkey) AS pages, count(*) AS sources FROM lineitem GROUP BY 1)
-  SELECT component, arg_min(id, (-coalesce(pages, 0), -coalesce(sources, 0), name, id)) AS canonical, count(*) AS members FROM comp JOIN pt USING (id) LEFT JOIN u USING (id)
+  SELECT component, arg_min(id, (-coalesce(pages, 0), -coalesce(sources, 0), size % 3 = 0, name, id)) AS canonical, count(*) AS members FROM comp JOIN pt USING (id) LEFT JOIN u USING (id)
   WHERE component NOT IN (SELECT component FROM bad) GROUP BY component HAVING count(*) > 1""")
 def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components whose decisions are all to merge, and their canonical member: most pages, sources, then name, id."""
+    """Components whose decisions are all to merge, and their canonical member: most pages, most sources, no fallback type (here every third size), then name, id."""
     p = parts(spark, sf_dir)
     ids = identities(p)
-    other = ids.select(F.col("id").alias("y"), "identity")
-    decided = ids.join(other, "identity").where("id < y").select("id", ((F.col("id") + F.col("y")) % 5 == 0).alias("merges"))
     of = materialize(groups(p), "groups")
-    bad = decided.where("NOT merges").join(of, "id").select("component").distinct()
+    # two ids of an identity merge if their sum is a multiple of 5: all pairs do if all residues r are opposite each other,
+    # which residues by identity tell without any pair (only r = 0 is its own opposite; two ids at most meet otherwise)
+    residues = ids.groupBy("identity").agg(F.count_distinct("id").alias("n"), F.max(F.col("id") % 5).alias("high"), F.min(F.col("id") % 5).alias("low"))
+    all_merge = (F.col("n") == 1) | (F.col("high") == 0) | (F.col("n") == 2) & (F.col("high") + F.col("low") == 5)
+    refused = residues.where(~all_merge).select("identity")
+    bad = ids.join(refused, "identity", "left_semi").select("id").distinct().join(of, "id").select("component").distinct()
     use = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.countDistinct("l_orderkey").alias("pages"), F.count(F.lit(1)).alias("sources"))
     own = of.join(bad, "component", "left_anti").join(p, "id").join(use, "id", "left").na.fill(0, ["pages", "sources"])
-    best = F.min(F.struct(-F.col("pages"), -F.col("sources"), "name", "id")).getField("id")
+    best = F.min(F.struct(-F.col("pages"), -F.col("sources"), (F.col("size") % 3 == 0).alias("other"), "name", "id")).getField("id")
     return own.groupBy("component").agg(best.alias("canonical"), F.count(F.lit(1)).alias("members")).where("members > 1")
 
 

@@ -90,14 +90,19 @@ def fact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.fact_key(F.col("event_type"), F.col("props")).alias("stable_key"))
 
 
-@register(f"""WITH {LINES}, k AS (SELECT DISTINCT source, doc_id, {KEY_SQL.format('line')} AS key FROM ln JOIN documents USING (doc_id))
-  SELECT source, key, count(*) AS pages FROM k WHERE key <> '' GROUP BY ALL HAVING count(*) >= 2""")
+@register(f"""WITH {LINES}, k AS (SELECT DISTINCT source, doc_id, {KEY_SQL.format('line')} AS key FROM ln JOIN documents USING (doc_id)),
+  n AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY source), c AS (SELECT source, key, count(*) AS pages FROM k WHERE key <> '' GROUP BY ALL)
+  SELECT c.source, key, pages, pages >= greatest(2, ceil(0.6 * n)) AS recurs FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE pages >= 2""")
 def line_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line keys on two pages or more of a document (here a source with its documents as pages)."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    keyed = docs.select("source", "doc_id", T.recurrence_key(F.col("line")).alias("key")).where("key <> ''")
-    # the distinct runs map-side first, so a line that all pages share is one row a page
-    return keyed.distinct().groupBy("source", "key").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 2")
+    """Line keys on two pages or more of a document (here a source with its documents as pages); those recur that are on 60 % of its pages."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.split("text", "\n").alias("lines"))
+    # a page is one row, so its keys are made distinct before they leave it, and no exchange is needed for that
+    keys = F.array_distinct(F.transform("lines", T.recurrence_key))
+    keyed = docs.select("source", F.explode(keys).alias("key")).where("key <> ''")
+    counts = keyed.groupBy("source", "key").agg(F.count(F.lit(1)).alias("pages")).where("pages >= 2")
+    sizes = docs.groupBy(F.col("source").alias("of")).agg(F.countDistinct("doc_id").alias("n"))
+    recurs = F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("n") * F.lit(3) / F.lit(5)))
+    return counts.join(sizes, F.col("source").eqNullSafe(F.col("of"))).select("source", "key", "pages", recurs.alias("recurs"))
 
 
 @register(f"""WITH {LINES}, e AS (SELECT *, line_no < 2 AS head, line_no >= n_lines - 2 AS foot FROM ln)
