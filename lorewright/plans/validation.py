@@ -17,26 +17,27 @@ register = registrar(QUERIES)
 _NORM = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 #: Quotes of conversations: the first 60 characters of a turn, with one word swapped in every third, cited on their turn or the next.
+_EVIDENCE = r"trim(regexp_replace(regexp_replace(lower(strip_accents({})), '[\p{{P}}\p{{S}}]+', ' ', 'g'), '\s+', ' ', 'g'))"
 _QUOTES = f"""{PAGES}, qt AS (SELECT document_id, page AS own, page + CASE WHEN (document_id + page) % 5 = 0 THEN 1 ELSE 0 END AS page,
-  CASE WHEN (document_id + page) % 3 = 0 THEN regexp_replace(substr(text, 1, 60), '^\\S+', 'zzz') ELSE substr(text, 1, 60) END AS quote FROM pg)"""
+  CASE (document_id + page) % 3 WHEN 0 THEN regexp_replace(substr(text, 1, 60), '^\\S+', 'zzz') WHEN 1 THEN translate(substr(text, 1, 60), 'aeo', 'áéö') ELSE substr(text, 1, 60) END AS quote FROM pg)"""
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("document_id") + F.col("page")
     head = F.substring("text", 1, 60)
     return pages(spark, sf_dir).select(
-        "document_id", F.col("page").alias("own"), (F.col("page") + F.when(k % 5 == 0, 1).otherwise(0)).alias("page"), F.when(k % 3 == 0, F.regexp_replace(head, r"^\S+", "zzz")).otherwise(head).alias("quote")
+        "document_id", F.col("page").alias("own"), (F.col("page") + F.when(k % 5 == 0, 1).otherwise(0)).alias("page"), F.when(k % 3 == 0, F.regexp_replace(head, r"^\S+", "zzz")).when(k % 3 == 1, F.translate(head, "aeo", "áéö")).otherwise(head).alias("quote")
     )
 
 
-@register(f"""WITH {_QUOTES}, m AS (SELECT qt.document_id, own, {_NORM.format('qt.quote')} AS q, {_NORM.format('pg.text')} AS p, pg.page IS NULL AS gone FROM qt LEFT JOIN pg ON pg.document_id = qt.document_id AND pg.page = qt.page),
+@register(f"""WITH {_QUOTES}, m AS (SELECT qt.document_id, own, {_EVIDENCE.format('qt.quote')} AS q, {_EVIDENCE.format('pg.text')} AS p, pg.page IS NULL AS gone FROM qt LEFT JOIN pg ON pg.document_id = qt.document_id AND pg.page = qt.page),
   t AS (SELECT *, list_filter(string_split(q, ' '), lambda x: length(x) > 2) AS w FROM m), r AS (SELECT *, list_distinct(w) AS d FROM t),
   s AS (SELECT *, length(q) >= 8 AND (contains(p, q) OR (len(d) >= 3 AND len(list_filter(range(1, len(w) - 1), lambda i: contains(p, array_to_string(w[i:i + 2], ' ')))) > 0 AND len(list_intersect(d, string_split(p, ' '))) >= 0.8 * len(d))) AS ok FROM r)
   SELECT document_id, own, CASE WHEN gone THEN 'page is not in this chunk' WHEN NOT ok THEN 'text does not match' ELSE 'accepted' END AS outcome FROM s""")
 def source_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cited quote: its page is missing, its text does not match, or it is accepted."""
-    p = pages(spark, sf_dir).select("document_id", "page", T.normalize_name(F.col("text")).alias("p"))
-    own = quotes(spark, sf_dir).withColumn("q", T.normalize_name(F.col("quote"))).join(p, ["document_id", "page"], "left")
+    """Every cited quote: its page is missing, its text does not match, or it is accepted.  Accents, punctuation and signs do not count."""
+    p = pages(spark, sf_dir).select("document_id", "page", T.normalize_evidence(F.col("text")).alias("p"))
+    own = quotes(spark, sf_dir).withColumn("q", T.normalize_evidence(F.col("quote"))).join(p, ["document_id", "page"], "left")
     ok = T.quote_matches(F.col("q"), F.col("p"))
     return own.select("document_id", "own", F.when(F.col("p").isNull(), "page is not in this chunk").when(~ok, "text does not match").otherwise("accepted").alias("outcome"))
 
@@ -162,10 +163,10 @@ def classifier_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The wording of each source status, in order of precedence.
 STATUS_RULES = (
     ("gm_instruction", r"(?i)\b(?:gm|game master|you should|have the players|award the players|read aloud)\b"),
-    ("rumor", r"(?i)\b(?:rumou?red?|is said to|reportedly|some say|believed to|residents report)\b"),
+    ("plan", r"(?i)\b(?:plans? to|intends? to|intention of|seeks? to|hopes? to|aims? to)\b"),
     ("scheduled", r"(?i)\b(?:day [1-9])\b"),
+    ("rumor", r"(?i)\b(?:rumou?red?|is said to|reportedly|some say|believed to|residents report)\b"),
     ("conditional", r"(?i)\b(?:if|unless|would|could|might|should|when the heroes|on a successful|on a failed)\b"),
-    ("plan", r"(?i)\b(?:plans to|intends to|hopes to|seeks to)\b"),
 )
 
 
@@ -174,12 +175,12 @@ def source_status(text: Column) -> Column:
 
 
 _STATUS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(said, '{p}') THEN '{n}'" for n, p in STATUS_RULES) + " ELSE 'established' END"
-_SAID = "s AS (SELECT event_id, ['The baron plans to ', 'It is said to ', 'On day 3 they ', 'If asked they ', 'Read aloud: ', 'They '][CAST(event_id % 6 AS INTEGER) + 1] || event_type AS said FROM events)"
+_SAID = "s AS (SELECT event_id, ['The baron plans to ', 'It is said to ', 'On day 3 they ', 'If asked they ', 'Read aloud: ', 'They ', 'They aim to, if day 2 comes, ', 'Some say they would '][CAST(event_id % 8 AS INTEGER) + 1] || event_type AS said FROM events)"
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = F.array(*[F.lit(x) for x in ("The baron plans to ", "It is said to ", "On day 3 they ", "If asked they ", "Read aloud: ", "They ")])
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.element_at(heads, (F.col("event_id") % 6 + 1).cast("int")), "event_type").alias("said"))
+    heads = F.array(*[F.lit(x) for x in ("The baron plans to ", "It is said to ", "On day 3 they ", "If asked they ", "Read aloud: ", "They ", "They aim to, if day 2 comes, ", "Some say they would ")])
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.element_at(heads, (F.col("event_id") % 8 + 1).cast("int")), "event_type").alias("said"))
 
 
 @register(f"WITH {_SAID} SELECT event_id, {_STATUS_SQL} AS status FROM s")
