@@ -91,31 +91,48 @@ def final_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir).groupBy(k.alias("k")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("members"), F.min("id").alias("first_member"))
 
 
-@register(f"""WITH RECURSIVE {PARTS}, e0 AS (SELECT l_partkey AS a, (l_suppkey * 7) % (SELECT count(*) FROM part) AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+@register("""WITH RECURSIVE e0 AS (SELECT DISTINCT l_partkey AS a, l_partkey - l_partkey % CASE l_linenumber % 2 WHEN 0 THEN 4 ELSE 6 END AS b FROM lineitem), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
   r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS id, min(b) AS canonical FROM r GROUP BY a""")
 def explicit_identity_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of explicit identity claims (here a few line items)."""
-    n = table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("n"))
-    claims = table(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount = 0.1").select("l_partkey", "l_suppkey").crossJoin(F.broadcast(n))
-    return connected_components(claims.select(F.col("l_partkey").alias("a"), ((F.col("l_suppkey") * 7) % F.col("n")).alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("canonical"))
+    """Components of explicit identity claims: every line item claims its part to be the first of its four or of its six."""
+    width = F.when(F.col("l_linenumber") % 2 == 0, 4).otherwise(6)
+    claims = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_partkey") - F.col("l_partkey") % width).alias("b"))
+    return connected_components(claims.distinct()).select(F.col("node").alias("id"), F.col("component").alias("canonical"))
 
 
-def features(pairs: DataFrame) -> Column:
-    """Why a pair (l, r: struct of type, name, tokens) may be one entity; pairs with none have an empty array."""
-    lt, rt = F.col("l.tokens"), F.col("r.tokens")
+def meaningful(t: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(t, lambda x: ~x.isin(*TOKEN_STOPWORDS))))
+
+
+def bare(t: Column) -> Column:
+    return F.when(t[0].isin(*ARTICLES), F.slice(t, 2, F.greatest(F.lit(1), F.size(t)))).otherwise(t)
+
+
+def core(t: Column) -> Column:
+    return F.array_join(F.filter(t, lambda x: ~x.isin(*TOKEN_STOPWORDS) & ~x.isin(*ORGANIZATION_QUALIFIERS)), " ")
+
+
+def distinctive(t: Column) -> Column:
+    return F.filter(meaningful(t), lambda x: F.length(x) >= 5)
+
+
+def stem(x: Column) -> Column:
+    return F.when((F.length(x) >= 7) & x.endswith("an"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+
 
-    def meaningful(t: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.filter(t, lambda x: ~x.isin(*TOKEN_STOPWORDS))))
+def stems(t: Column) -> Column:
+    return F.transform(F.filter(distinctive(t), lambda x: ~x.isin(*ORGANIZATION_QUALIFIERS)), stem)
 
-    def bare(t: Column) -> Column:
-        return F.when(t[0].isin(*ARTICLES), F.slice(t, 2, F.greatest(F.lit(1), F.size(t)))).otherwise(t)
 
-    def core(t: Column) -> Column:
-        return F.array_join(F.filter(t, lambda x: ~x.isin(*TOKEN_STOPWORDS) & ~x.isin(*ORGANIZATION_QUALIFIERS)), " ")
+def untitled(t: Column) -> Column:
+    """Without the honorifics in front."""
+    lead = F.size(F.filter(F.sequence(F.lit(1), F.size(t)), lambda k: F.forall(F.slice(t, 1, k), lambda x: x.isin(*NPC_TITLES))))
+    return F.slice(t, lead + 1, F.greatest(F.lit(1), F.size(t)))
 
-    def stems(t: Column) -> Column:
-        long = F.filter(meaningful(t), lambda x: (F.length(x) >= 5) & ~x.isin(*ORGANIZATION_QUALIFIERS))
-        return F.transform(long, lambda x: F.when((F.length(x) >= 7) & x.endswith("an"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x))
+
+def features(pairs: DataFrame) -> Column:
+    """Why a pair (l, r: struct of type, name, tokens) may be one entity; pairs with none have an empty array."""
+    lt, rt = F.col("l.tokens"), F.col("r.tokens")
 
     ml, mr = meaningful(lt), meaningful(rt)
     short = F.when(F.size(ml) <= F.size(mr), ml).otherwise(mr)
@@ -124,11 +141,7 @@ def features(pairs: DataFrame) -> Column:
     inside = F.size(F.array_except(short, long)) == 0
     reorder = same_type & ~same & (F.size(ml) >= 2) & (ml == mr)
     both = (F.size(ml) >= 2) & (F.size(mr) >= 2)
-    # honorifics in front; one stripped name may have one word more if a title was there
-    def untitled(t: Column) -> Column:
-        lead = F.size(F.filter(F.sequence(F.lit(1), F.size(t)), lambda k: F.forall(F.slice(t, 1, k), lambda x: x.isin(*NPC_TITLES))))
-        return F.slice(t, lead + 1, F.greatest(F.lit(1), F.size(t)))
-
+    # one stripped name may have one word more if a title was there
     ul, ur = untitled(lt), untitled(rt)
     us, ug = F.when(F.size(ul) <= F.size(ur), ul).otherwise(ur), F.when(F.size(ul) <= F.size(ur), ur).otherwise(ul)
     titled = (F.size(ul) < F.size(lt)) | (F.size(ur) < F.size(rt))
@@ -152,32 +165,75 @@ def features(pairs: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(cond, name) for name, cond in rules]))
 
 
-_BLOCKED = r"""nm AS (SELECT id, type, trim(regexp_replace(lower(brand || ' of the ' || name), '[^\p{L}\p{N}]+', ' ', 'g')) AS name FROM pt),
-  tk AS (SELECT *, string_split(name, ' ') AS t FROM nm), m AS (SELECT *, list_sort(list_distinct(list_filter(t, lambda x: x NOT IN ('a', 'an', 'the', 'of')))) AS mt FROM tk),
-  b AS (SELECT unnest([name, type || ':' || array_to_string(mt, '|')]) AS k, unnest([0, 1]) AS f, * FROM m),
-  blk AS (SELECT *, count(*) OVER (PARTITION BY f, k) AS n FROM b WHERE length(k) >= 3),
-  pr AS (SELECT DISTINCT x.id AS left_id, y.id AS right_id, x.name = y.name AS same, x.type = y.type AS st, x.mt AS lm, y.mt AS rm FROM blk x JOIN blk y ON x.f = y.f AND x.k = y.k AND x.id < y.id WHERE x.n <= 40)"""
+_WORDS = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(words)) + ")"
+_BLOCKED = (
+    r"""nm AS (SELECT id, type, trim(regexp_replace(lower(brand || ' of the ' || name), '[^\p{L}\p{N}]+', ' ', 'g')) AS name FROM pt),
+  tk AS (SELECT *, string_split(name, ' ') AS t FROM nm),
+  m AS (SELECT *, list_sort(list_distinct(list_filter(t, lambda x: x NOT IN STOP))) AS mt, array_to_string(list_filter(t, lambda x: x NOT IN STOP AND x NOT IN QUAL), ' ') AS core,
+    array_to_string(CASE WHEN t[1] IN ARTS THEN t[2:] ELSE t END, ' ') AS bare FROM tk),
+  ms AS (SELECT *, list_filter(mt, lambda x: length(x) >= 5) AS d FROM m),
+  st AS (SELECT *, list_transform(list_filter(d, lambda x: x NOT IN QUAL), lambda x: CASE WHEN length(x) >= 7 AND x LIKE '%an' THEN x[1:length(x) - 1] ELSE x END) AS s,
+    list_transform(d, lambda x: CASE WHEN length(x) >= 7 AND x LIKE '%an' THEN x[1:length(x) - 1] ELSE x END) AS ds FROM ms),
+  ks AS (SELECT id, unnest([{'f': 0, 'k': name}, {'f': 1, 'k': bare}, {'f': 2, 'k': type || ':' || array_to_string(mt, '|')}, {'f': 3, 'k': core}, {'f': 5, 'k': array_to_string(list_sort(ds), '|')}]) AS u FROM st
+    UNION ALL SELECT id, unnest(list_transform(d, lambda x: {'f': 7, 'k': x})) FROM st UNION ALL SELECT id, unnest(list_transform(list_distinct(s), lambda x: {'f': 8, 'k': x})) FROM st),
+  b AS (SELECT DISTINCT id, u.f AS f, u.k AS k FROM ks WHERE length(u.k) >= 3), blk AS (SELECT *, count(*) OVER (PARTITION BY f, k) AS n FROM b),
+  dr AS (SELECT id, type || ':' || array_to_string(list_concat(mt[1:i - 1], mt[i + 1:]), '|') AS k FROM (SELECT *, unnest(range(1, len(mt) + 1)) AS i FROM st WHERE len(mt) >= 3)),
+  ids AS (SELECT x.id AS left_id, y.id AS right_id FROM blk x JOIN blk y ON x.f = y.f AND x.k = y.k AND x.id < y.id WHERE x.n <= 40
+    UNION SELECT least(dr.id, y.id), greatest(dr.id, y.id) FROM dr JOIN blk y ON y.f = 2 AND y.k = dr.k AND y.id <> dr.id WHERE y.n <= 40),
+  pw AS (SELECT left_id, right_id, x.name = y.name AS same, x.type = y.type AS st, x.mt AS lm, y.mt AS rm, x.core AS lc, y.core AS rc, x.s AS ls, y.s AS rs, x.bare = y.bare AS bares,
+    CASE WHEN len(x.mt) <= len(y.mt) THEN x.mt ELSE y.mt END AS sh, CASE WHEN len(x.mt) <= len(y.mt) THEN y.mt ELSE x.mt END AS lg FROM ids JOIN st x ON x.id = left_id JOIN st y ON y.id = right_id),
+  fe AS (SELECT left_id, right_id, same AS exact, NOT same AND bares AS article, st AND NOT same AND len(lm) >= 2 AND lm = rm AS reorder,
+    st AND len(lm) >= 2 AND len(rm) >= 2 AND len(lg) = len(sh) + 1 AND len(list_intersect(sh, lg)) = len(sh) AS subset,
+    len(sh) >= 1 AND len(list_intersect(sh, lg)) = len(sh) AND len(list_filter(sh, lambda x: length(x) >= 5)) > 0 AND sh <> lg AS contained,
+    length(lc) >= 5 AND lc = rc AND NOT same AS core, len(list_intersect(ls, rs)) > 0 AS stems FROM pw),
+  pr AS (SELECT * REPLACE (stems AND NOT exact AND NOT reorder AS stems) FROM fe WHERE exact OR article OR reorder OR subset OR contained OR core OR stems)""".replace("STOP", _WORDS(TOKEN_STOPWORDS))
+    .replace("QUAL", _WORDS(ORGANIZATION_QUALIFIERS)).replace("ARTS", _WORDS(ARTICLES))
+)
 
 
-def blocked_pairs(entities: DataFrame, most: int = 40) -> DataFrame:
-    """Distinct pairs that share a block key of at most that many entities; entities: id, type, name (normalised)."""
-    own = entities.withColumn("tokens", F.split("name", " "))
-    meaning = F.array_join(F.array_sort(F.array_distinct(F.filter("tokens", lambda x: ~x.isin(*TOKEN_STOPWORDS)))), "|")
-    keys = own.select(F.posexplode(F.array(F.col("name"), F.concat_ws(":", "type", meaning))).alias("f", "k"), "id", F.struct("type", "name", "tokens").alias("e")).where(F.length("k") >= 3)
-    small = keys.groupBy("f", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, most)).drop("n")
-    keys = materialize(keys.join(small, ["f", "k"], "left_semi"), "blocks")
-    other = keys.select("f", "k", F.col("id").alias("right_id"), F.col("e").alias("r"))
-    return keys.join(other, ["f", "k"]).where("id < right_id").select(F.col("id").alias("left_id"), "right_id", F.col("e").alias("l"), "r").dropDuplicates(["left_id", "right_id"])
+def block_keys(entities: DataFrame) -> DataFrame:
+    """(id, f, k): the keys under which an entity meets others, by family: 0 name, 1 without its article, 2 type and sorted
+    meaningful words, 3 without qualifiers of organisations, 4 without titles (people), 5 sorted stems, 7 a longer word, 8 its
+    stem.  Family 6, the key of family 2 less one word, meets only whole keys of that family."""
+    t = F.col("tokens")
+    whole = {
+        0: F.col("name"), 1: F.array_join(bare(t), " "), 2: F.concat_ws(":", "type", F.array_join(meaningful(t), "|")), 3: core(t),
+        4: F.when(F.col("type") == "npc", F.array_join(untitled(t), " ")), 5: F.array_join(F.array_sort(F.transform(distinctive(t), stem)), "|"),
+    }
+    key = lambda f, k: F.struct(F.lit(f).alias("f"), k.alias("k"))
+    each = [F.transform(distinctive(t), lambda x: key(7, x)), F.transform(F.array_distinct(stems(t)), lambda x: key(8, x))]
+    return entities.select("id", F.explode(F.concat(F.array(*[key(f, k) for f, k in whole.items()]), *each)).alias("u")).select("id", "u.f", "u.k").where(F.length("k") >= 3)
 
 
-@register(f"""WITH {PARTS}, {_BLOCKED} SELECT left_id, right_id, list_contains(r, 'exact_name') AS exact, list_contains(r, 'token_reorder') AS reorder FROM
-  (SELECT left_id, right_id, [CASE WHEN same THEN 'exact_name' END, CASE WHEN st AND NOT same AND len(lm) >= 2 AND lm = rm THEN 'token_reorder' END] AS r FROM pr)""")
+def blocked_pairs(entities: DataFrame, most: int = 40) -> DataFrame:
+    """Distinct pairs with a reason that share a block key of at most that many entities; entities: id, type, name (normalised).
+
+    Keys and pairs carry ids only; what the reasons need is joined to the distinct pairs.
+    """
+    own = materialize(entities.withColumn("tokens", F.split("name", " ")), "named")
+    keys = block_keys(own).distinct()
+    small = keys.groupBy("f", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).drop("n")
+    keys = materialize(keys.join(small, ["f", "k"], "left_semi"), "blocks")
+    other = keys.select("f", "k", F.col("id").alias("right_id"))
+    met = keys.join(other, ["f", "k"]).where("id < right_id").select(F.col("id").alias("left_id"), "right_id")
+    words = own.select("id", "type", meaningful(F.col("tokens")).alias("m")).where(F.size("m") >= 3)
+    less = F.transform(F.sequence(F.lit(1), F.size("m")), lambda i: F.concat_ws(":", "type", F.array_join(F.concat(F.slice("m", F.lit(1), i - 1), F.slice("m", i + 1, F.size("m"))), "|")))
+    fewer = words.select("id", F.explode(less).alias("k")).join(other.where("f = 2"), "k").where("id <> right_id")
+    met = met.unionByName(fewer.select(F.least("id", "right_id").alias("left_id"), F.greatest("id", "right_id").alias("right_id"))).distinct()
+    of = own.select("id", F.struct("type", "name", "tokens").alias("e"))
+    pairs = met.join(of.select(F.col("id").alias("left_id"), F.col("e").alias("l")), "left_id").join(of.select(F.col("id").alias("right_id"), F.col("e").alias("r")), "right_id")
+    return pairs.withColumn("reasons", features(pairs)).where(F.size("reasons") > 0).select("left_id", "right_id", "l", "r", "reasons")
+
+
+@register(f"WITH {PARTS}, {_BLOCKED} SELECT left_id, right_id, exact, article, reorder, subset, contained, core, stems FROM pr")
 def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocked pairs with two of their signals."""
+    """Blocked pairs with their signals (names of parts hold no titles and no polities)."""
     own = parts(spark, sf_dir).select("id", "type", normalize_name(F.concat_ws(" of the ", "brand", "name")).alias("name"))
-    pairs = blocked_pairs(own)
-    marked = pairs.withColumn("reasons", features(pairs))
-    return marked.select("left_id", "right_id", F.array_contains("reasons", "exact_name").alias("exact"), F.array_contains("reasons", "token_reorder").alias("reorder"))
+    signals = {
+        "exact": "exact_name", "article": "article_variant", "reorder": "token_reorder", "subset": "conservative_subset", "contained": "name_contains_distinctive",
+        "core": "organization_qualifier_variant", "stems": "shared_distinctive_stem",
+    }
+    return blocked_pairs(own).select("left_id", "right_id", *[F.array_contains("reasons", reason).alias(name) for name, reason in signals.items()])
 
 
 @register(f"""WITH RECURSIVE {PARTS}, {_BLOCKED}, e AS (SELECT left_id AS a, right_id AS b FROM pr UNION ALL SELECT right_id, left_id FROM pr), r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),

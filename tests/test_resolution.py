@@ -30,3 +30,15 @@ def test_blocks_above_the_limit_make_no_pairs(spark):
     df = spark.createDataFrame(rows, "id long, type string, name string")
     assert blocked_pairs(df, most=10).count() == 11
     assert [(r.left_id, r.right_id) for r in blocked_pairs(df, most=4).collect()] == [(10, 11)]
+
+
+def test_all_block_families_make_candidates(spark):
+    rows = [
+        (1, "npc", "king robert"), (2, "npc", "robert"), (3, "npc", "harlan stone"), (4, "npc", "harlan grey stone"), (5, "faction", "ragesia"), (6, "faction", "ragesian empire"),
+        (7, "location", "the red keep"), (8, "location", "red keep"), (9, "faction", "order of silverwood"), (10, "faction", "silverwood guild"), (11, "item", "sword of blackwater"), (12, "location", "blackwater"),
+        (13, "npc", "nobody else"),
+    ]
+    got = {(r.left_id, r.right_id): set(r.reasons) for r in blocked_pairs(spark.createDataFrame(rows, "id long, type string, name string")).collect()}
+    assert set(got) == {(k, k + 1) for k in range(1, 13, 2)}
+    assert "npc_title_variant" in got[1, 2] and "conservative_subset" in got[3, 4] and "polity_formal_variant" in got[5, 6] and "article_variant" in got[7, 8]
+    assert "organization_qualifier_variant" in got[9, 10] and "name_contains_distinctive" in got[11, 12]
