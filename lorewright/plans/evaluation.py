@@ -218,7 +218,12 @@ def candidate_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.where("n = 3").select("l_orderkey", "quality")
 
 
-@register("SELECT user_id, count(*) AS stored, count(*) FILTER (md5(props) = md5(replace(props, ' ', ' '))) AS equal_hash FROM events GROUP BY user_id")
+@register("""WITH r AS (SELECT event_id, user_id, md5(event_type || '|' || props) AS stored, md5(event_type || '|' || CASE WHEN event_id % 9 = 0 THEN '{}' ELSE props END) AS again, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before, event_type FROM events)
+  SELECT user_id, count(*) AS stored, count(*) FILTER (stored = again) AS equal_hash, count(*) FILTER (stored <> again) AS changed, count(*) FILTER (before = event_type) AS repeated FROM r GROUP BY user_id""")
 def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = F.md5(F.col("props").cast("binary")) == F.md5(F.replace(F.col("props"), F.lit(" "), F.lit(" ")).cast("binary"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("stored"), F.count_if(same).alias("equal_hash"))
+    """Stored outputs against those of a replay that lost every ninth payload, by hash; and how often a call repeats the one before."""
+    digest = lambda payload: F.md5(F.concat_ws("|", "event_type", payload).cast("binary"))
+    again = digest(F.when(F.col("event_id") % 9 == 0, "{}").otherwise(F.col("props")))
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
+    own = table(spark, sf_dir, "events").select("user_id", (digest(F.col("props")) == again).alias("same"), (before == F.col("event_type")).alias("repeats"))
+    return own.groupBy("user_id").agg(F.count(F.lit(1)).alias("stored"), F.count_if("same").alias("equal_hash"), F.count_if(~F.col("same")).alias("changed"), F.count_if("repeats").alias("repeated"))

@@ -25,12 +25,21 @@ def inventory_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("id", "type", "n", "page", (F.count(F.lit(1)).over(Window.partitionBy("id")) > 1).alias("collides"))
 
 
-@register("""WITH stored AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type), fresh AS (SELECT p_type, sum(1) AS n FROM part GROUP BY p_type) SELECT (SELECT count(*) FROM (SELECT * FROM stored EXCEPT ALL SELECT * FROM fresh)) + (SELECT count(*) FROM (SELECT * FROM fresh EXCEPT ALL SELECT * FROM stored)) AS differing""")
+@register("""WITH stored AS (SELECT l_partkey AS k, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+  fresh AS (SELECT l_partkey AS k, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY 1)
+  SELECT coalesce(s.k, f.k) AS k, s.n AS stored, f.n AS fresh, CASE WHEN s.k IS NULL THEN 'missing' WHEN f.k IS NULL THEN 'stale' WHEN s.n <> f.n OR s.total <> f.total THEN 'differs' ELSE 'same' END AS state
+  FROM stored s FULL JOIN fresh f ON s.k = f.k""")
 def recomputation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored inventory against its recomputation: rows in only one of them."""
-    p = table(spark, sf_dir, "part")
-    stored, fresh = p.groupBy("p_type").agg(F.count(F.lit(1)).alias("n")), p.groupBy("p_type").agg(F.sum(F.lit(1)).alias("n"))
-    return stored.exceptAll(fresh).unionByName(fresh.exceptAll(stored)).agg(F.count(F.lit(1)).alias("differing"))
+    """An inventory stored at a date against its recomputation, by key: same, differing, missing or stale."""
+    item = table(spark, sf_dir, "lineitem")
+    count = lambda df, n, total: df.groupBy(F.col("l_partkey")).agg(F.count(F.lit(1)).alias(n), F.sum("l_linenumber").alias(total))
+    stored = count(item.where("l_shipdate < timestamp_ntz'1998-01-01'"), "stored", "s").withColumnRenamed("l_partkey", "s_key")
+    fresh = count(item, "fresh", "f").withColumnRenamed("l_partkey", "f_key")
+    state = (
+        F.when(F.col("s_key").isNull(), "missing").when(F.col("f_key").isNull(), "stale")
+        .when((F.col("stored") != F.col("fresh")) | (F.col("s") != F.col("f")), "differs").otherwise("same")
+    )
+    return stored.join(fresh, F.col("s_key") == F.col("f_key"), "full").select(F.coalesce("s_key", "f_key").alias("k"), "stored", "fresh", state.alias("state"))
 
 
 _WORDS = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: length(x) >= 4))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions import text as T
@@ -60,12 +60,43 @@ def hidden_term_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.join(F.broadcast(hidden), F.contains("said", "h"), "left_anti").select("event_id")
 
 
-@register(r"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)') AS p FROM documents), f AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS said FROM s)
-  SELECT doc_id, CAST(min(pos) AS BIGINT) AS pos FROM f WHERE contains(lower(said), 'the ') AND contains(lower(said), ' of') GROUP BY doc_id""")
+EXCERPT_LENGTH, WORD_BOUNDARY = 400, 0.7
+
+
+def capped(text: Column, most: int = EXCERPT_LENGTH) -> Column:
+    """text, or its beginning up to the last space in the last third, and an ellipsis."""
+    head = F.substr(text, F.lit(1), F.lit(most - 1))
+    last = F.instr(F.reverse(head), " ")
+    at = F.when(last == 0, -1).otherwise(F.length(head) - last)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.when(at > most * WORD_BOUNDARY, F.substr(head, F.lit(1), at)).otherwise(head)), F.lit("…")))
+
+
+@register(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w, lang || ' ' || source AS label FROM documents),
+  s AS (SELECT doc_id, text, list_filter([w[3], w[30]], lambda x: x <> '') AS names, list_filter(string_split(label, ' '), lambda x: length(x) > 3) AS label,
+    list_filter(list_transform(regexp_extract_all(text, '[^.!?]+(?:[.!?]+|$)'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM d),
+  f AS (SELECT *, list_filter(p, lambda x: len(names) >= 2 AND len(list_filter(names, lambda n: contains(lower(x), n))) = len(names)) AS full_p FROM s),
+  wn AS (SELECT doc_id, i, array_to_string(p[i:i + 1], ' ') AS said, names, label FROM (SELECT doc_id, p, names, label, unnest(range(1, len(p) + 1)) AS i FROM f)),
+  sc AS (SELECT doc_id, arg_max(said, (3 * len(list_filter(names, lambda n: contains(lower(said), n))) + len(list_filter(label, lambda n: contains(lower(said), lower(n)))), -i)) AS best FROM wn GROUP BY doc_id),
+  x AS (SELECT doc_id, coalesce(full_p[1], best, text) AS x FROM f LEFT JOIN sc USING (doc_id)), h AS (SELECT doc_id, x, x[1:399] AS head FROM x),
+  c AS (SELECT *, CASE WHEN strpos(reverse(head), ' ') = 0 THEN -1 ELSE length(head) - strpos(reverse(head), ' ') END AS cut FROM h)
+  SELECT doc_id, CASE WHEN length(x) <= 400 THEN x ELSE rtrim(CASE WHEN cut > 280 THEN head[1:cut] ELSE head END) || '…' END AS excerpt FROM c""")
 def concise_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sentence that contains both endpoints."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^.!?]+(?:[.!?]+|$)"), F.lit(0))).alias("pos", "said"))
-    return own.where(F.contains(F.lower("said"), F.lit("the ")) & F.contains(F.lower("said"), F.lit(" of"))).groupBy("doc_id").agg(F.min("pos").cast("long").alias("pos"))
+    """The first sentence with both endpoints (here the third and thirtieth word); else the two neighbouring sentences that
+    name most endpoints and label words, the first of equals; at most EXCERPT_LENGTH characters."""
+    ends = r"^\s+|\s+$"
+    w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
+    own = table(spark, sf_dir, "documents").select(
+        "doc_id", F.regexp_replace("text", ends, "").alias("text"), F.filter(F.array_compact(F.array(F.get(w, F.lit(2)), F.get(w, F.lit(29)))), lambda x: x != "").alias("names"),
+        F.filter(F.split(F.concat_ws(" ", "lang", "source"), " "), lambda x: F.length(x) > 3).alias("label"),
+    )
+    said = F.transform(F.regexp_extract_all("text", F.lit(r"[^.!?]+(?:[.!?]+|$)"), F.lit(0)), lambda x: F.regexp_replace(x, ends, ""))
+    own = own.withColumn("p", F.filter(said, lambda x: x != ""))
+    held = lambda x, words: F.size(F.filter(words, lambda n: F.contains(F.lower(x), F.lower(n))))
+    both = F.filter("p", lambda x: (F.size("names") >= 2) & (held(x, F.col("names")) == F.size("names")))
+    pair = lambda x, i: F.struct((3 * held(F.array_join(F.slice("p", i + 1, 2), " "), F.col("names")) + held(F.array_join(F.slice("p", i + 1, 2), " "), F.col("label"))).alias("score"), (-i).alias("at"))
+    best = F.array_max(F.transform("p", pair))
+    window = F.when(F.size("p") > 0, F.array_join(F.slice("p", 1 - best["at"], 2), " "))
+    return own.select("doc_id", capped(F.coalesce(F.get(both, F.lit(0)), window, "text")).alias("excerpt"))
 
 
 # relationships

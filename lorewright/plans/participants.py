@@ -46,7 +46,14 @@ def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.alias_components(R.explicit_identities(said)).select(F.col("node").alias("name"), "component")
 
 
-@register("""SELECT event_id FROM events WHERE NOT contains(' ' || lower(event_type) || ' of ' || (user_id % 7) || ' ', ' view ')""")
+@register(r"""WITH p AS (SELECT o_orderkey AS claim, c_name AS name, CASE o_orderkey % 4 WHEN 0 THEN 'as told by ' || upper(c_name) || ', at last' WHEN 1 THEN c_name || '1 said so' WHEN 2 THEN replace(c_name, '#', ' - ') ELSE 'nobody' END AS evidence
+    FROM orders JOIN customer ON c_custkey = o_custkey), n AS (SELECT claim, trim(regexp_replace(lower(name), '[^\p{L}\p{N}]+', ' ', 'g')) AS name, trim(regexp_replace(lower(evidence), '[^\p{L}\p{N}]+', ' ', 'g')) AS evidence FROM p)
+  SELECT claim FROM n WHERE NOT contains(' ' || evidence || ' ', ' ' || name || ' ')""")
 def unsupported_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "events").select("event_id", F.lit("View").alias("name"), F.concat(F.col("event_type"), F.lit(" of "), F.col("user_id") % 7).alias("evidence"))
-    return R.unsupported(own).select("event_id")
+    """Claims of customers whose name the evidence does not hold, token for token."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"), "o_custkey")
+    own = o.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name")), F.col("o_custkey") == F.col("c_custkey"))
+    told = F.concat(F.lit("as told by "), F.upper("name"), F.lit(", at last"))
+    kind = F.col("claim") % 4
+    evidence = F.when(kind == 0, told).when(kind == 1, F.concat("name", F.lit("1 said so"))).when(kind == 2, F.replace("name", F.lit("#"), F.lit(" - "))).otherwise("nobody")
+    return R.unsupported(own.withColumn("evidence", evidence)).select("claim")

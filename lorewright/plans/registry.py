@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import cleaning, evaluation, folded, further, graph, normalisers, participants, persistence, ranking, readmodels, relational, replayed, resolution, texts, validation
+from lorewright.plans import captured, cleaning, evaluation, folded, further, graph, normalisers, participants, persistence, ranking, readmodels, relational, replayed, resolution, texts, validation
 
-MODULES = [ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded, cleaning, further, participants, normalisers, replayed]
+MODULES = [ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded, cleaning, further, participants, normalisers, replayed, captured]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
