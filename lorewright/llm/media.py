@@ -30,6 +30,7 @@ from lorewright.llm.common import scratch_path, table, text_or_empty
 
 UNIT, LEVEL = 192, 3
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 64 << 20, 8 << 20, 4 << 20
+MOST_RANGES = 200_000
 RETRIES, PAUSE_S = 4, 0.05
 MAGIC = b"LWAR0001"
 _ENTRY, _FOOTER = struct.Struct("<QQIBqQ"), struct.Struct("<QQ8s")
@@ -191,7 +192,9 @@ class ArchiveReader(DataSourceReader):
         """Byte ranges over the manifest's files; the members are looked up by the tasks."""
         system, name = _open(self.manifest)
         found = pads.dataset(name, filesystem=system, format="parquet").to_table(columns=["path", "bytes"]).to_pylist()
-        return [ByteRange(f"{x['path']}#{x['bytes']}", at, at + self.range_bytes) for x in sorted(found, key=lambda x: x["path"]) for at in range(0, x["bytes"], self.range_bytes)]
+        # ranges widen with the archives, so that the driver plans MOST_RANGES and one a file at most; batches stay small
+        step = max(self.range_bytes, -(-sum(x["bytes"] for x in found) // MOST_RANGES))
+        return [ByteRange(f"{x['path']}#{x['bytes']}", at, at + step) for x in sorted(found, key=lambda x: x["path"]) for at in range(0, x["bytes"], step)]
 
     def read(self, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # what Spark asks for when there are no partitions
@@ -272,7 +275,8 @@ def media_features(spark: SparkSession, manifest: str) -> DataFrame:
     """A row per member: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
     Values depend on the stored bytes only.  A member that cannot be read fails the query; read_archives() alone
-    returns it with its error.  Null and empty texts are UNIT spaces.  No members give no rows.
+    returns it with its error.  Null and empty texts are UNIT spaces.  No members give no rows.  Repeated rows are members
+    each, with equal values; a very long text is one member, read whole.  Only doc_id and text are archived.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return read_archives(spark, manifest).mapInArrow(_measured, schema)

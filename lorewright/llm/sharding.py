@@ -120,7 +120,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOL
 
     Shards have near equal bytes: a splitter is off by tolerance of a shard, or by less than the row around it.
     Slots are gapless from 0 in each shard, in key order; wholly identical rows share a key and stay together.
-    A null text has size 16.  Null doc_ids are rows like others.  An empty table gives no rows.
+    A null text has size 16.  Null doc_ids are rows like others.  Very long texts are sized whole, and one larger than a
+    shard fills a shard of its own.  An empty table gives no rows.  Other columns are not read, whatever their names.
     """
     rows = materialize(sized_rows(docs), "sized")
     cuts = splitters(rows, shards, tolerance)

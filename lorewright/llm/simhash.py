@@ -168,7 +168,9 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     component_id is the smallest doc_id of the rows whose fingerprints can be reached by links of at most
     radius bits.  Null and empty texts have fingerprint zero and are linked like any other.  Null doc_ids
-    count only where a component has no other.  An empty table gives no rows.
+    count only where a component has no other.  Repeated rows and ties share fingerprint and component.  Very long texts
+    are fingerprinted whole, one at a time.  An empty table gives no rows.  Columns other than doc_id and text only enter
+    the row fingerprint.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_print(docs).alias("row_print"), F.col("text").cast("string").alias("text"))
     rows = materialize(slim.mapInArrow(_fingerprints, "doc_id long, row_print long, fp long"), "prints")
@@ -186,7 +188,8 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id, then the smallest row fingerprint."""
+    """docs with one row of each component, all columns: that of the smallest doc_id (null last), then the smallest row
+    fingerprint; of wholly identical rows one."""
     found = near_dedup(docs)
     kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_print")).alias("row"))
     return rows_kept(docs, kept.select("row.doc_id", "row.row_print"))

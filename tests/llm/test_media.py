@@ -1,4 +1,5 @@
 import hashlib
+import json
 import zlib
 
 import numpy as np
@@ -74,3 +75,26 @@ def test_members_are_retried_alone(tmp_path, monkeypatch):
     rows = [r for b in reader.read(part) for r in b.to_pylist()]
     assert rows[0]["media"] is None and "check" in rows[0]["error"]
     assert [r["doc_id"] for r in rows] == [1, 2, 3] and all(r["error"] is None for r in rows[1:])
+
+
+def test_features_match_plain_loops():
+    """The feature string, computed again from the text without arrays or storage."""
+    for text in ("", "a", "Ärger " * 300, "x" * 5000, "line\n" * 77):
+        raw = text.encode()
+        raw += b" " * (-len(raw) % 192 or (0 if raw else 192))
+        rows = [raw[k : k + 192] for k in range(0, len(raw), 192)]
+        got = json.loads(media.features_of(np.frombuffer(raw, np.uint8).reshape(-1, 192)))
+        mean = sum(raw) / len(raw)
+        assert got["height"] == len(rows) and abs(got["mean"] - mean) < 1e-3 and (got["least"], got["most"]) == (min(raw), max(raw))
+        assert abs(got["dev"] - (sum((x - mean) ** 2 for x in raw) / len(raw)) ** 0.5) < 1e-3
+        assert got["levels"] == [int(1000 * sum(16 * k <= x < 16 * k + 16 for x in raw) / len(raw)) for k in range(16)]
+        cut = lambda n, k: [n // k + (j < n % k) for j in range(k)]
+        bits, at = "", 0
+        for height in cut(len(rows), min(8, len(rows))):
+            part, cells, x = rows[at : at + height], [], 0
+            for width in cut(192, 9):
+                cells.append(sum(sum(r[x : x + width]) for r in part) / (height * width))
+                x += width
+            bits += "".join("1" if b > a + 1e-9 else "0" for a, b in zip(cells, cells[1:]))
+            at += height
+        assert got["dhash"] == f"{int(bits.ljust(64, '0'), 2):016x}"
