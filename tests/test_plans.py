@@ -20,12 +20,14 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_relational_queries_run_no_python_and_no_cartesian_product(spark):
-    from lorewright.plans import evaluation, graph, persistence, relational, resolution, texts, validation
+    from lorewright.plans import captured, evaluation, graph, normalisers, persistence, relational, resolution, texts, validation
 
-    for module in (relational, texts, resolution, graph, persistence, validation, evaluation):
+    # Spark has no built-in for the compatibility forms of Unicode: these go through Arrow
+    unicode = {"source_check", "composed_names", "composed_facts", "evidence_normalise"}
+    for module in (relational, texts, resolution, graph, persistence, validation, evaluation, captured, normalisers):
         for name, (query, _) in module.QUERIES.items():
             p = plan(query(spark, SF))
-            assert not re.search(r"ArrowEval|BatchEvalPython|MapInPandas|MapInArrow|FlatMapGroups", p), name
+            assert name in unicode or not re.search(r"ArrowEval|BatchEvalPython|MapInPandas|MapInArrow|FlatMapGroups", p), name
             assert "CartesianProduct" not in p, name
 
 
