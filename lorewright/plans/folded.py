@@ -91,8 +91,10 @@ def focused_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(None)
 def source_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions without overlap of the first two and three words of benchmark passages, which are a fixed, small table."""
-    names = [" ".join(r.text.split()[:k]) for r in table(spark, sf_dir, "benchmark").collect() for k in (2, 3)]
+    """Mentions without overlap of the first two and three words of benchmark passages, which are a fixed, small table; null
+    and shorter passages name nothing."""
+    words = [(r.text or "").split() for r in table(spark, sf_dir, "benchmark").select("text").collect()]
+    names = [" ".join(w[:k]) for w in words for k in (2, 3) if len(w) >= k]
 
     def run(batches):
         for pdf in batches:
