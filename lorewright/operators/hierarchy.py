@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import normalize_name
-from lorewright.storage import materialize
+from lorewright.storage import materialize, release
 
 #: The least confidence of a parent, of a parent among rivals, and the lead it needs.
 LEAST, LEAST_AMONG_RIVALS, LEAD = 0.7, 0.8, 0.15
@@ -45,6 +45,38 @@ def ancestors(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     raise RuntimeError(f"ancestry is deeper than {max_depth}")
 
 
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle) of the nodes that lie on cycles of edges (child, parent) with one parent a child; cycle: its least node.
+
+    Pointers are doubled, so rounds grow with the logarithm of the depth and no pairs of a node and its ancestors are
+    made.  A node whose pointer has left at a root drops out.  Once the pointers' targets are no fewer than a round before,
+    they are the nodes on cycles.
+    """
+    first = edges.select(F.col("child").alias("node"), F.col("parent").alias("at"))
+    hop = materialize(first, "hops")
+    left = hop.select("at").distinct().count()
+    while left:
+        further = hop.join(hop.select(F.col("node").alias("b_node"), F.col("at").alias("b_at")), F.col("at") == F.col("b_node"))
+        further = materialize(further.select("node", F.col("b_at").alias("at")), "hops")
+        release(hop)
+        hop, before = further, left
+        left = hop.select("at").distinct().count()
+        if left == before:
+            break
+    on = first.join(hop.select(F.col("at").alias("c_node")).distinct(), F.col("node") == F.col("c_node"), "left_semi")
+    named = materialize(on.select("node", "at", F.least("node", "at").alias("cycle")), "cycles")
+    release(hop)
+    while True:  # the least of a stretch of the cycle, which doubles, too
+        other = named.select(F.col("node").alias("b_node"), F.col("at").alias("b_at"), F.col("cycle").alias("b_cycle"))
+        met = named.join(other, F.col("at") == F.col("b_node")).select("node", F.col("b_at").alias("at"), F.least("cycle", "b_cycle").alias("cycle"), (F.col("b_cycle") < F.col("cycle")).alias("moved"))
+        met = materialize(met, "cycles")
+        release(named)
+        named = met.drop("moved")
+        named._scratch = met._scratch
+        if met.where("moved").isEmpty():
+            return named.select("node", "cycle")
+
+
 def choose_parents(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(proposed, diagnostics): at most one parent a child.
 
@@ -74,12 +106,7 @@ def drop_cycles(proposed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Every child has one parent, so a cycle loses exactly its last edge in that order; edges off cycles all stay.
     """
-    reach = ancestors(proposed)
-    on_cycle = reach.where("node = above").select(F.col("node").alias("c_node"))
-    members = proposed.join(on_cycle, F.col("child") == F.col("c_node"), "left_semi")
-    # a cycle is named by its smallest member: the least of what a member reaches that reaches it too
-    name = members.join(reach.join(on_cycle, F.col("above") == F.col("c_node"), "left_semi"), F.col("child") == F.col("node")).groupBy("id", "child", "parent", "confidence").agg(F.min("above").alias("cycle"))
-    last = name.withColumn("r", F.row_number().over(Window.partitionBy("cycle").orderBy("confidence", F.desc("id")))).where("r = 1")
+    last = proposed.join(cycles(proposed), F.col("child") == F.col("node")).withColumn("r", F.row_number().over(Window.partitionBy("cycle").orderBy("confidence", F.desc("id")))).where("r = 1")
     gone = last.select("id", "child", "parent", F.lit("cycle").alias("code"))
     return proposed.join(gone.select("id"), "id", "left_anti"), gone
 

@@ -58,15 +58,15 @@ def gold_inventory_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FAM = "fam(rel, fam) AS (VALUES ('A', 'moves'), ('R', 'moves'), ('N', 'stays'), ('R', 'returns'), ('N', 'moves'))"
 
 
-@register(f"""WITH {_FAM}, g AS (SELECT l_suppkey AS s, l_partkey AS t, l_returnflag AS r FROM lineitem WHERE l_linenumber = 1), c AS (SELECT l_suppkey AS s, l_partkey AS t, l_returnflag AS r FROM lineitem WHERE l_linenumber = 2),
+@register(f"""WITH {_FAM}, g AS (SELECT l_suppkey AS s, l_partkey AS t, l_returnflag AS r FROM lineitem WHERE l_linestatus = 'O'), c AS (SELECT l_suppkey AS s, l_partkey AS t, l_returnflag AS r FROM lineitem WHERE l_linestatus <> 'O'),
   m AS (SELECT g.s, g.t, g.r, max(CASE WHEN c.r = g.r THEN 3 WHEN EXISTS (SELECT 1 FROM fam a JOIN fam b USING (fam) WHERE a.rel = g.r AND b.rel = c.r) THEN 2 WHEN c.r IS NOT NULL THEN 1 ELSE 0 END) AS score FROM g LEFT JOIN c ON c.s = g.s AND c.t = g.t GROUP BY ALL)
   SELECT CASE score WHEN 3 THEN 'EXACT' WHEN 2 THEN 'NORMALIZED' WHEN 1 THEN 'BOUNDED' ELSE 'NO' END AS verdict, count(*) AS n FROM m GROUP BY 1""")
 def relationship_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold edges against found ones: exact wording, same family, same endpoints, or none."""
+    """Gold edges (line items still open) against found ones (all others): exact wording, same family, same endpoints, or none."""
     fam = spark.createDataFrame([("A", ["moves"]), ("R", ["moves", "returns"]), ("N", ["stays", "moves"])], "rel string, fams array<string>")
     item = table(spark, sf_dir, "lineitem")
-    one = item.where("l_linenumber = 1").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t"), F.col("l_returnflag").alias("r"))
-    two = item.where("l_linenumber = 2").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t"), F.col("l_returnflag").alias("cr"))
+    one = item.where("l_linestatus = 'O'").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t"), F.col("l_returnflag").alias("r"))
+    two = item.where("l_linestatus <> 'O'").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t"), F.col("l_returnflag").alias("cr"))
     one = one.join(F.broadcast(fam.withColumnRenamed("fams", "gf")), F.col("r") == F.col("rel"), "left").drop("rel")
     two = two.join(F.broadcast(fam.withColumnRenamed("fams", "cf")), F.col("cr") == F.col("rel"), "left").drop("rel")
     score = F.when(F.col("cr") == F.col("r"), 3).when(F.arrays_overlap("gf", "cf"), 2).when(F.col("cr").isNotNull(), 1).otherwise(0)

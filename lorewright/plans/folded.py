@@ -77,8 +77,9 @@ def packed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(None)
 def focused_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent pages that bear occurrences in windows of at most 3 pages and 4,000 characters."""
-    own = pages(spark, sf_dir).select("document_id", "page", F.length("text").alias("n")).where("n > 200")
+    """Adjacent pages that name two entities or more (here capitalised words of four letters and more) in windows of at most 3 pages and 4,000 characters."""
+    named = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b(\p{Lu}\p{L}{3,})\b"))))
+    own = pages(spark, sf_dir).where(named >= 2).select("document_id", "page", F.length("text").alias("n"))
 
     def fold(pdf: pd.DataFrame):
         rows = list(zip(pdf["page"], pdf["n"], strict=True))
@@ -135,7 +136,7 @@ def adjudication_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(None)
 def applied_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge proposals of each campaign (here a supplier) applied in order against its groups."""
-    item = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_discount")
+    item = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_discount")
 
     def fold(pdf: pd.DataFrame):
         groups = set((pdf["l_partkey"] % 40).tolist())
@@ -149,7 +150,7 @@ def applied_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(None)
 def segment_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greedy choice of at most 12 pages (orders) that cover a supplier's weighted parts."""
-    item = table(spark, sf_dir, "lineitem").where("l_discount > 0.08").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
+    item = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_partkey", "l_quantity")
 
     def fold(pdf: pd.DataFrame):
         weights = {int(k): int(v) for k, v in pdf.groupby("l_partkey")["l_quantity"].max().items()}

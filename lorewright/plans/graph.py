@@ -233,9 +233,12 @@ def considered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with pages (orders), neighbours on them, and degree and evidence pages of half of the edges."""
+    """Parts with pages (orders of any line item), neighbours on them, and degree and evidence pages of their accepted edges.
+
+    Acceptance is an attribute of an edge: here line items of quantity 48 and more at a discount over 0.05.
+    """
     item = table(spark, sf_dir, "lineitem")
-    seen = item.where("l_quantity <= 4").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("page"))
+    seen = item.select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("page"))
     pages = seen.groupBy("id").agg(F.countDistinct("page").alias("mention_pages"))
     other = seen.select(F.col("id").alias("o_id"), "page").distinct()
     near = seen.distinct().join(other, "page").where("id <> o_id").groupBy("id").agg(F.countDistinct("o_id").alias("nearby"))
@@ -246,7 +249,7 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.withColumn("flag", F.when(zero, "SUSPICIOUS_ZERO_RELATIONSHIPS").when(low, "SUSPICIOUS_LOW_COVERAGE").otherwise("SPARSE_OK"))
 
 
-_COVER = f"""{PARTS}, seen AS (SELECT DISTINCT l_partkey AS id, l_orderkey AS page FROM lineitem WHERE l_quantity <= 4), mp AS (SELECT id, count(*) AS mention_pages FROM seen GROUP BY id),
+_COVER = f"""{PARTS}, seen AS (SELECT DISTINCT l_partkey AS id, l_orderkey AS page FROM lineitem), mp AS (SELECT id, count(*) AS mention_pages FROM seen GROUP BY id),
   nb AS (SELECT a.id, count(DISTINCT b.id) AS nearby FROM seen a JOIN seen b ON a.page = b.page AND a.id <> b.id GROUP BY a.id),
   tc AS (SELECT l_partkey AS id, count(*) AS degree, count(DISTINCT l_orderkey) AS evidence_pages FROM lineitem WHERE l_quantity >= 48 AND l_discount > 0.05 GROUP BY 1),
   cv0 AS (SELECT pt.id, coalesce(mention_pages, 0) AS mention_pages, coalesce(nearby, 0) AS nearby, coalesce(degree, 0) AS degree, coalesce(evidence_pages, 0) AS evidence_pages FROM pt LEFT JOIN mp USING (id) LEFT JOIN nb USING (id) LEFT JOIN tc USING (id)),
@@ -263,7 +266,7 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rescue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suspicious pages in windows of four, their targets in groups of twelve."""
     targets = coverage(spark, sf_dir).where("flag <> 'SPARSE_OK'").select("id")
-    seen = table(spark, sf_dir, "lineitem").where("l_quantity <= 4").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("page")).distinct()
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("page")).distinct()
     on = materialize(seen.join(targets, "id", "left_semi"), "targets")
     # pages are numbered by ranges: a count per range, then ranks inside
     paged = on.select("page").distinct().repartitionByRange("page").withColumn("part", F.spark_partition_id())

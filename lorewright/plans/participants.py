@@ -38,11 +38,11 @@ def participant_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.resolve(mentions(spark, sf_dir), entities(spark, sf_dir))
 
 
-@register(f"""WITH RECURSIVE {PARTS}, p0 AS (SELECT DISTINCT lower(regexp_replace(name || ' ' || size, '[^a-zA-Z0-9]+', ' ', 'g')) AS a, lower(regexp_replace(type || ' ' || size, '[^a-zA-Z0-9]+', ' ', 'g')) AS b FROM pt WHERE brand = 'Brand#13'),
+@register(f"""WITH RECURSIVE {PARTS}, p0 AS (SELECT DISTINCT lower(regexp_replace(name || ' ' || brand || ' ' || size, '[^a-zA-Z0-9]+', ' ', 'g')) AS a, lower(regexp_replace(type || ' ' || brand || ' ' || size, '[^a-zA-Z0-9]+', ' ', 'g')) AS b FROM pt),
   e AS (SELECT a, b FROM p0 UNION SELECT b, a FROM p0), r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS name, min(b) AS component FROM r GROUP BY a""")
 def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names connected by statements of identity."""
-    said = parts(spark, sf_dir).where("brand = 'Brand#13'").select(F.concat_ws(" ", "name", "size", F.lit("is also known as"), "type", F.concat(F.col("size").cast("string"), F.lit("."))).alias("text"))
+    said = parts(spark, sf_dir).select(F.concat_ws(" ", "name", "brand", "size", F.lit("is also known as"), "type", "brand", F.concat(F.col("size").cast("string"), F.lit("."))).alias("text"))
     return R.alias_components(R.explicit_identities(said)).select(F.col("node").alias("name"), "component")
 
 

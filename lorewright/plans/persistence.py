@@ -181,12 +181,15 @@ def stage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.when(F.count("c") < F.count(F.lit(1)), None).otherwise(F.sum("c")).alias("cost"))
 
 
-@register("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN 'blocked' ELSE 'revealed' END AS outcome FROM lineitem WHERE l_quantity > 40 AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 5)""")
+@register("""SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL OR s_suppkey IS NULL THEN 'unknown' WHEN p_size > 5 AND s_acctbal > 0 THEN 'revealed' ELSE 'blocked' END AS outcome
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey""")
 def reveal_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A relationship can be revealed only where both ends can be seen."""
-    shown = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
-    own = table(spark, sf_dir, "lineitem").where("l_quantity > 40").join(shown, "l_partkey", "left_semi")
-    return own.select("l_orderkey", "l_linenumber", F.when(F.col("l_discount") == 0, "blocked").otherwise("revealed").alias("outcome"))
+    """A relationship can be revealed only where both ends can be seen (here parts over size 5, suppliers with a balance over 0)."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") > 5).alias("target"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), (F.col("s_acctbal") > 0).alias("source"))
+    own = table(spark, sf_dir, "lineitem").join(p, "l_partkey", "left").join(s, "l_suppkey", "left")
+    outcome = F.when(F.col("target").isNull() | F.col("source").isNull(), "unknown").when(F.col("target") & F.col("source"), "revealed").otherwise("blocked")
+    return own.select("l_orderkey", "l_linenumber", outcome.alias("outcome"))
 
 
 @register("SELECT doc_id, coalesce(quality, 0) AS quality, CASE WHEN quality IS NULL THEN 3 ELSE 4 END AS cache_schema_version FROM documents LEFT JOIN labels USING (doc_id)")

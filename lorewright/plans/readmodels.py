@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorewright.operators.ranking import rank_in_groups
 from lorewright.plans.base import EDGES, PARTS, edges, parts, rank_of, registrar, table
 
 QUERIES: dict = {}
@@ -39,10 +40,12 @@ def entity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""WITH g AS (SELECT event_id, CASE WHEN event_type = 'signup' THEN 'past' WHEN event_type IN ('click', 'view') THEN 'present' WHEN event_type = 'purchase' THEN 'future' ELSE 'undated' END AS bucket, CAST(ts AS DATE) AS d FROM events)
   SELECT event_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY d NULLS LAST, event_id) AS place FROM g""")
 def event_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by bucket and date; buckets are few, so large ones are ranked by ranges."""
     t = F.col("event_type")
     bucket = F.when(t == "signup", "past").when(t.isin("click", "view"), "present").when(t == "purchase", "future").otherwise("undated")
     own = table(spark, sf_dir, "events").select("event_id", bucket.alias("bucket"), F.to_date("ts").alias("d"))
-    return own.select("event_id", "bucket", F.row_number().over(rank_of(["bucket"], [F.asc_nulls_last("d"), "event_id"])).alias("place"))
+    ranked = rank_in_groups(own, "bucket", [F.asc_nulls_last("d"), F.col("event_id")], "place")
+    return ranked.select("event_id", "bucket", "place")
 
 
 @register("""WITH d AS (SELECT DISTINCT l_partkey AS e, l_suppkey AS doc, l_orderkey AS page FROM lineitem), p AS (SELECT e, doc, count(*) AS pages FROM d GROUP BY ALL) SELECT e, count(*) AS documents, sum(pages) AS pages, arg_max(doc, (pages, -doc)) AS main_document FROM p GROUP BY e""")
@@ -62,9 +65,13 @@ def article_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("user_id", F.coalesce("section", F.lit("other")).alias("section")).agg(F.count(F.lit(1)).alias("facts"), F.min(F.coalesce("label", F.initcap("event_type"))).alias("first_label"))
 
 
-@register(f"WITH {PARTS} SELECT id, name, r FROM (SELECT id, name, row_number() OVER (PARTITION BY type ORDER BY lower(name), id) AS r FROM pt WHERE size > 40) WHERE r <= 4")
+@register(f"""WITH {PARTS} SELECT id, name, r, label FROM (SELECT id, name, upper(type[1]) || lower(type[2:]) || CASE WHEN size > 30 THEN ', major' WHEN visible THEN ', known' ELSE '' END AS label,
+  row_number() OVER (PARTITION BY type ORDER BY lower(name), id) AS r FROM pt) WHERE r <= 4""")
 def overview_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts(spark, sf_dir).where("size > 40").select("id", "name", F.row_number().over(rank_of(["type"], [F.lower("name"), "id"])).alias("r")).where("r <= 4")
+    """The first four entities of each type by name, with a label of their type and standing."""
+    standing = F.when(F.col("size") > 30, ", major").when(F.col("visible"), ", known").otherwise("")
+    label = F.concat(F.upper(F.substring("type", 1, 1)), F.lower(F.expr("substring(type, 2)")), standing)
+    return parts(spark, sf_dir).select("id", "name", F.row_number().over(rank_of(["type"], [F.lower("name"), "id"])).alias("r"), label.alias("label")).where("r <= 4")
 
 
 @register(f"WITH {PARTS} SELECT type, coalesce(CASE WHEN size > 30 THEN 'major' WHEN size > 10 THEN 'supporting' END, 'minor') AS grp, count(*) AS n FROM pt GROUP BY ALL")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import normalize_name, tokens_of
 from lorewright.operators.components import connected_components
+from lorewright.operators.ranking import rank_in_groups
 from lorewright.plans.base import PARTS, parts, registrar, table
 from lorewright.storage import materialize
 
@@ -275,13 +276,13 @@ def merged_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {PARTS}, n AS (SELECT id, type, string_split(trim(regexp_replace(lower('lord ' || name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS t FROM pt WHERE size <= 25
-  UNION ALL SELECT id, type, string_split(trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') FROM pt WHERE size > 40)
+  UNION ALL SELECT id, type, string_split(trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') FROM pt WHERE size > 25)
   SELECT a.id AS titled, min(b.id) AS plain FROM n a JOIN n b ON a.type = b.type AND len(b.t) < len(a.t) AND a.t[len(a.t) - len(b.t) + 1:] = b.t AND a.t[1] = 'lord' GROUP BY a.id""".replace("{{", "{").replace("}}", "}"))
 def title_stripped_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that are another's suffix after honorifics only: every honorific-stripped suffix is a join key."""
     p = parts(spark, sf_dir)
     titled = p.where("size <= 25").select("id", "type", tokens_of(F.concat(F.lit("lord "), "name")).alias("t"))
-    plain = p.where("size > 40").select("id", "type", tokens_of(F.col("name")).alias("t"))
+    plain = p.where("size > 25").select("id", "type", tokens_of(F.col("name")).alias("t"))
     lead = F.filter(F.sequence(F.lit(1), F.size("t") - 1), lambda k: F.forall(F.slice("t", 1, k), lambda x: x.isin(*NPC_TITLES)))
     cut = titled.select(F.col("id").alias("titled"), "type", F.explode(F.transform(lead, lambda k: F.array_join(F.slice("t", k + 1, F.size("t")), " "))).alias("k"))
     return cut.join(plain.select("type", F.array_join("t", " ").alias("k"), "id"), ["type", "k"]).groupBy("titled").agg(F.min("id").alias("plain"))
@@ -306,11 +307,10 @@ def fallback_retyping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(one, "brand").join(against, "id", "left_anti").select("id", "specific")
 
 
-@register(f"""WITH {PARTS}, p AS (SELECT id, type, size FROM pt WHERE size >= 10), r AS (SELECT id, row_number() OVER (PARTITION BY type ORDER BY size, id) AS r FROM p) SELECT id, CAST(floor((r - 1) / 24) AS BIGINT) AS batch FROM r""")
+@register(f"""WITH {PARTS}, r AS (SELECT id, row_number() OVER (PARTITION BY type ORDER BY size, id) AS r FROM pt) SELECT id, CAST(floor((r - 1) / 24) AS BIGINT) AS batch FROM r""")
 def bounded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each type in batches of 24 by order."""
-    own = parts(spark, sf_dir).where("size >= 10")
-    r = F.row_number().over(Window.partitionBy("type").orderBy("size", "id"))
-    return own.select("id", F.floor((r - 1) / 24).alias("batch"))
+    own = rank_in_groups(parts(spark, sf_dir).select("id", "type", "size"), "type", [F.col("size"), F.col("id")])
+    return own.select("id", F.floor((F.col("rank") - 1) / 24).alias("batch"))
 
 

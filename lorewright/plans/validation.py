@@ -116,15 +116,16 @@ def reverse_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), F.lower("type").alias("k")).agg(F.min("ord").alias("ord"), (F.count(F.lit(1)) - 1).alias("dropped"))
 
 
-@register("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, lag(l_linenumber) OVER w AS before, lag(l_returnflag) OVER w AS context FROM lineitem WHERE l_quantity < 40 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
-  SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN 'heading' WHEN context <> l_returnflag THEN 'other context' WHEN before IS NOT NULL AND l_linenumber - before > 1 THEN 'not adjacent' WHEN l_partkey % 50 = 0 THEN 'unknown participant' ELSE 'valid' END AS outcome FROM c""")
+@register("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linenumber + CASE WHEN l_quantity >= 40 THEN 1 ELSE 0 END AS unit, lag(l_linenumber + CASE WHEN l_quantity >= 40 THEN 1 ELSE 0 END) OVER w AS before, lag(l_returnflag) OVER w AS context FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity))
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN 'heading' WHEN context <> l_returnflag THEN 'other context' WHEN before IS NOT NULL AND unit - before > 1 THEN 'not adjacent' WHEN l_partkey % 50 = 0 THEN 'unknown participant' ELSE 'valid' END AS outcome FROM c""")
 def claim_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cited units: no headings, one context, adjacent; participants known."""
+    """Cited units: no headings, one context, adjacent; participants known.  A claim cites its line as a unit, the one after it for quantities from 40."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    own = table(spark, sf_dir, "lineitem").where("l_quantity < 40").select("*", F.lag("l_linenumber").over(w).alias("before"), F.lag("l_returnflag").over(w).alias("context"))
+    cited = table(spark, sf_dir, "lineitem").withColumn("unit", F.col("l_linenumber") + F.when(F.col("l_quantity") >= 40, 1).otherwise(0))
+    own = cited.select("*", F.lag("unit").over(w).alias("before"), F.lag("l_returnflag").over(w).alias("context"))
     rules = [
         ("heading", (F.col("l_returnflag") == "N") & (F.col("l_linenumber") == 1)), ("other context", F.col("context") != F.col("l_returnflag")),
-        ("not adjacent", F.col("before").isNotNull() & (F.col("l_linenumber") - F.col("before") > 1)), ("unknown participant", F.col("l_partkey") % 50 == 0),
+        ("not adjacent", F.col("before").isNotNull() & (F.col("unit") - F.col("before") > 1)), ("unknown participant", F.col("l_partkey") % 50 == 0),
     ]
     return own.select("l_orderkey", "l_linenumber", first_failure(rules).otherwise("valid").alias("outcome"))
 
@@ -236,10 +237,10 @@ def claim_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(d.alias("disposition")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT l.l_orderkey, l.l_linenumber, o_orderpriority = '1-URGENT' AS wanted, l_returnflag = 'R' AS found FROM lineitem l JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber = 1")
+@register("SELECT l.l_orderkey, l.l_linenumber, o_orderpriority = '1-URGENT' AS wanted, l_returnflag = 'R' AS found FROM lineitem l JOIN orders ON o_orderkey = l_orderkey")
 def slice_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    own = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    own = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return own.select("l_orderkey", "l_linenumber", (F.col("o_orderpriority") == "1-URGENT").alias("wanted"), (F.col("l_returnflag") == "R").alias("found"))
 
 

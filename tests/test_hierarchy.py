@@ -1,5 +1,5 @@
 from lorewright.operators.components import connected_components
-from lorewright.operators.hierarchy import location_tree
+from lorewright.operators.hierarchy import cycles, location_tree
 
 
 def tree(spark, edges, names="abcdefg"):
@@ -35,3 +35,14 @@ def test_components_of_long_chains_stars_and_loops(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 201), 1), **dict.fromkeys(range(500, 560), 500), 900: 900}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_cycles_are_named_by_their_least_node(spark):
+    loop = [(100 + k, 100 + (k + 1) % 37) for k in range(37)]
+    tails = [(200, 120), (201, 200), (202, 201)]
+    chain = [(k, k + 1) for k in range(300, 400)]
+    pair = [(8, 9), (9, 8)]
+    e = spark.createDataFrame(loop + tails + chain + pair + [(5, 5)], "child long, parent long")
+    got = {r.node: r.cycle for r in cycles(e).collect()}
+    assert got == {**dict.fromkeys(range(100, 137), 100), 8: 8, 9: 8, 5: 5}
+    assert cycles(e.where("child BETWEEN 300 AND 399")).count() == 0 and cycles(e.limit(0)).count() == 0
