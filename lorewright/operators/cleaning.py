@@ -13,6 +13,7 @@ from lorewright.functions import text as T
 
 #: Lines at an edge, pages that a running line must be on at least, and the share of a document's pages.
 EDGE_LINES, LEAST_PAGES, SHARE = 2, 2, 0.6
+OVERLAY_SPAN, OVERLAY_LENGTH = 8, 12
 RUNNING_WORDS = r"\b(?:guide|handbook|manual|chapter|volume|edition|publisher)\b"
 
 
@@ -51,6 +52,33 @@ def marked_lines(pages: DataFrame) -> DataFrame:
     return first.withColumn("reason", F.when(ornament, "page_ornament").otherwise(F.col("reason"))).select("document_id", "page", "line_no", "line", "key", "edge", "reason")
 
 
+def overlaid_lines(marked: DataFrame) -> DataFrame:
+    """(document_id, page, line_no, reason) of the lines that a second layer printed between two removed lines.
+
+    The removed lines are at most OVERLAY_SPAN apart.  Page numbers between them go as page_ornament.  Lines of
+    OVERLAY_LENGTH characters and two words or more go as duplicate_overlay if the page holds them outside the two; of
+    copies that support each other the last one stays, since stretches are taken in page order.  A page is one row.
+    """
+    own = marked.select("document_id", "page", F.struct("line_no", T.compact(F.col("line")).alias("s"), F.col("reason").isNotNull().alias("gone")).alias("l"))
+    page = own.groupBy("document_id", "page").agg(F.sort_array(F.collect_list("l")).alias("ls"))
+    fences = F.transform(F.filter("ls", lambda x: x["gone"]), lambda x: x["line_no"])
+    page = page.withColumn("fences", fences)
+    pairs = F.arrays_zip(F.slice("fences", F.lit(1), F.greatest(F.size("fences") - 1, F.lit(0))).alias("a"), F.slice("fences", F.lit(2), F.greatest(F.size("fences") - 1, F.lit(0))).alias("b"))
+    page = page.where(F.size("fences") >= 2).select("document_id", "page", "ls", F.filter(pairs, lambda f: (f["b"] - f["a"] >= 2) & (f["b"] - f["a"] <= OVERLAY_SPAN)).alias("pairs")).where(F.size("pairs") > 0)
+
+    def between(acc: Column, f: Column) -> Column:
+        outside = F.filter("ls", lambda x: ((x["line_no"] < f["a"]) | (x["line_no"] > f["b"])) & ~x["gone"] & ~F.array_contains(acc, x["line_no"]))
+        held = F.concat(F.lit(" "), F.array_join(F.transform(outside, lambda x: x["s"]), " "), F.lit(" "))
+        said = lambda x: (F.length(x["s"]) >= OVERLAY_LENGTH) & F.contains(x["s"], F.lit(" ")) & F.contains(held, F.concat(F.lit(" "), x["s"], F.lit(" ")))
+        found = F.filter("ls", lambda x: (x["line_no"] > f["a"]) & (x["line_no"] < f["b"]) & (T.is_page_ornament(x["s"]) | said(x)))
+        return F.array_union(acc, F.transform(found, lambda x: x["line_no"]))
+
+    gone = F.aggregate("pairs", F.array().cast("array<int>"), between)
+    lines = page.select("document_id", "page", F.explode(F.filter("ls", lambda x: F.array_contains(gone, x["line_no"]))).alias("l"))
+    reason = F.when(T.is_page_ornament(F.col("l.s")), "page_ornament").otherwise("duplicate_overlay")
+    return lines.select("document_id", "page", "l.line_no", reason.alias("reason"))
+
+
 def joined_paragraphs(text: Column) -> Column:
     """Lines joined to paragraphs: wrapped hyphens closed, single line ends to spaces, blank lines to one break."""
     lines = F.array_join(F.transform(F.split(text, r"\r?\n"), T.compact), "\n")
@@ -59,9 +87,15 @@ def joined_paragraphs(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(flowed, r"\n{2,}", "\n\n"), r"^\s+|\s+$", "")
 
 
-def clean_pages(pages: DataFrame) -> DataFrame:
-    """(document_id, page, model_text, removed). A null or empty page has an empty model text."""
+def clean_pages(pages: DataFrame, layers: bool = False) -> DataFrame:
+    """(document_id, page, model_text, removed). A null or empty page has an empty model text.
+
+    layers: lines that a second layer printed between removed lines go, too (overlaid_lines).
+    """
     marked = marked_lines(pages.select("document_id", "page", F.coalesce("text", F.lit("")).alias("text")))
+    if layers:
+        over = overlaid_lines(marked).select("document_id", "page", "line_no", F.col("reason").alias("layer"))
+        marked = marked.join(over, ["document_id", "page", "line_no"], "left").withColumn("reason", F.coalesce("reason", "layer"))
     kept = F.when(F.col("reason").isNull(), F.col("line")).otherwise("")
     grouped = marked.groupBy("document_id", "page").agg(F.sort_array(F.collect_list(F.struct("line_no", kept.alias("kept")))).alias("ls"), F.count("reason").alias("removed"))
     return grouped.select("document_id", "page", joined_paragraphs(F.array_join(F.transform("ls", lambda x: x["kept"]), "\n")).alias("model_text"), "removed")
