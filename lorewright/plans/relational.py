@@ -149,11 +149,23 @@ def tiered_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
     keys = p.where("size > 20").select("id", F.lit(1).alias("tier"), F.lower("name").alias("k"))
     keys = keys.unionByName(p.where("size = 50").select("id", F.lit(2).alias("tier"), F.lower("type").alias("k"))).unionByName(p.select("id", F.lit(3).alias("tier"), F.lower("brand").alias("k")))
-    # the matches of a key are counted once, not once for each that asks
-    found = keys.groupBy("tier", "k").agg(F.collect_set("id").alias("ids"))
-    asked = p.select(F.col("id").alias("qid"), F.explode(F.array(F.lower("name"), F.lower("type"), F.lower("brand"))).alias("k"))
-    met = asked.join(found, "k").groupBy("qid", "tier").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("matches"))
-    return met.groupBy("qid").agg(F.min(F.struct("tier", "matches")).alias("b")).select("qid", "b.tier", "b.matches")
+    asked = p.where("id IS NOT NULL").select(F.col("id").alias("qid"), F.explode(F.array(F.lower("name"), F.lower("type"), F.lower("brand"))).alias("k"))
+    return first_tier(asked, keys)
+
+
+def first_tier(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """(qid, tier, matches): the least tier of keys (id, tier, k) that one of the keys asked (qid, k) is in, and its distinct ids.
+
+    Ids that hold the same keys of a tier are one class with a count, askers that hit the same keys another; only classes
+    meet, so ids neither travel with the askers nor with the keys.  Null ids make a tier but count as none.
+    """
+    hit = asked.join(keys.select("tier", "k").distinct(), "k").groupBy("qid", "tier").agg(F.array_sort(F.collect_set("k")).alias("hit"))
+    best = hit.groupBy("qid").agg(F.min(F.struct("tier", "hit")).alias("b")).select("qid", "b.tier", "b.hit")
+    held = keys.where("id IS NOT NULL").groupBy("tier", "id").agg(F.array_sort(F.collect_set("k")).alias("held"))
+    sizes = held.groupBy("tier", "held").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.explode("held"))
+    met = best.select("tier", "hit").distinct().withColumn("k", F.explode("hit")).join(sizes, ["tier", "k"])
+    counted = met.dropDuplicates(["tier", "hit", "held"]).groupBy("tier", "hit").agg(F.sum("n").alias("matches"))
+    return best.join(counted, ["tier", "hit"], "left").select("qid", "tier", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
 @register("""WITH p AS (SELECT DISTINCT l_partkey AS id, l_orderkey AS page FROM lineitem) SELECT a.id AS left_id, b.id AS right_id, count(*) AS shared_pages FROM p a JOIN p b ON a.page = b.page AND a.id < b.id
