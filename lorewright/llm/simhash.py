@@ -24,6 +24,7 @@ from lorewright.operators.components import connected_components
 
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 2, 8
 _STEP = 1 << 15
+_BATCH = 4 << 20
 
 
 def words_joined(raw: bytes) -> bytes:
@@ -168,12 +169,12 @@ def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     component_id is the smallest doc_id of the rows whose fingerprints can be reached by links of at most
     radius bits.  Null and empty texts have fingerprint zero and are linked like any other.  Null doc_ids
-    count only where a component has no other.  Repeated rows and ties share fingerprint and component.  Very long texts
-    are fingerprinted whole, one at a time.  An empty table gives no rows.  Columns other than doc_id and text only enter
-    the row fingerprint.
+    count only where a component has no other.  Repeated rows and ties share fingerprint and component.  Texts go
+    to Python in batches that end with the row that passes 4 MB; very long ones are fingerprinted whole, one at a
+    time.  An empty table gives no rows.  Columns other than doc_id and text only enter the row fingerprint.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_print(docs).alias("row_print"), F.col("text").cast("string").alias("text"))
-    rows = materialize(slim.mapInArrow(_fingerprints, "doc_id long, row_print long, fp long"), "prints")
+    rows = materialize(slim.mapInArrow(_fingerprints, "doc_id long, row_print long, fp long"), "prints", batch_bytes=_BATCH)
     first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     first = materialize(first, "first")
     parts = connected_components(near_links(first.select("fp")))

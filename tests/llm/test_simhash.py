@@ -65,3 +65,24 @@ def test_stage_keeps_one_row_of_each_component_and_all_columns(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
     assert simhash.drop_near_copies(docs.where(F.lit(False))).count() == 0
+
+
+def test_texts_reach_python_in_batches_of_bounded_bytes(spark, monkeypatch):
+    inner = simhash._fingerprints
+
+    def checked(batches):
+        def each():
+            for batch in batches:
+                held = sorted(len(t.as_py()) for t in batch.column("text"))
+                assert sum(held[:-1]) <= 4 << 20, sum(held)  # a batch ends with the row that passes the bound
+                yield batch
+
+        yield from inner(each())
+
+    monkeypatch.setattr(simhash, "_fingerprints", checked)
+    text = F.when(F.col("id") == 7, F.repeat(F.lit("long text "), 1_000_000)).otherwise(F.concat(F.lit("w x "), F.repeat(F.lit("y"), 100_000)))
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    assert {(r.doc_id, r.component_id) for r in simhash.near_dedup(docs).collect()} == {(k, 7 if k == 7 else 0) for k in range(300)}
+    assert spark.conf.get(key) == before
