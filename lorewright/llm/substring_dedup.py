@@ -23,7 +23,9 @@ one content, counted with map-side sums, so a passage that a third of all docume
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewright.llm.common import materialize, release, table, text_or_empty
-from lorewright.llm.words import hashed, in_chunks, mixed, words_of
+from lorewright.llm.words import in_chunks, mixed, words_of
 from lorewright.operators.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -47,6 +49,11 @@ SLICE_ROWS, SLICE_BYTES = 500, 4 << 20
 #: Shingle sets over so many elements are intersected as arrays.
 LARGE_SET = 50_000
 CLASS_ROWS = 2_000
+#: Units whose surroundings are cut at a time.
+UNIT_ROWS = 20_000
+#: Places in a unit whose hashes are kept.
+PLACES = 1 << 14
+_REACHED = struct.Struct("=i").unpack_from
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _OTHER = np.uint64(0x27D4EB2F165667C5)
 _ODD = np.random.default_rng(7).integers(1, 1 << 62, (BANDS * BAND_ROWS, 2)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,6 +79,12 @@ def _sliding(x: np.ndarray, width: int, pick, fill) -> np.ndarray:
     return (pick(x[: len(x) - rest], x[rest:]) if rest else x)[: len(x)]
 
 
+@cache
+def _places(salt: int) -> np.ndarray:
+    """What the first PLACES places of a unit are mixed to."""
+    return mixed(np.arange(PLACES, dtype=np.uint64) + np.uint64(salt))
+
+
 class Units:
     """Lines and windows of several texts."""
 
@@ -129,8 +142,9 @@ class Units:
             if len(at):
                 what, check = np.zeros(len(at), np.uint64), np.full(len(at), _OTHER)
                 for k in range(SPAN):
-                    what = mixed(what * np.uint64(0x9E3779B97F4A7C15) + h[at + k])
-                    check = (check ^ h[at + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    word = h[at + k]
+                    what = mixed(what * np.uint64(0x9E3779B97F4A7C15) + word)
+                    check = (check ^ word) * np.uint64(0xC2B2AE3D27D4EB4F)
                     check ^= check >> np.uint64(29)
                 # one unit for all steps of a repeated word
                 new = np.flatnonzero(np.r_[True, (what[1:] != what[:-1]) | (doc[at][1:] != doc[at][:-1]) | (at[1:] != at[:-1] + 1)])
@@ -142,7 +156,8 @@ class Units:
     def _contents(h: np.ndarray, first: np.ndarray, size: np.ndarray, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
         """The hash of the size words from first on; the units together are all words, in order."""
         place = np.arange(len(h)) - np.repeat(first, size)
-        return np.add.reduceat(mixed(h + mixed(place.astype(np.uint64) + salt)), first)
+        spread = _places(int(salt))[place] if size.max() <= PLACES else mixed(place.astype(np.uint64) + salt)
+        return np.add.reduceat(mixed(h + spread), first)
 
     @staticmethod
     def _bands(sh: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -150,7 +165,11 @@ class Units:
         n = size - SHINGLE + 1
         cut = np.cumsum(n) - n
         x = sh[np.arange(int(n.sum())) + np.repeat(first - cut, n)]
-        least = np.stack([np.minimum.reduceat(x * a + b, cut) for a, b in _ODD])  # shingles are mixed already
+        least, held = np.empty((len(_ODD), len(first)), np.uint64), np.empty_like(x)
+        for k, (a, b) in enumerate(_ODD):  # shingles are mixed already
+            np.multiply(x, a, out=held)
+            held += b
+            np.minimum.reduceat(held, cut, out=least[k])
         bands = np.zeros((BANDS, len(first)), np.uint64)
         for k in range(BANDS):
             for m in least[k * BAND_ROWS : (k + 1) * BAND_ROWS]:
@@ -158,6 +177,11 @@ class Units:
         return bands
 
 
+def _listed(column: pa.Array) -> list:
+    """Python values of a column; those without nulls go by numpy, which takes a tenth of the time."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["kind", "content", "check", "doc_id", "print", "start", "stop", "words", "word", "bands", "form", "within"]
     for batch in batches:
@@ -233,27 +257,54 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     rows: list[list] = []
     for batch in batches:
-        for text, row, units in zip(batch.column("text"), batch.column("print").to_pylist(), batch.column("units"), strict=True):
-            if len(rows) > 50_000:
-                yield combined(rows)
-                rows = []
-            h, start, end, low = hashed((text.as_py() or "").encode())
-            points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
-            begin, stop = points[start], points[end]
-            small = (h >> np.uint64(32)).astype(np.uint32)
-            for u in units.as_py():
-                a, b = u["word"], u["word"] + u["words"]
-                place = [u["doc_id"] is None, u["doc_id"] or 0, row, u["start"], u["kept"], False, False]
-                if u["left"] and a:
-                    words = small[max(0, a - REACH) : a][::-1]
-                    rows.append([u["content"], u["check"], 0, int(words[0]), words.tobytes(), (u["start"] - begin[max(0, a - REACH) : a][::-1]).astype(np.int32).tobytes(), *place])
-                if u["right"] and b < len(h):
-                    words = small[b : b + REACH]
-                    rows.append([u["content"], u["check"], 1, int(words[0]), words.tobytes(), (stop[b : b + REACH] - u["stop"]).astype(np.int32).tobytes(), *place])
+        texts, prints, lists = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], batch.column("print").to_numpy(), batch.column("units")
+        each, units = lists.value_lengths().to_numpy(), lists.flatten()
+        bounds = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        for a, b in in_chunks(texts):
+            words = _Places(texts[a:b])
+            for k in range(bounds[a], bounds[b], UNIT_ROWS):
+                if len(rows) > 50_000:
+                    yield combined(rows)
+                    rows = []
+                n = min(UNIT_ROWS, bounds[b] - k)
+                rows += words.around(units.slice(k, n), np.repeat(np.arange(b - a), each[a:b])[k - bounds[a] :][:n], prints[a:b])
     if rows:
         yield combined(rows)
 
 
+class _Places:
+    """Where the words of several texts stand, for the surroundings of their units."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        h, start, end, low, self.bounds = words_of(texts)
+        points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+        self.zero = points[np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])]
+        self.begin, self.stop, self.small = points[start], points[end], (h >> np.uint64(32)).astype(np.uint32)
+
+    def around(self, units: pa.StructArray, doc: np.ndarray, prints: np.ndarray) -> list[list]:
+        """Rows of _surroundings; doc: which of the texts a unit is in, prints: theirs."""
+        field = lambda name: units.field(name).to_numpy(zero_copy_only=False)
+        ids, held, out = _listed(units.field("doc_id")), [field(x) for x in ("content", "check", "start", "kept")], []
+        first = field("word") + self.bounds[doc]
+        after = first + field("words")
+        sides = (
+            (field("left"), first - 1, -1, first - self.bounds[doc], self.begin, field("start"), -1),
+            (field("right"), after, 1, self.bounds[doc + 1] - after, self.stop, field("stop"), 1),
+        )
+        for side, (wanted, nearest, step, room, edge, own, sign) in enumerate(sides):
+            pick = np.flatnonzero(wanted & (room > 0))
+            if not len(pick):
+                continue
+            at = np.clip(nearest[pick][:, None] + step * np.arange(REACH), 0, len(self.small) - 1)
+            size, words = 4 * np.minimum(REACH, room[pick]), self.small[at]
+            ends = sign * (edge[at] - (self.zero[doc[pick]] + own[pick])[:, None])
+            said, reached, row = words.tobytes(), ends.astype(np.int32).tobytes(), 4 * REACH
+            columns = [x.tolist() for x in (*(x[pick] for x in held), prints[doc[pick]], words[:, 0])]
+            for k, (u, n, content, check, start, kept, print_, word) in enumerate(zip(pick.tolist(), size.tolist(), *columns, strict=True)):
+                out.append([content, check, side, word, said[k * row : k * row + n], reached[k * row : k * row + n], ids[u] is None, ids[u] or 0, print_, start, kept, False, False])
+        return out
+
+
 def shared_lengths(contexts: list[bytes], places: list[tuple], kept: list[bool]) -> list[int]:
     """Words that each context has in common, from its start, with one of an earlier place; kept ones: with any other.
 
@@ -288,7 +339,7 @@ def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = ["print", "content", "check", "start", "side", "more", "reach"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int32(), pa.int32()]
 
     def found(row: tuple, n: int) -> tuple:
-        return (row[8], row[0], row[1], row[9], row[2], n, int(np.frombuffer(row[5], np.int32, 1, 4 * (n - 1))[0]))
+        return (row[8], row[0], row[1], row[9], row[2], n, _REACHED(row[5], 4 * (n - 1))[0])
 
     def lengths() -> list[int]:
         places = [r[6:10] for r in rows]
@@ -307,7 +358,7 @@ def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     key, rows, ready = None, [], []
     for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for row in zip(*map(_listed, batch.columns), strict=True):
             if row[12]:
                 ready.append(found(row, len(row[4]) // 4))
                 continue
@@ -339,10 +390,10 @@ def _extended(passages: DataFrame, docs: DataFrame) -> DataFrame:
     # places of a frequent class meet its row in shares of CLASS_ROWS
     wanted = wanted.where("left OR right").withColumn("g_share", F.explode(_upto("g_shares")))
     share = F.pmod(F.xxhash64("print", "start"), shares)
-    units = passages.withColumn("share", share).join(wanted, (F.col("class_id") == F.col("g_class")) & (F.col("class_check") == F.col("g_check")) & (F.col("share") == F.col("g_share")))
+    units = passages.withColumn("share", share).join(wanted.hint("shuffle_hash"), (F.col("class_id") == F.col("g_class")) & (F.col("class_check") == F.col("g_check")) & (F.col("share") == F.col("g_share")))
     unit = F.struct(F.col("class_id").alias("content"), F.col("class_check").alias("check"), "doc_id", "start", "stop", "words", "word", "kept", "left", "right")
     units = units.groupBy(F.col("print").alias("u_print")).agg(F.collect_set(unit).alias("units"))
-    texts = docs.join(units, F.col("print") == F.col("u_print")).select("text", "print", "units")
+    texts = docs.join(units.hint("shuffle_hash"), F.col("print") == F.col("u_print")).select("text", "print", "units")
     around = texts.mapInArrow(_surroundings, "content long, check long, side byte, first long, context binary, ends binary, none boolean, doc_id long, print long, start int, kept boolean, again boolean, settled boolean")
     # units whose next words differ share nothing there, so the next word deals a frequent passage out
     dealt = around.repartition(parts, "content", "check", "side", "first").sortWithinPartitions("content", "check", "side", "first", "context")
@@ -355,7 +406,7 @@ def _extended(passages: DataFrame, docs: DataFrame) -> DataFrame:
     same = (F.col("print") == F.col("e_print")) & (F.col("class_id") == F.col("e_class")) & (F.col("class_check") == F.col("e_check")) & (F.col("start") == F.col("e_start"))
     zero = lambda name: F.coalesce(name, F.lit(0))
     grown = (
-        passages.join(extents, same, "left").withColumn("start", F.col("start") - zero("e_left")).withColumn("stop", F.col("stop") + zero("e_right"))
+        passages.join(extents.hint("shuffle_hash"), same, "left").withColumn("start", F.col("start") - zero("e_left")).withColumn("stop", F.col("stop") + zero("e_right"))
         .withColumn("words", F.col("words") + zero("e_before") + zero("e_after")).withColumn("word", F.col("word") - zero("e_before")).select(*passages.columns)
     )
     # units of a text that touch or overlap are one run
@@ -402,22 +453,23 @@ def similar_links(members: list[tuple[int, int | None, int, frozenset | np.ndarr
 
 def _verifier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (band, i, j, content, side, component, shingles) come sorted by (band, i, j), and a slice may run over batches."""
-    key, members = None, []
+    key, members, links = None, [], []
 
-    def close() -> pa.RecordBatch:
-        links = similar_links(members)
+    def found() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for band, i, j, content, side, component, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for band, i, j, content, side, component, raw in zip(*map(_listed, batch.columns), strict=True):
             if key != (band, i, j):
-                if len(members) > 1:
-                    yield close()
+                links += similar_links(members)
                 key, members = (band, i, j), []
             own = np.frombuffer(raw, np.int64)
             members.append((content, side, component, own if len(own) > LARGE_SET else frozenset(own.tolist())))
-    if len(members) > 1:
-        yield close()
+        # most slices are pairs: their links leave together
+        yield found()
+        links = []
+    links += similar_links(members)
+    yield found()
 
 
 def _verified(dealt: DataFrame, parts: int) -> DataFrame:
@@ -440,7 +492,7 @@ def _near_contents(lines: DataFrame, docs: DataFrame) -> DataFrame:
     banded = lines.select("content", "words", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("content").alias("pivot"), F.max("content").alias("most")).where("pivot <> most")
     shared = materialize(shared.select(F.col("band").alias("s_band"), "pivot"), "bands")
-    members = banded.join(shared, F.col("band") == F.col("s_band")).groupBy("band", "pivot", "content").agg((8 * F.max("words")).alias("size"))
+    members = banded.join(shared.hint("shuffle_hash"), F.col("band") == F.col("s_band")).groupBy("band", "pivot", "content").agg((8 * F.max("words")).alias("size"))
     members = materialize(members, "members")
     wanted = members.select(F.col("content").alias("w_content")).distinct()
     # one place of each content, combined map-side: a line that a third of all documents share is a row a task
@@ -449,7 +501,7 @@ def _near_contents(lines: DataFrame, docs: DataFrame) -> DataFrame:
     first = first.join(wanted, F.col("content") == F.col("w_content"), "left_semi")
     # all wanted lines of a text in one row, which its own length bounds
     places = first.groupBy(F.col("print").alias("p_print")).agg(F.collect_list(F.struct("content", "start", "stop")).alias("lines"))
-    texts = docs.join(places, F.col("print") == F.col("p_print")).select("text", "lines")
+    texts = docs.join(places.hint("shuffle_hash"), F.col("print") == F.col("p_print")).select("text", "lines")
     written = materialize(texts.mapInArrow(_shingle_sets, "content long, shingles binary"), "shingles")
     sets = materialize(written.dropDuplicates(["content"]).select(F.col("content").alias("t_content"), "shingles"), "sets")  # identical rows give a content again
     release(written)
@@ -480,6 +532,32 @@ def _near_contents(lines: DataFrame, docs: DataFrame) -> DataFrame:
     return connected_components(links.unionByName(materialize(_verified(again, parts), "links")))
 
 
+def _known(units: DataFrame, near: DataFrame) -> DataFrame:
+    """The class of every unit that repeats or that near (n_content, n_class) names.
+
+    Only lines have similar contents: windows, most of all units, are counted and need no exchange for a join.
+    """
+    counts = [units.where(F.col("kind") == k).groupBy("content", "check").agg(F.count(F.lit(1)).alias("n")) for k in (0, 1)]
+    lines = counts[0].join(near, F.col("content") == F.col("n_content"), "left").where("n > 1 OR n_class IS NOT NULL")
+    lines = lines.withColumn("class_id", F.coalesce("n_class", "content")).withColumn("class_check", F.when(F.col("n_class").isNull(), F.col("check")).otherwise(0))
+    windows = counts[1].where("n > 1").withColumn("class_id", F.col("content")).withColumn("class_check", F.col("check"))
+    names = ["content", "check", "class_id", "class_check"]
+    known = [x.select(F.lit(k).cast("byte").alias("kind"), *names) for k, x in enumerate((lines, windows))]
+    return known[0].unionByName(known[1]).withColumnsRenamed({x: f"k_{x}" for x in ("kind", "content", "check")})
+
+
+def _met(units: DataFrame, known: DataFrame) -> DataFrame:
+    """The units that known names, with their classes; windows meet it without the columns that only lines have."""
+    found = []
+    for kind, own in enumerate((["form", "within"], [])):
+        classes = known.where(F.col("k_kind") == kind).select("k_content", "k_check", "class_id", "class_check").hint("shuffle_hash")
+        rows = units.where(F.col("kind") == kind).select("content", "check", "doc_id", "print", "start", "stop", "words", "word", *own)
+        rows = rows.join(classes, (F.col("content") == F.col("k_content")) & (F.col("check") == F.col("k_check"))).drop("content", "check", "k_content", "k_check")
+        rows = rows.withColumn("kind", F.lit(kind).cast("byte"))
+        found.append(rows if own else rows.withColumn("form", F.lit(PASSAGE).cast("byte")).withColumn("within", F.lit(None).cast("long")))
+    return found[0].unionByName(found[1])
+
+
 def repeated_units(docs: DataFrame) -> DataFrame:
     """One row per unit that occurs, exactly or nearly, more than once: doc_id, kind, start, stop, words, class_id,
     class_check, class_size, keep_id, kept.
@@ -502,16 +580,9 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     slim = slim.withColumn("print", F.xxhash64("doc_id", "text"))
     units = materialize(slim.mapInArrow(_units, "kind byte, content long, check long, doc_id long, print long, start int, stop int, words int, word int, bands array<long>, form byte, within long"), "units", by="kind")
     near = _near_contents(units.where("kind = 0").select("content", "print", "start", "stop", "words", "bands"), slim.select("text", "print"))
-    near = near.select(F.lit(0).cast("byte").alias("n_kind"), F.col("node").alias("n_content"), F.col("component").alias("n_class"))
-    counts = units.groupBy("kind", "content", "check").agg(F.count(F.lit(1)).alias("n"))
-    known = counts.join(near, (F.col("kind") == F.col("n_kind")) & (F.col("content") == F.col("n_content")), "left")
-    known = known.where("n > 1 OR n_class IS NOT NULL").select(
-        F.col("kind").alias("k_kind"), F.col("content").alias("k_content"), F.col("check").alias("k_check"),
-        F.coalesce("n_class", "content").alias("class_id"), F.when(F.col("n_class").isNull(), F.col("check")).otherwise(0).alias("class_check"),
-    )
-    known = materialize(known, "known")
-    same = (F.col("kind") == F.col("k_kind")) & (F.col("content") == F.col("k_content")) & (F.col("check") == F.col("k_check"))
-    met = materialize(units.join(known, same).drop("bands", "k_kind", "k_content", "k_check", "content", "check"), "met")
+    near = near.select(F.col("node").alias("n_content"), F.col("component").alias("n_class"))
+    known = materialize(_known(units, near), "known")
+    met = materialize(_met(units, known), "met")
     release(units)
     # a line in one class with its block is no other place than the block
     outer = known.where("k_kind = 0").select(F.col("k_content").alias("b_content"), F.col("class_id").alias("b_class")).dropDuplicates(["b_content"])
@@ -522,7 +593,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
     )
     classes = classes.where("class_size > 1").select("c_kind", "c_class", "c_check", "class_size", F.col("first.doc_id").alias("keep_id"), F.col("first.print").alias("keep_print"), F.col("first.start").alias("keep_start"))
     classes = materialize(classes, "classes")
-    joined = found.join(classes, (F.col("kind") == F.col("c_kind")) & (F.col("class_id") == F.col("c_class")) & (F.col("class_check") == F.col("c_check")))
+    joined = found.join(classes.hint("shuffle_hash"), (F.col("kind") == F.col("c_kind")) & (F.col("class_id") == F.col("c_class")) & (F.col("class_check") == F.col("c_check")))
     kept = (F.col("print") == F.col("keep_print")) & (F.col("start") == F.col("keep_start"))
     joined = joined.select("kind", "form", "print", "doc_id", "start", "stop", "words", "word", "class_id", "class_check", "class_size", "keep_id", kept.alias("kept"))
     joined = materialize(joined, "repeats")

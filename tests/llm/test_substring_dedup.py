@@ -1,6 +1,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrameWriter
+
 from lorewright.llm import substring_dedup as S
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -226,3 +230,70 @@ def test_recall_of_passages_of_20_to_50_words(spark):
     found = {r.doc_id // 2 for r in got}
     assert all(i in found for i in size if size[i] >= 31)
     assert len(found) / len(size) >= 0.9
+
+
+def test_wide_tables_meet_small_ones_without_being_sorted(spark, monkeypatch):
+    plans, write = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **k):
+        plans[path.rsplit("/", 1)[-1].rsplit("-", 1)[0]] = self._df._jdf.queryExecution().executedPlan().toString()
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    rows = [(i, " ".join(f"w{(i % 3) * 100 + k}" for k in range(60))) for i in range(6)]
+    last = S.repeated_units(spark.createDataFrame(rows, "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert all("ShuffledHashJoin" in p for p in (plans["members"], plans["met"], plans["repeats"], plans["shingles"], plans["extents"], last))
+    assert "SortMergeJoin" not in plans["members"] + plans["met"]
+
+
+def test_links_of_many_slices_leave_in_one_batch():
+    n = 1_000
+    same = np.arange(40, dtype=np.int64)
+    rows = [(band, 0, 0, 2 * band + k, None, 2 * band + k, same.tobytes() if band % 2 else (same + 1_000 * k).tobytes()) for band in range(n) for k in range(2)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.binary()]
+    names = ["band", "i", "j", "content", "side", "component", "shingles"]
+    # the second batch begins within a slice
+    given = [pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), kinds)], names) for part in (rows[: n + 3], rows[n + 3 :])]
+    out = list(S._verifier(iter(given)))
+    assert [(a, b) for x in out for a, b in zip(x["a"].to_pylist(), x["b"].to_pylist())] == [(2 * band + 1, 2 * band) for band in range(n) if band % 2]
+    assert len(out) <= 3
+    assert sum(x.num_rows for x in S._verifier(iter([]))) == 0
+
+
+def test_surroundings_match_words_read_one_text_at_a_time(monkeypatch):
+    """Many texts are hashed together: units at their ends see no words of their neighbours."""
+    rng = random.Random(23)
+    calls, words_of = [], S.words_of
+    monkeypatch.setattr(S, "words_of", lambda texts: calls.append(len(texts)) or words_of(texts))
+    monkeypatch.setattr(S, "UNIT_ROWS", 7)
+    texts, lists, want = [], [], []
+    for t in range(40):
+        text = "".join(f"{' ' * rng.randint(0, 2)}wö{rng.randrange(10**6)}{rng.choice(' \t')}" for _ in range(rng.randint(16, 60)))
+        words = list(WORD.finditer(text))
+        units = []
+        for _ in range(t % 4):
+            size = rng.choice([16, 16, 17, len(words)])
+            size = min(size, len(words))
+            a = rng.choice([0, rng.randint(0, len(words) - size), len(words) - size])
+            unit = {
+                "content": len(want), "check": rng.randrange(100), "doc_id": rng.choice([t, None]), "start": words[a].start(), "stop": words[a + size - 1].end(),
+                "words": size, "word": a, "kept": rng.random() < 0.5, "left": rng.random() < 0.7, "right": rng.random() < 0.7,
+            }
+            units.append(unit)
+            before = [(w[0], unit["start"] - w.start()) for w in words[max(0, a - S.REACH) : a][::-1]]
+            after = [(w[0], w.end() - unit["stop"]) for w in words[a + size : a + size + S.REACH]]
+            want.append([(unit, t, side, said) for side, said in enumerate((before, after)) if said and unit[("left", "right")[side]]])
+        texts.append(text)
+        lists.append(units)
+    kind = pa.struct([(n, pa.int64()) for n in ("content", "check", "doc_id")] + [(n, pa.int32()) for n in ("start", "stop", "words", "word")] + [(n, pa.bool_()) for n in ("kept", "left", "right")])
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(40), pa.int64()), pa.array(lists, pa.list_(kind))], ["text", "print", "units"])
+    # a slice of a batch has offsets that do not begin at 0
+    got = [r for part in (batch.slice(0, 13), batch.slice(13)) for b in S._surroundings(iter([part])) for r in b.to_pylist()]
+    assert calls == [13, 27]
+
+    def row(unit, t, side, said):
+        hashes = (S.words_of([" ".join(w for w, _ in said).encode()])[0] >> np.uint64(32)).astype(np.uint32)
+        ends = np.array([e for _, e in said], np.int32)
+        return (unit["content"], unit["check"], side, int(hashes[0]), hashes.tobytes(), ends.tobytes(), unit["doc_id"] is None, unit["doc_id"] or 0, t, unit["start"], unit["kept"], False, False)
+
+    assert sorted(tuple(r.values()) for r in got) == sorted(row(*x) for rows in want for x in rows)
