@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewright.storage import drop_scratch, materialize, release, scratch_path, shared_dir
 
-__all__ = ["drop_scratch", "materialize", "release", "rows_kept", "row_print", "scratch_path", "shared_dir", "table", "text_or_empty", "word_count"]
+__all__ = ["drop_scratch", "joined_few", "materialize", "release", "rows_kept", "row_print", "scratch_path", "shared_dir", "table", "text_or_empty", "word_count"]
 
 #: The white space of every contract: \x20 and \x09 to \x0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -40,3 +40,25 @@ def rows_kept(docs: DataFrame, decisions: DataFrame, extra: list[str] = []) -> D
     joined = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__print")))
     first = F.row_number().over(Window.partitionBy("__row", "doc_id").orderBy("__row"))
     return joined.withColumn("__n", first).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
+
+
+#: A key of joined_few is heavy with more than this share of the rows; so at most a thousand keys are heavy.
+HEAVY_SHARE, HEAVY_ROWS = 1_000, 10_000
+
+
+def joined_few(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """rows joined with found, which has a row per key at most, where a key may hold any share of rows.
+
+    Keys are counted first.  Those of more than a thousandth of the rows, a thousand at most, get their row of found by a
+    broadcast, so that none of them is exchanged to one task; the others join by exchange, if Spark finds that shorter.
+    Null keys meet nothing.
+    """
+    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "key-counts")
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    heavy = counts.where(F.col("__n") > max(heavy_rows, total // HEAVY_SHARE)).select(*keys)
+    if heavy.isEmpty():
+        return rows.join(found, keys, how)
+    heavy = materialize(heavy, "heavy-keys")
+    light = rows.join(F.broadcast(heavy), keys, "left_anti").join(found, keys, how)
+    few = materialize(found.join(F.broadcast(heavy), keys, "left_semi"), "heavy-found")
+    return light.unionByName(rows.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(few), keys, how))

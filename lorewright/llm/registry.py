@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, html_text, language_model, media, mixing, packing, sharding, simhash, substring_dedup, toxicity
+from lorewright.llm import exact_dedup, html_text, language_model, media, mixing, packing, prefix_trie, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = [
     substring_dedup.op1_substring_dedup,
@@ -19,9 +19,10 @@ QUERIES = [
     simhash.op8_simhash_near_dedup,
     exact_dedup.op9_exact_dedup,
     toxicity.op10_toxicity,
+    prefix_trie.op11_prefix_trie,
 ]
 
-SQL = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+SQL = {"op9_exact_dedup": exact_dedup.OP9_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
