@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.llm import exact_dedup, html_text, language_model, media, mixing, packing, prefix_trie, sharding, simhash, substring_dedup, toxicity
+from lorewright.llm import (
+    decontamination, exact_dedup, html_text, language_model, media, mixing, packing, prefix_trie, sharding, simhash, source_audit, substring_dedup, toxicity,
+)
 
 QUERIES = [
     substring_dedup.op1_substring_dedup,
@@ -20,9 +22,16 @@ QUERIES = [
     exact_dedup.op9_exact_dedup,
     toxicity.op10_toxicity,
     prefix_trie.op11_prefix_trie,
+    source_audit.op12_source_audit,
+    decontamination.op13_decontamination,
 ]
 
-SQL = {"op9_exact_dedup": exact_dedup.OP9_SQL, "op11_prefix_trie": prefix_trie.OP11_SQL}
+SQL = {
+    "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_source_audit": source_audit.OP12_SQL,
+    "op13_decontamination": decontamination.OP13_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
