@@ -20,8 +20,15 @@ INSIDE = ["content", "article", "post", "entry", "story", "main", "body", "text"
 WORDS = "the of and in to a is was for on with as by that it from at his her an be this which or are but not had have one been their has were all when she who will more no if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through".split()
 
 
-def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
-    """(html, main blocks)."""
+#: How a page holds its text: as parts with elements of their own, as bare text in boxes, between line breaks, in sections.
+SHAPES = ["parts", "boxes", "breaks", "sections"]
+
+
+def labelled_page(rng: random.Random, shape: str | None = None, form: bool | None = None, tagged: bool | None = None) -> tuple[str, list[str]]:
+    """(html, main blocks); shape, form around the page and html tags are drawn where they are not given."""
+    shape = shape or rng.choices(SHAPES, weights=[7, 1, 1, 1])[0]
+    form = rng.random() < 0.15 if form is None else form
+    tagged = rng.random() < 0.7 if tagged is None else tagged
     text = lambda low, high: " ".join(rng.choice(WORDS) for _ in range(rng.randint(low, high)))
     name = lambda kind: rng.choice(AROUND[kind])
 
@@ -46,8 +53,17 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
         blocks.append(x)
         return x
 
-    parts = [f"<h1>{keep(text(2, 10))}</h1>"] if rng.random() < 0.9 else []
-    for _ in range(rng.randint(1, 9)):
+    parts = [f"<h1>{keep(text(2, 10))}</h1>"] if rng.random() < (0.9 if shape == "parts" else 0.5) else []
+    if shape == "boxes":
+        parts += [f"<div>{keep(text(30, 90))}</div>" for _ in range(rng.randint(1, 4))]
+    elif shape == "breaks":
+        said = [text(20, 70) for _ in range(rng.randint(1, 4))]
+        keep(" ".join(said))
+        parts.append(f"<div>{rng.choice(['<br>', '<br><br>', '<br/>']).join(said)}</div>")
+    elif shape == "sections":
+        for _ in range(rng.randint(1, 3)):
+            parts.append("<section>" + "".join(f"<p>{keep(text(15, 80))}</p>" for _ in range(rng.randint(1, 3))) + "</section>")
+    for _ in range(rng.randint(1, 9) if shape == "parts" else 0):
         kind = rng.random()
         if kind < 0.6:
             parts.append(f"<p>{keep(text(1, 90))}</p>")
@@ -65,25 +81,30 @@ def labelled_page(rng: random.Random) -> tuple[str, list[str]]:
             parts.append(f'<p>{a} <a href="#">{b}</a> {c}</p>')
         else:
             parts.append(around(rng.choice(["ads", "side", "share", "note", "form"])))
-    if rng.random() < 0.5 and len(parts) > 2:  # parts of an article in boxes without a telling name
+    if shape == "parts" and rng.random() < 0.5 and len(parts) > 2:  # parts of an article in boxes without a telling name
         cut = rng.randint(1, len(parts) - 1)
         box = rng.choice(["section", "div", 'div class="row"', 'section id="s1"', "figure"])
         parts = [*parts[:cut], f"<{box}>", *parts[cut:], f"</{box.split()[0]}>"]
     if rng.random() < 0.3:
         parts.append(around("talk"))
-    shape = rng.random()
+    place = rng.random() if shape == "parts" else rng.uniform(0.4, 1.2)
     body = "".join(parts)
-    if shape < 0.5:
+    if place < 0.5:
         body = f"<article>{body}</article>"
-    elif shape < 0.75:
+    elif place < 0.75:
         body = f'<div class="{rng.choice(INSIDE)}">{body}</div>'
-    if rng.random() < 0.4:
+    if rng.random() < (0.4 if shape == "parts" else 0.1):
         body = f"<main>{body}</main>" if rng.random() < 0.6 else f'<div id="{rng.choice(INSIDE)}">{body}</div>'
     before = "".join(around(k) for k in ("head", "nav", "note", "ads") if rng.random() < 0.6)
     after = "".join(around(k) for k in ("talk", "side", "share", "form", "note", "foot") if rng.random() < 0.6)
-    return f"<html><head><title>{text(2, 6)}</title></head><body>{before}{body}{after}</body></html>", blocks
+    if rng.random() < 0.3:
+        body = f"<div>{body}</div>"
+    page = f"{before}{body}{after}"
+    if form:
+        page = f'<form id="{rng.choice(["aspnetForm", "form1", "page"])}"><div>{page}</div></form>'
+    return (f"<html><head><title>{text(2, 6)}</title></head><body>{page}</body></html>" if tagged else page), blocks
 
 
-def labelled_pages(n: int = 500, seed: int = 20) -> list[tuple[str, list[str]]]:
+def labelled_pages(n: int = 700, seed: int = 20, **given) -> list[tuple[str, list[str]]]:
     rng = random.Random(seed)
-    return [labelled_page(rng) for _ in range(n)]
+    return [labelled_page(rng, **given) for _ in range(n)]

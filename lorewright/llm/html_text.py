@@ -1,8 +1,9 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page is a sequence of words and tags.  A word scores the log odds that it belongs to the main text, given the
-elements around it and their names; a tag scores below zero, the more so the rarer it is inside main text.  The
-weights come from labelled pages.  One linear scan finds the contiguous region of the highest sum; blocks
+elements around it and their names, how long its block is and how much of that are links; a tag scores below zero, the more
+so the rarer it is inside main text.  The weights come from labelled pages.  The elements html, head and body, which pages may
+leave out, say nothing.  One linear scan finds the contiguous region of the highest sum; blocks
 inside it that score below zero, such as adverts within an article, are left out.
 """
 
@@ -39,8 +40,13 @@ BLOCK = frozenset(
 #: A start tag closes open elements of these names first.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select body html article main section div".split())
-#: A form that holds one of these wraps the page; any other holds no main text.
+#: A form wraps the page if it holds one of these, or half of the page's words with a block of FORM_TEXT words among them.
 PAGE_PARTS = frozenset("article main header nav footer h1".split())
+FORM_TEXT = 20
+#: Elements that pages may leave out are no marks.
+IMPLIED = frozenset({"html", "head", "body"})
+#: Words from which a block is of the next length.
+LENGTHS = (5, 15, 40)
 CONTAINERS = frozenset({"<article", "<main"})
 MAIN_WORD, CLIP, TAG_COST = 0.05, 3.0, 0.3
 
@@ -103,9 +109,7 @@ def page_sequence(html: str, known: Container[str] | None = None) -> list[Run |
         m = TAG.search(html, at)
         if m is None:
             text(html[at:])
-            for x in out:
-                if isinstance(x, Run) and x.form >= 0 and not wraps[x.form]:
-                    x.never = True
+            _judge_forms(out, wraps)
             return out
         text(html[at : m.start()])
         at = m.end()
@@ -141,12 +145,12 @@ def page_sequence(html: str, known: Container[str] | None = None) -> list[Run |
         if name == "form" and form < 0:  # a form within a form is part of it
             form = len(wraps)
             wraps.append(False)
-        marks, own = stack.marks[-1], {f"<{name}"}
+        marks, own = stack.marks[-1], set() if name in IMPLIED else {f"<{name}"}
         if attrs and "=" in attrs and (told := {t for x in NAMES.findall(attrs) for t in TOKEN.findall("".join(x).lower())}):
             own |= {f".{t}" for t in told} | {f"@{t}" for t in told}
             marks = frozenset(m for m in marks if m[0] != "@")  # "@": of the innermost element with a name
         if known is not None:
-            own = {x for x in own if x in known or x in CONTAINERS}
+            own = {x for x in own if x in known or x in CONTAINERS or x == "<a"}
         outer = name == "header" and not marks & CONTAINERS
         if name in RAW:
             close = re.compile(rf"</{name}\b", re.I).search(html, at)
@@ -154,18 +158,47 @@ def page_sequence(html: str, known: Container[str] | None = None) -> list[Run |
         stack.push(name, marks | own if own - marks else marks, stack.never[-1] or name in NEVER or outer, form)
 
 
+def _judge_forms(sequence: list[Run | str], wraps: list[bool]) -> None:
+    """Forms that do not wrap the page hold no main text."""
+    if not wraps:
+        return
+    words, longest, total, blocks = Counter(), Counter(), 0, Counter()
+    for x in sequence:
+        if isinstance(x, Run) and not x.never:
+            n = len(x.text.split())
+            total += n
+            if x.form >= 0:
+                words[x.form] += n
+                blocks[x.form, x.block] += n
+                longest[x.form] = max(longest[x.form], blocks[x.form, x.block])
+    for x in sequence:
+        if isinstance(x, Run) and x.form >= 0:
+            x.never |= not (wraps[x.form] or longest[x.form] >= FORM_TEXT and 2 * words[x.form] >= total)
+
+
+def block_marks(sequence: list[Run | str]) -> dict[int, frozenset]:
+    """The marks that all words of a block share: its length, and whether most of its words are links."""
+    words, linked = Counter(), Counter()
+    for x in sequence:
+        if isinstance(x, Run):
+            n = len(x.text.split())
+            words[x.block] += n
+            linked[x.block] += n if "<a" in x.marks else 0
+    return {b: frozenset({f"#{sum(n >= k for k in LENGTHS)}"} | ({"#links"} if 2 * linked[b] > n else set())) for b, n in words.items()}
+
+
 class Weights:
     def __init__(self, bias: float, marks: dict[str, float], tags: dict[str, float]) -> None:
         self.bias, self.marks, self.tags = bias, marks, tags
-        self._seen: dict[frozenset, float] = {}
+        self._seen: dict[tuple[frozenset, frozenset], float] = {}
 
-    def word(self, marks: frozenset) -> float:
-        found = self._seen.get(marks)
+    def word(self, marks: frozenset, shared: frozenset) -> float:
+        found = self._seen.get((marks, shared))
         if found is None:
             if len(self._seen) > 50_000:
                 self._seen.clear()
-            total = self.bias + sum(self.marks.get(m, 0.0) for m in marks)
-            self._seen[marks] = found = max(-CLIP, min(CLIP, total))
+            total = self.bias + sum(self.marks.get(m, 0.0) for m in marks | shared)
+            self._seen[marks, shared] = found = max(-CLIP, min(CLIP, total))
         return found
 
     def tag(self, name: str) -> float:
@@ -182,14 +215,14 @@ def fit_weights(pages: list[tuple[str, list[str]]], penalty: float = 2.0) -> Wei
         for x in (sequence := page_sequence(html)):
             if isinstance(x, Run):
                 grouped.setdefault(x.block, []).append(x)
-        main = set()
+        main, shared = set(), block_marks(sequence)
         for block, runs in grouped.items():
             said = " ".join("".join(r.text for r in runs).split())
             if said and not any(r.never for r in runs):
                 good = wanted[said] > 0
                 wanted[said] -= good
                 main |= {block} if good else set()
-                rows += [(r.marks, len(r.text.split()), good) for r in runs if r.text.split()]
+                rows += [(r.marks | shared[block], len(r.text.split()), good) for r in runs if r.text.split()]
         for k, x in enumerate(sequence):
             if isinstance(x, str):
                 near = next((y for y in sequence[k + 1 :] if isinstance(y, Run)), None)
@@ -233,13 +266,13 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(html: str | None, weights: Weights) -> str:
     sequence = page_sequence(html or "", weights.marks)
-    scores, blocks = [], {}
+    scores, blocks, shared = [], {}, block_marks(sequence)
     for x in sequence:
         if isinstance(x, str):
             scores.append(weights.tag(x))
             continue
         n = 0 if x.never else len(x.text.split())
-        score = n * weights.word(x.marks) if n else 0.0
+        score = n * weights.word(x.marks, shared[x.block]) if n else 0.0
         blocks[x.block] = blocks.get(x.block, 0.0) + score
         # what is no main text within an article is left out below, and does not part the article
         scores.append(max(0.0, score) if x.marks & CONTAINERS else score)
@@ -257,7 +290,8 @@ def extract(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
 
     A null or empty page, or one without main text, has an empty text.  Nothing is cut off, however long a page is
     or however deep its elements; repeated rows stay, an empty table gives no rows, and other columns are not read.  Of
-    equally good regions the first, longest one is taken.  A form that wraps the page does not hide it.
+    equally good regions the first, longest one is taken.  A form that wraps the page does not hide it.  Pages with and without
+    html and body tags, with text in paragraphs, sections, plain boxes or between line breaks give their text.
     """
     fitted = weights or default_weights()
     model = (fitted.bias, fitted.marks, fitted.tags)

@@ -5,6 +5,7 @@ from collections import Counter
 from html import unescape
 
 import pandas as pd
+import pytest
 
 from lorewright.llm import html_text as H
 from lorewright.llm.html_samples import labelled_pages
@@ -81,6 +82,65 @@ def test_quality_without_article_elements():
         assert found / said > 0.9 and found / right > 0.9
 
 
+T = " ".join(f"word{i % 9} of the text" for i in range(18))[:-9]
+SHAPES = {
+    "bare": "<div>{T}</div>", "breaks": "<div>{T}<br><br>{T}</div>", "section": "<div><section><p>{T}</p></section></div>", "body": "<body><div><p>{T}</p><p>{T}</p></div></body>",
+    "form": "<form id=aspnetForm><div><p>{T}</p></div></form>", "title": "<div><h1>Title</h1><p>{T}</p></div>", "class": "<div class='foo'><h1>Title</h1><p>{T}</p></div>",
+    "menu": "<ul><li><a href=x>Home</a><li><a href=y>News and more</a></ul><div><div>{T}</div></div><footer>All rights reserved</footer>", "text": "{T}",
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+@pytest.mark.parametrize("tagged", [True, False])
+def test_shapes_of_pages(name, tagged):
+    """Text without paragraphs, in sections, in a form around the page; with html tags and without."""
+    html = SHAPES[name].replace("{T}", T)
+    html = f"<html><head><title>x</title></head><body>{html}</body></html>" if tagged else html
+    want = {"breaks": f"{T} {T}", "body": f"{T}\n\n{T}", "title": f"Title\n\n{T}", "class": f"Title\n\n{T}"}.get(name, T)
+    assert H.main_text(html, W) == want
+
+
+@pytest.mark.parametrize("tagged", [True, False])
+@pytest.mark.parametrize("form", [True, False])
+@pytest.mark.parametrize("shape", ["parts", "boxes", "breaks", "sections"])
+def test_recall_by_shape(shape, form, tagged):
+    found = said = right = 0
+    for html, blocks in labelled_pages(100, seed=5, shape=shape, form=form, tagged=tagged):
+        got, want = Counter(H.main_text(html, W).split()), Counter(" ".join(blocks).split())
+        found, said, right = found + sum((got & want).values()), said + sum(got.values()), right + sum(want.values())
+    print(shape, form, tagged, round(found / said, 3), round(found / right, 3))
+    assert found / said > 0.9 and found / right > 0.9
+
+
+def reference(html, weights):
+    """The result by plain loops: every region tried, its first and longest best one taken, its blocks written out."""
+    sequence = H.page_sequence(html)
+    shared, worth = H.block_marks(sequence), Counter()
+    scores = []
+    for x in sequence:
+        if isinstance(x, str):
+            scores.append(weights.tags.get(x.lstrip("/"), -H.TAG_COST))
+            continue
+        odds = weights.bias + sum(weights.marks.get(m, 0) for m in x.marks | shared[x.block])
+        score = 0 if x.never else len(x.text.split()) * max(-H.CLIP, min(H.CLIP, odds))
+        worth[x.block] += score
+        scores.append(max(score, 0) if x.marks & H.CONTAINERS else score)
+    spans = [(round(sum(scores[a:b]), 6), -a, b) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+    best = max(spans, default=(0, 0, 0))
+    kept = {}
+    for x in sequence[-best[1] : best[2]] if best[0] > 0 else []:
+        if isinstance(x, H.Run) and not x.never and worth[x.block] > 0:
+            kept[x.block] = kept.get(x.block, "") + x.text
+    return "\n\n".join(b for b in (" ".join(t.split()) for t in kept.values()) if b)
+
+
+def test_whole_result_equals_plain_loops():
+    pages = [h for h, _ in labelled_pages(60, seed=123) if len(h) < 4_000]
+    assert len(pages) > 20
+    for html in pages:
+        assert H.main_text(html, W) == reference(html, W)
+
+
 def test_scan_is_optimal():
     rng = random.Random(8)
     for _ in range(300):
