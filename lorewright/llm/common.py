@@ -43,7 +43,7 @@ def rows_kept(docs: DataFrame, decisions: DataFrame, extra: list[str] = []) -> D
 
 
 #: A key of joined_few is heavy with more than this share of the rows; so at most a thousand keys are heavy.
-HEAVY_SHARE, HEAVY_ROWS = 1_000, 10_000
+HEAVY_SHARE, HEAVY_ROWS = 1_000, 100
 
 
 def joined_few(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner", heavy_rows: int = HEAVY_ROWS) -> DataFrame:

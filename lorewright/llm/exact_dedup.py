@@ -2,8 +2,9 @@
 
 Every text is normalised (white space deleted) and hashed to a 64-bit key.  The directory looks at the leading bits:
 buckets over capacity are split by one more bit (directory doubling) until each fits or holds a single key, which no
-further bit can split.  A bucket's page lists its keys with the size of their group and the row that stays; rows find
-their page through the directory's slot, and their entry in it by key.  Owner tasks hold ranges of keys.
+further bit can split.  A bucket's page lists its keys with the size of their group and the row that stays.  Rows are
+routed through the directory's slots and written with the address of their page; address and key together name their entry.
+A slot or an entry that more than a thousandth of the rows ask for is brought to them, so no task gets the rows of one group.
 
 That a key stands for one text is proved by bytes: copies are combined under (key, normalised bytes) before the
 exchange, so a group with a third of all rows sends one row a task, and a key with two byte strings is a collision.
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewright.llm.common import WHITE_SPACE, materialize, row_print, rows_kept, table, text_or_empty
+from lorewright.llm.common import WHITE_SPACE, joined_few, materialize, row_print, rows_kept, table, text_or_empty
 
 CAPACITY = 65_536
 
@@ -60,12 +61,11 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def routed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
     """rows (with key) with their bucket (local_depth, slot): the directory has exactly one for every key in it."""
     depths = sorted(r["local_depth"] for r in buckets.select("local_depth").distinct().collect())  # 1 to 3 in practice, 64 at most
-    found = None
-    for depth in depths:
-        at = buckets.where(F.col("local_depth") == depth).select("local_depth", "slot")
-        part = rows.join(at, _slot(F.col("key"), depth) == F.col("slot"))
-        found = part if found is None else found.unionByName(part)
-    return rows.limit(0).withColumns({"local_depth": F.lit(0), "slot": F.lit(0).cast("long")}) if found is None else found
+    if not depths:
+        return rows.limit(0).withColumns({"local_depth": F.lit(0), "slot": F.lit(0).cast("long")})
+    slot = F.when(F.col("local_depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(key, 64 - local_depth)"))
+    asked = rows.withColumn("local_depth", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("slot", slot)
+    return joined_few(asked, buckets.select("local_depth", "slot"), ["local_depth", "slot"]).select(*rows.columns, "local_depth", "slot")
 
 
 def _page(entries: DataFrame, by: list[str]) -> DataFrame:
@@ -93,10 +93,11 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_of: Callable[[str
     keys = materialize(texts, "keys")
     buckets = materialize(directory(keys.select("key"), capacity), "buckets")
     collided = keys.where("texts > 1").select("key")
-    single = routed(keys.where("texts = 1").select("key"), buckets).repartitionByRange("key")
+    single = routed(keys.where("texts = 1").select("key"), buckets)
     pages = materialize(single.join(_page(entries, ["key"]), "key").withColumn("chain", F.lit(1)), "index")
     at = ["local_depth", "slot", "key"]
-    found = routed(entries, buckets).join(pages, at)
+    placed = materialize(routed(entries, buckets), "placed")
+    found = joined_few(placed, pages, at)
     if not collided.isEmpty():
         chained = keyed.join(collided, "key", "left_semi")
         chain = F.row_number().over(Window.partitionBy("key").orderBy("norm"))

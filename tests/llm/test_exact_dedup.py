@@ -69,3 +69,25 @@ def test_query_equals_its_sql(spark):
     sf = "/root/testdata/sf0.01"
     n, why = same(exact_dedup.op9_exact_dedup(spark, sf), connect(sf), exact_dedup.OP9_SQL)
     assert n == 1000 and not why
+
+
+def test_no_task_gets_the_rows_of_a_group(spark):
+    """A third of the rows are copies; without broadcasts of Spark's own choice no join deals them to one task."""
+    from lorewright.llm.common import joined_few
+
+    rows = [(i, "one text" if i % 3 == 0 else f"text {i}") for i in range(6_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = exact_dedup.exact_dedup(docs)
+        assert got.count() == 6_000 and got.where("group_size = 2000").count() == 2_000 and got.where("kept").count() == 4_001
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("key"))
+        met = joined_few(keyed, keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), ["key"])
+        most = met.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert met.count() == 6_000 and most <= 0.05 * 6_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
