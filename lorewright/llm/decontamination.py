@@ -2,10 +2,10 @@
 
 Windows are the runs of WINDOW words of every benchmark item; an item of fewer words is one window.  A document can hold
 a window only if it holds all shingles of it, so one is enough to look for: the rarest.  Shingles of documents meet
-those of the benchmark once; what met is counted over all documents, and each window takes its rarest shingle as prefix.
-Windows with a shingle that no document has are out.  A place of a prefix gives the place where its window would start,
-by the shingle's offset; it must lie within the document (positional and length bounds).  Only such places are cut out of
-the texts, and what is cut out is compared with the windows as words.
+those of the benchmark once, by hash and then as words; what met is counted over all documents, and each window takes its
+rarest shingle as prefix.  Windows with a shingle that no document has are out.  A place of a prefix gives the place where its
+window would start, by the shingle's offset; it must lie within the document (positional and length bounds).  The words at
+such places are put together from the shingles met there, and compared with the windows.
 
 Many windows may share a prefix: places are met with (offset, length), not with windows, so a common shingle gives at most
 a few starts a place.  Items are listed once for every distinct set of windows, not once a document.
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from lorewright.llm.common import joined_few, materialize, table, text_or_empty
 
 WINDOW, SHINGLE = 10, 3
-#: A word of the contract before A-Z are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A word of the contract before A-Z are lower-cased; single letters are looked up in one step, ranges are not.
+RAW_WORD = rf"[0123456789{UPPER}{LOWER}\x{{80}}-\x{{10FFFF}}]+"
+#: Shingles of the benchmark that a pass over the documents broadcasts; more take more passes.
+PASS_SHINGLES = 1_000_000
 KEY = ["k1", "k2"]
 
 
@@ -32,16 +34,21 @@ def words_of(text: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, text; rows that share doc_id and text share a key and have one result."""
+    """doc_id, k1, k2, words, n_words; rows that share doc_id and text share a key and have one result."""
     text = text_or_empty()
-    return docs.select("doc_id", F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), text, "doc_id").alias("k2"), text.alias("text"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("k1"), F.xxhash64(F.lit(1), text, "doc_id").alias("k2"), words_of(text).alias("words"))
+    return rows.withColumn("n_words", F.size("words"))
 
 
 def shingles(words: Column, size: int) -> Column:
-    """A hash for every place; near the end fewer words are left, and such hashes meet nothing that bounds allow."""
+    """A hash for every place; near the end fewer words are left, and what they meet is compared as words."""
     return F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, size)]))
 
 
+def said(words: Column, at: Column, size: Column | int) -> Column:
+    return F.array_join(F.slice(words, at, size), " ")
+
+
 def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
     """item (its id as string, null: empty), part (the window's words), len."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(text_or_empty()).alias("words"))
@@ -50,77 +57,106 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
-    """content, len, size, offset, token: every shingle of every distinct window."""
-    distinct = windows.select(F.array_join("part", " ").alias("content"), "part", "len").dropDuplicates(["content"])
-    sized = distinct.withColumn("size", F.least("len", F.lit(shingle)))
-    hashed = None
+    """content, len, size, offset, token, shingle (its words): every shingle of every distinct window."""
+    distinct = windows.select(said(F.col("part"), F.lit(1), F.col("len")).alias("content"), "part", "len").dropDuplicates(["content"])
+    found = None
     for size in range(1, shingle + 1):
-        hashed = F.when(F.col("size") == size, shingles(F.col("part"), size)) if hashed is None else hashed.when(F.col("size") == size, shingles(F.col("part"), size))
-    placed = sized.select("content", "len", "size", F.posexplode(hashed).alias("offset", "token"))
-    return placed.where(F.col("offset") <= F.col("len") - F.col("size"))
-
+        own = distinct.where(F.least("len", F.lit(shingle)) == size).withColumn("size", F.lit(size))
+        own = own.select("content", "part", "len", "size", F.posexplode(shingles(F.col("part"), size)).alias("offset", "token"))
+        own = own.where(F.col("offset") <= F.col("len") - size).withColumn("shingle", said(F.col("part"), F.col("offset") + 1, size)).drop("part")
+        found = own if found is None else found.unionByName(own)
+    return found
 
-def shingle_places(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
-    """k1, k2, n_words, pos, token: places of documents with a shingle that the benchmark has."""
-    words = docs.select(*KEY, words_of(F.col("text")).alias("words"))
-    found = None
-    for size in sizes:
-        rows = words.select(*KEY, F.size("words").alias("n_words"), F.posexplode(shingles(F.col("words"), size)).alias("pos", "token"))
-        found = rows if found is None else found.unionByName(rows)
-    return found.join(tokens, "token")
 
+def shingle_places(rows: DataFrame, tokens: DataFrame, sizes: list[int], most: int = PASS_SHINGLES) -> DataFrame:
+    """doc_id, k1, k2, n_words, pos, size, shingle: places of documents with a shingle of the benchmark, and pos -1 for every row.
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    tokens (token, size, shingle) are broadcast in slices of at most so many, a pass over the documents each.
+    """
+    every = rows.select("doc_id", *KEY, "n_words", F.lit(-1).alias("pos"), F.lit(0).alias("size"), F.lit("").alias("shingle"))
+    slices = tokens.count() // most + 1
+    found = every if slices > 1 else None
+    for k in range(slices):
+        part = tokens if slices == 1 else tokens.where(F.pmod(F.xxhash64("token"), F.lit(slices)) == k)
+        for size in sizes:
+            hashes = shingles(F.col("words"), size)
+            if found is None:  # one pass tells the rows and their places: a row's first hash is none
+                hashes, first = F.concat(F.array(F.lit(None).cast("long")), hashes), 1
+            else:
+                first = 0
+            placed = rows.select("doc_id", *KEY, "n_words", "words", F.posexplode(hashes).alias("pos", "token")).withColumn("pos", F.col("pos") - first)
+            own = F.broadcast(part.where(F.col("size") == size).select(F.col("token").alias("t"), F.col("shingle")))
+            words = said(F.col("words"), F.greatest(F.col("pos") + 1, F.lit(1)), size)
+            near = (F.col("token") == F.col("t")) & words.between(F.col("shingle"), F.col("shingle"))  # no join key: only rows of equal hash are compared
+            met = placed.join(own, near, "left" if first else "inner")
+            met = met.where(F.col("t").isNotNull() | (F.col("pos") == -1)) if first else met
+            met = met.select("doc_id", *KEY, "n_words", "pos", F.lit(size).alias("size"), F.coalesce("shingle", F.lit("")).alias("shingle"))
+            found = met if found is None else found.unionByName(met)
+    return found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, passes: int = PASS_SHINGLES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items: a row per row of docs.
 
     Null texts have no words, and items without words no windows.  Null item_ids count as ''; rows that share an
     item_id are one item with the windows of all.  Repeated documents have a row each with one result.  Very long texts
     are read whole; their hits are one row's arrays, as their text is.  Empty tables: no documents, no rows; no items, no
-    hits.  Other columns are not read, whatever their names.
+    hits.  Shingles are met in passes of so many at a time.  Other columns are not read, whatever their names.
     """
     rows = keyed(docs)
     windows = materialize(windows_of(benchmark, window), "leak-windows")
     parts = materialize(window_shingles(windows, shingle), "leak-shingles")
     sizes = sorted(r["size"] for r in parts.select("size").distinct().collect())  # shingle numbers at most
     none = F.lit(0).cast("long")
-    counted = rows.select("doc_id", *KEY, F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"))
     if not sizes:
-        found = rows.limit(0).select(*KEY, none.alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        counted = rows.select("doc_id", *KEY, "n_words")
+        found = counted.limit(0).select(*KEY, none.alias("n_hit"), F.array().cast("array<string>").alias("items"))
     else:
-        places = materialize(shingle_places(rows, parts.select("token").distinct(), sizes), "leak-places")
-        starts = _starts(places, _prefixes(places, parts))
-        hits = _hits(rows, materialize(starts, "leak-starts"), parts.select("content").distinct())
-        found = _by_document(materialize(hits, "leak-hits"), windows)
+        everywhere = materialize(shingle_places(rows, parts.select("token", "size", "shingle").distinct(), sizes, passes), "leak-places")
+        counted, places = everywhere.where("pos = -1"), everywhere.where("pos >= 0")
+        starts = materialize(_starts(places, _prefixes(places, parts)), "leak-starts")
+        hits = materialize(_hits(places, starts, parts.select("content").distinct(), shingle), "leak-hits")
+        found = _by_document(hits, windows)
     joined = counted.join(found, KEY, "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
-        "doc_id", "n_words", F.coalesce("n_hit", none).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", none).alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", none) > 0).alias("contaminated"), items.alias("items"),
     )
 
 
 def _prefixes(places: DataFrame, parts: DataFrame) -> DataFrame:
-    """token, at: the (offset, len) of windows whose rarest shingle it is, of windows with all shingles in documents."""
-    rarity = places.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rarest = F.min(F.struct("n", "token", "offset")).alias("first")
-    met = parts.join(rarity, "token").groupBy("content", "len", "size").agg(F.count(F.lit(1)).alias("met"), rarest)
-    whole = met.where(F.col("met") == F.col("len") - F.col("size") + 1).select("first.token", "first.offset", "len")
-    return whole.groupBy("token").agg(F.collect_set(F.struct("offset", "len")).alias("at"))  # window^2 at most
+    """shingle, at: the (offset, len) of windows whose rarest shingle it is, of windows with all shingles in documents."""
+    rarity = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct("n", "shingle", "offset")).alias("first")
+    met = parts.join(rarity, "shingle").groupBy("content", "len", "size").agg(F.count(F.lit(1)).alias("met"), rarest)
+    whole = met.where(F.col("met") == F.col("len") - F.col("size") + 1).select("first.shingle", "first.offset", "len")
+    return whole.groupBy("shingle").agg(F.collect_set(F.struct("offset", "len")).alias("at"))  # window^2 at most
 
 
 def _starts(places: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """k1, k2, starts: the (start, len) of a document that a prefix and the bounds allow."""
-    near = joined_few(places, prefixes, ["token"]).withColumn("at", F.explode("at"))
+    """k1, k2, start, len: where a prefix and the bounds allow a window."""
+    near = joined_few(places.select(*KEY, "n_words", "pos", "shingle"), prefixes, ["shingle"]).withColumn("at", F.explode("at"))
     near = near.select(*KEY, "n_words", (F.col("pos") - F.col("at.offset")).alias("start"), F.col("at.len").alias("len"))
     near = near.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n_words")))
-    return near.groupBy(*KEY).agg(F.collect_set(F.struct("start", "len")).alias("starts"))
+    return near.select(*KEY, "start", "len").distinct()
 
 
-def _hits(rows: DataFrame, starts: DataFrame, contents: DataFrame) -> DataFrame:
-    """k1, k2, start, stop, content of every place whose words are a window."""
-    cut = rows.select(*KEY, "text").join(starts, KEY).select(*KEY, "starts", words_of(F.col("text")).alias("words"))
-    texts = F.transform("starts", lambda s: F.struct(s["start"].alias("start"), s["len"].alias("len"), F.array_join(F.slice("words", s["start"] + 1, s["len"]), " ").alias("content")))
-    cut = materialize(cut.select(*KEY, F.explode(texts).alias("s")).select(*KEY, "s.*"), "leak-cut")
+def _hits(places: DataFrame, starts: DataFrame, contents: DataFrame, shingle: int) -> DataFrame:
+    """k1, k2, start, stop, content of every start whose words are a window.
+
+    The words come from the shingles at every shingle-th place and the last one; where one of these is missing, no window is.
+    """
+    size = F.col("size")
+    steps = F.array_union(F.sequence(F.lit(0), F.col("len") - size, size), F.array(F.col("len") - size))
+    asked = starts.withColumn("size", F.least("len", F.lit(shingle))).withColumn("step", F.explode(steps)).withColumn("pos", F.col("start") + F.col("step"))
+    rest = F.col("len") % size  # words that the last shingle alone tells
+    last = F.array_join(F.slice(F.split("shingle", " "), size - rest + 1, rest), " ")
+    told = F.when(F.col("step") % size == 0, F.col("shingle")).otherwise(last)
+    pieces = asked.join(places.select(*KEY, "pos", "size", "shingle").distinct(), [*KEY, "pos", "size"]).select(*KEY, "start", "len", F.struct("step", told.alias("told")).alias("piece"))
+    cut = pieces.groupBy(*KEY, "start", "len").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    cut = cut.where(F.size("pieces") == F.ceil(F.col("len") / F.least("len", F.lit(shingle))))
+    cut = materialize(cut.select(*KEY, "start", "len", F.array_join("pieces.told", " ").alias("content")), "leak-cut")
     return joined_few(cut, contents, ["content"]).select(*KEY, "start", (F.col("start") + F.col("len")).alias("stop"), "content")
 
 
