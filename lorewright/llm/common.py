@@ -42,23 +42,22 @@ def rows_kept(docs: DataFrame, decisions: DataFrame, extra: list[str] = []) -> D
     return joined.withColumn("__n", first).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 
 
-#: A key of joined_few is heavy with more than this share of the rows; so at most a thousand keys are heavy.
-HEAVY_SHARE, HEAVY_ROWS = 1_000, 100
+#: Keys of joined_few that may be heavy; any other key has less than this part of the rows.  Keys of so few rows are light.
+HEAVY_KEYS, HEAVY_ROWS = 1_000, 100
 
 
 def joined_few(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner", heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """rows joined with found, which has a row per key at most, where a key may hold any share of rows.
 
-    Keys are counted first.  Those of more than a thousandth of the rows, a thousand at most, get their row of found by a
-    broadcast, so that none of them is exchanged to one task; the others join by exchange, if Spark finds that shorter.
-    Null keys meet nothing.
+    Keys are counted first.  The thousand most frequent ones get their rows of found by a broadcast of a thousand rows at
+    most, so that none of them is exchanged to one task; any other key has a thousandth of the rows at most, and these
+    join as Spark finds best.  Null keys meet nothing.  found is read twice.
     """
-    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "key-counts")
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    heavy = counts.where(F.col("__n") > max(heavy_rows, total // HEAVY_SHARE)).select(*keys)
-    if heavy.isEmpty():
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > heavy_rows)
+    most = counts.orderBy(F.desc("__n"), *keys).select(*keys).limit(HEAVY_KEYS).collect()  # a thousand keys at most
+    if not most:
         return rows.join(found, keys, how)
-    heavy = materialize(heavy, "heavy-keys")
-    light = rows.join(F.broadcast(heavy), keys, "left_anti").join(found, keys, how)
-    few = materialize(found.join(F.broadcast(heavy), keys, "left_semi"), "heavy-found")
-    return light.unionByName(rows.join(F.broadcast(heavy), keys, "left_semi").join(F.broadcast(few), keys, how))
+    heavy = F.broadcast(rows.sparkSession.createDataFrame(most, counts.select(*keys).schema))
+    light = rows.join(heavy, keys, "left_anti").join(found, keys, how)
+    few = F.broadcast(found.join(heavy, keys, "left_semi"))
+    return light.unionByName(rows.join(heavy, keys, "left_semi").join(few, keys, how))
