@@ -90,21 +90,6 @@ def focused_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.per_group(own, ["document_id"], ["page"], fold, "document_id long, first_page long, last_page long, characters long")
 
 
-@register(None)
-def source_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions without overlap of the first two and three words of benchmark passages, which are a fixed, small table; null
-    and shorter passages name nothing."""
-    words = [(r.text or "").split() for r in table(spark, sf_dir, "benchmark").select("text").collect()]
-    names = [" ".join(w[:k]) for w in words for k in (2, 3) if len(w) >= k]
-
-    def run(batches):
-        for pdf in batches:
-            spans = [K.free_mentions(t or "", names) for t in pdf["text"]]
-            yield pd.DataFrame({"document_id": pdf["document_id"], "page": pdf["page"], "mentions": [len(s) for s in spans], "first_at": [s[0][0] if s else -1 for s in spans]})
-
-    return pages(spark, sf_dir).select("document_id", "page", "text").mapInPandas(run, "document_id long, page long, mentions long, first_at long")
-
-
 @register(None)
 def verbatim_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw slice that a normalised quote stands for."""

@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorewright.plans import captured, cleaning, enriched, evaluation, folded, further, graph, normalisers, participants, persistence, ranking, readmodels, relational, replayed, resolution, structure, texts, validation
-
-MODULES = [ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded, cleaning, further, participants, normalisers, replayed, captured, structure, enriched]
+from lorewright.plans import (
+    captured, cleaning, enriched, evaluation, folded, further, graph, identities, mentions, navigation, normalisers, participants, persistence, ranking, readmodels,
+    relational, replayed, resolution, structure, texts, validation,
+)
+
+MODULES = [
+    ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded, cleaning, further, participants, normalisers, replayed,
+    captured, structure, enriched, identities, mentions, navigation,
+]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
