@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewright.operators import harvest as H
 from lorewright.operators import mentions as M
-from lorewright.plans.base import registrar, table
+from lorewright.plans.base import pages, registrar, table
 
 QUERIES: dict = {}
 register = registrar(QUERIES)
@@ -94,3 +95,43 @@ _VERBS = ", ".join(f"CASE WHEN regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_]
 def implied_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that orders' texts imply by plural, organisation, title or event, and do not name."""
     return M.bounded_context(armies(spark, sf_dir), reports(spark, sf_dir), ["o_orderkey"])
+
+
+def _quoted(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _pattern(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_CAPS = "(regexp_matches({0}, '\\p{{L}}') AND upper({0}) = {0} AND lower({0}) <> {0})"
+_NORM = r"trim(regexp_replace(lower(surface), '[^\p{L}\p{N}]+', ' ', 'g'))"
+
+
+@register(rf"""WITH pg AS (SELECT conv_id AS document_id, turn + 1 AS page, coalesce(text, '') AS text FROM conversations),
+  l0 AS (SELECT document_id, page, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM pg),
+  l1 AS (SELECT *, unnest(range(len(parts))) AS no FROM l0),
+  ln AS (SELECT document_id, page, no, parts[no + 1] AS line, right(array_to_string(parts[greatest(1, no - 3):no], chr(10)) || CASE WHEN no > 0 THEN chr(10) ELSE '' END, {H.AROUND}) AS before,
+    left(chr(10) || array_to_string(parts[no + 2:no + 5], chr(10)), {H.AROUND}) AS after FROM l1),
+  pc AS (SELECT *, regexp_extract_all(line, {_pattern(H.TOKEN_AND_GAP)}) AS fl, regexp_extract_all(line, {_pattern(H.TOKEN)}) AS br, regexp_replace(line, '^\s+|\s+$', '', 'g') AS said FROM ln),
+  nm AS (SELECT *, list_filter(range(1, len(br) + 1), lambda i: regexp_matches(br[i], '{H.NAMED}')) AS pos FROM pc),
+  hd AS (SELECT *, length(said) BETWEEN 1 AND {H.HEADING_LENGTH} AND len(br) BETWEEN 1 AND {H.HEADING_WORDS} AND (NOT regexp_matches(said, '{H.HEADING_END}') OR {_CAPS.format('said')}) AND 2 * len(pos) >= len(br) AS heading,
+    list_transform(range(1, len(pos) + 1), lambda j: coalesce(pos[j + 1] - pos[j] = 1 OR pos[j + 1] - pos[j] = 2 AND lower(br[pos[j] + 1]) IN {_quoted(H.CONNECTORS)}, false)) AS lk FROM nm WHERE len(pos) > 0),
+  sj AS (SELECT *, unnest(range(1, len(pos) + 1)) AS j FROM hd), sk AS (SELECT *, unnest(range({H.MOST_NAMED})) AS k FROM sj),
+  sp AS (SELECT *, pos[j] AS a, pos[j + k] AS b, lk[j] OR j > 1 AND lk[j - 1] AS several FROM sk WHERE j + k <= len(pos) AND NOT list_contains(lk[j:j + k - 1], false)),
+  sx AS (SELECT *, array_to_string(fl[a:b - 1], '') || br[b] AS surface, CASE WHEN a <= 3 THEN before || regexp_extract(line, '^[^\p{{L}}]*') ELSE '' END || array_to_string(fl[greatest(1, a - 3):a - 1], '') AS near,
+    substr(fl[b], length(br[b]) + 1, {H.AROUND}) || array_to_string(fl[b + 1:b + 2], '') || CASE WHEN b + 2 >= len(fl) THEN after ELSE '' END AS rest FROM sp),
+  low AS (SELECT document_id, page, unnest(list_filter(regexp_extract_all(text, {_pattern(H.TOKEN)}), lambda t: length(t) >= {H.LEAST_LOWER} AND regexp_matches(t, '^\p{{Ll}}'))) AS surface FROM pg),
+  lw AS (SELECT *, {_NORM} AS n FROM low), often AS (SELECT document_id, page, n FROM lw GROUP BY ALL HAVING count(*) >= {H.LEAST_REPEATS} AND n NOT IN {_quoted(H.COMMON)}),
+  oc AS (SELECT document_id, page, 0 AS kind, no AS line, a, b, surface, list_filter([CASE WHEN several THEN 'title-case-span' ELSE 'capitalized-token' END, CASE WHEN heading THEN 'heading' END, CASE WHEN {_CAPS.format('surface')} THEN 'all-caps' END,
+      CASE WHEN regexp_matches(near, {_pattern(H.CUE)}) THEN 'naming-cue' END, CASE WHEN regexp_matches(left(rest, 32), {_pattern(H.PREDICATE)}) THEN 'predicate-naming-cue' END, CASE WHEN regexp_matches(left(rest, 3), {_pattern(H.POSSESSIVE)}) THEN 'possessive' END], lambda x: x IS NOT NULL) AS signals,
+      near = '' OR regexp_matches(near, '{H.SENTENCE_END}') AS opens FROM sx
+    UNION ALL SELECT document_id, page, 1, 0, i, i, regexp_replace(xs[i + 1], '\s+', ' ', 'g'), ['wrapped-title-case-span'], false FROM (SELECT document_id, page, xs, unnest(range(len(xs))) AS i FROM (SELECT document_id, page, regexp_extract_all(text, {_pattern(H.WRAPPED)}) AS xs FROM pg))
+    UNION ALL SELECT document_id, page, 2, 0, i, i, xs[i + 1], ['article-name-cue'], false FROM (SELECT document_id, page, xs, unnest(range(len(xs))) AS i FROM (SELECT document_id, page, regexp_extract_all(text, {_pattern(H.ARTICLE)}, 1) AS xs FROM pg))
+    UNION ALL SELECT document_id, page, 3, 0, 0, 0, surface, ['repeated-lowercase-term'], false FROM lw SEMI JOIN often USING (document_id, page, n)),
+  nz AS (SELECT *, {_NORM} AS normalized FROM oc), ok AS (SELECT *, len(regexp_extract_all(surface, {_pattern(H.TOKEN)})) > 1 OR NOT opens OR len(list_filter(signals, lambda x: x <> 'capitalized-token')) > 0 AS clear FROM nz WHERE normalized <> '' AND normalized NOT IN {_quoted(H.GENERIC)})
+  SELECT document_id, normalized, list_sort(list_distinct(list(page))) AS pages, count(*) AS occurrences, list_sort(list_distinct(flatten(list(signals)))) AS signals FROM ok GROUP BY document_id, normalized HAVING count(*) > 1 OR bool_or(clear)""")
+def name_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate names of every conversation, with the pages that offer them and why."""
+    return H.harvest(pages(spark, sf_dir).select("document_id", "page", "text"), ["document_id"], "page").drop("surface")
