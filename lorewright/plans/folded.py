@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 from lorewright.functions import text as T
 from lorewright.operators import folds as K
-from lorewright.operators.components import connected_components
 from lorewright.plans.base import pages, parts, registrar, table
-from lorewright.plans.resolution import blocked_pairs
 
 QUERIES: dict = {}
 register = registrar(QUERIES)
@@ -101,23 +99,6 @@ def verbatim_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).select("document_id", "page", "text").mapInPandas(run, "document_id long, page long, start long, stop long")
 
 
-@register(None)
-def adjudication_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicate components in bins of at most 24 pairs; only larger ones are cut. Bins are formed within 8 key ranges."""
-    own = parts(spark, sf_dir).select("id", "type", T.normalize_name(F.concat_ws(" of the ", "brand", "name")).alias("name"))
-    pairs = blocked_pairs(own).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
-    of = connected_components(pairs)
-    sizes = pairs.join(of, F.col("a") == F.col("node")).groupBy("component").agg(F.count(F.lit(1)).alias("n")).withColumn("slice", F.pmod("component", F.lit(8)))
-
-    def fold(pdf: pd.DataFrame):
-        got = K.bins(list(zip(pdf["component"].tolist(), pdf["n"].tolist(), strict=True)), 24)
-        for name, places in got.items():
-            for at, n in places:
-                yield name, at, n
-
-    return K.per_group(sizes, ["slice"], ["component"], fold, "slice long, component long, bin long, pairs long")
-
-
 @register(None)
 def applied_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge proposals of each campaign (here a supplier) applied in order against its groups."""

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import normalize_name
+from lorewright.operators.bins import greedy_bins
+from lorewright.operators.components import connected_components
 from lorewright.operators.mentions import name_spans
 from lorewright.operators.similarity import overlapping_sets
 from lorewright.plans.base import PARTS, parts, registrar, table
@@ -98,3 +100,44 @@ def page_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that share two parts and three in four of the smaller one's."""
     members = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item"))
     return overlapping_sets(members)
+
+
+MOST_PAIRS, MOST_BYTES, PAIR_BYTES = 24, 48_000, 640
+
+
+def adjudication_batches(pairs: DataFrame, most: int = MOST_PAIRS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """batch, component, left_id, right_id of pairs (left_id, right_id, bytes): whole components in order while they fit.
+
+    A component over a bound is cut at its pairs, in order, and shares no batch with others.  Batches hold most pairs and
+    most_bytes at most, unless one pair alone has more.
+    """
+    named = connected_components(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
+    own = materialize(pairs.join(named.select(F.col("node").alias("left_id"), "component"), "left_id"), "components")
+    sums = own.groupBy("component").agg(F.count(F.lit(1)).alias("count"), F.sum("bytes").alias("size"))
+    fits = (F.col("count") <= most) & (F.col("size") <= most_bytes)
+    sums = materialize(sums.withColumn("fits", fits), "sums")
+    none = F.lit(None).cast("long")
+    whole = sums.where("fits").select("component", none.alias("left_id"), none.alias("right_id"), "count", "size", F.lit(None).cast("string").alias("solo"))
+    cut = own.join(sums.where("NOT fits").select("component"), "component").select(
+        "component", "left_id", "right_id", F.lit(1).cast("long").alias("count"), F.col("bytes").alias("size"), F.col("component").cast("string").alias("solo")
+    )
+    items = greedy_bins(whole.unionByName(cut), [F.col("component"), F.col("left_id"), F.col("right_id")], most, most_bytes)
+    items = materialize(items.select(F.col("bin").alias("batch"), "component", "left_id", "right_id"), "batches")
+    of_whole = own.select("component", "left_id", "right_id").join(items.where("left_id IS NULL").select("component", "batch"), "component")
+    return items.where("left_id IS NOT NULL").unionByName(of_whole.select("batch", "component", "left_id", "right_id"))
+
+
+@register(f"""WITH RECURSIVE {PARTS}, {_BLOCKED}, e AS (SELECT left_id AS a, right_id AS b FROM pr UNION ALL SELECT right_id, left_id FROM pr), r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+  cp AS (SELECT a AS id, min(b) AS component FROM r GROUP BY a), pb AS (SELECT component, left_id, right_id, {PAIR_BYTES} + 9 * (length(x.name) + length(y.name)) AS bytes FROM pr JOIN cp ON cp.id = left_id JOIN nm x ON x.id = left_id JOIN nm y ON y.id = right_id),
+  sm AS (SELECT component, count(*) AS n, sum(bytes) AS s, count(*) <= {MOST_PAIRS} AND sum(bytes) <= {MOST_BYTES} AS fits FROM pb GROUP BY component),
+  it AS (SELECT component, NULL::BIGINT AS l, NULL::BIGINT AS q, n, s, NULL::BIGINT AS solo FROM sm WHERE fits UNION ALL SELECT component, left_id, right_id, 1, bytes, component FROM pb JOIN sm USING (component) WHERE NOT fits),
+  od AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY component, l, q) AS k FROM it),
+  wk AS (SELECT k, component, l, q, solo, n, s, 1 AS batch FROM od WHERE k = 1 UNION ALL SELECT o.k, o.component, o.l, o.q, o.solo, CASE WHEN f THEN w.n + o.n ELSE o.n END, CASE WHEN f THEN w.s + o.s ELSE o.s END, CASE WHEN f THEN batch ELSE batch + 1 END
+    FROM (SELECT w.*, o.k AS ok, w.solo IS NOT DISTINCT FROM o.solo AND w.n + o.n <= {MOST_PAIRS} AND w.s + o.s <= {MOST_BYTES} AS f FROM wk w JOIN od o ON o.k = w.k + 1) w JOIN od o ON o.k = w.ok)
+  SELECT batch, component, left_id, right_id FROM pb JOIN (SELECT batch, component FROM wk WHERE l IS NULL) USING (component) UNION ALL SELECT batch, component, l, q FROM wk WHERE l IS NOT NULL""")
+def adjudication_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate pairs in batches of 24 pairs and 48,000 bytes: whole components in order, larger ones cut at pairs."""
+    own = materialize(parts(spark, sf_dir).select("id", "type", normalize_name(F.concat_ws(" of the ", "brand", "name")).alias("name")), "names")
+    size = lambda end: own.select(F.col("id").alias(f"{end}_id"), F.char_length("name").alias(end))
+    pairs = blocked_pairs(own).select("left_id", "right_id").join(size("left"), "left_id").join(size("right"), "right_id")
+    return adjudication_batches(pairs.select("left_id", "right_id", (F.lit(PAIR_BYTES) + 9 * (F.col("left") + F.col("right"))).cast("long").alias("bytes")))
