@@ -35,9 +35,9 @@ def _flat(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"\s+", " "))
 
 
-def safe_names(entities: DataFrame) -> DataFrame:
-    """id, name of entities (id, names: array) that are safe to look for, white space as one space, lower case."""
-    own = entities.select("id", F.explode("names").alias("name")).where(is_safe_mention(F.col("name")))
+def safe_names(entities: DataFrame, every: bool = False) -> DataFrame:
+    """id, name of entities (id, names: array) that are safe to look for (or of all), white space as one space, lower case."""
+    own = entities.select("id", F.explode("names").alias("name")).where(F.lit(every) | is_safe_mention(F.col("name")))
     return own.select("id", F.trim(_flat(F.col("name"))).alias("name")).where(F.col("name").rlike(rf"^{TOKEN}") & F.col("name").rlike(rf"{TOKEN}$")).distinct()
 
 

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorewright.plans import (
-    captured, cleaning, enriched, evaluation, folded, further, graph, identities, mentions, navigation, normalisers, participants, persistence, ranking, readmodels,
+    captured, cleaning, descriptors, enriched, evaluation, folded, further, graph, identities, mentions, navigation, normalisers, participants, persistence, ranking, readmodels,
     relational, replayed, resolution, signals, snapshots, structure, texts, validation,
 )
 
 MODULES = [
     ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded, cleaning, further, participants, normalisers, replayed,
-    captured, structure, enriched, identities, mentions, navigation, signals, snapshots,
+    captured, structure, enriched, identities, mentions, navigation, signals, snapshots, descriptors,
 ]
 
 
