@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import normalize_name
+from lorewright.operators import descriptors, source_forms
 from lorewright.operators.components import connected_components
+from lorewright.operators.mentions import name_spans, safe_names
+from lorewright.storage import materialize
 
 #: Fixed values.
 PRONOUNS = ("he", "she", "it", "they", "him", "her", "them")
@@ -69,3 +72,72 @@ def unsupported(participants: DataFrame) -> DataFrame:
     """Participants (claim, name, evidence) whose name does not stand in the cited evidence, token for token."""
     held = F.concat(F.lit(" "), normalize_name(F.col("evidence")), F.lit(" "))
     return participants.where(~F.contains(held, F.concat(F.lit(" "), normalize_name(F.col("name")), F.lit(" "))))
+
+
+#: What a name of a person or place looks like, words that begin no name, and definite references.
+PROPER = r"^(?:The\s+)?\p{Lu}[\p{L}'’-]*(?:\s+(?:of|the|\p{Lu}[\p{L}'’-]*))*$"
+NO_NAME = r"(?i)^(?:a|an|native|local|some|several|many|ordinary|unnamed|captured|generic)\s+"
+REFERENCE = r"^(?:(?i:he|she|it|they|him|her|them|his|its|their)|[Tt]he\s+\p{Ll}.*)$"
+
+
+def resolve_in_source(mentions: DataFrame, cited: DataFrame, units: DataFrame, entities: DataFrame, identities: DataFrame) -> DataFrame:
+    """mention, kind, id, candidate, evidence of mentions (mention, claim, text), each decided by the first stage that can.
+
+    exact: one entity has the name, or else the alias, or else the name with or without its article; several leave the mention
+    "ambiguous", and no later stage decides that.  source_form: a definite noun that refers to one named thing, or a class of
+    things ("generic").  identity: identities (name: normalised, id) know the name.  candidate: a proper name that a cited
+    unit, or a unit of the same scope, holds; it is its own entity.  descriptor: a role of one named parent.  generic: words
+    that name nobody.  coreference: a pronoun or definite noun, if the scope names one entity only.
+    evidence: the unit that shows what a stage has decided; for names the last unit of the scope that holds one of the
+    entity's names (provenance), if there is any.
+
+    cited: claim, doc, unit; units: doc, unit, place, context, text; entities: id, name, aliases, type.
+    """
+    own = materialize(mentions.select("mention", "claim", "text", normalize_name(F.col("text")).alias("form")), "mentions")
+    forms = entity_forms(entities.select("id", "name", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))).where("stage < 3")
+    counted = forms.groupBy("form", "stage").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    first = counted.groupBy("form").agg(F.min(F.struct("stage", "n", "id")).alias("m"))
+    scope = materialize(source_forms.scopes(cited, units).join(cited.select("claim", "doc", "unit").distinct(), ["doc", "unit"]).select("claim", "doc", "place", "first"), "scope")
+    none = [F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("candidate")]
+    rows = lambda df, kind, *more: df.select("mention", F.lit(kind).alias("kind"), *more)
+    no_unit = F.lit(None).cast(dict(units.dtypes)["unit"]).alias("evidence")
+    decided, left = [], own
+
+    def settle(found: DataFrame) -> None:
+        nonlocal left
+        kept = materialize(found.join(left.select("mention"), "mention", "left_semi"), "stage")
+        decided.append(kept)
+        left = materialize(left.join(kept.select("mention"), "mention", "left_anti"), "left")
+
+    exact = left.join(first, "form")
+    settle(exact.select("mention", F.when(F.col("m.n") == 1, "exact").otherwise("ambiguous").alias("kind"), F.when(F.col("m.n") == 1, F.col("m.id")).alias("id"), F.lit(None).cast("string").alias("candidate"), no_unit))
+    asked = left.select("mention", "claim", "text")
+    settle(rows(source_forms.referred_entities(asked, cited, units, entities), "source_form", "id", none[1], F.col("anchor").alias("evidence")))
+    settle(rows(source_forms.generic_mentions(left.select("mention", "claim", "text"), cited, units, entities), "generic", *none, F.col("proof").alias("evidence")))
+    known = identities.where("id IS NOT NULL").groupBy("name").agg(F.min("id").alias("id"), F.max("id").alias("top")).where("id = top").select(F.col("name").alias("form"), "id")
+    settle(rows(left.join(known, "form"), "identity", "id", none[1], no_unit))
+
+    proper = left.where(F.col("text").rlike(PROPER) & ~F.col("text").rlike(NO_NAME) & ~F.col("text").rlike(REFERENCE) & ~F.col("form").isin(*GENERIC, *PRONOUNS))
+    names = materialize(safe_names(proper.select(F.col("form").alias("id"), F.array("text").alias("names")).distinct(), every=True), "proper")
+    places = materialize(name_spans(units.select("doc", "unit", "place", "text"), ["doc", "unit", "place"], names).select("doc", "unit", "place", F.col("id").alias("form")).distinct(), "proper-places")
+    held = proper.join(scope, "claim").join(places.withColumnRenamed("place", "at"), ["doc", "form"]).where("at BETWEEN first AND place")
+    shown = held.groupBy("mention", "form").agg(F.max(F.struct("at", "unit"))["unit"].alias("evidence"))
+    settle(rows(shown, "candidate", none[0], F.concat(F.lit("candidate:"), "form").alias("candidate"), "evidence"))
+    told = descriptors.resolve_descriptors(left.select("mention", "claim", "text"), cited, units, entities)
+    settle(rows(told, "descriptor", "id", none[1], F.col("unit").alias("evidence")))
+    settle(rows(left.where(F.col("form").isin(*GENERIC)), "generic", *none, no_unit))
+
+    every = safe_names(entities.select("id", F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names")), every=True)
+    named = materialize(name_spans(units.select("doc", "unit", "place", "text"), ["doc", "unit", "place"], every).select("doc", "unit", F.col("place").alias("at"), "id").distinct(), "named")
+    refers = left.where(F.col("text").rlike(REFERENCE)).select("mention", "claim").join(scope, "claim").join(named, "doc").where("at BETWEEN first AND place")
+    one = refers.groupBy("mention").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.max(F.struct("at", "unit"))["unit"].alias("evidence")).where("id = top")
+    settle(rows(one, "coreference", "id", none[1], "evidence"))
+
+    found = decided[0]
+    for part in decided[1:]:
+        found = found.unionByName(part)
+    found = found.unionByName(rows(left, "unresolved", *none, no_unit))
+    # provenance: where the scope names what a name has been resolved to
+    bare = found.where("id IS NOT NULL AND evidence IS NULL").select("mention", "id").join(own.select("mention", "claim"), "mention").join(scope, "claim")
+    proof = bare.join(named, ["doc", "id"]).where("at BETWEEN first AND place").groupBy("mention").agg(F.max(F.struct("at", "unit"))["unit"].alias("proof"))
+    return found.join(proof, "mention", "left").select("mention", "kind", "id", "candidate", F.coalesce("evidence", "proof").alias("evidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorewright.operators import participants as P
 from lorewright.operators import source_forms as S
 from lorewright.plans.base import registrar, table
 from lorewright.storage import materialize
@@ -60,3 +61,30 @@ def definite_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = materialize(units(spark, sf_dir), "units")
     mentions = own.select(F.col("unit").alias("mention"), F.col("unit").alias("claim"), F.col("asks").alias("text"))
     return S.referred_entities(mentions, own.select(F.col("unit").alias("claim"), "doc", "unit"), own.drop("asks"), towers(spark))
+
+
+NAMED = ("Iron Tower", "guards", "the tower", "Bert", "Elder", "the spire guards", "they", "villagers", "the old tower", "Gold Hand", "nobody here")
+
+
+@register(f"""WITH {_UNITS}, mn AS (SELECT *, {_LIST(NAMED)}[(doc * 2 + place) % {len(NAMED)} + 1] AS m FROM un),
+  s AS (SELECT mn.unit AS mention, mn.m, mn.place AS cp, u.unit, u.place, u.k, u.t FROM mn JOIN un u ON u.doc = mn.doc AND u.place <= mn.place AND CASE mn.c WHEN 0 THEN u.c = 0 WHEN 1 THEN u.c <= 1 ELSE u.c = 2 END),
+  nm AS (SELECT * FROM s WHERE k IN (6, 8)), pv AS (SELECT mention, t, arg_max(unit, place) AS unit FROM nm GROUP BY mention, t),
+  rf AS (SELECT mention, min(t) AS id, min(place) AS fp, arg_min(unit, place) AS unit FROM nm WHERE m IN ('the tower', 'the old tower') AND t < 3 GROUP BY mention HAVING min(t) = max(t)),
+  ro AS (SELECT * FROM rf WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.mention = rf.mention AND k = 7 AND s.place > rf.fp)),
+  co AS (SELECT mention, min(t) AS id, arg_max(unit, place) AS unit FROM nm GROUP BY mention HAVING min(t) = max(t)),
+  gg AS (SELECT mention, arg_min(unit, place) AS unit FROM s WHERE m IN ('guards', 'the spire guards') AND k IN (0, 1) GROUP BY mention HAVING bool_or(unit = mention)),
+  be AS (SELECT mention, arg_max(unit, place) AS unit FROM s WHERE m = 'Bert' AND k = 2 OR m = 'Elder' AND k = 3 GROUP BY mention)
+  SELECT mn.unit AS mention, CASE WHEN m IN ('Iron Tower', 'the old tower') THEN 'exact' WHEN ro.id IS NOT NULL AND m = 'the tower' THEN 'source_form' WHEN gg.unit IS NOT NULL THEN 'generic' WHEN m = 'Gold Hand' THEN 'identity' WHEN be.unit IS NOT NULL THEN 'candidate'
+      WHEN m IN ('villagers', 'guards') THEN 'generic' WHEN m IN ('they', 'the tower', 'the spire guards') AND co.id IS NOT NULL THEN 'coreference' ELSE 'unresolved' END AS kind,
+    CASE WHEN m = 'Iron Tower' THEN 1 WHEN m = 'the old tower' THEN 2 WHEN m = 'the tower' THEN coalesce(ro.id, co.id) WHEN m = 'Gold Hand' THEN 3 WHEN m IN ('they', 'the spire guards') AND gg.unit IS NULL THEN co.id END AS id,
+    CASE WHEN be.unit IS NOT NULL THEN 'candidate:' || lower(m) END AS candidate,
+    CASE WHEN m = 'Iron Tower' THEN p1.unit WHEN m = 'the old tower' THEN p2.unit WHEN m = 'the tower' THEN coalesce(ro.unit, co.unit) WHEN m = 'Gold Hand' THEN p3.unit WHEN m IN ('they', 'the spire guards') THEN coalesce(gg.unit, co.unit) ELSE coalesce(gg.unit, be.unit) END AS evidence
+  FROM mn LEFT JOIN ro ON ro.mention = mn.unit LEFT JOIN co ON co.mention = mn.unit LEFT JOIN gg ON gg.mention = mn.unit LEFT JOIN be ON be.mention = mn.unit
+  LEFT JOIN pv p1 ON p1.mention = mn.unit AND p1.t = 1 LEFT JOIN pv p2 ON p2.mention = mn.unit AND p2.t = 2 LEFT JOIN pv p3 ON p3.mention = mn.unit AND p3.t = 3""")
+def staged_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims' participants by eight stages, over the lines that claims cite and their scopes."""
+    own = materialize(units(spark, sf_dir), "units")
+    name = F.element_at(F.array(*[F.lit(x) for x in NAMED]), ((F.col("doc") * 2 + F.col("place")) % len(NAMED) + 1).cast("int"))
+    mentions = own.select(F.col("unit").alias("mention"), F.col("unit").alias("claim"), name.alias("text"))
+    same = spark.createDataFrame([("gold hand", 3)], "name string, id long")
+    return P.resolve_in_source(mentions, own.select(F.col("unit").alias("claim"), "doc", "unit"), own.drop("asks"), towers(spark), same)
