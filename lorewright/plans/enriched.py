@@ -20,10 +20,10 @@ def assigned(entities: DataFrame, assignments: DataFrame, key: str) -> DataFrame
     return insist(met, F.col("__known").isNull() | F.col("__times").isNull() | (F.col("__times") != 1), "assignments must hold every key exactly once").drop("__known", "__times")
 
 
-_ENRICHED = f"""{EDGES}, {PARTS}, ec AS (SELECT ord, source_id AS a, target_id AS b, confidence >= 0.95 AS shown FROM ed),
-  touch AS (SELECT ord, id, bool_or(shown) AS shown FROM (SELECT ord, a AS id, shown FROM ec UNION ALL SELECT ord, b, shown FROM ec) GROUP BY ord, id), own AS (SELECT id, min(ord) AS first_ord FROM touch JOIN pt USING (id) GROUP BY id),
-  ci AS (SELECT id, visible, CASE WHEN size > 45 THEN -1 WHEN size > 40 THEN (SELECT min(ord) FROM ec) ELSE first_ord END AS cited FROM pt JOIN own USING (id)),
-  so AS (SELECT ci.id, visible, cited, kn.ord IS NOT NULL AS known, t.id IS NOT NULL AS local, coalesce(t.shown, false) AS shown FROM ci LEFT JOIN (SELECT DISTINCT ord FROM ec) kn ON kn.ord = cited LEFT JOIN touch t ON t.ord = cited AND t.id = ci.id)"""
+_ENRICHED = f"""{EDGES}, {PARTS}, ec AS MATERIALIZED (SELECT ord, source_id AS a, target_id AS b, confidence >= 0.95 AS shown FROM ed),
+  lo AS MATERIALIZED (SELECT min(ord) AS low FROM ec), touch AS MATERIALIZED (SELECT ord, id, bool_or(shown) AS shown FROM (SELECT ord, a AS id, shown FROM ec UNION ALL SELECT ord, b, shown FROM ec) GROUP BY ord, id), own AS (SELECT id, min(ord) AS first_ord FROM touch JOIN pt USING (id) GROUP BY id),
+  ci AS MATERIALIZED (SELECT id, visible, CASE WHEN size > 45 THEN -1 WHEN size > 40 THEN low ELSE first_ord END AS cited FROM pt JOIN own USING (id) CROSS JOIN lo),
+  so AS MATERIALIZED (SELECT ci.id, visible, cited, kn.ord IS NOT NULL AS known, t.id IS NOT NULL AS local, coalesce(t.shown, false) AS shown FROM ci LEFT JOIN (SELECT DISTINCT ord FROM ec) kn ON kn.ord = cited LEFT JOIN touch t ON t.ord = cited AND t.id = ci.id)"""
 
 
 def enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,10 +58,10 @@ def graph_of(spark: SparkSession, sf_dir: str) -> replay.Graph:
     return replay.build_graph(accepted(captured(spark, sf_dir)), pages)
 
 
-_CAND = "i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY " + ", ".join(PLACE) + ") AS line FROM lineitem), " + r"""c AS (SELECT CAST(l_orderkey AS VARCHAR) || ':e' || line AS id, l_orderkey, line, l_orderkey * 1000000 + line - 1 AS ord, p_name AS name,
+_CAND = "i AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY " + ", ".join(PLACE) + ") AS line FROM lineitem), " + r"""c AS MATERIALIZED (SELECT CAST(l_orderkey AS VARCHAR) || ':e' || line AS id, l_orderkey, line, l_orderkey * 1000000 + line - 1 AS ord, p_name AS name,
   trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm, split_part(p_type, ' ', 1) AS type, p_type, p_size, l_returnflag, l_linestatus, l_discount FROM i JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 5 + 1 IN (2, 3, 4, 5)),
-  k AS (SELECT *, first_value(id) OVER (PARTITION BY type, norm ORDER BY ord) AS key FROM c)"""
-_EDGES = r"""e AS (SELECT a.ord, a.key AS source_id, b.key AS target_id, 'sold as ' || lower(a.l_returnflag) AS semantic_type, round(1 - a.l_discount, 2) AS confidence FROM k a LEFT JOIN k b ON b.l_orderkey = a.l_orderkey AND b.line = a.line + 1)"""
+  k AS MATERIALIZED (SELECT *, first_value(id) OVER (PARTITION BY type, norm ORDER BY ord) AS key FROM c)"""
+_EDGES = r"""e AS MATERIALIZED (SELECT a.ord, a.key AS source_id, b.key AS target_id, 'sold as ' || lower(a.l_returnflag) AS semantic_type, round(1 - a.l_discount, 2) AS confidence FROM k a LEFT JOIN k b ON b.l_orderkey = a.l_orderkey AND b.line = a.line + 1)"""
 
 
 @register(f"WITH {_CAND} SELECT key, arg_min(name, ord) AS name, any_value(type) AS type, count(*) AS candidates, count(DISTINCT l_returnflag) AS roles, count(DISTINCT (p_size, name)) AS sources, arg_max(p_type, (length(p_type), -ord)) AS summary FROM k GROUP BY key")
