@@ -18,7 +18,7 @@ def graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("entities")).crossJoin(item)
 
 
-_MATCH = f"""{PARTS}, gold AS (SELECT DISTINCT name, type FROM pt WHERE size < 6), got AS (SELECT id, name, CASE WHEN id % 9 = 0 THEN 'PROMO' ELSE type END AS type, row_number() OVER (PARTITION BY name, type ORDER BY id) AS r FROM pt WHERE size BETWEEN 4 AND 12),
+_MATCH = f"""{PARTS}, gold AS (SELECT DISTINCT name, type FROM pt WHERE size < 26), got AS (SELECT id, name, CASE WHEN id % 9 = 0 THEN 'PROMO' ELSE type END AS type, row_number() OVER (PARTITION BY name, type ORDER BY id) AS r FROM pt WHERE size >= 26),
   cl AS (SELECT id, got.type, CASE WHEN gn.name IS NULL THEN 'FP' WHEN gt.name IS NULL THEN 'TYPE_MISMATCH' WHEN r > 1 THEN 'DUPLICATE' WHEN gn.n > 4 THEN 'AMBIGUOUS' ELSE 'TP' END AS class FROM got LEFT JOIN (SELECT name, count(*) AS n FROM gold GROUP BY name) gn USING (name) LEFT JOIN gold gt ON gt.name = got.name AND gt.type = got.type)"""
 
 
@@ -29,9 +29,9 @@ def entity_match_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parts(spark, sf_dir)
-    gold = p.where("size < 6").select(F.col("name").alias("g_name"), F.col("type").alias("g_type")).distinct()
+    gold = p.where("size < 26").select(F.col("name").alias("g_name"), F.col("type").alias("g_type")).distinct()
     names = gold.groupBy(F.col("g_name").alias("n_name")).agg(F.count(F.lit(1)).alias("n"))
-    got = p.where("size BETWEEN 4 AND 12").withColumn("r", F.row_number().over(rank_of(["name", "type"], ["id"])))
+    got = p.where("size >= 26").withColumn("r", F.row_number().over(rank_of(["name", "type"], ["id"])))
     got = got.withColumn("type", F.when(F.col("id") % 9 == 0, "PROMO").otherwise(F.col("type")))
     joined = got.join(names, F.col("name") == F.col("n_name"), "left").join(gold, (F.col("name") == F.col("g_name")) & (F.col("type") == F.col("g_type")), "left")
     cls = F.when(F.col("n").isNull(), "FP").when(F.col("g_name").isNull(), "TYPE_MISMATCH").when(F.col("r") > 1, "DUPLICATE").when(F.col("n") > 4, "AMBIGUOUS").otherwise("TP")
@@ -162,7 +162,7 @@ def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = F.when(F.col("p_size") > 30, "large").when(F.col("p_name").startswith("red"), "red").otherwise("other")
     n = table(spark, sf_dir, "part").groupBy(cat.alias("category"), F.col("p_name").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("place", F.row_number().over(rank_of(["category"], [F.desc("n"), "k"])))
+    return rank_in_groups(n, "category", [F.desc("n"), F.col("k")], "place")
 
 
 @register("""WITH h AS (SELECT conv_id AS sec, min((turn, length(text))) AS lo, max((turn, length(text))) AS hi FROM conversations GROUP BY conv_id), m AS (SELECT turn, length(text) AS off, conv_id FROM conversations)

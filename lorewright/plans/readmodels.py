@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorewright.operators.ranking import rank_in_groups
 from lorewright.plans.base import EDGES, PARTS, edges, parts, rank_of, registrar, table
+from lorewright.storage import materialize
 
 QUERIES: dict = {}
 register = registrar(QUERIES)
@@ -102,8 +103,10 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     ver = F.struct(F.floor(size / 10).alias("a"), (size % 10).cast("long").alias("b"), (F.col("p_partkey") % 5).alias("c"))
     own = table(spark, sf_dir, "part").select("p_partkey", "p_brand", ver.alias("ver"))
-    prev = F.lag("ver").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
-    return own.select("p_partkey", (prev.isNull() | (prev > F.col("ver"))).alias("newest_first"))
+    placed = materialize(rank_in_groups(own, "p_brand", [F.col("p_partkey")], "place"), "versions")  # brands may be few and large
+    before = placed.select("p_brand", (F.col("place") + 1).alias("place"), F.col("ver").alias("prev"))
+    met = placed.join(before, ["p_brand", "place"], "left")
+    return met.select("p_partkey", (F.col("prev").isNull() | (F.col("prev") > F.col("ver"))).alias("newest_first"))
 
 
 @register(f"WITH {PARTS} SELECT n.n_nationkey AS id, CASE WHEN n.n_regionkey <> 3 THEN n.n_regionkey END AS shown_parent FROM nation n")
