@@ -57,7 +57,8 @@ def joined_few(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "i
     most = counts.orderBy(F.desc("__n"), *keys).select(*keys).limit(HEAVY_KEYS).collect()  # a thousand keys at most
     if not most:
         return rows.join(found, keys, how)
-    heavy = F.broadcast(rows.sparkSession.createDataFrame(most, counts.select(*keys).schema))
+    named = [F.struct(*[F.lit(r[k]).cast(f.dataType).alias(k) for k, f in zip(keys, counts.select(*keys).schema, strict=True)]) for r in most]
+    heavy = F.broadcast(rows.sparkSession.range(1).select(F.inline(F.array(*named))))
     light = rows.join(heavy, keys, "left_anti").join(found, keys, how)
     few = F.broadcast(found.join(heavy, keys, "left_semi"))
     return light.unionByName(rows.join(heavy, keys, "left_semi").join(few, keys, how))
