@@ -81,9 +81,10 @@ def name_or_alias_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(parts(spark, sf_dir).withColumn("aliases", F.array("brand", "type")), " 1 ").select("id", "name")
 
 
-def search(entities: DataFrame, term: str) -> DataFrame:
+def search(entities: DataFrame, term: str, least: int = 1) -> DataFrame:
+    """Entities whose name or an alias holds the term; terms under least letters find nothing."""
     wanted = term.strip().lower()
-    if not wanted:
+    if len(wanted) < least:
         return entities.where(F.lit(False))
     return entities.where(F.contains(F.lower("name"), F.lit(wanted)) | F.exists("aliases", lambda a: F.contains(F.lower(a), F.lit(wanted))))
 
@@ -91,7 +92,7 @@ def search(entities: DataFrame, term: str) -> DataFrame:
 @register(f"WITH {PARTS} SELECT id, name, type, size FROM pt WHERE contains(lower(name), 'brand#1') OR contains(lower(brand), 'brand#1') ORDER BY name, id LIMIT 8")
 def typeahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of two letters or more; the first eight by name."""
-    return search(parts(spark, sf_dir).withColumn("aliases", F.array("brand")), "Brand#1").orderBy("name", "id").limit(8).select("id", "name", "type", "size")
+    return search(parts(spark, sf_dir).withColumn("aliases", F.array("brand")), "Brand#1", least=2).orderBy("name", "id").limit(8).select("id", "name", "type", "size")
 
 
 @register("""SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown field' WHEN value < 0 THEN 'bad value' WHEN user_id IS NULL THEN 'no owner' END AS reason FROM events""")

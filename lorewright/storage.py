@@ -39,8 +39,8 @@ def materialize(df: DataFrame, name: str, by: str | None = None, batch_bytes: in
     """df written to the shared folder and read back: lineage ends there, and any executor can read it.
 
     by: a column of a few values, each of which gets files of its own, so that a filter on it reads no others.
-    batch_bytes: an Arrow batch for Python ends with the row that passes it; without it 10,000 rows, however long, are
-    one batch, which the JVM and Python hold at a time.
+    batch_bytes: an Arrow batch for Python ends with the row that passes it.  Without it Spark's own bounds hold, 10,000
+    rows and 64 MB; the JVM and Python hold a batch at a time.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)

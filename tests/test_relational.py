@@ -23,3 +23,10 @@ def test_tiers_count_distinct_ids_and_no_ids_are_collected(spark, tmp_path):
     assert not why and n == 11
     # an array of ids for every key that is asked grows with the square of the parts
     assert "collect_set(id" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_one_letter_find_nothing_in_typeahead(spark):
+    from lorewright.plans.relational import search
+
+    rows = spark.createDataFrame([(1, "Ari", ["Ax"]), (2, "Bo", None)], "id long, name string, aliases array<string>")
+    assert [r.id for r in search(rows, " a ").collect()] == [1] and search(rows, " a ", least=2).count() == 0 and search(rows, "AX", least=2).count() == 1
