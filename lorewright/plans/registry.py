@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lorewright.plans import (
     captured, cleaning, completeness, descriptors, enriched, evaluation, folded, further, graph, identities, mentions, navigation, normalisers, participants, persistence, ranking, readmodels,
-    relational, replayed, resolution, signals, snapshots, source_forms, structure, texts, validation,
+    relational, replayed, resolution, rich, signals, snapshots, source_forms, spans, structure, texts, validation,
 )
 
 MODULES = [
     ranking, texts, relational, resolution, graph, persistence, readmodels, validation, evaluation, folded, cleaning, further, participants, normalisers, replayed,
-    captured, structure, enriched, identities, mentions, navigation, signals, snapshots, descriptors, source_forms, completeness,
+    captured, structure, enriched, identities, mentions, navigation, signals, snapshots, descriptors, source_forms, completeness, spans, rich,
 ]
 
 
