@@ -189,14 +189,66 @@ def claim_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(spark, sf_dir).select("event_id", source_status(F.col("said")).alias("status"))
 
 
-@register(r"""WITH w AS (SELECT document_id, page, list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: length(x) >= 4)) AS w FROM (SELECT conv_id AS document_id, turn + 1 AS page, text FROM conversations)),
-  l AS (SELECT *, lag(w) OVER (PARTITION BY document_id ORDER BY page) AS v FROM w) SELECT document_id, page, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, v)) * 1.0 / len(w) END, 6) AS share FROM l WHERE v IS NOT NULL""")
+#: Words that say nothing of a claim's support, the least length of those that do, and the share that a claim needs.
+COMMON_WORDS = (
+    "that", "this", "with", "from", "have", "their", "they", "them", "when", "where", "will", "would", "could", "into", "about", "there", "which", "were", "been", "because",
+    "after", "before", "heroes", "party",
+)
+TERM_LENGTH, SUPPORTED = 4, 0.32
+
+
+def terms(text: Column) -> Column:
+    """The distinct words of TERM_LENGTH letters or more that are not common."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}]{{{TERM_LENGTH},}}"), F.lit(0))
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*COMMON_WORDS)))
+
+
+_COMMON = "(" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + ")"
+
+
+@register(rf"""WITH w AS (SELECT conv_id AS document_id, turn + 1 AS page, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{{TERM_LENGTH},}}'), lambda x: x NOT IN {_COMMON})) AS w FROM conversations),
+  l AS (SELECT *, lag(w) OVER (PARTITION BY document_id ORDER BY page) AS v FROM w), s AS (SELECT document_id, page, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, v)) / len(w) END AS share FROM l WHERE v IS NOT NULL)
+  SELECT document_id, page, round(share, 6) AS share, share < {SUPPORTED} AS unverified FROM s""")
 def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of a turn's longer words that the turn before has too."""
-    own = pages(spark, sf_dir).select("document_id", "page", F.array_distinct(F.filter(T.tokens_of(F.col("text")), lambda x: F.length(x) >= 4)).alias("w"))
+    """The share of a turn's telling words that the turn before has too, and whether that is too little to support it."""
+    own = pages(spark, sf_dir).select("document_id", "page", terms(F.col("text")).alias("w"))
     own = own.withColumn("v", F.lag("w").over(Window.partitionBy("document_id").orderBy("page"))).where("v IS NOT NULL")
     share = F.when(F.size("w") == 0, 0.0).otherwise(F.size(F.array_intersect("w", "v")) / F.size("w"))
-    return own.select("document_id", "page", F.round(share, 6).alias("share"))
+    return own.select("document_id", "page", F.round(share, 6).alias("share"), (share < SUPPORTED).alias("unverified"))
+
+
+def reviewed_additions(additions: DataFrame, claims: DataFrame) -> DataFrame:
+    """claim, same, shared of additions: the claims that say the same, and those that cite one of its units, in order.
+
+    Both sides: claim, statement, context, entities, units.  Two say the same if their statements are equal but for case and
+    white space, and so are their contexts and their entities as sets with repeats.  Sides meet by the whole key and by units.
+    """
+    key = [T.normalize_spaces(F.col("statement")).alias("said"), F.coalesce("context", F.lit("")).alias("context"), F.array_join(F.sort_array("entities"), ",").alias("ids")]
+    new, old = additions.select("claim", *key), claims.select(F.col("claim").alias("prior"), *key)
+    same = new.join(old, ["said", "context", "ids"]).groupBy("claim").agg(F.sort_array(F.collect_set("prior")).alias("same"))
+    units = additions.select("claim", F.explode(F.array_distinct("units")).alias("unit"))
+    cited = claims.select(F.col("claim").alias("prior"), F.explode(F.array_distinct("units")).alias("unit"))
+    shared = units.join(cited, "unit").groupBy("claim").agg(F.sort_array(F.collect_set("prior")).alias("shared"))
+    none = F.array().cast(claims.select(F.array("claim")).dtypes[0][1])
+    return additions.select("claim").join(same, "claim", "left").join(shared, "claim", "left").select("claim", F.coalesce("same", none).alias("same"), F.coalesce("shared", none).alias("shared"))
+
+
+@register("""WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS claim, l_linenumber AS n, min(l_quantity) AS q, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_returnflag) AS ctx, min(l_orderkey) AS o FROM lineitem GROUP BY l_orderkey, l_linenumber),
+  k AS (SELECT claim, n, 'it was sold ' || p % 40 AS said, ctx, list_sort([s % 7, p % 5]) AS ids, [o // 4, o // 4 + p % 2] AS units FROM i),
+  sm AS (SELECT a.claim, list_sort(list(DISTINCT b.claim)) AS same FROM k a JOIN k b USING (said, ctx, ids) WHERE a.n = 1 AND b.n > 1 GROUP BY a.claim),
+  un AS (SELECT claim, n, unnest(units) AS u FROM k), sh AS (SELECT a.claim, list_sort(list(DISTINCT b.claim)) AS shared FROM un a JOIN un b USING (u) WHERE a.n = 1 AND b.n > 1 GROUP BY a.claim)
+  SELECT k.claim, coalesce(same, []) AS same, coalesce(shared, []) AS shared FROM k LEFT JOIN sm USING (claim) LEFT JOIN sh USING (claim) WHERE n = 1""")
+def addition_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added claims (the first line of an order) against those there were (all other lines): equal ones, and ones that share evidence."""
+    low = lambda c: F.min(c).alias(c)
+    item = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(low("l_quantity"), low("l_partkey"), low("l_suppkey"), low("l_returnflag"))
+    p, o = F.col("l_partkey"), F.floor(F.col("l_orderkey") / 4)
+    statement = F.concat(F.when(F.col("l_quantity") > 25, " It  was SOLD ").otherwise("it was sold "), (p % 40).cast("string"))
+    own = item.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim"), "l_linenumber", statement.alias("statement"), F.col("l_returnflag").alias("context"),
+        F.array(F.col("l_suppkey") % 7, p % 5).alias("entities"), F.array(o, o + p % 2).alias("units"),
+    )
+    return reviewed_additions(own.where("l_linenumber = 1"), own.where("l_linenumber > 1"))
 
 
 @register(f"WITH {_SAID}, q AS (SELECT event_id % 50 AS k, said, event_id, CASE event_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END AS quality FROM s) SELECT k, said, arg_max(event_id, (quality, -event_id)) AS best, count(*) AS n FROM q GROUP BY k, said")
