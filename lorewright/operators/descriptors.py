@@ -56,7 +56,7 @@ def role_key(text: Column) -> Column:
 
 
 def _names(entities: DataFrame) -> DataFrame:
-    """id, name of entities (id, name, aliases), and the adjective that a one-word name makes (Ragesia: ragesian)."""
+    """id, name of entities (id, name, aliases), and the adjective that a one-word name makes (Vostria: vostrian)."""
     named = safe_names(entities.select("id", F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names")), every=True)
     word = entities.where(F.col("name").rlike(r"^\p{L}+$")).select("id", F.lower("name").alias("n"))
     made = F.when(F.col("n").endswith("a"), F.concat("n", F.lit("n"))).when(F.col("n").endswith("e"), F.concat(F.substr("n", F.lit(1), F.char_length("n") - 1), F.lit("ian")))

@@ -1,9 +1,9 @@
 from lorewright.operators import descriptors as D
 
-ENTITIES = [(1, "Ari", None), (2, "Ragesia", ["the Empire"]), (3, "Vess Keep", None)]
+ENTITIES = [(1, "Ari", None), (2, "Vostria", ["the Empire"]), (3, "Vess Keep", None)]
 UNITS = [
-    ("d", "u1", 1, "a", "Ari's guards stood there. The second army of Ragesia marched."), ("d", "u2", 2, "a", "The guards slept."), ("d", "u3", 3, "b", "Vess Keep and its gates burned; the guards fled."),
-    ("d", "u4", 4, "b", "A Ragesian envoy came. Ari guards were paid. The second army rested."), ("d", "u5", 5, "b", "Ari guards nothing. An Ari guard at the gate."), ("e", "v1", 1, "a", "Vess Keep's 2nd fleet; Ari's 2nd fleet."),
+    ("d", "u1", 1, "a", "Ari's guards stood there. The second army of Vostria marched."), ("d", "u2", 2, "a", "The guards slept."), ("d", "u3", 3, "b", "Vess Keep and its gates burned; the guards fled."),
+    ("d", "u4", 4, "b", "A Vostrian envoy came. Ari guards were paid. The second army rested."), ("d", "u5", 5, "b", "Ari guards nothing. An Ari guard at the gate."), ("e", "v1", 1, "a", "Vess Keep's 2nd fleet; Ari's 2nd fleet."),
     ("e", "v2", 2, "a", "The 2nd fleet left."), ("e", "v3", 3, "a", None),
 ]
 
@@ -27,7 +27,7 @@ def test_registry(spark):
 def test_mentions_resolve_by_cited_near_and_earlier_units(spark):
     mentions = [
         (1, 10, "the guards"), (2, 11, "the guards"), (3, 12, "the guards"), (4, 13, "the second army"), (5, 14, "the 2nd fleet"), (6, 11, "Vess Keep's guards"), (7, 10, "Ari's guards"),
-        (8, 10, "the tower"), (9, 15, "second army of Ragesia"),
+        (8, 10, "the tower"), (9, 15, "second army of Vostria"),
     ]
     cited = [(10, "d", "u1"), (11, "d", "u2"), (12, "d", "u3"), (13, "d", "u4"), (14, "e", "v2"), (15, "d", "u4")]
     got = {r.mention: (r.id, r.how, r.unit) for r in D.resolve_descriptors(*frames(spark, mentions, cited)).collect()}

@@ -71,12 +71,12 @@ def check(spark, pages):
 
 def test_rules(spark):
     text = (
-        "THE BURNING SKY\nKing Ari of the Red Hills met Sela. Sela is a scholar named Vex.\nThey saw a Tower, the Moon Spire and the city of\nGate Pass. Alone went Ben\n"
+        "THE COPPER SEA\nKing Ari of the Red Hills met Sela. Sela is a scholar named Vex.\nThey saw a Tower, the Moon Spire and the city of\nMill Ford. Alone went Ben\n"
         "a dragon-rider, dragon-rider and dragon-rider. One Two Three Four Five Six Seven Eight Nine"
     )
     got = check(spark, [(1, 1, text), (1, 2, None), (2, 1, ""), (3, 7, "Sela")])
     assert (1, "king ari") in got and (1, "tower the moon spire") in got
-    assert "naming-cue" in got[1, "gate pass"][2] and "predicate-naming-cue" in got[1, "sela"][2]
+    assert "naming-cue" in got[1, "mill ford"][2] and "predicate-naming-cue" in got[1, "sela"][2]
     assert got[1, "dragon rider"] == ([1], 3, ["repeated-lowercase-term"])
     assert (1, "one two three four five six seven eight") in got and got[1, "one two three four five six seven eight nine"][2] == ["wrapped-title-case-span"]
 

@@ -60,14 +60,14 @@ def test_many_names_meet_by_runs(spark):
 def test_implied_entities(spark):
     entities = spark.createDataFrame(
         [
-            (1, "Ragesians", "faction", None), (2, "Third Imperial Army", "faction", None), (3, "Second Fleet", "faction", None), (4, "Old Second Fleet", "faction", None),
-            (5, "Duke Gallo", "npc", ["Gallo"]), (6, "King A", "npc", None), (7, "King B", "npc", None), (8, "Murder of Shaaladel", "event", None), (9, "Death of Ann", "event", None),
+            (1, "Vostrians", "faction", None), (2, "Third Imperial Army", "faction", None), (3, "Second Fleet", "faction", None), (4, "Old Second Fleet", "faction", None),
+            (5, "Duke Gallo", "npc", ["Gallo"]), (6, "King A", "npc", None), (7, "King B", "npc", None), (8, "Murder of Korvandel", "event", None), (9, "Death of Ann", "event", None),
         ],
         "id long, name string, type string, aliases array<string>",
     )
     texts = [
-        (1, "A Ragesian patrol of the third great northern imperial army met the king"), (2, "the third one two three four army"), (3, "the second fleet and the duke"),
-        (4, "Gallo was duke"), (5, "they killed Shaaladel, and Ann died"), (6, "Shaaladel was skilled"), (7, "Ragesians came"), (8, None),
+        (1, "A Vostrian patrol of the third great northern imperial army met the king"), (2, "the third one two three four army"), (3, "the second fleet and the duke"),
+        (4, "Gallo was duke"), (5, "they killed Korvandel, and Ann died"), (6, "Korvandel was skilled"), (7, "Vostrians came"), (8, None),
     ]
     got = {(r.k, r.id): r.rules for r in M.bounded_context(entities, spark.createDataFrame(texts, "k long, text string"), ["k"]).collect()}
     assert got == {(1, 1): "plural", (1, 2): "organisation", (3, 5): "title", (5, 8): "event"}

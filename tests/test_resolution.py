@@ -18,9 +18,9 @@ def test_pair_features(spark):
     assert "npc_title_variant" in reasons(spark, ("npc", "high king robert"), ("npc", "robert"))
     assert "npc_title_variant" in reasons(spark, ("npc", "king robert"), ("npc", "robert hale"))
     assert "npc_title_variant" not in reasons(spark, ("npc", "robert"), ("npc", "robert hale"))
-    assert "polity_formal_variant" in reasons(spark, ("faction", "ragesia"), ("faction", "ragesian empire"))
+    assert "polity_formal_variant" in reasons(spark, ("faction", "vostria"), ("faction", "vostrian empire"))
     assert "organization_qualifier_variant" in reasons(spark, ("faction", "order of silverwood"), ("faction", "silverwood guild"))
-    assert "shared_distinctive_stem" in reasons(spark, ("faction", "ragesian army"), ("location", "ragesia"))
+    assert "shared_distinctive_stem" in reasons(spark, ("faction", "vostrian army"), ("location", "vostria"))
     assert "name_contains_distinctive" in reasons(spark, ("item", "sword of blackwater"), ("location", "blackwater"))
     assert reasons(spark, ("npc", "anna"), ("npc", "bert")) == set()
 
@@ -34,7 +34,7 @@ def test_blocks_above_the_limit_make_no_pairs(spark):
 
 def test_all_block_families_make_candidates(spark):
     rows = [
-        (1, "npc", "king robert"), (2, "npc", "robert"), (3, "npc", "harlan stone"), (4, "npc", "harlan grey stone"), (5, "faction", "ragesia"), (6, "faction", "ragesian empire"),
+        (1, "npc", "king robert"), (2, "npc", "robert"), (3, "npc", "harlan stone"), (4, "npc", "harlan grey stone"), (5, "faction", "vostria"), (6, "faction", "vostrian empire"),
         (7, "location", "the red keep"), (8, "location", "red keep"), (9, "faction", "order of silverwood"), (10, "faction", "silverwood guild"), (11, "item", "sword of blackwater"), (12, "location", "blackwater"),
         (13, "npc", "nobody else"),
     ]

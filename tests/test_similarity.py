@@ -30,7 +30,7 @@ def test_an_item_of_all_sets_makes_no_pairs(spark):
 
 def test_all_signals(spark):
     entities = [
-        (1, "npc", "lord ari"), (2, "npc", "ari"), (3, "faction", "ragesia"), (4, "faction", "ragesian empire"), (5, "location", "gate pass"), (6, "location", "the gate pass"),
+        (1, "npc", "lord ari"), (2, "npc", "ari"), (3, "faction", "vostria"), (4, "faction", "vostrian empire"), (5, "location", "mill ford"), (6, "location", "the mill ford"),
         (7, "item", "torch"), (8, "event", "siege"), (9, "npc", "vex"), (10, "npc", "zed"),
     ]
     sources = [(7, 1, "a torch at the siege"), (7, 2, "x"), (8, 1, "y"), (8, 2, "z"), (8, 3, None), (9, 5, "vexed zed")]
