@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorewright.operators import cleaning
 from lorewright.operators import structure as S
 from lorewright.plans.base import PAGES, pages, registrar, table
+from lorewright.storage import tasks_for
 
 QUERIES: dict = {}
 register = registrar(QUERIES)
@@ -77,7 +78,7 @@ def section_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {_TEXTS} SELECT document_id, page, line_no, key, suppressed, heading FROM hd")
 def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines open a section, and which are running lines."""
-    return S.section_lines(section_source(spark, sf_dir)).select("document_id", "page", "line_no", "key", "suppressed", "heading")
+    return S.section_lines(section_source(spark, sf_dir), tasks_for(table(spark, sf_dir, "lineitem"), S.LINES)).select("document_id", "page", "line_no", "key", "suppressed", "heading")
 
 
 @register(f"""WITH RECURSIVE {_TEXTS}, ev AS (SELECT document_id, page, -1 AS line_no, 's' AS kind, NULL AS key, NULL AS depth, regexp_matches(string_agg(t, chr(10) ORDER BY line_no), '(?i)\\b(?:various|different|several)\\b[\\s\\S]*\\b(?:districts|regions|areas|places|locations|groups)\\b') AS flag, 0 AS heads FROM hd GROUP BY document_id, page
@@ -95,7 +96,7 @@ def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT document_id, page, context, heads AS headings FROM st WHERE kind = 'e'""")
 def section_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of headings at the end of every page."""
-    return S.section_contexts(section_source(spark, sf_dir))
+    return S.section_contexts(section_source(spark, sf_dir), tasks_for(table(spark, sf_dir, "lineitem"), S.LINES))
 
 
 @register(rf"""WITH {PAGES}, n AS (SELECT document_id, count(*) AS n FROM pg GROUP BY 1), x AS (SELECT document_id, page, n, string_split(text, chr(10)) AS p FROM pg JOIN n USING (document_id)),
