@@ -65,9 +65,10 @@ def _names(entities: DataFrame) -> DataFrame:
 
 def stated_roles(texts: DataFrame, keys: list[str], entities: DataFrame, rules: tuple) -> DataFrame:
     """keys, id, role, ordinal, rule of what texts (keys, text) state of entities."""
+    texts = texts.where(F.lower("text").rlike(_ANY))  # others state no role
     spans = name_spans(texts, keys, _names(entities)).select(*keys, "id", "start", "stop").distinct()
-    parts = texts.select(*keys, "text", F.regexp_extract_all("text", F.lit(TOKEN_AND_GAP), F.lit(0)).alias("full"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("bare"))
-    met = spans.join(parts, keys)
+    # texts are cut into tokens after the exchange
+    met = spans.join(texts.select(*keys, "text"), keys).withColumns({"full": F.regexp_extract_all("text", F.lit(TOKEN_AND_GAP), F.lit(0)), "bare": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))})
     first = F.greatest(F.lit(1), F.col("start") - (AROUND - 1))
     head = F.when(F.col("start") < AROUND, F.regexp_extract("text", r"^[^\p{L}\p{N}]*", 0)).otherwise("")
     before = F.concat(head, F.array_join(F.slice("full", first, F.col("start") + 1 - first), ""))

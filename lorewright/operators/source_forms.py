@@ -30,18 +30,25 @@ LEAST_HEAD, BETWEEN, SHORT_SCOPE = 3, 2, 4
 
 
 def scopes(cited: DataFrame, units: DataFrame) -> DataFrame:
-    """doc, unit, place, first: the places first to place are the scope of a cited unit (doc, unit).
+    """The columns of cited, place, first: the places first to place are the scope of a cited unit (doc, unit).
 
-    units: doc, unit, place, context.  Contexts are met as runs of equal ones, of which a document has few.
+    units: doc, unit, place, context.  Contexts are met as runs of equal ones, of which a document
+    has few; after that join the rows of a document stand together, so sums by unit need no exchange.
     """
     along = Window.partitionBy("doc").orderBy("place")
     new = F.coalesce((~F.col("context").eqNullSafe(F.lag("context").over(along))).cast("int"), F.lit(1))
     runs = units.select("doc", "place", "context", new.alias("new")).withColumn("run", F.sum("new").over(along)).groupBy("doc", "run")
-    runs = materialize(runs.agg(F.first("context").alias("r_context"), F.max("place").alias("r_last")), "runs")
-    at = cited.select("doc", "unit").distinct().join(units.select("doc", "unit", "place", "context"), ["doc", "unit"])
+    runs = runs.agg(F.first("context").alias("r_context"), F.max("place").alias("r_last"))
+    at = cited.distinct().join(units.select("doc", "unit", "place", "context"), ["doc", "unit"])
     holds = F.col("context").eqNullSafe(F.col("r_context")) | F.coalesce(F.col("context").startswith(F.concat("r_context", F.lit(" > "))), F.lit(False))
-    met = at.join(runs, "doc").where((F.col("r_last") < F.col("place")) & ~holds).groupBy("doc", "unit").agg(F.max("r_last").alias("stop"))
-    return at.join(met, ["doc", "unit"], "left").select("doc", "unit", "place", (F.coalesce("stop", F.lit(-1)) + 1).alias("first"))
+    met = at.join(runs, "doc").groupBy(*cited.columns, "place").agg(F.max(F.when((F.col("r_last") < F.col("place")) & ~holds, F.col("r_last"))).alias("stop"))
+    return met.select(*cited.columns, "place", (F.coalesce("stop", F.lit(-1)) + 1).alias("first"))
+
+
+def scoped(mentions: DataFrame, cited: DataFrame, units: DataFrame) -> DataFrame:
+    """mentions (claim) with scopes: the scopes (doc, unit, place, first) of their claim's own citations, null if there are none."""
+    reach = scopes(cited.select("claim", "doc", "unit"), units).groupBy("claim").agg(F.collect_set(F.struct("doc", "unit", "place", "first")).alias("scopes"))
+    return mentions.join(reach, "claim", "left")
 
 
 def _nouns(mention: Column) -> dict[str, Column]:
@@ -60,14 +67,18 @@ def noun_uses(units: DataFrame, nouns: DataFrame) -> DataFrame:
     counted: a determiner stands before it with BETWEEN lower-case words at most between; after_of: a preposition does; acts:
     a lower-case word that ends in s follows; named: the text gives it a name ("a guard called Vess").
     """
-    parts = units.select("doc", "unit", "place", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("t"), F.regexp_extract_all("text", F.lit(TOKEN_AND_GAP), F.lit(0)).alias("g"))
-    each = parts.select("doc", "unit", "place", "t", "g", F.posexplode("t").alias("i", "w")).withColumn("noun", F.lower("w"))
-    # only what stands around a use is kept, so what is exchanged does not grow with the text's length
+    # texts meet the nouns of their document before they are cut into tokens, so no token is exchanged
+    wanted = nouns.groupBy("doc").agg(F.collect_set("noun").alias("nouns"))  # at most the words of a document
+    parts = units.select("doc", "unit", "place", "text").join(wanted, "doc").select(
+        "doc", "unit", "place", "nouns", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("t"), F.regexp_extract_all("text", F.lit(TOKEN_AND_GAP), F.lit(0)).alias("g")
+    )
+    at = F.filter(F.transform("t", lambda w, i: F.struct(i.alias("i"), w.alias("w"), F.lower(w).alias("noun"))), lambda x: F.array_contains(F.col("nouns"), x["noun"]))
+    each = parts.select("doc", "unit", "place", "t", "g", F.explode(at).alias("x")).select("doc", "unit", "place", "t", "g", "x.*")
     tail = lambda n: F.slice("t", F.greatest(F.lit(1), F.col("i") + 1 - n), F.least(F.col("i"), F.lit(n)))
     near = each.select(
         "doc", "unit", "place", "w", "noun", "i", tail(BETWEEN + 1).alias("before"), F.slice("t", F.col("i") + 2, F.lit(BETWEEN + 2)).alias("after"),
         F.get("g", F.col("i") - 1).alias("last"), F.get("g", F.col("i")).alias("own"),
-    ).join(nouns, ["doc", "noun"])
+    )
     low = lambda x: x.rlike(r"^[\p{Ll}-]+$")
     # a determiner at distance k, and lower-case words from it on
     at = lambda k: F.get(F.reverse("before"), F.lit(k))
@@ -91,23 +102,23 @@ def generic_mentions(mentions: DataFrame, cited: DataFrame, units: DataFrame, en
 
     cited: claim, doc, unit; units: doc, unit, place, context, text; entities: id, name, aliases.  No mention that an entity
     answers to, that begins with an entity's name, or that is a pronoun is a class; nor one whose noun the scope names,
-    or writes in title case within a sentence.  A use proves a class by a determiner, by a plural that is used twice or after a
+    or writes in title case within a sentence.  Mentions may be scoped already.  A use proves a class by a determiner, by a plural that is used twice or after a
     preposition, or by a verb of the class after the singular.  A qualified singular needs modifiers of form or size.
     """
     n = _nouns(F.col("text"))
-    own = mentions.select("mention", "claim", *[c.alias(k) for k, c in n.items()]).where(F.char_length("head") >= LEAST_HEAD)
+    mentions = mentions if "scopes" in mentions.columns else scoped(mentions, cited, units)
+    own = mentions.select("mention", "scopes", *[c.alias(k) for k, c in n.items()]).where(F.char_length("head") >= LEAST_HEAD)
     own = own.where(~F.array_join("words", " ").isin(*PRONOUNS)).withColumn("key", F.array_join("words", " "))
     named = entities.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
-    keys = named.select(F.regexp_replace(normalize_name(F.col("n")), "^the ", "").alias("key")).where("key <> ''").distinct()
+    keys = materialize(named.select(F.regexp_replace(normalize_name(F.col("n")), "^the ", "").alias("key")).where("key <> ''").distinct(), "keys")
     begins = F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.array_join(F.slice("words", F.lit(1), k), " "))
-    known = own.select("mention", F.explode(begins).alias("key")).join(keys, "key").select("mention").distinct()
+    known = materialize(own.select("mention", F.explode(begins).alias("key")).join(keys, "key").select("mention").distinct(), "known")
     fits = F.forall(F.slice("words", F.lit(1), F.size("words") - 1), lambda w: w.endswith("ed") | w.isin(*SIZES))
     own = own.join(known, "mention", "left_anti").where((F.size("words") == 1) | (F.col("head") != F.col("singular")) | fits)
     own = materialize(own, "classes")
-    reach = materialize(scopes(cited, units), "scopes")
-    asked = own.join(cited.select("claim", "doc", "unit").distinct(), "claim").join(reach, ["doc", "unit"])
-    asked = asked.select("mention", "doc", "unit", "place", "first", "plural", "singular", F.explode(F.array_distinct(F.array("head", "singular", "plural"))).alias("noun"))
-    asked = materialize(asked, "asked")
+    asked = own.select("mention", "head", "plural", "singular", F.explode("scopes").alias("s"))
+    asked = asked.select("mention", "s.*", "plural", "singular", F.explode(F.array_distinct(F.array("head", "singular", "plural"))).alias("noun"))
+    asked = materialize(asked.withColumns({"plural": F.col("noun") == F.col("plural"), "singular": F.col("noun") == F.col("singular")}), "asked")
     uses = materialize(noun_uses(units, asked.select("doc", "noun").distinct()), "uses")
     held = asked.select("mention", "doc", F.col("unit").alias("direct"), F.col("place").alias("at"), "first", "plural", "singular", "noun").join(uses, ["doc", "noun"])
     held = held.where("place BETWEEN first AND at")
@@ -115,10 +126,10 @@ def generic_mentions(mentions: DataFrame, cited: DataFrame, units: DataFrame, en
     once = held.groupBy("mention", "doc", "unit", "place", "noun", "plural", "singular", "upper", "lower", "exact", "counted", "after_of", "acts", "named").agg(
         F.max(F.col("unit") == F.col("direct")).alias("here"), F.count(F.lit(1)).alias("times"), F.countDistinct("direct").alias("by")
     )
-    many = F.col("noun") == F.col("plural")
+    many = F.col("plural")
     totals = once.groupBy("mention").agg(
         F.max("upper").alias("upper"), F.max("named").alias("named"), F.max("here").alias("here"), F.sum(F.when(many & F.col("exact"), F.col("times") / F.col("by")).otherwise(0)).alias("plurals"),
-        F.min(F.when(F.col("lower") & F.col("counted") | F.col("lower") & many & F.col("after_of") | F.col("exact") & (F.col("noun") == F.col("singular")) & F.col("acts"), F.struct("place", "unit"))).alias("shown"),
+        F.min(F.when(F.col("lower") & F.col("counted") | F.col("lower") & many & F.col("after_of") | F.col("exact") & F.col("singular") & F.col("acts"), F.struct("place", "unit"))).alias("shown"),
         F.min(F.when(many & F.col("lower"), F.struct("place", "unit"))).alias("first_plural"),
     )
     proof = F.when(F.col("shown").isNotNull() & (F.col("first_plural").isNull() | (F.col("plurals") < 2) | (F.col("shown") <= F.col("first_plural"))), F.col("shown")).when(F.col("plurals") >= 2, F.col("first_plural")).otherwise(F.col("shown"))
@@ -130,14 +141,14 @@ def referred_entities(mentions: DataFrame, cited: DataFrame, units: DataFrame, e
 
     The noun is one of HEADS.  Entities (id, name, aliases, type) of a fitting type answer if the scope names them before or
     in the cited unit and the noun stands in their name.  Two that answer leave it open, and so does "another NOUN" or "a
-    different, second or new NOUN" in the scope after the first of them.
+    different, second or new NOUN" in the scope after the first of them.  Mentions may be scoped already.
     """
     noun = F.regexp_extract(F.lower(F.trim("text")), r"^the\s+(?:[\p{Ll}-]+\s+){0,2}([\p{Ll}-]+)$", 1)
     types = F.create_map(*[x for h, ts in HEADS.items() for x in (F.lit(h), F.array(*[F.lit(t) for t in ts]))])
-    own = mentions.select("mention", "claim", noun.alias("noun")).where(F.col("noun").isin(*HEADS)).withColumn("types", types[F.col("noun")])
-    reach = materialize(scopes(cited, units), "scopes")
-    asked = own.join(cited.select("claim", "doc", "unit").distinct(), "claim").join(reach, ["doc", "unit"])
-    asked = materialize(asked.select("mention", "noun", "types", "doc", F.col("place").alias("at"), "first"), "asked")
+    mentions = mentions if "scopes" in mentions.columns else scoped(mentions, cited, units)
+    own = mentions.select("mention", "scopes", noun.alias("noun")).where(F.col("noun").isin(*HEADS)).withColumn("types", types[F.col("noun")])
+    asked = own.select("mention", "noun", "types", F.explode("scopes").alias("s"))
+    asked = materialize(asked.select("mention", "noun", "types", "s.doc", F.col("s.place").alias("at"), "s.first"), "asked")
     every = safe_names(entities.select("id", F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names")), every=True)
     headed = entities.select("id", "type", F.explode(F.array_distinct(F.split(normalize_name(F.col("name")), " "))).alias("noun")).where(F.col("noun").isin(*HEADS))
     named = name_spans(units.select("doc", "unit", "place", "text"), ["doc", "unit", "place"], every.join(headed.select("id").distinct(), "id", "left_semi")).select("doc", "unit", "place", "id").distinct()
