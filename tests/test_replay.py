@@ -49,3 +49,13 @@ def test_empty_and_null_collections(spark):
     pages = spark.createDataFrame([], "campaign_id string, page_number int, text string")
     g = build_graph(chunks, pages)
     assert [x.count() for x in (g.entities, g.relationships, g.facts, g.tree, g.rejected)] == [0] * 5
+
+
+def test_rejects_need_no_canonical_entities(spark, monkeypatch):
+    from lorewright.operators import replay
+
+    made, write = [], replay.materialize
+    monkeypatch.setattr(replay, "materialize", lambda df, name: made.append(name) or write(df, name))
+    chunks = spark.createDataFrame([chunk(1, [entity("e1", "Ari", "npc")], [edge("e1", "e1", "knows"), edge("e1", "e2", "knows")])], CHUNKS)
+    g = build_graph(chunks, spark.createDataFrame([], "campaign_id string, page_number int, text string"))
+    assert sorted(r.reason for r in g.rejected.collect()) == ["self edge", "unknown target"] and set(made) == {"chunks", "groups"}
