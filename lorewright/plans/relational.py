@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lorewright.operators.ranking import running_sum
 from lorewright.plans.base import EDGES, PAGES, PARTS, edges, pages, parts, rank_of, registrar, table
+from lorewright.storage import tasks_for
 
 QUERIES: dict = {}
 register = registrar(QUERIES)
@@ -174,10 +176,25 @@ def first_tier(asked: DataFrame, keys: DataFrame) -> DataFrame:
   GROUP BY ALL HAVING count(*) >= 2""")
 def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities on the same page, on two pages at least; a page (an order) has a handful of entities."""
-    p = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("page")).distinct()
-    other = p.select(F.col("id").alias("right_id"), F.col("page").alias("r_page"))
-    pairs = p.join(other, (F.col("page") == F.col("r_page")) & (F.col("id") < F.col("right_id")))
-    return pairs.groupBy(F.col("id").alias("left_id"), "right_id").agg(F.count(F.lit(1)).alias("shared_pages")).where("shared_pages >= 2")
+    return pairs_of_pages(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("page")))
+
+
+#: Members of pages in a task; pairs in a task.
+MEMBERS, PAIRS = 500_000, 500_000
+
+
+def pairs_of_pages(members: DataFrame, least: int = 2) -> DataFrame:
+    """left_id, right_id, shared_pages of members (id, page) that share least pages; repeated members count once, nulls are none.
+
+    Members and pairs are dealt among tasks by their number.  Pairs of a page are listed from its sorted members, without a join.
+    """
+    of = members.where("id IS NOT NULL AND page IS NOT NULL")
+    sets = of.repartition(tasks_for(of, MEMBERS), "page").groupBy("page").agg(F.sort_array(F.collect_set("id")).alias("ids"))  # a page's own members
+    n = F.size("ids").cast("long")
+    listed = sets.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0
+    each = sets.select("ids", F.posexplode("ids").alias("place", "left_id")).select("left_id", F.explode(F.slice("ids", F.col("place") + 2, F.size("ids"))).alias("right_id"))
+    pairs = each.repartition(max(1, math.ceil(listed / PAIRS)), "left_id", "right_id")
+    return pairs.groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared_pages")).where(F.col("shared_pages") >= least)
 
 
 @register(f"WITH {EDGES}, {PARTS} SELECT ord FROM ed WHERE target_id IN (SELECT id FROM pt WHERE visible) AND source_id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")

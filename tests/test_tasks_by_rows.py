@@ -2,6 +2,7 @@
 
 import re
 
+from lorewright.plans import relational
 from lorewright.plans import resolution as R
 from lorewright.plans import signals
 
@@ -34,3 +35,19 @@ def test_signals(spark, monkeypatch):
     assert {p for p in rows if p[0] // 2 == p[1] // 2} == {(k, k + 1) for k in range(0, 60, 2)} and rows[1, 2][3]
     assert all(rows[k, k + 1] == (True, True, True, False) for k in range(0, 60, 2))
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_pairs_of_pages(spark, monkeypatch):
+    rows = [(i, p) for p in range(9) for i in range(p, p + 4)] * 2 + [(None, 1), (5, None), (None, None), (6, None)]
+    want = {}
+    for p in range(9):
+        for i in range(p, p + 4):
+            for j in range(i + 1, p + 4):
+                want[i, j] = want.get((i, j), 0) + 1
+    monkeypatch.setattr(relational, "MEMBERS", 10)
+    monkeypatch.setattr(relational, "PAIRS", 9)
+    found = relational.pairs_of_pages(spark.createDataFrame(rows, "id long, page long"))
+    assert re.search(r"hashpartitioning\(page#\d+L, 8\), REPARTITION_BY_NUM", plan_of(found))  # 72 members, repeats included
+    assert re.search(r"hashpartitioning\(left_id#\d+L, right_id#\d+L, 6\), REPARTITION_BY_NUM", plan_of(found)) and "ENSURE" not in plan_of(found)  # 54 pairs
+    assert {(r.left_id, r.right_id): r.shared_pages for r in found.collect()} == {p: n for p, n in want.items() if n >= 2}
+    assert relational.pairs_of_pages(spark.createDataFrame([], "id long, page long")).count() == 0
