@@ -10,21 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.storage import materialize, release
+from lorewright.storage import in_tasks, materialize, release
 
 #: Bounds of a plan, and what the signals weigh.
 TARGETS, SEGMENTS = 24, 12
 ZERO, LOW, UNCOVERED, PER_UNCOVERED, CHARACTERS = 10_000, 3_000, 1_000, 20, 100
 
 
-def targets(occurrences: DataFrame, relationships: DataFrame, most: int = TARGETS) -> tuple[DataFrame, DataFrame]:
+def targets(occurrences: DataFrame, relationships: DataFrame, most: int = TARGETS, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(targets, places): doc, entity, degree, signals, weight of entities worth another look; doc, entity, segment not covered yet.
 
     occurrences: doc, segment, entity; relationships: doc, segment, source, target.  Segments of one entity tell nothing.
     An entity needs a signal: zero_degree; repeated_low_degree (one relationship at most, two segments at least);
     uncovered_occurrences (two segments and half of all without a relationship of its).  Of a document the heaviest most
     entities are targets, the smaller entity first among equals.
+    tasks: among how many rows are dealt, so that a task's memory does not grow with them (None: as the session says).
     """
+    with in_tasks(occurrences.sparkSession, tasks):
+        return _targets(occurrences, relationships, most)
+
+
+def _targets(occurrences: DataFrame, relationships: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     held = occurrences.select("doc", "segment", "entity").distinct()
     useful = held.groupBy("doc", "segment").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
     useful = materialize(held.join(useful, ["doc", "segment"], "left_semi"), "useful")
@@ -45,13 +51,18 @@ def targets(occurrences: DataFrame, relationships: DataFrame, most: int = TARGET
     return found, places.where("shown IS NULL").select("doc", "entity", "segment").join(found.select("doc", "entity"), ["doc", "entity"], "left_semi")
 
 
-def cover(found: DataFrame, places: DataFrame, segments: DataFrame, most: int = SEGMENTS) -> DataFrame:
+def cover(found: DataFrame, places: DataFrame, segments: DataFrame, most: int = SEGMENTS, tasks: int | None = None) -> DataFrame:
     """doc, segment, step, kind of the segments (doc, segment, characters) to read again, most of a document.
 
     A segment scores the weight of the open targets it holds, less a point for every CHARACTERS of it; the best one is taken
     (of equals the smaller), its targets are closed.  When all are closed, segments that score above zero with all targets
-    fill up the rest.
+    fill up the rest.  tasks: as for targets().
     """
+    with in_tasks(found.sparkSession, tasks):
+        return _cover(found, places, segments, most)
+
+
+def _cover(found: DataFrame, places: DataFrame, segments: DataFrame, most: int) -> DataFrame:
     long = segments.select("doc", "segment", (F.col("characters") / CHARACTERS).alias("cost"))
     held = materialize(places.join(found.select("doc", "entity", "weight"), ["doc", "entity"]).join(long, ["doc", "segment"]), "held")
     best = F.min(F.struct((-F.col("score")).alias("score"), "segment"))["segment"]
@@ -75,4 +86,4 @@ def cover(found: DataFrame, places: DataFrame, segments: DataFrame, most: int =
     place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), "segment"))
     more = rest.where("score > 0").withColumn("place", place).join(room, "doc").withColumn("step", F.col("used") + F.col("place")).where(F.col("step") <= most)
     cut = lambda df, kind: df.select("doc", "segment", "step", F.lit(kind).alias("kind"))
-    return cut(chosen, "cover").unionByName(cut(more, "supplement"))
+    return cut(chosen, "cover").unionByName(materialize(cut(more, "supplement"), "more"))

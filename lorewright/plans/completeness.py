@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from lorewright.operators import completeness as C
 from lorewright.plans.base import registrar, table
+from lorewright.storage import tasks_for
 
 QUERIES: dict = {}
 register = registrar(QUERIES)
 
+#: Occurrences of a task.
+OCCURRENCES = 500_000
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    return tasks_for(table(spark, sf_dir, "lineitem"), OCCURRENCES)
+
 
 def readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(occurrences, relationships, segments): customers as documents, orders as segments, parts and suppliers as thirty entities."""
@@ -35,7 +43,7 @@ _PLAN = f"""met AS MATERIALIZED (SELECT o_custkey AS doc, l_orderkey AS segment,
 def completeness_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that need another look, with why and how much."""
     occurrences, relationships, _ = readings(spark, sf_dir)
-    return C.targets(occurrences, relationships)[0]
+    return C.targets(occurrences, relationships, tasks=_tasks(spark, sf_dir))[0]
 
 
 @register(f"""WITH RECURSIVE {_PLAN}, hd AS MATERIALIZED (SELECT pl.doc, pl.entity, pl.segment, weight, floor(o_totalprice / 10) / {C.CHARACTERS} AS cost FROM pl JOIN tg USING (doc, entity) JOIN orders ON o_orderkey = segment AND o_custkey = pl.doc WHERE NOT shown),
@@ -48,5 +56,6 @@ def completeness_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def completeness_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments to read again, chosen greedily for every document, then filled up."""
     occurrences, relationships, segments = readings(spark, sf_dir)
-    found, places = C.targets(occurrences, relationships)
-    return C.cover(found, places, segments)
+    tasks = _tasks(spark, sf_dir)
+    found, places = C.targets(occurrences, relationships, tasks=tasks)
+    return C.cover(found, places, segments, tasks=tasks)

@@ -2,7 +2,8 @@
 
 import re
 
-from lorewright.plans import relational
+from lorewright.operators import completeness as C
+from lorewright.plans import completeness, relational
 from lorewright.plans import resolution as R
 from lorewright.plans import signals
 
@@ -51,3 +52,11 @@ def test_pairs_of_pages(spark, monkeypatch):
     assert re.search(r"hashpartitioning\(left_id#\d+L, right_id#\d+L, 6\), REPARTITION_BY_NUM", plan_of(found)) and "ENSURE" not in plan_of(found)  # 54 pairs
     assert {(r.left_id, r.right_id): r.shared_pages for r in found.collect()} == {p: n for p, n in want.items() if n >= 2}
     assert relational.pairs_of_pages(spark.createDataFrame([], "id long, page long")).count() == 0
+
+
+def test_completeness(spark, monkeypatch):
+    monkeypatch.setattr(completeness, "OCCURRENCES", 1_000)
+    seen = tasks_of_writes(spark, monkeypatch, C)
+    found = completeness.completeness_segments(spark, "/root/testdata/sf0.001")
+    assert set(seen) >= {"useful", "places", "targets", "held", "taken", "more"} and set(seen.values()) == {6}
+    assert found.count() > 0 and spark.conf.get("spark.sql.files.maxPartitionBytes") != "8m"
