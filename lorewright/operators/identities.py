@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorewright.operators.components import connected_components
-from lorewright.storage import materialize, release
+from lorewright.storage import in_tasks, materialize, release
 
 
 def _mapped(df: DataFrame, column: str, moved: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def _anchored(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("label").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def enabled_statements(statements: DataFrame, anchors: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def enabled_statements(statements: DataFrame, anchors: DataFrame, max_rounds: int = 10_000, tasks: int | None = None) -> DataFrame:
     """statement, enabled_at (null: never) of statements (statement, kind, source_name, claimed_name, other_name).
 
     anchors (name, id) are names that name one entity.  kind is "alias", which links claimed_name and other_name once
@@ -34,7 +34,14 @@ def enabled_statements(statements: DataFrame, anchors: DataFrame, max_rounds: in
 
     Semi-naive: labels stand in the waiting statements themselves, a round links only what the round before has enabled,
     and only the labels that this moves are replaced.  Rounds are as many as the longest chain of statements that wait.
+    No side of a join is brought to the driver, since every round would bring its own.  tasks: among how many rows are dealt
+    (None: as the session says).
     """
+    with in_tasks(statements.sparkSession, tasks, broadcast=False):
+        return _enabled_statements(statements, anchors, max_rounds)
+
+
+def _enabled_statements(statements: DataFrame, anchors: DataFrame, max_rounds: int) -> DataFrame:
     own = anchors.select("name", "id").distinct()
     single = own.groupBy("name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 1")
     source, claimed = (single.select(F.col("name").alias(f"{c}_name"), F.col("id").alias(f"{c}_id")) for c in ("source", "claimed"))
@@ -67,19 +74,24 @@ def enabled_statements(statements: DataFrame, anchors: DataFrame, max_rounds: in
     found = done[0]
     for part in done[1:]:
         found = found.unionByName(part)
-    return statements.select("statement").join(found, "statement", "left")
+    return statements.select("statement").join(found.hint("merge"), "statement", "left")
 
 
-def enabled_components(statements: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def enabled_components(statements: DataFrame, anchors: DataFrame, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(statements, names): enabled_statements, and name, component, entity, ambiguous of every name that is linked.
 
     entity is the one that a component holds; a component with several is ambiguous and has none.
     """
-    enabled = materialize(enabled_statements(statements, anchors), "enabled")
+    with in_tasks(statements.sparkSession, tasks, broadcast=False):
+        return _enabled_components(statements, anchors, tasks)
+
+
+def _enabled_components(statements: DataFrame, anchors: DataFrame, tasks: int | None) -> tuple[DataFrame, DataFrame]:
+    enabled = materialize(enabled_statements(statements, anchors, tasks=tasks), "enabled")
     links = statements.where("kind = 'alias'").join(enabled.where("enabled_at IS NOT NULL"), "statement", "left_semi")
     nodes = materialize(connected_components(links.select(F.col("claimed_name").alias("a"), F.col("other_name").alias("b"))), "components")
     held = nodes.join(anchors.select(F.col("name").alias("node"), "id").distinct(), "node").groupBy("component")
-    held = held.agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    held = materialize(held.agg(F.min("id").alias("low"), F.max("id").alias("high")), "held").hint("merge")
     names = nodes.join(held, "component", "left").select(
         F.col("node").alias("name"), "component", F.when(F.col("low") == F.col("high"), F.col("low")).alias("entity"),
         F.coalesce(F.col("low") < F.col("high"), F.lit(False)).alias("ambiguous"),

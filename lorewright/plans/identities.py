@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from lorewright.operators import identities as R
 from lorewright.plans.base import registrar, table
+from lorewright.storage import tasks_for
 
 QUERIES: dict = {}
 register = registrar(QUERIES)
 
+#: Statements of a task.
+STATEMENTS = 50_000
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    return tasks_for(table(spark, sf_dir, "customer"), STATEMENTS)
+
 
 def statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(statements, anchors): each customer is also called the next of its nation and segment, and every fifth statement
@@ -44,7 +52,7 @@ _STATE = """sm AS MATERIALIZED (SELECT c_custkey AS statement, c_name AS claimed
 @register(f"WITH RECURSIVE {_STATE} SELECT sm.statement, en.rd AS enabled_at FROM sm LEFT JOIN en USING (statement)")
 def enabled_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which statements of identity count, and in which round they came to count."""
-    return R.enabled_statements(*statements(spark, sf_dir))
+    return R.enabled_statements(*statements(spark, sf_dir), tasks=_tasks(spark, sf_dir))
 
 
 @register(f"""WITH RECURSIVE {_STATE}, k0 AS (SELECT claimed AS a, other AS b FROM sm JOIN en USING (statement) WHERE kind = 'alias' AND other IS NOT NULL),
@@ -53,4 +61,4 @@ def enabled_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT name, component, CASE WHEN lo = hi THEN lo END AS entity, coalesce(lo < hi, false) AS ambiguous FROM cp LEFT JOIN hd USING (component)""")
 def enabled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that statements connect, with the entity that their component holds."""
-    return R.enabled_components(*statements(spark, sf_dir))[1]
+    return R.enabled_components(*statements(spark, sf_dir), tasks=_tasks(spark, sf_dir))[1]

@@ -3,6 +3,7 @@
 import re
 
 from lorewright.operators import completeness as C
+from lorewright.operators import components, identities
 from lorewright.plans import completeness, relational
 from lorewright.plans import resolution as R
 from lorewright.plans import signals
@@ -60,3 +61,16 @@ def test_completeness(spark, monkeypatch):
     found = completeness.completeness_segments(spark, "/root/testdata/sf0.001")
     assert set(seen) >= {"useful", "places", "targets", "held", "taken", "more"} and set(seen.values()) == {6}
     assert found.count() > 0 and spark.conf.get("spark.sql.files.maxPartitionBytes") != "8m"
+
+
+def test_no_round_of_identities_brings_rows_to_the_driver(spark, monkeypatch):
+    plans = []
+    for m in (identities, components):
+        write = m.materialize
+        monkeypatch.setattr(m, "materialize", lambda df, name, write=write: (plans.append(plan_of(df)), write(df, name))[1])
+    rows = [(1, "alias", "a", "a", "b"), (2, "alias", "b", "b", "c"), (3, "alias", "x", "y", "z")]
+    known = spark.createDataFrame([("b", 7)], "name string, id long")
+    enabled, names = identities.enabled_components(spark.createDataFrame(rows, "statement long, kind string, source_name string, claimed_name string, other_name string"), known, tasks=2)
+    assert {r.statement: r.enabled_at for r in enabled.collect()} == {1: 0, 2: 0, 3: None}
+    assert {(r.name, r.component, r.entity) for r in names.collect()} == {(n, "a", 7) for n in "abc"}
+    assert len(plans) > 8 and not [p for p in [*plans, plan_of(names)] if "Broadcast" in p]
