@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorewright.operators import cleaning
 from lorewright.operators import structure as S
 from lorewright.plans.base import PAGES, pages, registrar, table
-from lorewright.storage import tasks_for
+from lorewright.storage import in_tasks, materialize, tasks_for
 
 QUERIES: dict = {}
 register = registrar(QUERIES)
@@ -59,10 +59,14 @@ _TEXTS = """lt AS (SELECT o_custkey AS document_id, l_orderkey AS page, row_numb
         OR regexp_matches(t, '\\p{Lu}') AND NOT regexp_matches(t, '\\p{Ll}') OR coalesce(regexp_matches(nxt, '^(?:\\p{Lu}|[•*-])'), false)) AS heading FROM w LEFT JOIN gone ON gone.document_id = w.document_id AND gone.key = w.key)"""
 
 
-def section_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as documents, orders as pages, line items as lines whose kind hangs on the quantity."""
-    item = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    item = item.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+def section_source(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Customers as documents, orders as pages, line items as lines whose kind hangs on the quantity; and the tasks for them.
+
+    Lines take their text from parts first, then their place from orders, and are written: both exchanges are gone when a query reads them.
+    """
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    tasks = tasks_for(item, S.LINES)
+    item = item.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
     q, n = F.col("l_quantity"), F.col("l_linenumber").cast("string")
     kinds = [
         (4, F.concat(F.repeat(F.lit("#"), (1 + F.col("p_size") % 3).cast("int")), F.lit(" "), "p_name")), (8, F.concat(n, F.lit("."), F.col("p_size").cast("string"), F.lit(" Part"))), (11, F.concat(F.lit("Day "), n)), (14, F.lit("RUMORS")), (17, F.lit("Traits")),
@@ -72,13 +76,16 @@ def section_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     for most, kind in reversed(kinds):
         text = F.when(q <= most, kind).otherwise(text)
     place = F.row_number().over(S.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
-    return item.select(F.col("o_custkey").alias("document_id"), F.col("l_orderkey").alias("page"), place.alias("line_no"), text.alias("text"))
+    item = item.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", text.alias("text"))
+    item = item.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    with in_tasks(spark, tasks, broadcast=False):
+        return materialize(item.select(F.col("o_custkey").alias("document_id"), F.col("l_orderkey").alias("page"), place.alias("line_no"), "text"), "lines"), tasks
 
 
 @register(f"WITH {_TEXTS} SELECT document_id, page, line_no, key, suppressed, heading FROM hd")
 def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines open a section, and which are running lines."""
-    return S.section_lines(section_source(spark, sf_dir), tasks_for(table(spark, sf_dir, "lineitem"), S.LINES)).select("document_id", "page", "line_no", "key", "suppressed", "heading")
+    return S.section_lines(*section_source(spark, sf_dir)).select("document_id", "page", "line_no", "key", "suppressed", "heading")
 
 
 @register(f"""WITH RECURSIVE {_TEXTS}, ev AS (SELECT document_id, page, -1 AS line_no, 's' AS kind, NULL AS key, NULL AS depth, regexp_matches(string_agg(t, chr(10) ORDER BY line_no), '(?i)\\b(?:various|different|several)\\b[\\s\\S]*\\b(?:districts|regions|areas|places|locations|groups)\\b') AS flag, 0 AS heads FROM hd GROUP BY document_id, page
@@ -96,7 +103,7 @@ def section_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT document_id, page, context, heads AS headings FROM st WHERE kind = 'e'""")
 def section_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of headings at the end of every page."""
-    return S.section_contexts(section_source(spark, sf_dir), tasks_for(table(spark, sf_dir, "lineitem"), S.LINES))
+    return S.section_contexts(*section_source(spark, sf_dir))
 
 
 @register(rf"""WITH {PAGES}, n AS (SELECT document_id, count(*) AS n FROM pg GROUP BY 1), x AS (SELECT document_id, page, n, string_split(text, chr(10)) AS p FROM pg JOIN n USING (document_id)),
