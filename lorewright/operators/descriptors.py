@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewright.operators.mentions import TOKEN, TOKEN_AND_GAP, name_spans, safe_names
+from lorewright.operators.mentions import TOKEN, TOKEN_AND_GAP, by_text, name_spans, safe_names
 from lorewright.storage import materialize
 
 #: Pieces of text on each side of a name that rules look at; units before and after a cited one that are near it.
@@ -63,10 +63,20 @@ def _names(entities: DataFrame) -> DataFrame:
     return named.unionByName(word.select("id", made.alias("name")).where("name IS NOT NULL")).distinct()
 
 
-def stated_roles(texts: DataFrame, keys: list[str], entities: DataFrame, rules: tuple) -> DataFrame:
-    """keys, id, role, ordinal, rule of what texts (keys, text) state of entities."""
+def _alike(entities: DataFrame) -> DataFrame:
+    """id, names, several: of entities that have all their names in common, which no text tells apart, the least id."""
+    each = _names(entities).groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("names"))  # an entity's own names
+    return each.groupBy("names").agg(F.min("id").alias("id"), (F.min("id") < F.max("id")).alias("several"))
+
+
+def stated_roles(texts: DataFrame, keys: list[str], names: DataFrame, rules: tuple) -> DataFrame:
+    """keys, id, role, ordinal, rule of what texts (keys, text) state of those that have names (id, name)."""
+    return by_text(texts, keys, lambda each, own: _stated_roles(each, own, names, rules))
+
+
+def _stated_roles(texts: DataFrame, keys: list[str], names: DataFrame, rules: tuple) -> DataFrame:
     texts = texts.where(F.lower("text").rlike(_ANY))  # others state no role
-    spans = name_spans(texts, keys, _names(entities)).select(*keys, "id", "start", "stop").distinct()
+    spans = name_spans(texts, keys, names).select(*keys, "id", "start", "stop").distinct()
     # texts are cut into tokens after the exchange
     met = spans.join(texts.select(*keys, "text"), keys).withColumns({"full": F.regexp_extract_all("text", F.lit(TOKEN_AND_GAP), F.lit(0)), "bare": F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))})
     first = F.greatest(F.lit(1), F.col("start") - (AROUND - 1))
@@ -86,10 +96,21 @@ def stated_roles(texts: DataFrame, keys: list[str], entities: DataFrame, rules:
     return each.select(*keys, "id", "p.rule", role_key(F.col("p.said")).alias("k")).select(*keys, "id", "rule", "k.*").where("role IS NOT NULL")
 
 
+def _short_forms(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, short_forms (roles that a text repeats in short), numbers (ordinals before a role) of all texts (keys, text)."""
+    said = F.transform(F.regexp_extract_all("text", F.lit(f"(?iu){_OPEN}({SHORT})"), F.lit(1)), role_key)
+    numbers = F.regexp_extract_all(F.lower("text"), F.lit(rf"{_OPEN}({ORDINAL})\s+(?:{_ANY}){_END}"), F.lit(1))
+    return texts.select(*keys, said.alias("short_forms"), numbers.alias("numbers"))
+
+
 def registry(units: DataFrame, entities: DataFrame) -> DataFrame:
     """doc, unit, place, context, id, role, ordinal: a row per role that a unit (doc, unit, place, context, text) states of an entity."""
+    return _registry(units, _names(entities))
+
+
+def _registry(units: DataFrame, names: DataFrame) -> DataFrame:
     keys = ["doc", "unit", "place", "context"]
-    return stated_roles(units.select(*keys, "text"), keys, entities, SOURCE_RULES).drop("rule").distinct()
+    return stated_roles(units.select(*keys, "text"), keys, names, SOURCE_RULES).drop("rule").distinct()
 
 
 def resolve_descriptors(mentions: DataFrame, cited: DataFrame, units: DataFrame, entities: DataFrame) -> DataFrame:
@@ -100,45 +121,48 @@ def resolve_descriptors(mentions: DataFrame, cited: DataFrame, units: DataFrame,
     alone and has stated before; a cited unit repeats the number).  Each needs one parent; a mention that names a parent takes
     no other.  unit is the last that states it.
     """
-    known = materialize(registry(units, entities), "registry")
-    own = mentions.select("mention", "claim", "text", role_key(F.col("text")).alias("k"), F.col("text").rlike(ROLE_ONLY).alias("bare")).select("mention", "claim", "text", "k.*", "bare").where("role IS NOT NULL")
-    own = materialize(own, "descriptors")
-    declared = stated_roles(own.where("NOT bare").select("mention", "text"), ["mention"], entities, MENTION_RULES).select("mention", F.col("id").alias("own_id")).distinct()
+    # parents of the same names are stated and named together: one row stands for them, and several are no one parent
+    alike = materialize(_alike(entities), "parents")
+    names = alike.select("id", F.explode("names").alias("name"))
+    known = materialize(_registry(units, names).join(alike.select("id", "several"), "id"), "registry")
+    asks = lambda each, keys: each.select(*keys, F.col("text").alias("t"), role_key(F.col("text")).alias("k"), F.col("text").rlike(ROLE_ONLY).alias("bare")).select(*keys, F.col("t").alias("text"), "k.*", "bare").where("role IS NOT NULL")
+    own = materialize(by_text(mentions.select("mention", "claim", "text"), ["mention", "claim"], asks), "descriptors")
+    declared = stated_roles(own.where("NOT bare").select("mention", "text"), ["mention"], names, MENTION_RULES).select("mention", F.col("id").alias("own_id")).distinct()
     declared = materialize(declared, "declared")
-    place = units.select("doc", "unit", "place", "context", "text")
-    direct = materialize(cited.select("claim", "doc", "unit").distinct().join(place, ["doc", "unit"]), "cited")
+    # what a unit says in short is read from its text before a claim cites it; texts are not exchanged
+    place = by_text(units.select("doc", "unit", "place", "context", "text"), ["doc", "unit", "place", "context"], _short_forms)
+    direct = cited.select("claim", "doc", "unit").distinct().join(place, ["doc", "unit"])
     same_key = lambda df: df.where((F.col("k_role") == F.col("role")) & F.col("k_ordinal").eqNullSafe(F.col("ordinal")))
     asked = own.select("mention", "claim", "bare", F.col("role").alias("k_role"), F.col("ordinal").alias("k_ordinal"))
-    at = asked.join(direct.select("claim", "doc", F.col("unit").alias("d_unit"), F.col("place").alias("d_place"), F.col("context").alias("d_context"), F.col("text").alias("d_text")), "claim")
+    at = asked.join(direct.select("claim", "doc", F.col("unit").alias("d_unit"), F.col("place").alias("d_place"), "short_forms", "numbers"), "claim")
+    shorthand = F.exists("short_forms", lambda k: (k["role"] == F.col("k_role")) & k["ordinal"].eqNullSafe(F.col("k_ordinal")))
+    number = F.col("k_ordinal").isNotNull() & F.exists("numbers", lambda x: x == F.col("k_ordinal"))
+    at = at.withColumn("short", F.coalesce(shorthand, F.lit(False)) | number).withColumn("number", number).drop("short_forms", "numbers")
     at = materialize(at, "asked")
 
     def alone(found: DataFrame, how: str, unnamed: bool) -> DataFrame:
-        """Of found (mention, bare, id, unit, place) the one parent, of those that the mention itself names."""
+        """Of found (mention, bare, id, several, unit, place) the one parent, of those that the mention itself names."""
         fits = found.join(declared, "mention", "left").withColumn("names", F.col("own_id").isNotNull())
         free = F.col("bare") | (~F.col("names") if unnamed else F.lit(False))
         fits = fits.where(free | (F.col("own_id") == F.col("id")))
-        one = fits.groupBy("mention").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.max(F.struct("place", "unit"))["unit"].alias("unit"))
-        return one.where("id = top").select("mention", "id", F.lit(how).alias("how"), "unit")
+        one = fits.groupBy("mention").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.max("several").alias("several"), F.max(F.struct("place", "unit"))["unit"].alias("unit"))
+        return one.where("id = top AND NOT several").select("mention", "id", F.lit(how).alias("how"), "unit")
 
-    records = known.select("doc", "unit", "place", "context", "id", "role", "ordinal")
+    records = known.select("doc", "unit", "place", "context", "id", "several", "role", "ordinal")
     here = same_key(at.withColumn("unit", F.col("d_unit")).join(records.drop("context"), ["doc", "unit"]))
     first = alone(here, "cited", unnamed=False)
-    said = F.transform(F.regexp_extract_all("d_text", F.lit(f"(?iu){_OPEN}({SHORT})"), F.lit(1)), role_key)
-    shorthand = F.exists(said, lambda k: (k["role"] == F.col("k_role")) & k["ordinal"].eqNullSafe(F.col("k_ordinal")))
-    number = F.col("k_ordinal").isNotNull() & F.exists(F.regexp_extract_all(F.lower("d_text"), F.lit(rf"{_OPEN}({ORDINAL})\s+(?:{_ANY}){_END}"), F.lit(1)), lambda x: x == F.col("k_ordinal"))
-    told = materialize(at.withColumn("short", shorthand | number).withColumn("number", number), "told")
-    repeats = told.where("short").withColumn("step", F.explode(F.sequence(F.lit(NEAR[0]), F.lit(NEAR[1])))).withColumn("place", F.col("d_place") + F.col("step"))
+    repeats = at.where("short").withColumn("step", F.explode(F.sequence(F.lit(NEAR[0]), F.lit(NEAR[1])))).withColumn("place", F.col("d_place") + F.col("step"))
     # units between a near unit and the cited one have its context as well
     along = Window.partitionBy("doc").orderBy("place")
-    stretches = place.withColumn("new", F.coalesce((~F.col("context").eqNullSafe(F.lag("context").over(along))).cast("int"), F.lit(1)))
+    stretches = units.select("doc", "unit", "place", "context").withColumn("new", F.coalesce((~F.col("context").eqNullSafe(F.lag("context").over(along))).cast("int"), F.lit(1)))
     stretches = materialize(stretches.select("doc", "unit", "place", F.sum("new").over(along).alias("stretch")), "stretches")
     near = repeats.join(stretches.select("doc", "place", "stretch"), ["doc", "place"]).join(stretches.select("doc", F.col("place").alias("d_place"), F.col("stretch").alias("d_stretch")), ["doc", "d_place"])
     near = near.where("stretch = d_stretch AND step <> 0").join(records.drop("context"), ["doc", "place"])
     second = alone(same_key(near), "near", unnamed=True)
-    parents = records.where("ordinal IS NOT NULL").groupBy("doc", "role", "ordinal").agg(F.min("id").alias("low"), F.max("id").alias("id")).where("low = id").drop("low")
+    parents = records.where("ordinal IS NOT NULL").groupBy("doc", "role", "ordinal").agg(F.min("id").alias("low"), F.max("id").alias("id"), F.max("several").alias("several")).where("low = id AND NOT several").drop("low", "several")
     numbered = records.join(parents, ["doc", "role", "ordinal", "id"], "left_semi")
-    asks = told.where("number").groupBy("mention", "bare", "doc", "k_role", "k_ordinal").agg(F.min("d_place").alias("d_place"))
-    before = asks.join(numbered.select("doc", F.col("role").alias("k_role"), F.col("ordinal").alias("k_ordinal"), "unit", "place", "id"), ["doc", "k_role", "k_ordinal"]).where("place < d_place")
+    asks = at.where("number").groupBy("mention", "bare", "doc", "k_role", "k_ordinal").agg(F.min("d_place").alias("d_place"))
+    before = asks.join(numbered.select("doc", F.col("role").alias("k_role"), F.col("ordinal").alias("k_ordinal"), "unit", "place", "id", "several"), ["doc", "k_role", "k_ordinal"]).where("place < d_place")
     third = alone(before, "earlier", unnamed=True)
     taken = first.select("mention")
     second = second.join(taken, "mention", "left_anti")
