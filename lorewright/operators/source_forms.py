@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewright.functions.text import normalize_name
-from lorewright.operators.mentions import TOKEN, TOKEN_AND_GAP, name_spans, safe_names
+from lorewright.operators.mentions import TOKEN, TOKEN_AND_GAP, by_text, name_spans, safe_names
 from lorewright.storage import materialize
 
 #: Words that count or single out, words before a class, and nouns that refer to named things of a type.
@@ -32,17 +32,18 @@ LEAST_HEAD, BETWEEN, SHORT_SCOPE = 3, 2, 4
 def scopes(cited: DataFrame, units: DataFrame) -> DataFrame:
     """The columns of cited, place, first: the places first to place are the scope of a cited unit (doc, unit).
 
-    units: doc, unit, place, context.  Contexts are met as runs of equal ones, of which a document
-    has few; after that join the rows of a document stand together, so sums by unit need no exchange.
+    units: doc, unit, place, context.  Contexts are met as runs of equal ones, of which a document has few.
     """
     along = Window.partitionBy("doc").orderBy("place")
     new = F.coalesce((~F.col("context").eqNullSafe(F.lag("context").over(along))).cast("int"), F.lit(1))
     runs = units.select("doc", "place", "context", new.alias("new")).withColumn("run", F.sum("new").over(along)).groupBy("doc", "run")
-    runs = runs.agg(F.first("context").alias("r_context"), F.max("place").alias("r_last"))
+    runs = runs.agg(F.max(F.struct("place", "context")).alias("r")).groupBy("doc").agg(F.collect_list(F.struct(F.col("r.place").alias("last"), F.col("r.context").alias("context"))).alias("runs"))
     at = cited.distinct().join(units.select("doc", "unit", "place", "context"), ["doc", "unit"])
-    holds = F.col("context").eqNullSafe(F.col("r_context")) | F.coalesce(F.col("context").startswith(F.concat("r_context", F.lit(" > "))), F.lit(False))
-    met = at.join(runs, "doc").groupBy(*cited.columns, "place").agg(F.max(F.when((F.col("r_last") < F.col("place")) & ~holds, F.col("r_last"))).alias("stop"))
-    return met.select(*cited.columns, "place", (F.coalesce("stop", F.lit(-1)) + 1).alias("first"))
+    # a document's runs come as one row, so no unit is multiplied by them
+    holds = lambda r: F.col("context").eqNullSafe(r["context"]) | F.coalesce(F.col("context").startswith(F.concat(r["context"], F.lit(" > "))), F.lit(False))
+    stops = F.filter("runs", lambda r: (r["last"] < F.col("place")) & ~holds(r))
+    met = at.join(runs, "doc").withColumn("stop", F.array_max(F.transform(stops, lambda r: r["last"])))
+    return met.select(*cited.columns, "place", (F.coalesce("stop", F.lit(-1)) + 1).alias("first")).distinct()
 
 
 def scoped(mentions: DataFrame, cited: DataFrame, units: DataFrame) -> DataFrame:
@@ -69,14 +70,23 @@ def noun_uses(units: DataFrame, nouns: DataFrame) -> DataFrame:
     """
     # texts meet the nouns of their document before they are cut into tokens, so no token is exchanged
     wanted = nouns.groupBy("doc").agg(F.collect_set("noun").alias("nouns"))  # at most the words of a document
-    parts = units.select("doc", "unit", "place", "text").join(wanted, "doc").select(
-        "doc", "unit", "place", "nouns", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("t"), F.regexp_extract_all("text", F.lit(TOKEN_AND_GAP), F.lit(0)).alias("g")
-    )
-    at = F.filter(F.transform("t", lambda w, i: F.struct(i.alias("i"), w.alias("w"), F.lower(w).alias("noun"))), lambda x: F.array_contains(F.col("nouns"), x["noun"]))
-    each = parts.select("doc", "unit", "place", "t", "g", F.explode(at).alias("x")).select("doc", "unit", "place", "t", "g", "x.*")
+    rows = units.select("doc", "unit", "place", "text").join(wanted, "doc")
+    own = ["doc", "unit", "place", "nouns"]
+    asks = materialize(nouns.select("noun").distinct(), "nouns")
+    uses = by_text(rows, own, lambda each, keys: _noun_uses(each, keys) if keys == own else _noun_uses(each, keys).join(asks, "noun", "left_semi"))
+    return uses.where(F.array_contains("nouns", F.col("noun"))).drop("nouns")
+
+
+def _noun_uses(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and what noun_uses says of the tokens of texts (keys, text): those in nouns, where that is a key, else all."""
+    parts = texts.select(*keys, F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("t"), F.regexp_extract_all("text", F.lit(TOKEN_AND_GAP), F.lit(0)).alias("g"))
+    at = F.transform("t", lambda w, i: F.struct(i.alias("i"), w.alias("w"), F.lower(w).alias("noun")))
+    if "nouns" in keys:
+        at = F.filter(at, lambda x: F.array_contains(F.col("nouns"), x["noun"]))
+    each = parts.select(*keys, "t", "g", F.explode(at).alias("x")).select(*keys, "t", "g", "x.*")
     tail = lambda n: F.slice("t", F.greatest(F.lit(1), F.col("i") + 1 - n), F.least(F.col("i"), F.lit(n)))
     near = each.select(
-        "doc", "unit", "place", "w", "noun", "i", tail(BETWEEN + 1).alias("before"), F.slice("t", F.col("i") + 2, F.lit(BETWEEN + 2)).alias("after"),
+        *keys, "w", "noun", "i", tail(BETWEEN + 1).alias("before"), F.slice("t", F.col("i") + 2, F.lit(BETWEEN + 2)).alias("after"),
         F.get("g", F.col("i") - 1).alias("last"), F.get("g", F.col("i")).alias("own"),
     )
     low = lambda x: x.rlike(r"^[\p{Ll}-]+$")
@@ -92,7 +102,7 @@ def noun_uses(units: DataFrame, nouns: DataFrame) -> DataFrame:
     either = lambda xs: no(xs[0]) | no(xs[1]) | no(xs[2])
     said_so = no(F.lower(at(0)).isin("named", "called")) | no((F.lower(at(0)) == "as") & (F.lower(at(1)) == "known"))
     return near.select(
-        "doc", "unit", "place", "noun", (F.col("w").rlike(r"\p{Lu}") & ~opens).alias("upper"), F.col("w").rlike(r"\p{Ll}").alias("lower"), (F.col("w") == F.col("noun")).alias("exact"), either(steps).alias("counted"),
+        *keys, "noun", (F.col("w").rlike(r"\p{Lu}") & ~opens).alias("upper"), F.col("w").rlike(r"\p{Ll}").alias("lower"), (F.col("w") == F.col("noun")).alias("exact"), either(steps).alias("counted"),
         no(F.lower(at(0)).isin(*PREPOSITIONS)).alias("after_of"), (plain & no(after(0).rlike(r"^[\p{Ll}-]+s$"))).alias("acts"), (either(names) | said_so).alias("named"),
     )
 
@@ -107,14 +117,17 @@ def generic_mentions(mentions: DataFrame, cited: DataFrame, units: DataFrame, en
     """
     n = _nouns(F.col("text"))
     mentions = mentions if "scopes" in mentions.columns else scoped(mentions, cited, units)
-    own = mentions.select("mention", "scopes", *[c.alias(k) for k, c in n.items()]).where(F.char_length("head") >= LEAST_HEAD)
-    own = own.where(~F.array_join("words", " ").isin(*PRONOUNS)).withColumn("key", F.array_join("words", " "))
     named = entities.select("id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
     keys = materialize(named.select(F.regexp_replace(normalize_name(F.col("n")), "^the ", "").alias("key")).where("key <> ''").distinct(), "keys")
     begins = F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.array_join(F.slice("words", F.lit(1), k), " "))
-    known = materialize(own.select("mention", F.explode(begins).alias("key")).join(keys, "key").select("mention").distinct(), "known")
     fits = F.forall(F.slice("words", F.lit(1), F.size("words") - 1), lambda w: w.endswith("ed") | w.isin(*SIZES))
-    own = own.join(known, "mention", "left_anti").where((F.size("words") == 1) | (F.col("head") != F.col("singular")) | fits)
+
+    def classes(each: DataFrame, by: list[str]) -> DataFrame:
+        own = each.select(*by, *[c.alias(k) for k, c in n.items()]).where((F.char_length("head") >= LEAST_HEAD) & ~F.array_join("words", " ").isin(*PRONOUNS))
+        known = materialize(own.select(by[0], F.explode(begins).alias("key")).join(keys, "key").select(by[0]).distinct(), "known")
+        return own.join(known, by[0], "left_anti").where((F.size("words") == 1) | (F.col("head") != F.col("singular")) | fits)
+
+    own = by_text(mentions.select("mention", "scopes", "text"), ["mention", "scopes"], classes)
     own = materialize(own, "classes")
     asked = own.select("mention", "head", "plural", "singular", F.explode("scopes").alias("s"))
     asked = asked.select("mention", "s.*", "plural", "singular", F.explode(F.array_distinct(F.array("head", "singular", "plural"))).alias("noun"))
@@ -151,7 +164,8 @@ def referred_entities(mentions: DataFrame, cited: DataFrame, units: DataFrame, e
     asked = materialize(asked.select("mention", "noun", "types", "s.doc", F.col("s.place").alias("at"), "s.first"), "asked")
     every = safe_names(entities.select("id", F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names")), every=True)
     headed = entities.select("id", "type", F.explode(F.array_distinct(F.split(normalize_name(F.col("name")), " "))).alias("noun")).where(F.col("noun").isin(*HEADS))
-    named = name_spans(units.select("doc", "unit", "place", "text"), ["doc", "unit", "place"], every.join(headed.select("id").distinct(), "id", "left_semi")).select("doc", "unit", "place", "id").distinct()
+    every = every.join(headed.select("id").distinct(), "id", "left_semi")
+    named = by_text(units.select("doc", "unit", "place", "text"), ["doc", "unit", "place"], lambda each, keys: name_spans(each, keys, every).select(*keys, "id").distinct()).distinct()
     anchors = materialize(named.join(headed, "id"), "anchors")
     met = asked.join(anchors, ["doc", "noun"]).where("place BETWEEN first AND at AND array_contains(types, type)")
     one = met.groupBy("mention", "noun", "doc", "at", "first").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.min(F.struct("place", "unit")).alias("a")).where("id = top")
